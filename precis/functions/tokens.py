@@ -67,8 +67,7 @@ def drop_stopwords_by_lang(tokens, lang_col, languages=("en", "fr", "de", "es",
     lang_col = _col(lang_col)
     out = None
     for code in languages:
-        words = list(stopwords(code))
-        branch = F.filter(tokens, lambda x, w=words: ~x.isin(w))
+        branch = drop_stopwords(tokens, stopwords(code))
         out = F.when(lang_col == code, branch) if out is None else out.when(lang_col == code, branch)
     return out.otherwise(tokens)
 
