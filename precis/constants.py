@@ -64,3 +64,9 @@ PY_SPACE_CLASS = (
     r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+
+# The same set without line breaks (\n, \r): strips each line of a text.
+LINE_SPACE_CLASS = (
+    r"[\t\x0b\x0c\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)

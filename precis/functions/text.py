@@ -46,14 +46,12 @@ def cleanup(c) -> Column:
 
 
 def fix_missing_period(c) -> Column:
-    """Append " ." unless the line is empty or ends in an end character."""
-    c = _col(c)
-    last = F.substring(c, -1, 1)
-    return (
-        F.when(c == F.lit(""), c)
-        .when(last.isin(END_CHARS), c)
-        .otherwise(F.concat(c, F.lit(" .")))
-    )
+    """Append " ." unless the line is empty or ends in an end character.
+
+    One anchored replacement, so the argument is evaluated once: the last
+    character, when it is not an end character, is replaced by itself + " ."."""
+    not_end = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in END_CHARS)
+    return F.regexp_replace(_col(c), f"(?s)([^{not_end}])\\z", "$1 .")
 
 
 def cleanup_story_line(c) -> Column:
@@ -82,7 +80,8 @@ def drop_newlines(c) -> Column:
 
 def split_file_lines(c) -> Column:
     """Split file content into lines the way text-mode file iteration does
-    (``\\r\\n``, ``\\r`` or ``\\n``); a final terminator gives no extra line."""
+    (``\\r\\n``, ``\\r`` or ``\\n``); a final terminator gives no extra line.
+    ``c`` is read several times: pass a column, not a costly expression."""
     c = _col(c)
     parts = F.split(c, r"\r\n|\r|\n", -1)
     ends_with_break = c.rlike(r"(\r|\n)\z")
@@ -164,16 +163,31 @@ def decode_entities_native(c) -> Column:
     return out
 
 
+def decode_entities(stripped) -> Column:
+    """Entity decoding of markup-free text; ``stripped`` is read three times,
+    so pass a column (see ``with_html_text``)."""
+    stripped = _col(stripped)
+    odd = stripped.rlike(OTHER_ENTITY)
+    decoded = F.when(odd, _unescape(F.when(odd, stripped))).otherwise(
+        decode_entities_native(stripped)
+    )
+    return F.replace(decoded, F.lit("\xa0"), F.lit(" "))
+
+
 def html_to_text(c) -> Column:
     """All text nodes of a page, entities decoded, U+00A0 -> space.
 
     script/style/template bodies, comments, doctype and processing
     instructions give no text. Rows whose references are all in the native
     table never leave the JVM; the rest go through ``html.unescape``.
+    For DataFrames prefer ``with_html_text`` (markup is stripped once).
     """
-    stripped = strip_markup(c)
-    odd = stripped.rlike(OTHER_ENTITY)
-    decoded = F.when(odd, _unescape(F.when(odd, stripped))).otherwise(
-        decode_entities_native(stripped)
-    )
-    return F.replace(decoded, F.lit("\xa0"), F.lit(" "))
+    return decode_entities(strip_markup(c))
+
+
+def with_html_text(df, html_col: str, out_col: str):
+    """``df`` plus ``out_col`` = text of ``html_col``, in two projections."""
+    tmp = f"_{out_col}_stripped"
+    return df.withColumn(tmp, strip_markup(F.col(html_col))).withColumn(
+        out_col, decode_entities(F.col(tmp))
+    ).drop(tmp)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from precis.constants import BOOTSTRAP_CONFIDENCE, BOOTSTRAP_SAMPLES
 from precis.operators.ids import global_index
-from precis.session import BROADCAST_ROW_LIMIT
+from precis.session import BROADCAST_ROW_LIMIT, materialize
 
 MEASURES = ("precision", "recall", "fmeasure")
 EXACT_ROW_LIMIT = 1_000_000
@@ -61,6 +61,16 @@ def poisson1_cdf(eps: float = 1e-15) -> list[float]:
         k += 1
 
 
+def poisson1_weight(u: Column) -> Column:
+    """Inverse CDF of Poisson(1): the number of cumulative probabilities <= u,
+    as a CASE chain (stays in generated code)."""
+    cdf = poisson1_cdf()
+    out = F.when(u < F.lit(cdf[0]), F.lit(0.0))
+    for k, c in enumerate(cdf[1:], start=1):
+        out = out.when(u < F.lit(c), F.lit(float(k)))
+    return out.otherwise(F.lit(float(len(cdf))))
+
+
 def _intervals(means: DataFrame, confidence: float) -> DataFrame:
     q = quantiles(confidence)
     qs = "array(" + ", ".join(repr(x) for x in q) + ")"
@@ -78,6 +88,8 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
                     confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0) -> DataFrame:
     check_params(confidence, n_samples)
     spark = scores.sparkSession
+    # The score table is read four times below: evaluate it once.
+    scores = materialize(scores.select("id", "score_type", *MEASURES))
     ids = scores.select("id").distinct()
     n = ids.count()
     if n > EXACT_ROW_LIMIT:
@@ -91,7 +103,8 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
         (F.col("id") % F.lit(n)).alias("k"),
     ).select(
         "b",
-        F.floor(uniform_from(F.concat_ws("-", F.lit(str(seed)), F.col("b"), F.col("k"))) * F.lit(n)).cast("long").alias("pick"),
+        F.floor(uniform_from(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string")))
+                * F.lit(n)).cast("long").alias("pick"),
     )
     mult = draws.groupBy("b", "pick").count()
     # n <= EXACT_ROW_LIMIT, so the per-id score rows have a proven bound.
@@ -108,13 +121,11 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
 def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
                       confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0) -> DataFrame:
     check_params(confidence, n_samples)
-    cdf = poisson1_cdf()
-    cdf_lit = F.array(*[F.lit(x) for x in cdf])
     rep = scores.select("id", "score_type", *MEASURES,
                         F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("b"))
-    u = uniform_from(F.concat_ws("-", F.lit(str(seed)), F.lit("p"), F.col("id"), F.col("b")))
-    weighted = rep.select("score_type", "b", *MEASURES,
-                          F.size(F.filter(cdf_lit, lambda x: x <= u)).cast("double").alias("w"))
+    key = F.concat_ws("-", F.lit(str(seed)), F.lit("p"), F.col("id").cast("string"), F.col("b").cast("string"))
+    drawn = rep.select("score_type", "b", *MEASURES, uniform_from(key).alias("u"))
+    weighted = drawn.select("score_type", "b", *MEASURES, poisson1_weight(F.col("u")).alias("w"))
     sums = weighted.groupBy("score_type", "b").agg(
         F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in MEASURES]
     )

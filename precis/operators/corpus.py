@@ -10,17 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.constants import HIGHLIGHT_MARKER
+from precis.constants import CLEANUP_RULES, HIGHLIGHT_MARKER, LINE_SPACE_CLASS
 from precis.functions.text import (
     _col,
     cleanup,
-    cleanup_story_line,
     drop_newlines,
-    html_to_text,
+    fix_missing_period,
     newlines_to_space,
-    py_strip,
-    split_file_lines,
+    regex_chain,
     squeeze_spaces,
+    with_html_text,
     wrap_sentences,
 )
 from precis.functions.tokens import drop_punct_tokens, drop_stopwords, split_space, stopwords
@@ -31,16 +30,45 @@ from precis.operators.lookup import map_tokens
 # Story files
 # ---------------------------------------------------------------------------
 
-def parse_story(content) -> Column:
-    """struct<article_lines: array<string>, highlights: array<string>>.
+def clean_story_text(content) -> Column:
+    """Whole story text, cleaned line by line but in one pass per rule.
+
+    Same result as stripping and cleaning every line on its own: line breaks
+    are normalised to ``\\n``, every line is stripped with a multi-line
+    pattern, and the clean-up chain runs over the whole text in generated code
+    (no rule can match across a ``\\n``; the URL rule is applied without its
+    trailing ``[\\r\\n]*``, which matches nothing inside one line)."""
+    text = F.regexp_replace(_col(content), r"\r\n|\r", "\n")
+    text = F.regexp_replace(text, rf"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")
+    return regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + CLEANUP_RULES[1:])
+
+
+def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") -> DataFrame:
+    """Add the cleaned, non-empty lines (missing-period fix applied) of a story
+    text. The cleaned text is its own projection, so it is computed once."""
+    tmp = f"_{out_col}_text"
+    staged = df.withColumn(tmp, clean_story_text(F.col(content_col)))
+    text = F.col(tmp)
+    parts = F.split(text, "\n", -1)
+    lines = F.when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(
+        F.when(text == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
+    )
+    return staged.withColumn(
+        out_col, F.filter(F.transform(lines, fix_missing_period), lambda l: l != F.lit(""))
+    ).drop(tmp)
+
+
+def split_story(df: DataFrame, lines_col: str = "lines") -> DataFrame:
+    """Add ``article_lines`` (lines before the first ``@highlight`` line) and
+    ``highlights`` (every non-marker line after it; the flag never resets).
 
-    Every line is stripped and cleaned (chain + missing-period fix); empty
-    lines are dropped. Lines before the first ``@highlight`` line form the
-    body; every non-marker line after it is a highlight.
-    """
-    lines = F.transform(split_file_lines(content), lambda l: cleanup_story_line(py_strip(l)))
-    lines = F.filter(lines, lambda l: l != F.lit(""))
-    first = F.array_position(F.transform(lines, lambda l: l.startswith(HIGHLIGHT_MARKER)), True)
+    Each step is its own projection: the optimizer does not inline a costly
+    array expression into several consumers, so every line is cleaned once."""
+    lines = F.col(lines_col)
+    marked = df.withColumn(
+        "_first", F.array_position(F.transform(lines, lambda l: l.startswith(HIGHLIGHT_MARKER)), True)
+    )
+    first = F.col("_first")
     body = F.when(first == 0, lines).otherwise(F.slice(lines, F.lit(1), first - 1))
     tail = F.when(first == 0, F.array().cast("array<string>")).otherwise(
         F.filter(
@@ -48,7 +76,7 @@ def parse_story(content) -> Column:
             lambda l: ~l.startswith(HIGHLIGHT_MARKER),
         )
     )
-    return F.struct(body.alias("article_lines"), tail.alias("highlights"))
+    return marked.withColumn("article_lines", body).withColumn("highlights", tail).drop("_first")
 
 
 def filter_article_tokens(text, words) -> Column:
@@ -60,9 +88,10 @@ def filter_article_tokens(text, words) -> Column:
 def stories_to_pairs(df: DataFrame, id_col: str = "id", content_col: str = "content",
                      language: str = "english") -> DataFrame:
     """(id, content) story texts -> (id, article, summary)."""
-    parsed = df.select(F.col(id_col).alias("id"), parse_story(F.col(content_col)).alias("p"))
-    article = filter_article_tokens(F.array_join(F.col("p.article_lines"), " "), stopwords(language))
-    summary = wrap_sentences(F.col("p.highlights"))
+    lined = with_story_lines(df.select(F.col(id_col).alias("id"), F.col(content_col).alias("_content")), "_content")
+    parsed = split_story(lined.drop("_content"))
+    article = filter_article_tokens(F.array_join(F.col("article_lines"), " "), stopwords(language))
+    summary = wrap_sentences(F.col("highlights"))
     return parsed.select(
         "id",
         squeeze_spaces(drop_newlines(article)).alias("article"),
@@ -74,32 +103,30 @@ def stories_to_pairs(df: DataFrame, id_col: str = "id", content_col: str = "cont
 # News records
 # ---------------------------------------------------------------------------
 
-def normalize_article(html, words=None, lemmatize: bool = True) -> Column:
+def normalize_articles(df: DataFrame, html_col: str, out_col: str = "article", words=None,
+                       lemmatize: bool = True) -> DataFrame:
     """HTML -> text -> clean-up -> (stop-word and punctuation filter) -> newlines
-    to spaces. Lemma lookup, when wanted, is the DataFrame step ``lemmatize``."""
-    text = cleanup(html_to_text(html))
+    to spaces. Lemma lookup, when wanted, is the step ``lemmatize_tokens``
+    (see ``records_to_pairs``)."""
+    staged = with_html_text(df, html_col, "_text")
+    text = cleanup(F.col("_text"))
     if lemmatize:
         text = filter_article_tokens(text, words if words is not None else stopwords("russian"))
-    return newlines_to_space(text)
+    return staged.withColumn(out_col, newlines_to_space(text)).drop("_text")
 
 
 def records_to_pairs(df: DataFrame, id_col: str = "id", lexicon: DataFrame | None = None,
                      language: str = "russian", lemmatize: bool = True) -> DataFrame:
     """(id, text=HTML, title) -> (id, article, summary); the title is kept raw."""
     words = stopwords(language)
-    if not lemmatize:
-        return df.select(
-            F.col(id_col).alias("id"),
-            normalize_article(F.col("text"), lemmatize=False).alias("article"),
-            F.col("title").alias("summary"),
-        )
-    staged = df.select(
-        F.col(id_col).alias("id"),
-        split_space(cleanup(html_to_text(F.col("text")))).alias("tokens"),
-        F.col("title").alias("summary"),
+    base = df.select(F.col(id_col).alias("id"), F.col("text").alias("_html"), F.col("title").alias("summary"))
+    if not lemmatize or lexicon is None:
+        out = normalize_articles(base, "_html", "article", words, lemmatize)
+        return out.select("id", "article", "summary")
+    staged = with_html_text(base, "_html", "_text").select(
+        "id", split_space(cleanup(F.col("_text"))).alias("tokens"), "summary"
     )
-    if lexicon is not None:
-        staged = lemmatize_tokens(staged, "tokens", lexicon, id_col="id")
+    staged = lemmatize_tokens(staged, "tokens", lexicon, id_col="id")
     tokens = drop_punct_tokens(drop_stopwords(F.col("tokens"), words))
     article = newlines_to_space(squeeze_spaces(F.array_join(tokens, " ")))
     return staged.select("id", article.alias("article"), "summary")

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.session import ensure_checkpoint_dir
+from pyspark import StorageLevel
+
+from precis.session import materialize
 
 _LOW_BITS = 33
 
@@ -22,10 +24,15 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", checkpoint: bool
     """Add ``name``: 0-based rank of each row in ``order_cols`` (must be unique)."""
     spark = df.sparkSession
     cols = [c for c in df.columns]
-    ordered = df.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
+    # The range-partitioned sort samples its input and then reads it again:
+    # keep the input cached while the sorted, stamped rows are written out.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = src.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
     if checkpoint:
-        ensure_checkpoint_dir(spark)
-        ordered = ordered.checkpoint(eager=True)
+        try:
+            ordered = materialize(ordered)
+        finally:
+            src.unpersist()
     ordered = ordered.withColumn("_pid", F.shiftright("_mono", _LOW_BITS))
     counts = ordered.groupBy("_pid").count().orderBy("_pid").collect()
     offsets, running = [], 0

@@ -76,14 +76,21 @@ def tokenize_for_scoring(c, use_stemmer: bool = False) -> Column:
     return stem_tokens(toks) if use_stemmer else toks
 
 
-def rouge_n_score(t: Column, p: Column, n: int) -> Column:
-    tg, pg = ngrams(t, n), ngrams(p, n)
-    hits = multiset_overlap(tg, pg).cast("double")
+# Each score is computed in two projections: the costly count (n-gram hits,
+# LCS length, summary-level hits) is materialised as a column first, then
+# precision / recall / F read that column (no re-evaluation per consumer).
+
+def rouge_n_hits(t: Column, p: Column, n: int) -> Column:
+    return multiset_overlap(ngrams(t, n), ngrams(p, n))
+
+
+def rouge_n_score(t: Column, p: Column, n: int, hits: Column) -> Column:
+    hits = hits.cast("double")
     return _score(hits / F.greatest(count_ngrams(p, n), F.lit(1)), hits / F.greatest(count_ngrams(t, n), F.lit(1)))
 
 
-def rouge_l_score(t: Column, p: Column) -> Column:
-    lcs = lcs_length_udf(t, p).cast("double")
+def rouge_l_score(t: Column, p: Column, lcs: Column) -> Column:
+    lcs = lcs.cast("double")
     empty = (F.size(t) == 0) | (F.size(p) == 0)
     return F.when(empty, _score(F.lit(0.0), F.lit(0.0))).otherwise(_score(lcs / F.size(p), lcs / F.size(t)))
 
@@ -92,10 +99,8 @@ def _total_tokens(sents: Column) -> Column:
     return F.aggregate(sents, F.lit(0).cast("long"), lambda acc, s: acc + F.size(s))
 
 
-def rouge_lsum_score(ts: Column, ps: Column) -> Column:
-    m, n = _total_tokens(ts), _total_tokens(ps)
-    hits = lsum_hits_udf(ts, ps).cast("double")
-    empty = (F.size(ts) == 0) | (F.size(ps) == 0) | (m == 0) | (n == 0)
+def rouge_lsum_score(m: Column, n: Column, empty: Column, hits: Column) -> Column:
+    hits = hits.cast("double")
     return F.when(empty, _score(F.lit(0.0), F.lit(0.0))).otherwise(_score(hits / n, hits / m))
 
 
@@ -114,15 +119,29 @@ def score_columns(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: b
         ]
     tok = df.select(*cols)
     t, p = F.col("_tt"), F.col("_pt")
+    counts = [F.col("*")]
+    for ty in types:
+        if ty == "rougeL":
+            counts.append(lcs_length_udf(t, p).alias(f"_c_{ty}"))
+        elif ty == "rougeLsum":
+            ts, ps = F.col("_ts"), F.col("_ps")
+            counts += [_total_tokens(ts).alias("_lsum_m"), _total_tokens(ps).alias("_lsum_n"),
+                       lsum_hits_udf(ts, ps).alias(f"_c_{ty}")]
+        else:
+            counts.append(rouge_n_hits(t, p, int(ty[5:])).alias(f"_c_{ty}"))
+    counted = tok.select(*counts)
     out = [F.col("id")]
     for ty in types:
+        c = F.col(f"_c_{ty}")
         if ty == "rougeL":
-            out.append(rouge_l_score(t, p).alias(ty))
+            out.append(rouge_l_score(t, p, c).alias(ty))
         elif ty == "rougeLsum":
-            out.append(rouge_lsum_score(F.col("_ts"), F.col("_ps")).alias(ty))
+            m, n = F.col("_lsum_m"), F.col("_lsum_n")
+            empty = (F.size("_ts") == 0) | (F.size("_ps") == 0) | (m == 0) | (n == 0)
+            out.append(rouge_lsum_score(m, n, empty, c).alias(ty))
         else:
-            out.append(rouge_n_score(t, p, int(ty[5:])).alias(ty))
-    return tok.select(*out)
+            out.append(rouge_n_score(t, p, int(ty[5:]), c).alias(ty))
+    return counted.select(*out)
 
 
 def score_pairs(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: bool = False,

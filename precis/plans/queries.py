@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from precis.constants import HIGHLIGHT_MARKER
 from precis.functions.text import (
     cleanup,
-    cleanup_story_line,
     fix_missing_period,
-    html_to_text,
-    join_wordpieces,
+    with_html_text,
     newlines_to_space,
     py_strip,
     split_sentences,
@@ -34,7 +32,7 @@ from precis.functions.tokens import (
 )
 from precis.operators import bootstrap as B
 from precis.operators.bleu import corpus_bleu
-from precis.operators.corpus import lemmatize_tokens, normalize_article, records_to_pairs, stories_to_pairs
+from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
 from precis.operators.ids import global_index
 from precis.operators.lines import map_lines, score_with
 from precis.operators.rouge import example_report, ngram_table, score_pairs
@@ -90,17 +88,16 @@ def q_missing_period(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), fix_missing_period(cleanup(F.col("raw"))).alias("line")
-    )
+    )  # fix_missing_period reads its argument once
 
 
 def q_html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return with_html_text(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "text").select("page_id", "text")
 
 
 def q_normalize_articles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", normalize_article(F.col("html"), stopwords("english")).alias("article")
-    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return normalize_articles(pages, "html", "article", stopwords("english")).select("page_id", "article")
 
 
 def q_story_to_pairs(spark, sf_dir):
@@ -157,7 +154,8 @@ def q_after_marker_window(spark, sf_dir):
 
     s = story_frame(spark, sf_dir)
     lines = s.select(F.col("id").alias("doc_id"), F.posexplode(F.split("content", "\n", -1)).alias("line_no", "raw"))
-    c = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), cleanup_story_line(py_strip(F.col("raw"))).alias("line"))
+    c = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), cleanup(py_strip(F.col("raw"))).alias("cl"))
+    c = c.select("doc_id", "line_no", fix_missing_period(F.col("cl")).alias("line"))
     m = c.withColumn("is_marker", F.col("line").startswith(HIGHLIGHT_MARKER).cast("int"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.max("is_marker").over(w)
@@ -311,8 +309,10 @@ def q_size_split_overlap(spark, sf_dir):
 
 
 def q_lm_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", clean_doc().alias("article"))
-    return size_split(d, P.TRAIN_SIZE, P.TEST_SIZE, "doc_id").select("doc_id", "split", "article")
+    # Positions come from the id column alone; the text is cleaned once, after.
+    docs = table(spark, sf_dir, "documents")
+    parts = size_split(docs.select("doc_id"), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id")
+    return parts.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "split", clean_doc().alias("article"))
 
 
 def q_head_tail(spark, sf_dir):

@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed-size tables (offset lists, small lexicons) are broadcast only below
 # this many rows; larger inputs take the shuffle join.
@@ -54,3 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:  # local sessions and tests only
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="precis-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint folder and return a frame
+    that reads it back (lineage cut; survives executor loss).
+
+    The frame is persisted while the checkpoint job runs so that the count
+    and the checkpoint write share one evaluation of the plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
