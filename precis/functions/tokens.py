@@ -14,8 +14,8 @@ import zipfile
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precis.constants import PUNCTUATION
-from precis.functions.text import _col, py_strip
+from precis.constants import PUNCTUATION, PY_SPACE_CHARS
+from precis.functions.text import _col
 
 # Stop-word lists are Spark ML's defaults (StopWordsRemover); they are read
 # from the Spark ML jar so that the same list can be embedded in a literal
@@ -77,7 +77,7 @@ def drop_punct_tokens(tokens) -> Column:
     ASCII punctuation string (so ``""``, ``"."``, ``"()"`` go, ``".."`` stays)."""
     return F.filter(
         _col(tokens),
-        lambda x: (x != F.lit(" ")) & ~F.lit(PUNCTUATION).contains(py_strip(x)),
+        lambda x: (x != F.lit(" ")) & ~F.lit(PUNCTUATION).contains(F.btrim(x, F.lit(PY_SPACE_CHARS))),
     )
 
 

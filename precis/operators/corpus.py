@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.constants import CLEANUP_RULES, HIGHLIGHT_MARKER, LINE_SPACE_CLASS
+from precis.constants import HIGHLIGHT_MARKER, LINE_SPACE_CLASS
 from precis.functions.text import (
     _col,
     cleanup,
+    compiled_cleanup_rules,
     drop_newlines,
     fix_missing_period,
     newlines_to_space,
@@ -40,7 +41,7 @@ def clean_story_text(content) -> Column:
     trailing ``[\\r\\n]*``, which matches nothing inside one line)."""
     text = F.regexp_replace(_col(content), r"\r\n|\r", "\n")
     text = F.regexp_replace(text, rf"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")
-    return regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + CLEANUP_RULES[1:])
+    return regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + compiled_cleanup_rules()[1:])
 
 
 def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") -> DataFrame:
