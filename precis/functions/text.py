@@ -90,6 +90,13 @@ def fix_missing_period(c) -> Column:
     return F.regexp_replace(_col(c), f"(?s)([^{not_end}])\\z", "$1 .")
 
 
+def fix_missing_period_lines(c) -> Column:
+    """``fix_missing_period`` applied to every ``\\n``-separated line of a text
+    in one multi-line replacement (empty lines stay empty)."""
+    not_end = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in END_CHARS)
+    return F.regexp_replace(_col(c), f"(?md)([^{not_end}\\n])$", "$1 .")
+
+
 def cleanup_story_line(c) -> Column:
     """Story variant of the clean-up: the chain, then the missing-period fix."""
     return fix_missing_period(cleanup(c))
@@ -128,7 +135,7 @@ def split_file_lines(c) -> Column:
 
 def split_sentences(c) -> Column:
     """Sentences are the non-empty ``\\n``-separated pieces."""
-    return F.filter(F.split(_col(c), "\n", -1), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_col(c), "\n", -1), "")
 
 
 def wrap_sentences(arr) -> Column:

@@ -84,12 +84,12 @@ def drop_punct_tokens(tokens) -> Column:
 def rouge_tokens(c) -> Column:
     """Scoring tokenizer: lower, non ``[a-z0-9]`` runs to space, split, drop empties."""
     spaced = F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " ")
-    return F.filter(F.split(spaced, " ", -1), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def whitespace_tokens(c) -> Column:
     """Split on runs of white space, no empty tokens."""
-    return F.filter(F.split(_col(c), r"[ \t\n\x0b\x0c\r]+", -1), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_col(c), r"[ \t\n\x0b\x0c\r]+", -1), "")
 
 
 def ngrams(tokens, n: int) -> Column:

@@ -16,7 +16,7 @@ from precis.functions.text import (
     cleanup,
     compiled_cleanup_rules,
     drop_newlines,
-    fix_missing_period,
+    fix_missing_period_lines,
     newlines_to_space,
     regex_chain,
     squeeze_spaces,
@@ -41,12 +41,14 @@ def clean_story_text(content) -> Column:
     trailing ``[\\r\\n]*``, which matches nothing inside one line)."""
     text = F.regexp_replace(_col(content), r"\r\n|\r", "\n")
     text = F.regexp_replace(text, rf"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")
-    return regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + compiled_cleanup_rules()[1:])
+    text = regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + compiled_cleanup_rules()[1:])
+    return fix_missing_period_lines(text)
 
 
 def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") -> DataFrame:
     """Add the cleaned, non-empty lines (missing-period fix applied) of a story
-    text. The cleaned text is its own projection, so it is computed once."""
+    text. The cleaned text is its own projection, so it is computed once; no
+    per-line lambda is evaluated."""
     tmp = f"_{out_col}_text"
     staged = df.withColumn(tmp, clean_story_text(F.col(content_col)))
     text = F.col(tmp)
@@ -55,7 +57,7 @@ def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") ->
         F.when(text == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
     )
     return staged.withColumn(
-        out_col, F.filter(F.transform(lines, fix_missing_period), lambda l: l != F.lit(""))
+        out_col, F.array_remove(lines, "")
     ).drop(tmp)
 
 
