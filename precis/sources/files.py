@@ -78,7 +78,7 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
     (not recursive). ids are dense ranks of the path."""
     if isinstance(dirs, str):
         dirs = [dirs]
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "false").text(list(dirs))
+    raw = spark.read.text(list(dirs), wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return global_index(files, ["path"], "id").select("id", "path", "content")
 
