@@ -143,3 +143,18 @@ def multiset_overlap(a, b) -> Column:
 def count_ngrams(tokens, n: int) -> Column:
     """Number of n-grams: ``max(len - n + 1, 0)`` as long."""
     return F.greatest(F.size(_col(tokens)) - F.lit(n - 1), F.lit(0)).cast("long")
+
+
+def explode_tokens(df, array_col, alias: str = "token", pos_alias: str | None = None, keep=()):
+    """Rows of ``keep`` columns + one row per element of ``array_col``.
+
+    Uses ``explode_outer`` and drops the null rows: same rows as ``explode``
+    for arrays without null elements, but the optimizer does not infer a
+    ``size(arr) > 0`` filter and push it below the projection that computes
+    the array - which would evaluate a costly array expression again."""
+    arr = F.col(array_col) if isinstance(array_col, str) else array_col
+    if pos_alias:
+        gen = F.posexplode_outer(arr).alias(pos_alias, alias)
+    else:
+        gen = F.explode_outer(arr).alias(alias)
+    return df.select(*keep, gen).where(F.col(alias).isNotNull())

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from precis.functions.tokens import explode_tokens
+
 LITERAL_LIMIT = 256
 BROADCAST_LIMIT = 1_000_000
 
@@ -30,12 +32,15 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
     tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).dropDuplicates(["_k"])
     value_type = tab.schema["_v"].dataType
     fallback = (lambda t: F.lit(default).cast(value_type)) if default is not None else (lambda t: t.cast(value_type))
-    n = tab.count()
+    # Size check and fetch in one job; never more than BROADCAST_LIMIT + 1 rows
+    # reach the driver.
+    head = tab.limit(BROADCAST_LIMIT + 1).collect()
+    n = len(head)
     if n == 0:
         return df.withColumn(out_col, F.transform(F.col(tokens_col), fallback))
 
     if n <= BROADCAST_LIMIT:
-        pairs = {r["_k"]: r["_v"] for r in tab.collect()}
+        pairs = {r["_k"]: r["_v"] for r in head}
         if n <= LITERAL_LIMIT:
             m = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
             return df.withColumn(out_col, F.transform(F.col(tokens_col), lambda t: F.coalesce(m[t], fallback(t))))
@@ -50,7 +55,7 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
 
         return df.withColumn(out_col, _lookup(F.col(tokens_col)))
 
-    exploded = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens_col).alias("_pos", "_tok"))
+    exploded = explode_tokens(df, tokens_col, "_tok", "_pos", keep=[F.col(id_col).alias("_id")])
     mapped = exploded.join(tab, exploded["_tok"] == tab["_k"], "left").select(
         "_id", "_pos", F.coalesce(F.col("_v"), fallback(F.col("_tok"))).alias("_val")
     )

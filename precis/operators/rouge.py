@@ -19,7 +19,7 @@ from precis.constants import DEFAULT_ROUGE_TYPES
 from precis.functions.lcs import lcs_length, lsum_hits
 from precis.functions.porter import stem
 from precis.functions.text import split_sentences
-from precis.functions.tokens import count_ngrams, multiset_overlap, ngrams, rouge_tokens
+from precis.functions.tokens import count_ngrams, explode_tokens, multiset_overlap, ngrams, rouge_tokens
 
 SCORE_SCHEMA = "id long, score_type string, precision double, recall double, fmeasure double"
 MEASURES = ("precision", "recall", "fmeasure")
@@ -178,10 +178,10 @@ def ngram_table(df: DataFrame, n_values=(1, 2, 3), target: str = "target", predi
                      rouge_tokens(F.col(prediction)).alias("p"))
     parts = []
     for n in n_values:
-        side_t = toks.select("id", F.lit(n).alias("n"), F.explode(ngrams(F.col("t"), n)).alias("ngram"),
-                             F.lit(1).cast("long").alias("tc"), F.lit(0).cast("long").alias("pc"))
-        side_p = toks.select("id", F.lit(n).alias("n"), F.explode(ngrams(F.col("p"), n)).alias("ngram"),
-                             F.lit(0).cast("long").alias("tc"), F.lit(1).cast("long").alias("pc"))
+        side_t = explode_tokens(toks, ngrams(F.col("t"), n), "ngram", keep=["id", F.lit(n).alias("n")]).select(
+            "id", "n", "ngram", F.lit(1).cast("long").alias("tc"), F.lit(0).cast("long").alias("pc"))
+        side_p = explode_tokens(toks, ngrams(F.col("p"), n), "ngram", keep=["id", F.lit(n).alias("n")]).select(
+            "id", "n", "ngram", F.lit(0).cast("long").alias("tc"), F.lit(1).cast("long").alias("pc"))
         parts += [side_t, side_p]
     allg = parts[0]
     for p in parts[1:]:

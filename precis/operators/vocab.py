@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precis.functions.tokens import explode_tokens
 from precis.operators.ids import global_index
 from precis.operators.lookup import map_tokens
 
 
 def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1, id_offset: int = 0) -> DataFrame:
     counts = (
-        df.select(F.explode(tokens_col).alias("token"))
+        explode_tokens(df, tokens_col, "token")
         .groupBy("token")
         .agg(F.count("*").alias("count"))
         .where(F.col("count") >= min_count)

@@ -24,6 +24,7 @@ from precis.functions.text import (
 )
 from precis.functions.tokens import (
     drop_punct_tokens,
+    explode_tokens,
     drop_stopwords_by_lang,
     rouge_tokens,
     split_space,
@@ -138,7 +139,8 @@ def q_score_tokens(spark, sf_dir):
 def q_stem_vocabulary(spark, sf_dir):
     from precis.operators.rouge import stem_tokens
 
-    toks = table(spark, sf_dir, "documents").select(F.explode(rouge_tokens(F.col("text"))).alias("token")).distinct()
+    docs = table(spark, sf_dir, "documents")
+    toks = explode_tokens(docs, rouge_tokens(F.col("text")), "token").distinct()
     return toks.select("token", stem_tokens(F.array("token"))[0].alias("stem"))
 
 
