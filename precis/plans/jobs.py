@@ -19,14 +19,26 @@ from precis.constants import (
     STORIES_TAG,
     SUMMARIES_TAG,
 )
+from precis.functions.text import newlines_to_space
+from precis.functions.tokens import whitespace_tokens
 from precis.operators.bootstrap import aggregate_report, aggregate_scores
 from precis.operators.corpus import records_to_pairs, stories_to_pairs
+from precis.operators.lines import map_lines
 from precis.operators.rouge import example_report, score_pairs
 from precis.operators.split import ratio_split, sample_pairs, sample_share, size_split
-from precis.sources.files import read_delimited, read_records, read_scoring_pairs, read_stories
+from precis.operators.vocab import build_vocabulary, encode
+from precis.sources.files import (
+    read_delimited,
+    read_documents,
+    read_lines,
+    read_records,
+    read_scoring_pairs,
+    read_stories,
+)
 from precis.sources.sinks import (
     write_aggregate_csv,
     write_example_csv,
+    write_lines,
     write_pairs_text,
     write_sample,
     write_split,
@@ -49,17 +61,61 @@ def prepare_news(spark: SparkSession, source, target_dir: str, lexicon: DataFram
     return pairs
 
 
+def process_articles(spark: SparkSession, data_path, save_path: str, lexicon: DataFrame | None = None,
+                     language: str = "russian") -> DataFrame:
+    """Whole files as single articles -> normalised text on one line each
+    (HTML -> text -> clean-up -> lemmas -> stop words / punctuation)."""
+    docs = read_documents(spark, data_path)
+    ranked = docs.select(F.col("path").alias("id"), F.col("text"), F.lit("").alias("title"))
+    out = records_to_pairs(ranked, lexicon=lexicon, language=language).select(
+        F.col("id").alias("path"), newlines_to_space(F.col("article")).alias("article")
+    )
+    out.select("article").write.mode("errorifexists").text(save_path)
+    return out
+
+
+def map_file_lines(spark: SparkSession, input_path: str, worker, payload=(), output_path: str | None = None,
+                   skip_lines: int = 0) -> int:
+    """User function over every line of a file (after ``skip_lines`` header
+    lines); ``None`` results are dropped; the kept lines are written in input
+    order when ``output_path`` is given. Returns the number of kept lines."""
+    lines = read_lines(spark, input_path, skip_lines=skip_lines, split_all_breaks=True)
+    ordered_ids = lines.select((F.col("line") * F.lit(1 << 20) + F.col("sub")).alias("line"), "value")
+    out = map_lines(ordered_ids, worker, *payload)
+    if output_path:
+        write_lines(out, output_path)
+    return out.count()
+
+
+def corpus_vocabularies(pairs: DataFrame, only_source: bool = False, split_col: str = "split",
+                        train_tag: str = "train", min_count: int = 1) -> dict:
+    """Vocabularies built over the training split: ``articles`` (source) and,
+    unless ``only_source``, ``summaries`` (target); white-space tokens."""
+    train = pairs.where(F.col(split_col) == train_tag) if split_col in pairs.columns else pairs
+    out = {ARTICLES_TAG: build_vocabulary(train.select(whitespace_tokens(F.col("article")).alias("t")), "t", min_count)}
+    if not only_source:
+        out[SUMMARIES_TAG] = build_vocabulary(train.select(whitespace_tokens(F.col("summary")).alias("t")), "t", min_count)
+    return out
+
+
+def encode_pairs(pairs: DataFrame, vocabularies: dict, unk_id: int = -1) -> DataFrame:
+    """Integer-id arrays per split for the article (and summary) columns."""
+    out = pairs.withColumn("_at", whitespace_tokens(F.col("article")))
+    out = encode(out, "_at", vocabularies[ARTICLES_TAG], id_col="id", unk_id=unk_id, out_col="article_ids")
+    if SUMMARIES_TAG in vocabularies:
+        out = out.withColumn("_st", whitespace_tokens(F.col("summary")))
+        out = encode(out, "_st", vocabularies[SUMMARIES_TAG], id_col="id", unk_id=unk_id, out_col="summary_ids")
+    return out.drop("_at", "_st")
+
+
 def read_aligned(spark: SparkSession, articles_path: str, summaries_path: str) -> DataFrame:
     """Two line files -> (id, article, summary) by line position; unequal line
     counts raise ``ValueError``."""
     a = read_delimited(spark, articles_path).select(F.col("line").alias("id"), F.col("value").alias("article"))
     s = read_delimited(spark, summaries_path).select(F.col("line").alias("id"), F.col("value").alias("summary"))
-    counts = a.agg(F.count("*").alias("n")).crossJoin(s.agg(F.count("*").alias("m"))).first()
-    if counts["n"] != counts["m"]:
-        raise ValueError(
-            "The number of articles and summaries must be the same, "
-            f"got {counts['n']} and {counts['m']}"
-        )
+    n, m = a.count(), s.count()
+    if n != m:
+        raise ValueError(f"The number of articles and summaries must be the same, got {n} and {m}")
     return a.join(s, "id")
 
 
@@ -105,6 +161,6 @@ def score_files(spark: SparkSession, target_pattern: str, prediction_pattern: st
 
 
 __all__ = [
-    "prepare_stories", "prepare_news", "read_aligned", "split_files", "split_by_size",
-    "sample_files", "score_files", "ARTICLES_TAG", "SUMMARIES_TAG",
+    "prepare_stories", "prepare_news", "process_articles", "map_file_lines", "corpus_vocabularies",
+    "encode_pairs", "read_aligned", "split_files", "split_by_size", "sample_files", "score_files",
 ]

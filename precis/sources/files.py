@@ -83,6 +83,12 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
     return global_index(files, ["path"], "id").select("id", "path", "content")
 
 
+def read_documents(spark: SparkSession, paths) -> DataFrame:
+    """(path, text): every file read whole as one document."""
+    raw = spark.read.text(paths, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def read_records(spark: SparkSession, paths) -> DataFrame:
     """(id, text, title) from JSON lines (plain or compressed). Malformed JSON
     fails the job; a record without ``text`` or ``title`` fails it as well.

@@ -154,3 +154,28 @@ def test_streaming_ingest(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["article"], r["summary"]) for r in rows] == [("hello world", "T")]  # "!" is a punctuation token
+
+
+def test_process_article_and_line_job(spark, tmp_path):
+    (tmp_path / "art.txt").write_text("<p>Hello, World: one two!</p>\nsecond line")
+    out = jobs.process_articles(spark, str(tmp_path / "art.txt"), str(tmp_path / "saved"), language="english")
+    assert [r["article"] for r in out.collect()] == ["hello world one two ! second line"]
+    assert read_parts(tmp_path / "saved") == ["hello world one two ! second line"]
+    (tmp_path / "lines.txt").write_text("hdr\na\x0bb\n#c\nd\n")
+    n = jobs.map_file_lines(spark, str(tmp_path / "lines.txt"), lambda x, s: None if x.startswith("#") else x + s,
+                            ("!",), str(tmp_path / "lout"), skip_lines=1)
+    assert n == 3 and read_parts(tmp_path / "lout") == ["a!", "b!", "d!"]
+
+
+def test_train_split_vocabularies(spark):
+    pairs = spark.createDataFrame(
+        [(0, "a b a", "x", "train"), (1, "b c", "y y", "train"), (2, "z z z", "w", "test")],
+        "id long, article string, summary string, split string",
+    )
+    v = jobs.corpus_vocabularies(pairs)
+    src = {r["token"]: r["id"] for r in v["articles"].collect()}
+    tgt = {r["token"]: r["id"] for r in v["summaries"].collect()}
+    assert src == {"a": 0, "b": 1, "c": 2} and tgt == {"y": 0, "x": 1}
+    enc = {r["id"]: (r["article_ids"], r["summary_ids"]) for r in jobs.encode_pairs(pairs, v).collect()}
+    assert enc[0] == ([0, 1, 0], [1]) and enc[2] == ([-1, -1, -1], [-1])
+    assert set(jobs.corpus_vocabularies(pairs, only_source=True)) == {"articles"}
