@@ -6,7 +6,9 @@ Output: (score_type, measure, low, mid, high) where low/mid/high are the
 resample means; ``mid`` is the median of the resample means.
 
 Two resampling schemes, both deterministic for a seed and independent of the
-number of partitions (draws come from md5 of ``seed-rep-slot`` / ``seed-p-id-rep``):
+number of partitions. Draws come from md5: each digest gives four 32-bit
+uniforms, keyed ``seed-rep-(slot div 4)`` (exact) and ``seed-p-id-(rep div 4)``
+(Poisson), part ``mod 4``:
 
 * ``exact``  - B resamples of size n with replacement, as in the textbook
   bootstrap. Draw ``(b, k)`` picks row ``floor(u * n)`` of the id order. It
@@ -45,9 +47,21 @@ def quantiles(confidence: float) -> list[float]:
     return [delta, 0.5, 1 - delta]
 
 
-def uniform_from(key: Column) -> Column:
-    """u in [0, 1) from the first 32 bits of md5(key)."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
+def uniform_from(key: Column, part: int = 0) -> Column:
+    """u in [0, 1) from 32 bits of md5(key): hex digits 8*part+1 .. 8*part+8.
+
+    One md5 gives four independent uniforms (part 0..3)."""
+    return F.conv(F.substring(F.md5(key), 8 * part + 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
+
+
+def _uniform_block(key: Column, index_name: str, block: Column, limit) -> Column:
+    """array of 4 structs (index = 4*block + part, u), one md5 for all four."""
+    h = F.md5(key)
+    return F.array(*[
+        F.struct((block * 4 + j).cast("long").alias(index_name),
+                 (F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)).alias("u"))
+        for j in range(4)
+    ])
 
 
 def poisson1_cdf(eps: float = 1e-15) -> list[float]:
@@ -86,9 +100,11 @@ def _intervals(means: DataFrame, confidence: float) -> DataFrame:
 
 def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
                     confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0) -> DataFrame:
+    """Resample b, slot k picks the row of rank floor(u * n) in id order, with u
+    from md5("seed-b-(k div 4)"), 32-bit part k mod 4."""
     check_params(confidence, n_samples)
     spark = scores.sparkSession
-    # The score table is read four times below: evaluate it once.
+    # The score table is read several times below: evaluate it once.
     scores = materialize(scores.select("id", "score_type", *MEASURES))
     ids = scores.select("id").distinct()
     n = ids.count()
@@ -97,14 +113,15 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     if n == 0:
         return spark.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
     indexed = global_index(ids, ["id"], "idx")
-    slot = spark.range(0, n_samples * n)
-    draws = slot.select(
-        F.floor(F.col("id") / F.lit(n)).cast("long").alias("b"),
-        (F.col("id") % F.lit(n)).alias("k"),
-    ).select(
-        "b",
-        F.floor(uniform_from(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string")))
-                * F.lit(n)).cast("long").alias("pick"),
+    nb = (n + 3) // 4
+    slot = spark.range(0, n_samples * nb)
+    blocks = slot.select(
+        F.floor(F.col("id") / F.lit(nb)).cast("long").alias("b"),
+        (F.col("id") % F.lit(nb)).alias("kb"),
+    )
+    key = F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("kb").cast("string"))
+    draws = blocks.select("b", F.inline(_uniform_block(key, "k", F.col("kb"), n))).where(F.col("k") < n).select(
+        "b", F.floor(F.col("u") * F.lit(n)).cast("long").alias("pick")
     )
     mult = draws.groupBy("b", "pick").count()
     # n <= EXACT_ROW_LIMIT, so the per-id score rows have a proven bound.
@@ -119,29 +136,53 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
 
 
 def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
-                      confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0) -> DataFrame:
+                      confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0, types=None) -> DataFrame:
+    """Poisson(1) weight of row ``id`` in resample b: inverse CDF of u from
+    md5("seed-p-id-(b div 4)"), 32-bit part b mod 4. The weight depends on the
+    id only, so the long table is first turned into one row per id (all score
+    types side by side) and each weight is drawn once for all types."""
     check_params(confidence, n_samples)
-    rep = scores.select("id", "score_type", *MEASURES,
-                        F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("b"))
-    key = F.concat_ws("-", F.lit(str(seed)), F.lit("p"), F.col("id").cast("string"), F.col("b").cast("string"))
-    drawn = rep.select("score_type", "b", *MEASURES, uniform_from(key).alias("u"))
-    weighted = drawn.select("score_type", "b", *MEASURES, poisson1_weight(F.col("u")).alias("w"))
-    sums = weighted.groupBy("score_type", "b").agg(
-        F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in MEASURES]
+    if types is None:  # a few names; pass them to skip this extra job
+        types = [r[0] for r in scores.select("score_type").distinct().collect()]
+    types = sorted(types)
+    if not types:
+        return scores.sparkSession.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
+    wide = scores.groupBy("id").pivot("score_type", types).agg(*[F.first(m).alias(m) for m in MEASURES])
+    cols = [f"{t}_{m}" for t in types for m in MEASURES]
+    nb = (n_samples + 3) // 4
+    rep = wide.select("id", *[F.col(f"`{c}`").alias(c) for c in cols],
+                      F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("blk"))
+    key = F.concat_ws("-", F.lit(str(seed)), F.lit("p"), F.col("id").cast("string"), F.col("blk").cast("string"))
+    drawn = rep.select(*cols, F.inline(_uniform_block(key, "b", F.col("blk"), n_samples))).where(F.col("b") < n_samples)
+    weighted = drawn.select("b", *cols, poisson1_weight(F.col("u")).alias("w"))
+    aggs = []
+    for t in types:
+        present = F.col(f"{t}_precision").isNotNull()
+        aggs.append(F.sum(F.when(present, F.col("w"))).alias(f"{t}__sw"))
+        aggs += [F.sum(F.col("w") * F.col(f"{t}_{m}")).alias(f"{t}__{m}") for m in MEASURES]
+    sums = weighted.groupBy("b").agg(*aggs)
+    per_type = F.array(*[
+        F.struct(F.lit(t).alias("score_type"), F.col(f"{t}__sw").alias("sw"),
+                 *[F.col(f"{t}__{m}").alias(m) for m in MEASURES])
+        for t in types
+    ])
+    long_sums = sums.select("b", F.inline(per_type))
+    means = long_sums.where(F.col("sw") > 0).select(
+        "score_type", "b", *[(F.col(m) / F.col("sw")).alias(m) for m in MEASURES]
     )
-    means = sums.where(F.col("sw") > 0).select("score_type", "b", *[(F.col(m) / F.col("sw")).alias(m) for m in MEASURES])
     return _intervals(means, confidence)
 
 
-def aggregate_scores(scores: DataFrame, method: str = "auto", **kw) -> DataFrame:
+def aggregate_scores(scores: DataFrame, method: str = "auto", types=None, **kw) -> DataFrame:
+    """``exact`` up to ``EXACT_ROW_LIMIT`` pairs, ``poisson`` beyond (``auto``)."""
     if method == "exact":
         return bootstrap_exact(scores, **kw)
     if method == "poisson":
-        return bootstrap_poisson(scores, **kw)
+        return bootstrap_poisson(scores, types=types, **kw)
     if method != "auto":
         raise ValueError(f"unknown bootstrap method {method}")
     n = scores.select("id").distinct().count()
-    return bootstrap_exact(scores, **kw) if n <= EXACT_ROW_LIMIT else bootstrap_poisson(scores, **kw)
+    return bootstrap_exact(scores, **kw) if n <= EXACT_ROW_LIMIT else bootstrap_poisson(scores, types=types, **kw)
 
 
 def aggregate_report(intervals: DataFrame) -> DataFrame:

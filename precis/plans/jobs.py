@@ -153,7 +153,8 @@ def score_files(spark: SparkSession, target_pattern: str, prediction_pattern: st
     result = None
     if aggregate:
         scores = score_pairs(pairs, rouge_types, use_stemmer)
-        iv = aggregate_scores(scores, method, n_samples=n_samples, confidence=confidence, seed=seed)
+        iv = aggregate_scores(scores, method, types=list(rouge_types), n_samples=n_samples,
+                              confidence=confidence, seed=seed)
         result = write_aggregate_csv(aggregate_report(iv), output)
     if per_example_output or not aggregate:
         write_example_csv(example_report(pairs, rouge_types, use_stemmer), per_example_output or output)

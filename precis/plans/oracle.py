@@ -177,8 +177,10 @@ def interval_select(means: str, confidence: float) -> str:
     return " UNION ALL ".join(parts)
 
 
-def uniform(key: str) -> str:
-    return f"CAST(('0x' || substr(md5({key}), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967296 AS DOUBLE)"
+def uniform(key: str, part: str = "0") -> str:
+    """u from 32 bits (hex digits 8*part+1 .. 8*part+8) of md5(key)."""
+    return (f"CAST(('0x' || substr(md5({key}), 8 * ({part}) + 1, 8))::BIGINT AS DOUBLE) "
+            f"/ CAST(4294967296 AS DOUBLE)")
 
 
 def bootstrap_exact_ctes(B: int, seed: int) -> str:
@@ -186,7 +188,7 @@ def bootstrap_exact_ctes(B: int, seed: int) -> str:
 cnt AS (SELECT count(*) AS n FROM ids),
 slots AS (SELECT unnest(range(0, n * {B})) AS x, n FROM cnt),
 draws AS (SELECT x // n AS b,
-                 CAST(floor({uniform(f"concat_ws('-', '{seed}', x // n, x % n)")} * n) AS BIGINT) AS pick
+                 CAST(floor({uniform(f"concat_ws('-', '{seed}', x // n, (x % n) // 4)", "(x % n) % 4")} * n) AS BIGINT) AS pick
           FROM slots),
 mult AS (SELECT b, pick, count(*) AS c FROM draws GROUP BY b, pick),
 joined AS (SELECT m.b, s.score_type, m.c, s.precision, s.recall, s.fmeasure
@@ -203,7 +205,7 @@ def bootstrap_poisson_ctes(B: int, seed: int) -> str:
     return f"""rep AS (SELECT id, score_type, precision, recall, fmeasure, unnest(range(0, {B})) AS b FROM scores),
 wts AS (SELECT score_type, b, precision, recall, fmeasure,
                CAST(len(list_filter({cdf}, lambda cv: cv <= u)) AS DOUBLE) AS w
-        FROM (SELECT *, {uniform(f"concat_ws('-', '{seed}', 'p', id, b)")} AS u FROM rep)),
+        FROM (SELECT *, {uniform(f"concat_ws('-', '{seed}', 'p', id, b // 4)", "b % 4")} AS u FROM rep)),
 sums AS (SELECT score_type, b, sum(w) AS sw, sum(w * precision) AS sp, sum(w * recall) AS sr, sum(w * fmeasure) AS sf
          FROM wts GROUP BY score_type, b),
 means AS (SELECT score_type, b, sp / sw AS precision, sr / sw AS recall, sf / sw AS fmeasure FROM sums WHERE sw > 0)"""

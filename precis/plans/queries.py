@@ -250,7 +250,8 @@ def q_bootstrap_exact(spark, sf_dir):
 
 
 def q_bootstrap_poisson(spark, sf_dir):
-    iv = B.bootstrap_poisson(_boot_scores(spark, sf_dir), P.BOOT_SAMPLES, P.BOOT_CONFIDENCE, P.BOOT_SEED)
+    iv = B.bootstrap_poisson(_boot_scores(spark, sf_dir), P.BOOT_SAMPLES, P.BOOT_CONFIDENCE, P.BOOT_SEED,
+                             types=["rouge1", "rouge2"])
     return r9(iv, ("low", "mid", "high"))
 
 

@@ -39,7 +39,11 @@ def exact_reference(x, B_, seed, conf):
     n = len(x)
     means = []
     for b in range(B_):
-        picks = [int(int(hashlib.md5(f"{seed}-{b}-{k}".encode()).hexdigest()[:8], 16) / 2**32 * n) for k in range(n)]
+        picks = []
+        for k in range(n):
+            h = hashlib.md5(f"{seed}-{b}-{k // 4}".encode()).hexdigest()
+            part = k % 4
+            picks.append(int(int(h[8 * part: 8 * part + 8], 16) / 2**32 * n))
         means.append(np.mean(x[picks]))
     d = (1 - conf) / 2
     return np.percentile(means, [100 * d, 50, 100 * (1 - d)])
