@@ -104,7 +104,10 @@ def read_records(spark: SparkSession, paths) -> DataFrame:
 
 
 def file_ranks(spark: SparkSession, pattern: str) -> DataFrame:
-    files = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path")).distinct()
+    """(path, rank) of the files matching ``pattern``, ranked by name. Only the
+    listing is read: the binary-file source skips file contents when the
+    ``content`` column is not selected."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("path"))
     return global_index(files, ["path"], "rank")
 
 
