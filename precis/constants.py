@@ -65,12 +65,6 @@ PY_SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
-# The same set without line breaks (\n, \r): strips each line of a text.
-LINE_SPACE_CLASS = (
-    r"[\t\x0b\x0c\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
-
 # The same set as literal characters (derived from str.isspace), for trims
 # that need no regular expression.
 PY_SPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())

@@ -97,6 +97,22 @@ def fix_missing_period_lines(c) -> Column:
     return F.regexp_replace(_col(c), f"(?md)([^{not_end}\\n])$", "$1 .")
 
 
+def cleanup_lines(c, strip: bool = False, fix_period: bool = True) -> Column:
+    """Per-line clean-up of a ``\\n``-separated text in whole-text passes.
+
+    Equals splitting on ``\\n`` and applying (strip,) clean-up and the period
+    fix to every line, because no rule matches across a ``\\n`` once the URL
+    rule drops its trailing ``[\\r\\n]*`` (inside one line it can only match
+    nothing). Line count and order are unchanged."""
+    out = _col(c)
+    if strip:
+        cls = PY_SPACE_CLASS.replace("\\n", "")
+        out = F.regexp_replace(out, rf"(?md)^{cls}+|{cls}+$", "")
+    rules = compiled_cleanup_rules()
+    out = regex_chain(F.lower(out), [(rules[0][0].replace("[\\r\\n]*", ""), rules[0][1])] + rules[1:])
+    return fix_missing_period_lines(out) if fix_period else out
+
+
 def cleanup_story_line(c) -> Column:
     """Story variant of the clean-up: the chain, then the missing-period fix."""
     return fix_missing_period(cleanup(c))

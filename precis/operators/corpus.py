@@ -10,15 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.constants import HIGHLIGHT_MARKER, LINE_SPACE_CLASS
+from precis.constants import HIGHLIGHT_MARKER
 from precis.functions.text import (
     _col,
     cleanup,
-    compiled_cleanup_rules,
+    cleanup_lines,
     drop_newlines,
-    fix_missing_period_lines,
     newlines_to_space,
-    regex_chain,
     squeeze_spaces,
     with_html_text,
     wrap_sentences,
@@ -32,17 +30,10 @@ from precis.operators.lookup import map_tokens
 # ---------------------------------------------------------------------------
 
 def clean_story_text(content) -> Column:
-    """Whole story text, cleaned line by line but in one pass per rule.
-
-    Same result as stripping and cleaning every line on its own: line breaks
-    are normalised to ``\\n``, every line is stripped with a multi-line
-    pattern, and the clean-up chain runs over the whole text in generated code
-    (no rule can match across a ``\\n``; the URL rule is applied without its
-    trailing ``[\\r\\n]*``, which matches nothing inside one line)."""
-    text = F.regexp_replace(_col(content), r"\r\n|\r", "\n")
-    text = F.regexp_replace(text, rf"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")
-    text = regex_chain(F.lower(text), [(r"https?:\/\/.*", "")] + compiled_cleanup_rules()[1:])
-    return fix_missing_period_lines(text)
+    """Whole story text, cleaned line by line but in one pass per rule: line
+    breaks are normalised to ``\\n`` (text-mode reading), then every line is
+    stripped, cleaned and period-fixed by ``cleanup_lines``."""
+    return cleanup_lines(F.regexp_replace(_col(content), r"\r\n|\r", "\n"), strip=True)
 
 
 def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") -> DataFrame:
