@@ -113,11 +113,6 @@ def cleanup_lines(c, strip: bool = False, fix_period: bool = True) -> Column:
     return fix_missing_period_lines(out) if fix_period else out
 
 
-def cleanup_story_line(c) -> Column:
-    """Story variant of the clean-up: the chain, then the missing-period fix."""
-    return fix_missing_period(cleanup(c))
-
-
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading and trailing Unicode white space."""
     cls = PY_SPACE_CLASS

@@ -16,10 +16,8 @@ from precis.constants import HIGHLIGHT_MARKER
 from precis.functions.text import (
     cleanup,
     cleanup_lines,
-    fix_missing_period,
     with_html_text,
     newlines_to_space,
-    py_strip,
     split_sentences,
     squeeze_spaces,
 )

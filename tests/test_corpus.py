@@ -6,7 +6,6 @@ import re
 from string import punctuation
 
 import pytest
-from pyspark.sql import functions as F
 
 from precis.constants import CLEANUP_RULES, END_TOKENS
 from precis.functions.tokens import stopwords
@@ -25,7 +24,6 @@ def py_filter(text):
 
 def py_story(content, words):
     """Plain-Python statement of the story rules (lines, marker flag, filters)."""
-    lines = [ln.strip() for ln in content.splitlines()] if content else []
     # text-mode iteration breaks only on \n, \r, \r\n
     lines = [ln.strip() for ln in re.split(r"\r\n|\r|\n", content)]
     if content.endswith(("\n", "\r")):

@@ -2,11 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from precis.operators.ids import global_index
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
-from precis.sources.files import count_lines, read_delimited, read_lines, with_file_positions
+from precis.sources.files import count_lines, read_delimited, read_lines
 
 
 def test_global_index_dense_any_partitioning(spark):
