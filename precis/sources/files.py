@@ -131,24 +131,34 @@ def read_scoring_pairs(spark: SparkSession, target_pattern: str, prediction_patt
                        delimiter: str = "\n") -> DataFrame:
     """(id, target, prediction) aligned by (file rank, record position).
 
-    Uneven record counts in any file pair raise ``ValueError`` naming the files.
-    ``id`` is 0-based over all files in rank order."""
+    Record counts are compared per file pair first (one small row per file):
+    an uneven pair raises ``ValueError`` naming the files, so the join of the
+    records never has an unmatched side. ``id`` is 0-based over all files in
+    rank order: the records of earlier files plus the position in the file,
+    from a per-file offset table (no sort of the records)."""
     files = pair_files(spark, target_pattern, prediction_pattern)
     t = read_delimited(spark, target_pattern, delimiter).withColumnRenamed("file", "target_file")
     p = read_delimited(spark, prediction_pattern, delimiter).withColumnRenamed("file", "prediction_file")
-    t = t.join(F.broadcast(files.select("rank", "target_file")), "target_file").select("rank", "line", F.col("value").alias("target"), "target_file")
-    p = p.join(F.broadcast(files.select("rank", "prediction_file")), "prediction_file").select("rank", "line", F.col("value").alias("prediction"), "prediction_file")
-    joined = t.join(p, ["rank", "line"], "full_outer")
-    bad = joined.where(F.col("target").isNull() | F.col("prediction").isNull()).select(
-        F.coalesce("target_file", F.lit("?")).alias("t"), F.coalesce("prediction_file", F.lit("?")).alias("p")
-    ).limit(1).collect()
-    if bad:
-        raise ValueError(
-            "Must have equal number of lines across target and prediction files. "
-            f"Mismatch between files: {bad[0]['t']}, {bad[0]['p']}."
-        )
-    return global_index(joined.select("rank", "line", "target", "prediction"), ["rank", "line"], "id").select(
-        "id", "target", "prediction"
+    ranks = files.collect()  # one row per file pair
+    t_n = {r["target_file"]: r["count"] for r in t.groupBy("target_file").count().collect()}
+    p_n = {r["prediction_file"]: r["count"] for r in p.groupBy("prediction_file").count().collect()}
+    offsets, running = [], 0
+    for r in sorted(ranks, key=lambda r: r["rank"]):
+        nt, np_ = t_n.get(r["target_file"], 0), p_n.get(r["prediction_file"], 0)
+        if nt != np_:
+            raise ValueError(
+                "Must have equal number of lines across target and prediction files. "
+                f"Mismatch between files: {r['target_file']}, {r['prediction_file']}."
+            )
+        offsets.append((r["rank"], r["target_file"], r["prediction_file"], running))
+        running += nt
+    off = F.broadcast(spark.createDataFrame(offsets, "rank long, target_file string, prediction_file string, offset long"))
+    t = t.join(off.select("rank", "target_file", "offset"), "target_file").select(
+        "rank", "line", "offset", F.col("value").alias("target"))
+    p = p.join(off.select("rank", "prediction_file"), "prediction_file").select(
+        "rank", "line", F.col("value").alias("prediction"))
+    return t.join(p, ["rank", "line"]).select(
+        (F.col("offset") + F.col("line")).alias("id"), "target", "prediction"
     )
 
 

@@ -179,3 +179,15 @@ def test_train_split_vocabularies(spark):
     enc = {r["id"]: (r["article_ids"], r["summary_ids"]) for r in jobs.encode_pairs(pairs, v).collect()}
     assert enc[0] == ([0, 1, 0], [1]) and enc[2] == ([-1, -1, -1], [-1])
     assert set(jobs.corpus_vocabularies(pairs, only_source=True)) == {"articles"}
+
+
+def test_scoring_pairs_across_files(spark, tmp_path):
+    from precis.sources.files import read_scoring_pairs
+
+    (tmp_path / "b.targets").write_text("t3\nt4\n")
+    (tmp_path / "a.targets").write_text("t1\nt2\n")
+    (tmp_path / "a.decodes").write_text("p1\np2\n")
+    (tmp_path / "b.decodes").write_text("p3\np4\n")
+    rows = read_scoring_pairs(spark, str(tmp_path / "*.targets"), str(tmp_path / "*.decodes")).orderBy("id").collect()
+    assert [(r["id"], r["target"], r["prediction"]) for r in rows] == [
+        (0, "t1", "p1"), (1, "t2", "p2"), (2, "t3", "p3"), (3, "t4", "p4")]
