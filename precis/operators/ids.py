@@ -46,3 +46,31 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", checkpoint: bool
         .select(*cols, (F.col("_off") + pos).alias(name))
     )
 
+
+
+def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "offset",
+                   block_rows: int = 100_000) -> DataFrame:
+    """Exclusive running sum of ``count_col`` in ``order_col`` order (unique).
+
+    Two levels, so no window covers all rows: rows are ranked with
+    ``global_index`` and cut into blocks of ``block_rows``; block totals (one
+    row per block) are summed on the driver, and the running sum inside a
+    block is a window partitioned by block."""
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    ranked = global_index(df, [order_col], "_rank").withColumn(
+        "_blk", F.floor(F.col("_rank") / F.lit(block_rows)).cast("long"))
+    totals = ranked.groupBy("_blk").agg(F.sum(count_col).alias("_tot")).orderBy("_blk").collect()
+    starts, running = [], 0
+    for r in totals:  # one row per block of rows
+        starts.append((int(r["_blk"]), running))
+        running += int(r["_tot"])
+    blocks = spark.createDataFrame(starts or [(0, 0)], "_blk long, _start long")
+    w = Window.partitionBy("_blk").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(count_col).over(w), F.lit(0))
+    return (
+        ranked.join(F.broadcast(blocks), "_blk")
+        .withColumn(name, F.col("_start") + inner)
+        .drop("_blk", "_start", "_rank")
+    )

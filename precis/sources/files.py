@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.operators.ids import global_index
+from precis.operators.ids import global_index, prefix_offsets
 from precis.session import BROADCAST_ROW_LIMIT
 
 NEWS_SCHEMA = "text string, title string"
@@ -44,6 +44,18 @@ def with_file_positions(df: DataFrame, name: str = "line") -> DataFrame:
     )
 
 
+def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line") -> DataFrame:
+    """Dense 0-based ids over all files in path order from (file, line)
+    positions: per-file row counts (one small row per file) become offsets
+    (``prefix_offsets``), joined back by file - broadcast under a checked
+    size; the rows themselves never move."""
+    counts = df.groupBy(file_col).count()
+    offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
+    if counts.count() <= BROADCAST_ROW_LIMIT:
+        offsets = F.broadcast(offsets)
+    return df.join(offsets, file_col).withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")
+
+
 def read_lines(spark: SparkSession, paths, line_sep: str = "\n", skip_lines: int = 0,
                split_all_breaks: bool = False) -> DataFrame:
     """(file, line, value) for every line of every file; ``skip_lines`` header
@@ -80,7 +92,10 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
         dirs = [dirs]
     raw = spark.read.text(list(dirs), wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return global_index(files, ["path"], "id").select("id", "path", "content")
+    ranks = global_index(files.select("path"), ["path"], "id")
+    if ranks.count() <= BROADCAST_ROW_LIMIT:  # one row per story file
+        ranks = F.broadcast(ranks)
+    return files.join(ranks, "path").select("id", "path", "content")
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -100,7 +115,7 @@ def read_records(spark: SparkSession, paths) -> DataFrame:
         F.when(F.col("text").isNull(), F.raise_error(F.lit("record without 'text'"))).otherwise(F.col("text")).alias("text"),
         F.when(F.col("title").isNull(), F.raise_error(F.lit("record without 'title'"))).otherwise(F.col("title")).alias("title"),
     )
-    return global_index(checked, ["file", "line"], "id").select("id", "text", "title")
+    return with_dense_ids(checked).select("id", "text", "title")
 
 
 def file_ranks(spark: SparkSession, pattern: str) -> DataFrame:

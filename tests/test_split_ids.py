@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from precis.operators.ids import global_index
+from precis.operators.ids import global_index, prefix_offsets
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.sources.files import count_lines, read_delimited, read_lines
 
@@ -83,3 +83,14 @@ def test_head_tail_and_sampling(spark):
     assert sample_share(texts, 21).first()["share"] == pytest.approx(33.33)
     with pytest.raises(NotImplementedError):
         sample_pairs(texts, method="random", length=3)
+
+
+def test_prefix_offsets_blocks(spark):
+    rng = np.random.default_rng(2)
+    counts = [int(x) for x in rng.integers(0, 9, 1000)]
+    df = spark.createDataFrame([(f"f{i:04d}", c) for i, c in enumerate(counts)], "file string, n long").repartition(5)
+    got = {r["file"]: r["offset"] for r in prefix_offsets(df, "file", "n", block_rows=37).collect()}
+    running = 0
+    for i, c in enumerate(counts):
+        assert got[f"f{i:04d}"] == running
+        running += c
