@@ -80,9 +80,14 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 def read_delimited(spark: SparkSession, paths, delimiter: str = "\n") -> DataFrame:
     """(file, line, value): records split on ``delimiter``; one trailing empty
-    record (a final delimiter) is not a record."""
+    record (a final delimiter) is not a record. Files are read as text-mode
+    files are: ``\\r\\n`` and ``\\r`` count as ``\\n``."""
+    if delimiter == "\n":  # the text source's default splits on \n, \r\n and \r
+        raw = spark.read.text(paths)
+        return with_file_positions(raw).select("file", "line", "value")
     raw = spark.read.option("lineSep", delimiter).text(paths)
-    return with_file_positions(raw).select("file", "line", "value")
+    return with_file_positions(raw).select(
+        "file", "line", F.regexp_replace("value", r"\r\n|\r", "\n").alias("value"))
 
 
 def read_stories(spark: SparkSession, dirs) -> DataFrame:

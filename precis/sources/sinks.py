@@ -81,6 +81,8 @@ def write_example_csv(wide: DataFrame, path: str) -> None:
     every part file; values formatted like Python ``%f``."""
     from precis.sources.formatting import format_f
 
+    if not wide.limit(1).collect():  # no scores: nothing is written
+        return
     cols = [F.col("id").cast("string").alias("id")] + [format_f(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "id"]
     out = wide.repartitionByRange("id").sortWithinPartitions("id").select(*cols)
     out.write.mode("errorifexists").option("header", "true").option("quote", "").csv(path)

@@ -45,6 +45,14 @@ def test_line_rules(spark, tmp_path):
     d.write_text("r1||r2||r3||")
     recs = read_delimited(spark, str(d), "||").orderBy("line").collect()
     assert [r["value"] for r in recs] == ["r1", "r2", "r3"]
+    e = tmp_path / "e.txt"
+    e.write_bytes(b"x\r\ny\rz\n\n")
+    recs = read_delimited(spark, str(e)).orderBy("line").collect()
+    assert [r["value"] for r in recs] == ["x", "y", "z", ""]
+    f = tmp_path / "f.txt"
+    f.write_bytes(b"a\r\nb||c")
+    recs = read_delimited(spark, str(f), "||").orderBy("line").collect()
+    assert [r["value"] for r in recs] == ["a\nb", "c"]
 
 
 def ids_frame(spark, n):
