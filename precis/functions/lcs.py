@@ -37,7 +37,8 @@ def _lcs_table(a, b) -> np.ndarray:
     ai = np.array([ids.setdefault(x, len(ids)) for x in a], dtype=np.int64)
     bi = np.array([ids.setdefault(x, len(ids)) for x in b], dtype=np.int64)
     m, n = len(ai), len(bi)
-    table = np.zeros((m + 1, n + 1), dtype=np.int32)
+    # values never exceed min(m, n): the smallest type halves the table
+    table = np.zeros((m + 1, n + 1), dtype=np.uint16 if min(m, n) < 65535 else np.int32)
     for i in range(1, m + 1):
         prev = table[i - 1]
         d = prev[1:].copy()

@@ -49,3 +49,37 @@ def test_every_query_runs_and_matches_oracle(spark, name):
         return "|".join(out)
 
     assert sorted(key(df.columns, tuple(r)) for r in rows) == sorted(key(rel.columns, r) for r in drows)
+
+
+def single_partition_offenders(plan: str):
+    """Nodes fed by ``Exchange SinglePartition`` that are not aggregates
+    (a global aggregate after per-task partial aggregation is fine; a window
+    or sort there would put every row through one task)."""
+    lines = plan.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line and i > 0:
+            parent = lines[i - 1]
+            if not any(k in parent for k in ("HashAggregate", "ObjectHashAggregate", "SortAggregate")):
+                out.append(parent.strip()[:160])
+    return out
+
+
+def test_guard_detects_unpartitioned_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    bad = spark.range(10).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    assert single_partition_offenders(bad._jdf.queryExecution().executedPlan().toString())
+    ok = spark.range(10).agg(F.sum("id"))
+    assert not single_partition_offenders(ok._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data not present")
+def test_no_single_task_operator_in_any_plan(spark):
+    """Scale guard over every registered query."""
+    offenders = []
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        offenders += [(name, o) for o in single_partition_offenders(plan)]
+    assert offenders == []
