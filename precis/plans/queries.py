@@ -39,13 +39,21 @@ from precis.operators.rouge import example_report, ngram_table, score_pairs
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
+from precis.session import spread
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
 
 
+# Text tables and their id columns: spread over the cores when the scan has
+# fewer splits than that (the test files are one row group each).
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def r9(df: DataFrame, cols) -> DataFrame:

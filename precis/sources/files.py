@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from precis.operators.ids import global_index, prefix_offsets
-from precis.session import BROADCAST_ROW_LIMIT
+from precis.session import BROADCAST_ROW_LIMIT, spread
 
 NEWS_SCHEMA = "text string, title string"
 
@@ -100,7 +100,7 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
     ranks = global_index(files.select("path"), ["path"], "id")
     if ranks.count() <= BROADCAST_ROW_LIMIT:  # one row per story file
         ranks = F.broadcast(ranks)
-    return files.join(ranks, "path").select("id", "path", "content")
+    return spread(files.join(ranks, "path").select("id", "path", "content"), "id")
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -120,7 +120,8 @@ def read_records(spark: SparkSession, paths) -> DataFrame:
         F.when(F.col("text").isNull(), F.raise_error(F.lit("record without 'text'"))).otherwise(F.col("text")).alias("text"),
         F.when(F.col("title").isNull(), F.raise_error(F.lit("record without 'title'"))).otherwise(F.col("title")).alias("title"),
     )
-    return with_dense_ids(checked).select("id", "text", "title")
+    # a gzip file is one task: spread the parsed records before the heavy work
+    return spread(with_dense_ids(checked).select("id", "text", "title"), "id")
 
 
 def file_ranks(spark: SparkSession, pattern: str) -> DataFrame:
