@@ -54,9 +54,9 @@ def uniform_from(key: Column, part: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key), 8 * part + 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
 
 
-def _uniform_block(key: Column, index_name: str, block: Column, limit) -> Column:
-    """array of 4 structs (index = 4*block + part, u), one md5 for all four."""
-    h = F.md5(key)
+def _uniform_block(h: Column, index_name: str, block: Column, limit) -> Column:
+    """array of 4 structs (index = 4*block + part, u) from one md5 hex digest
+    ``h`` - pass a projected column, so the digest is computed once."""
     return F.array(*[
         F.struct((block * 4 + j).cast("long").alias(index_name),
                  (F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)).alias("u"))
@@ -120,7 +120,8 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
         (F.col("id") % F.lit(nb)).alias("kb"),
     )
     key = F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("kb").cast("string"))
-    draws = blocks.select("b", F.inline(_uniform_block(key, "k", F.col("kb"), n))).where(F.col("k") < n).select(
+    hashed = blocks.select("b", "kb", F.md5(key).alias("_h"))
+    draws = hashed.select("b", F.inline(_uniform_block(F.col("_h"), "k", F.col("kb"), n))).where(F.col("k") < n).select(
         "b", F.floor(F.col("u") * F.lit(n)).cast("long").alias("pick")
     )
     mult = draws.groupBy("b", "pick").count()
@@ -153,7 +154,9 @@ def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     rep = wide.select("id", *[F.col(f"`{c}`").alias(c) for c in cols],
                       F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("blk"))
     key = F.concat_ws("-", F.lit(str(seed)), F.lit("p"), F.col("id").cast("string"), F.col("blk").cast("string"))
-    drawn = rep.select(*cols, F.inline(_uniform_block(key, "b", F.col("blk"), n_samples))).where(F.col("b") < n_samples)
+    hashed = rep.select(*cols, "blk", F.md5(key).alias("_h"))
+    drawn = hashed.select(*cols, F.inline(_uniform_block(F.col("_h"), "b", F.col("blk"), n_samples))).where(
+        F.col("b") < n_samples)
     weighted = drawn.select("b", *cols, poisson1_weight(F.col("u")).alias("w"))
     aggs = []
     for t in types:
