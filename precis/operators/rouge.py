@@ -51,6 +51,12 @@ def stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def stem_word(words: pd.Series) -> pd.Series:
+    """Porter stem of one token per row (per-process cache)."""
+    return words.map(lambda w: None if w is None else stem(w))
+
+
 @F.pandas_udf(T.LongType())
 def lcs_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")

@@ -146,11 +146,12 @@ def q_score_tokens(spark, sf_dir):
 
 
 def q_stem_vocabulary(spark, sf_dir):
-    from precis.operators.rouge import stem_tokens
+    from precis.operators.rouge import stem_word
 
+    # distinct-vocabulary job: every distinct scoring token is stemmed once
     docs = table(spark, sf_dir, "documents")
     toks = explode_tokens(docs, rouge_tokens(F.col("text")), "token").distinct()
-    return toks.select("token", stem_tokens(F.array("token"))[0].alias("stem"))
+    return toks.select("token", stem_word(F.col("token")).alias("stem"))
 
 
 def q_sentence_split(spark, sf_dir):
