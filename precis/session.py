@@ -71,15 +71,20 @@ def materialize(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None,
+           scan: DataFrame | None = None) -> DataFrame:
     """Give CPU-heavy narrow stages enough tasks.
 
     A scan of a few large row groups or of non-splittable (gzip) files yields
     fewer partitions than cores, and every regex/UDF stage after it would run
     on those few tasks. Then the rows are hash-repartitioned on ``key``
     (deterministic on retry); a scan that already has enough splits - the
-    normal case for large inputs - is left untouched (no shuffle)."""
+    normal case for large inputs - is left untouched (no shuffle).
+
+    The split count is read from ``scan`` (the plain file scan ``df`` comes
+    from) when given: asking a frame with shuffles for its partitions would
+    make adaptive execution run those stages first."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if (scan if scan is not None else df).rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -100,7 +100,7 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
     ranks = global_index(files.select("path"), ["path"], "id")
     if ranks.count() <= BROADCAST_ROW_LIMIT:  # one row per story file
         ranks = F.broadcast(ranks)
-    return spread(files.join(ranks, "path").select("id", "path", "content"), "id")
+    return spread(files.join(ranks, "path").select("id", "path", "content"), "id", scan=raw)
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -121,7 +121,7 @@ def read_records(spark: SparkSession, paths) -> DataFrame:
         F.when(F.col("title").isNull(), F.raise_error(F.lit("record without 'title'"))).otherwise(F.col("title")).alias("title"),
     )
     # a gzip file is one task: spread the parsed records before the heavy work
-    return spread(with_dense_ids(checked).select("id", "text", "title"), "id")
+    return spread(with_dense_ids(checked).select("id", "text", "title"), "id", scan=raw)
 
 
 def file_ranks(spark: SparkSession, pattern: str) -> DataFrame:
