@@ -163,6 +163,58 @@ lpr AS (SELECT tok.id, 'rougeL' AS score_type,
 lscores AS (SELECT id, score_type, precision, recall, {FMEAS('precision', 'recall')} AS fmeasure FROM lpr)"""
 
 
+def rouge_lsum_ctes() -> str:
+    """Summary-level LCS: every (target sentence, prediction sentence) pair of a
+    row gets its LCS table (recursive CTE over table rows); a second recursive
+    CTE walks the backtrack (match: diagonal; else left only if strictly
+    larger, else up); indices are unioned per target sentence and the hits
+    clipped by the token counts of both sides."""
+    sents = lambda c: f"list_filter(string_split({c}, chr(10)), lambda se: se <> '')"
+    return f"""{PAIRS},
+tsent AS (SELECT id, generate_subscripts(ss, 1) AS ti, unnest(ss) AS s FROM (SELECT id, {sents('target')} AS ss FROM pairs)),
+psent AS (SELECT id, generate_subscripts(ss, 1) AS cj, unnest(ss) AS s FROM (SELECT id, {sents('prediction')} AS ss FROM pairs)),
+ts AS (SELECT id, ti, {TOK('s')} AS t FROM tsent),
+ps AS (SELECT id, cj, {TOK('s')} AS p FROM psent),
+sp AS (SELECT ts.id, ts.ti, ps.cj, ts.t, ps.p FROM ts JOIN ps ON ts.id = ps.id),
+sdp(id, ti, cj, i, r) AS (
+  SELECT id, ti, cj, 0, list_transform(range(0, len(p) + 1), lambda z: 0) FROM sp
+  UNION ALL
+  SELECT sdp.id, sdp.ti, sdp.cj, sdp.i + 1,
+         list_reduce(
+           list_transform(range(1, len(sp.p) + 1),
+             lambda j: greatest(sdp.r[j + 1], CASE WHEN sp.p[j] = sp.t[sdp.i + 1] THEN sdp.r[j] + 1 ELSE 0 END)),
+           lambda acc, v: list_append(acc, greatest(acc[len(acc)], v)), [0])
+  FROM sdp JOIN sp ON sdp.id = sp.id AND sdp.ti = sp.ti AND sdp.cj = sp.cj
+  WHERE sdp.i < len(sp.t)),
+bt(id, ti, cj, i, j, k) AS (
+  SELECT id, ti, cj, len(t), len(p), -1 FROM sp
+  UNION ALL
+  SELECT bt.id, bt.ti, bt.cj,
+         CASE WHEN sp.t[bt.i] = sp.p[bt.j] THEN bt.i - 1 WHEN cur.r[bt.j] > prev.r[bt.j + 1] THEN bt.i ELSE bt.i - 1 END,
+         CASE WHEN sp.t[bt.i] = sp.p[bt.j] THEN bt.j - 1 WHEN cur.r[bt.j] > prev.r[bt.j + 1] THEN bt.j - 1 ELSE bt.j END,
+         CASE WHEN sp.t[bt.i] = sp.p[bt.j] THEN bt.i - 1 ELSE -1 END
+  FROM bt
+  JOIN sp ON bt.id = sp.id AND bt.ti = sp.ti AND bt.cj = sp.cj
+  JOIN sdp cur ON cur.id = bt.id AND cur.ti = bt.ti AND cur.cj = bt.cj AND cur.i = bt.i
+  JOIN sdp prev ON prev.id = bt.id AND prev.ti = bt.ti AND prev.cj = bt.cj AND prev.i = bt.i - 1
+  WHERE bt.i > 0 AND bt.j > 0),
+uidx AS (SELECT DISTINCT id, ti, k FROM bt WHERE k >= 0),
+used AS (SELECT uidx.id, ts.t[uidx.k + 1] AS tok, count(*) AS u FROM uidx JOIN ts ON uidx.id = ts.id AND uidx.ti = ts.ti GROUP BY uidx.id, tok),
+cr AS (SELECT id, tok, count(*) AS c FROM (SELECT id, unnest(t) AS tok FROM ts) GROUP BY id, tok),
+cc AS (SELECT id, tok, count(*) AS c FROM (SELECT id, unnest(p) AS tok FROM ps) GROUP BY id, tok),
+lhits AS (SELECT used.id, sum(least(used.u, cr.c, cc.c)) AS h FROM used JOIN cr ON used.id = cr.id AND used.tok = cr.tok
+          JOIN cc ON used.id = cc.id AND used.tok = cc.tok GROUP BY used.id),
+tm AS (SELECT id, sum(len(t)) AS m FROM ts GROUP BY id),
+pn AS (SELECT id, sum(len(p)) AS n FROM ps GROUP BY id),
+lspr AS (SELECT pairs.id, 'rougeLsum' AS score_type,
+                CASE WHEN coalesce(tm.m, 0) = 0 OR coalesce(pn.n, 0) = 0 THEN 0.0
+                     ELSE CAST(coalesce(lhits.h, 0) AS DOUBLE) / pn.n END AS precision,
+                CASE WHEN coalesce(tm.m, 0) = 0 OR coalesce(pn.n, 0) = 0 THEN 0.0
+                     ELSE CAST(coalesce(lhits.h, 0) AS DOUBLE) / tm.m END AS recall
+         FROM pairs LEFT JOIN tm ON pairs.id = tm.id LEFT JOIN pn ON pairs.id = pn.id LEFT JOIN lhits ON pairs.id = lhits.id),
+lsscores AS (SELECT id, score_type, precision, recall, {FMEAS('precision', 'recall')} AS fmeasure FROM lspr)"""
+
+
 SCORE_COLS = f"id, score_type, {R9('precision')} AS precision, {R9('recall')} AS recall, {R9('fmeasure')} AS fmeasure"
 
 
@@ -306,6 +358,8 @@ SELECT t.key, replace(t.target, ' ##', '') AS target, replace(h.hypothesis, ' ##
 
     Q["rouge_l"] = f"WITH RECURSIVE {rouge_l_ctes()} SELECT {SCORE_COLS} FROM lscores"
 
+    Q["rouge_lsum"] = f"WITH RECURSIVE {rouge_lsum_ctes()} SELECT {SCORE_COLS} FROM lsscores"
+
     Q["bootstrap_exact"] = (
         f"WITH {rouge_n_ctes([1, 2])},\n{bootstrap_exact_ctes(P.BOOT_SAMPLES, P.BOOT_SEED)}\n"
         + interval_select("means", P.BOOT_CONFIDENCE)
