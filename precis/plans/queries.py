@@ -39,7 +39,7 @@ from precis.operators.rouge import example_report, ngram_table, score_pairs
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
-from precis.session import spread
+from precis.session import BROADCAST_ROW_LIMIT, spread
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
@@ -198,6 +198,11 @@ def _role_ordinals(conv: DataFrame) -> DataFrame:
     from one global index and a per-(conv, role) minimum (no per-conversation window)."""
     ix = global_index(conv.select("conv_id", "role", "turn", "text"), ["conv_id", "role", "turn"], "gi")
     first = ix.groupBy("conv_id", "role").agg(F.min("gi").alias("g0"))
+    # one row per (conversation, role): broadcast under a checked size, so a
+    # conversation holding a third of all turns is not one hot join key;
+    # above it, AQE's skew-join split handles such a key
+    if first.count() <= BROADCAST_ROW_LIMIT:
+        first = F.broadcast(first)
     return ix.join(first, ["conv_id", "role"]).select("conv_id", "role", "text", (F.col("gi") - F.col("g0")).alias("k"))
 
 
