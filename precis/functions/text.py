@@ -4,12 +4,13 @@ Every function maps Column -> Column and stays inside the JVM (regexp_replace,
 split, higher-order functions), except the HTML entity fallback, which hands
 only rows with unusual entities to ``html.unescape`` in an Arrow-batched UDF.
 
-All regular expressions are prefixed with ``(?d)`` (UNIX_LINES) so that ``.``
-excludes only ``\\n`` - the meaning it has in Python's ``re`` and in RE2.
+The clean-up rules run with ``(?d)`` (UNIX_LINES) so that ``.`` excludes only
+``\\n`` - the meaning it has in Python's ``re`` and in RE2 (the oracle SQL).
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 
 import pandas as pd
@@ -40,45 +41,55 @@ def regex_chain(c, rules) -> Column:
     return out
 
 
-def compiled_cleanup_rules(rules=CLEANUP_RULES):
+def _literal(pattern: str) -> str | None:
+    """The character a one-character pattern (``:`` or ``\\!``) matches."""
+    if len(pattern) == 1:
+        return pattern
+    if len(pattern) == 2 and pattern[0] == "\\":
+        return pattern[1]
+    return None
+
+
+def compiled_cleanup_rules(rules=tuple(CLEANUP_RULES)):
     """The clean-up rules with the same result in fewer passes.
 
-    * after rule 2 (the character class with ``.`` and ``,``) no period or
-      comma is left, so the rules whose pattern is exactly ``\\.`` or ``\\,``
-      cannot match and are skipped;
-    * consecutive rules that each insert spaces around one literal character
-      commute (the inserted spaces match none of them), so those with the same
-      replacement shape are merged into one pass with a back-reference.
+    * a character-class rule that replaces by a space removes those
+      characters, so a later rule whose pattern is one of them cannot match
+      and is skipped (here ``\\.`` and ``\\,`` after the class rule);
+    * consecutive rules that each put spaces around one literal character
+      commute (the inserted spaces match none of them), so rules with the same
+      replacement shape become one pass with a back-reference.
     The oracle SQL applies the rules one by one; both must agree."""
-    removed = set()
-    out = []
-    for i, (pat, rep) in enumerate(rules):
-        if pat.startswith("[") and pat.endswith("]"):
-            removed |= {ch for ch in ".,"}  # rule with the class removes these
-        lit = pat[1:] if pat.startswith("\\") and len(pat) == 2 else (pat if len(pat) == 1 else None)
-        if lit is not None and lit in removed:
+    return list(_compiled(tuple(rules)))
+
+
+@functools.lru_cache(maxsize=None)
+def _compiled(rules):
+    removed: set = set()
+    out = []  # (pattern, replacement, shape, chars)
+    for pat, rep in rules:
+        lit = _literal(pat)
+        if lit is None:
+            if pat.startswith("[") and pat.endswith("]") and not pat.startswith("[^") and rep == " ":
+                removed |= set(pat[1:-1].replace("\\", ""))
+            out.append((pat, rep, None, None))
+            continue
+        if lit in removed:
             continue
-        if lit is not None and rep.replace(lit, "\0").strip() == "\0":
+        if rep.replace(lit, "\0").strip() == "\0":  # spaces around the character
             shape = rep.replace(lit, "$1")
+            chars = (out[-1][3] + lit) if out and out[-1][2] == shape else lit
             if out and out[-1][2] == shape:
-                chars = out[-1][3] + lit
-                out[-1] = ("([" + "".join("\\" + ch for ch in chars) + "])", shape, shape, chars)
-            else:
-                out.append(("([" + "\\" + lit + "])", shape, shape, lit))
+                out.pop()
+            out.append(("([" + "".join("\\" + ch for ch in chars) + "])", shape, shape, chars))
             continue
         out.append((pat, rep, None, None))
-    return [(p, r) for p, r, _, _ in out]
-
-
-_FAST_RULES = None
+    return tuple((p, r) for p, r, _, _ in out)
 
 
 def cleanup(c) -> Column:
     """Lower-case, drop URLs to end of line, punctuation rules (fixed order)."""
-    global _FAST_RULES
-    if _FAST_RULES is None:
-        _FAST_RULES = compiled_cleanup_rules()
-    return regex_chain(F.lower(_col(c)), _FAST_RULES)
+    return regex_chain(F.lower(_col(c)), compiled_cleanup_rules())
 
 
 def fix_missing_period(c) -> Column:

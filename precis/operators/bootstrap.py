@@ -13,10 +13,11 @@ uniforms, keyed ``seed-rep-(slot div 4)`` (exact) and ``seed-p-id-(rep div 4)``
 * ``exact``  - B resamples of size n with replacement, as in the textbook
   bootstrap. Draw ``(b, k)`` picks row ``floor(u * n)`` of the id order. It
   costs n*B draw rows, so it is guarded by ``EXACT_ROW_LIMIT``.
-* ``poisson`` - every row gets a Poisson(1) weight per resample; the resample
-  mean is sum(w*x)/sum(w). Rows never move: each task folds its rows into
-  partial sums per (type, resample) and only those partial sums are shuffled,
-  so it scales with the data.
+* ``poisson`` - every pair gets a Poisson(1) weight per resample; the
+  resample mean is sum(w*x)/sum(w). The score table is pivoted to one row per
+  pair (one shuffle of that small table), then each task folds its weighted
+  rows into partial sums per resample and only those partial sums are
+  shuffled, so it scales with the data.
 """
 
 from __future__ import annotations
