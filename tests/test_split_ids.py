@@ -102,3 +102,14 @@ def test_prefix_offsets_blocks(spark):
     for i, c in enumerate(counts):
         assert got[f"f{i:04d}"] == running
         running += c
+
+
+def test_spread_only_when_scan_is_narrow(spark, tmp_path):
+    from precis.session import spread
+
+    one = spark.range(1000).coalesce(1)
+    spread_one = spread(one, "id", min_partitions=4)
+    assert spread_one.rdd.getNumPartitions() == 4
+    assert sorted(r["id"] for r in spread_one.collect()) == list(range(1000))
+    many = spark.range(1000).repartition(6)
+    assert spread(many, "id", min_partitions=4) is many
