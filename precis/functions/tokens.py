@@ -95,6 +95,8 @@ def whitespace_tokens(c) -> Column:
 def ngrams(tokens, n: int) -> Column:
     """All n-grams (space-joined), in order; empty when fewer than n tokens."""
     t = _col(tokens)
+    if n == 1:  # the 1-grams are the tokens themselves
+        return t
     k = F.size(t) - F.lit(n - 1)
     return F.when(
         k > 0,
