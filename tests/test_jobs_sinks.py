@@ -191,3 +191,15 @@ def test_scoring_pairs_across_files(spark, tmp_path):
     rows = read_scoring_pairs(spark, str(tmp_path / "*.targets"), str(tmp_path / "*.decodes")).orderBy("id").collect()
     assert [(r["id"], r["target"], r["prediction"]) for r in rows] == [
         (0, "t1", "p1"), (1, "t2", "p2"), (2, "t3", "p3"), (3, "t4", "p4")]
+
+
+def test_empty_aligned_files(spark, tmp_path):
+    (tmp_path / "e.articles").write_text("")
+    (tmp_path / "e.summaries").write_text("")
+    pairs = jobs.read_aligned(spark, str(tmp_path / "e.articles"), str(tmp_path / "e.summaries"))
+    assert pairs.count() == 0
+    from precis.operators.split import ratio_split, sample_share
+
+    assert ratio_split(pairs, "id").count() == 0
+    share = sample_share(pairs, 10).first()
+    assert (share["kept"], share["total"], share["share"]) == (0, 0, None)
