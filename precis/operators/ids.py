@@ -74,3 +74,17 @@ def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "o
         .withColumn(name, F.col("_start") + inner)
         .drop("_blk", "_start", "_rank")
     )
+
+
+def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line") -> DataFrame:
+    """Dense 0-based ids over all groups (files, documents) in key order from
+    (group, position-in-group) columns: per-group row counts (one small row
+    per group) become offsets (``prefix_offsets``), joined back by group -
+    broadcast under a checked size. The rows themselves are never sorted."""
+    from precis.session import BROADCAST_ROW_LIMIT
+
+    counts = df.groupBy(file_col).count()
+    offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
+    if counts.count() <= BROADCAST_ROW_LIMIT:
+        offsets = F.broadcast(offsets)
+    return df.join(offsets, file_col).withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")

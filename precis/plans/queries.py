@@ -33,7 +33,7 @@ from precis.functions.tokens import (
 from precis.operators import bootstrap as B
 from precis.operators.bleu import corpus_bleu
 from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
-from precis.operators.ids import global_index
+from precis.operators.ids import global_index, with_dense_ids
 from precis.operators.lines import map_lines, score_with
 from precis.operators.rouge import example_report, ngram_table, score_pairs
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
@@ -181,7 +181,8 @@ def q_line_ids(spark, sf_dir):
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), (F.octet_length("line") + 1).cast("long").alias("n_bytes")
     )
-    return global_index(lines, ["doc_id", "line_no"], "line_id").select("doc_id", "line_no", "line_id", "n_bytes")
+    # global line number = lines of earlier documents + position in the document
+    return with_dense_ids(lines, "line_id", "doc_id", "line_no").select("doc_id", "line_no", "line_id", "n_bytes")
 
 
 def q_file_pairs(spark, sf_dir):
@@ -379,7 +380,7 @@ def _upper_unless_comment(line, suffix):
 def q_map_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lines = d.select(F.posexplode(F.split("text", "\n", -1)).alias("ln", "value"), "doc_id")
-    lines = global_index(lines, ["doc_id", "ln"], "line").select("line", "value")
+    lines = with_dense_ids(lines, "line", "doc_id", "ln").select("line", "value")
     return map_lines(lines, _upper_unless_comment, "!")
 
 

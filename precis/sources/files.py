@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.operators.ids import global_index, prefix_offsets
+from precis.operators.ids import global_index, with_dense_ids
 from precis.session import BROADCAST_ROW_LIMIT, spread
 
 NEWS_SCHEMA = "text string, title string"
@@ -44,18 +44,6 @@ def with_file_positions(df: DataFrame, name: str = "line") -> DataFrame:
     )
 
 
-def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line") -> DataFrame:
-    """Dense 0-based ids over all files in path order from (file, line)
-    positions: per-file row counts (one small row per file) become offsets
-    (``prefix_offsets``), joined back by file - broadcast under a checked
-    size; the rows themselves never move."""
-    counts = df.groupBy(file_col).count()
-    offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
-    if counts.count() <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
-    return df.join(offsets, file_col).withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")
-
-
 def read_lines(spark: SparkSession, paths, line_sep: str = "\n", skip_lines: int = 0,
                split_all_breaks: bool = False) -> DataFrame:
     """(file, line, value) for every line of every file; ``skip_lines`` header
