@@ -195,23 +195,28 @@ def q_file_pairs(spark, sf_dir):
 
 
 def _role_ordinals(conv: DataFrame) -> DataFrame:
-    """k = ordinal of a turn among the turns of the same role in its conversation,
-    from one global index and a per-(conv, role) minimum (no per-conversation window)."""
-    ix = global_index(conv.select("conv_id", "role", "turn", "text"), ["conv_id", "role", "turn"], "gi")
+    """(conv_id, role, turn, k): k = ordinal of a turn among the turns of the
+    same role in its conversation, from one global index over the keys only
+    (no text is sorted) and a per-(conv, role) minimum - no per-conversation
+    window, so a conversation holding a third of all turns is not one task."""
+    ix = global_index(conv.select("conv_id", "role", "turn"), ["conv_id", "role", "turn"], "gi")
     first = ix.groupBy("conv_id", "role").agg(F.min("gi").alias("g0"))
-    # one row per (conversation, role): broadcast under a checked size, so a
-    # conversation holding a third of all turns is not one hot join key;
-    # above it, AQE's skew-join split handles such a key
+    # one row per (conversation, role): broadcast under a checked size;
+    # above it, AQE's skew-join split handles a hot conversation
     if first.count() <= BROADCAST_ROW_LIMIT:
         first = F.broadcast(first)
-    return ix.join(first, ["conv_id", "role"]).select("conv_id", "role", "text", (F.col("gi") - F.col("g0")).alias("k"))
+    return ix.join(first, ["conv_id", "role"]).select("conv_id", "role", "turn", (F.col("gi") - F.col("g0")).alias("k"))
 
 
 def q_positional_join(spark, sf_dir):
-    k = _role_ordinals(table(spark, sf_dir, "conversations"))
-    t = k.where(F.col("role") == "user").select("conv_id", "k", F.col("text").alias("target"))
-    p = k.where(F.col("role") == "assistant").select("conv_id", "k", F.col("text").alias("prediction"))
-    return t.join(p, ["conv_id", "k"]).select("conv_id", "k", "target", "prediction")
+    conv = table(spark, sf_dir, "conversations")
+    k = _role_ordinals(conv)
+    pairs = k.where(F.col("role") == "user").select("conv_id", "k", F.col("turn").alias("t_turn")).join(
+        k.where(F.col("role") == "assistant").select("conv_id", "k", F.col("turn").alias("p_turn")), ["conv_id", "k"])
+    texts = conv.select("conv_id", "turn", "text")
+    out = pairs.join(texts.withColumnRenamed("turn", "t_turn").withColumnRenamed("text", "target"), ["conv_id", "t_turn"])
+    out = out.join(texts.withColumnRenamed("turn", "p_turn").withColumnRenamed("text", "prediction"), ["conv_id", "p_turn"])
+    return out.select("conv_id", "k", "target", "prediction")
 
 
 def q_alignment_check(spark, sf_dir):
