@@ -78,13 +78,24 @@ def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "o
 
 def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line") -> DataFrame:
     """Dense 0-based ids over all groups (files, documents) in key order from
-    (group, position-in-group) columns: per-group row counts (one small row
-    per group) become offsets (``prefix_offsets``), joined back by group -
-    broadcast under a checked size. The rows themselves are never sorted."""
+    (group, position-in-group) columns; the rows themselves are never sorted.
+
+    Per-group row counts (one small row per group) become offsets: up to
+    ``BROADCAST_ROW_LIMIT`` groups they are fetched in one job (``limit(N+1)``
+    proves the bound), summed on the driver and broadcast back; beyond that
+    ``prefix_offsets`` computes them distributed and they are joined back."""
     from precis.session import BROADCAST_ROW_LIMIT
 
+    spark = df.sparkSession
     counts = df.groupBy(file_col).count()
-    offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
-    if counts.count() <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
+    head = counts.limit(BROADCAST_ROW_LIMIT + 1).collect()
+    if len(head) <= BROADCAST_ROW_LIMIT:
+        rows, running = [], 0
+        for r in sorted(head, key=lambda r: r[file_col]):
+            rows.append((r[file_col], running))
+            running += int(r["count"])
+        key_type = counts.schema[file_col].dataType.simpleString()
+        offsets = F.broadcast(spark.createDataFrame(rows, f"`{file_col}` {key_type}, _off long"))
+    else:
+        offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
     return df.join(offsets, file_col).withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")

@@ -113,3 +113,21 @@ def test_spread_only_when_scan_is_narrow(spark, tmp_path):
     assert sorted(r["id"] for r in spread_one.collect()) == list(range(1000))
     many = spark.range(1000).repartition(6)
     assert spread(many, "id", min_partitions=4) is many
+
+
+def test_with_dense_ids_both_paths(spark, monkeypatch):
+    from precis import session
+    from precis.operators.ids import with_dense_ids
+
+    rows = [(f"g{g}", i) for g in range(7) for i in range(g + 1)]
+    df = spark.createDataFrame(rows, "file string, line long").repartition(3)
+    expect, running = {}, 0
+    for g in range(7):
+        for i in range(g + 1):
+            expect[(f"g{g}", i)] = running + i
+        running += g + 1
+    got = {(r["file"], r["line"]): r["id"] for r in with_dense_ids(df).collect()}
+    assert got == expect
+    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 2)
+    got = {(r["file"], r["line"]): r["id"] for r in with_dense_ids(df).collect()}
+    assert got == expect
