@@ -43,12 +43,19 @@ def check_rouge_types(types) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pd.Series) -> pd.Series:
     """Porter-stem tokens longer than 3 characters, keep ``[a-z0-9]+`` ones."""
-    def one(arr):
-        if arr is None:
-            return None
-        out = [stem(t) if len(t) > 3 else t for t in arr]
-        return [t for t in out if t and t.isascii() and t.isalnum() and t.lower() == t]
-    return tokens.map(one)
+    return tokens.map(lambda arr: None if arr is None else _stem_list(arr))
+
+
+def _stem_list(arr):
+    out = [stem(t) if len(t) > 3 else t for t in arr]
+    return [t for t in out if t and t.isascii() and t.isalnum() and t.lower() == t]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_sentence_tokens(sents: pd.Series) -> pd.Series:
+    """``stem_tokens`` for every sentence of an ``array<array<string>>``
+    (a Python UDF cannot run inside a higher-order function's lambda)."""
+    return sents.map(lambda ss: None if ss is None else [_stem_list(s) for s in ss])
 
 
 @F.pandas_udf(T.StringType())
@@ -119,10 +126,10 @@ def score_columns(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: b
             tokenize_for_scoring(F.col(target), use_stemmer).alias("_tt"),
             tokenize_for_scoring(F.col(prediction), use_stemmer).alias("_pt")]
     if need_lsum:
-        cols += [
-            F.transform(split_sentences(F.col(target)), lambda s: tokenize_for_scoring(s, use_stemmer)).alias("_ts"),
-            F.transform(split_sentences(F.col(prediction)), lambda s: tokenize_for_scoring(s, use_stemmer)).alias("_ps"),
-        ]
+        def sentence_tokens(c):
+            sents = F.transform(split_sentences(F.col(c)), rouge_tokens)
+            return stem_sentence_tokens(sents) if use_stemmer else sents
+        cols += [sentence_tokens(target).alias("_ts"), sentence_tokens(prediction).alias("_ps")]
     tok = df.select(*cols)
     t, p = F.col("_tt"), F.col("_pt")
     counts = [F.col("*")]

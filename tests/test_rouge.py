@@ -166,3 +166,12 @@ def test_stemmer_in_scores(spark):
     s = scores(spark, [("the cats were running", "a cat runs")], ["rouge1"], stem_=True)
     # tokens: the cat were run / a cat run -> hits cat, run
     assert s[(0, "rouge1")][:2] == pytest.approx((2 / 3, 2 / 4))
+
+
+def test_stemmer_with_summary_level(spark):
+    s = scores(spark, [("the cats were running\nfast dogs", "a cat runs\nfast dog")],
+               ["rouge1", "rougeLsum"], stem_=True)
+    # stemmed sentences: [the cat were run] [fast dog] / [a cat run] [fast dog]
+    # union LCS hits: cat, run (sentence 1) + fast, dog (sentence 2) = 4 of m=6, n=5
+    assert s[(0, "rougeLsum")][:2] == pytest.approx((4 / 5, 4 / 6))
+    assert s[(0, "rouge1")][:2] == pytest.approx((4 / 5, 4 / 6))
