@@ -203,3 +203,38 @@ def test_empty_aligned_files(spark, tmp_path):
     assert ratio_split(pairs, "id").count() == 0
     share = sample_share(pairs, 10).first()
     assert (share["kept"], share["total"], share["share"]) == (0, 0, None)
+
+
+def test_cli_stemmer_lsum_poisson(spark, tmp_path):
+    (tmp_path / "a.targets").write_text("the cats were running\nfast dogs||one two||")
+    (tmp_path / "a.decodes").write_text("a cat runs\nfast dog||one||")
+    text = rouge_main([
+        "--target-filepattern", str(tmp_path / "*.targets"),
+        "--prediction-filepattern", str(tmp_path / "*.decodes"),
+        "--output-filename", str(tmp_path / "s.csv"), "--delimiter", "||",
+        "--rouge-types", "rouge1", "rougeLsum", "--use-stemmer", "--bootstrap", "poisson", "--n-samples", "50",
+    ], spark=spark)
+    names = [ln.split(",")[0] for ln in text.splitlines()[1:]]
+    assert names == ["rouge1-R", "rouge1-P", "rouge1-F", "rougeLsum-R", "rougeLsum-P", "rougeLsum-F"]
+    for ln in text.splitlines()[1:]:
+        lo, mid, hi = map(float, ln.split(",")[1:])
+        assert 0.0 <= lo <= mid <= hi <= 1.0
+
+
+def test_story_job_and_size_split_job(spark, tmp_path):
+    d = tmp_path / "stories"
+    d.mkdir()
+    for i in range(5):
+        (d / f"s{i}.story").write_text(f"Body {i} text here.\n@highlight\nSummary {i}")
+    jobs.prepare_stories(spark, [str(d)], str(tmp_path / "out"))
+    arts = read_parts(tmp_path / "out" / "cnndm.articles")
+    sums = read_parts(tmp_path / "out" / "cnndm.summaries")
+    # "here" is a stop word; the appended " ." is a punctuation token
+    assert arts == [f"body {i} text" for i in range(5)]
+    assert sums == [f"<s> summary {i} . </s>" for i in range(5)]
+    (tmp_path / "x.articles").write_text("".join(f"a{i}\n" for i in range(6)))
+    (tmp_path / "x.summaries").write_text("".join(f"s{i}\n" for i in range(6)))
+    out = jobs.split_by_size(spark, str(tmp_path / "x.articles"), str(tmp_path / "x.summaries"),
+                             str(tmp_path / "sz"), 3, 2, overlap=True)
+    back = spark.read.parquet(str(tmp_path / "sz"))
+    assert back.count() == 8 and out.count() == 8
