@@ -101,3 +101,20 @@ def test_sentences_and_wordpieces(spark):
     assert run(spark, ["new s ##ite opens"], T.join_wordpieces)[0] == "new site opens"
     df = spark.createDataFrame([(["x y", "z"],)], "a array<string>")
     assert df.select(T.wrap_sentences(F.col("a")).alias("o")).first()["o"] == "<s> x y </s> <s> z </s>"
+
+
+def test_punctuation_and_stopword_filters(spark):
+    from string import punctuation
+
+    from precis.functions.tokens import drop_punct_tokens, drop_stopwords, stopwords
+
+    toks = ["", "()", "./:", "..", "!?", " a", "　.　", "word", "\n", "x\ny"]
+    df = spark.createDataFrame([(toks,)], "t array<string>")
+    got = df.select(drop_punct_tokens(F.col("t")).alias("o")).first()["o"]
+    assert got == [t for t in toks if t != " " and t.strip() not in punctuation]
+    assert "()" not in got and ".." in got and "!?" in got
+    words = stopwords("english")
+    assert len(words) == 181 and "don't" in words and len(stopwords("russian")) == 151
+    df2 = spark.createDataFrame([(["the", "cat", "the", "cat", "is", "a", "dog"],)], "t array<string>")
+    kept = df2.select(drop_stopwords(F.col("t"), words).alias("o")).first()["o"]
+    assert kept == ["cat", "cat", "dog"]  # order and duplicates kept
