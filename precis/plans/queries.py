@@ -162,16 +162,22 @@ def q_sentence_split(spark, sf_dir):
 
 
 def q_after_marker_window(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Per story line: is it a highlight (after the first marker line, not a
+    marker, not empty)? The running "seen a marker" flag of a window per
+    document equals ``line_no > first marker line``; that first line is a
+    ``min`` per document (pre-aggregated in each task) joined back, so one
+    huge document does not become one window task."""
     s = story_frame(spark, sf_dir).select("id", cleanup_lines(F.col("content"), strip=True).alias("c"))
     c = s.select(F.col("id").alias("doc_id"), F.posexplode(F.split("c", "\n", -1)).alias("line_no", "line")).select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
-    m = c.withColumn("is_marker", F.col("line").startswith(HIGHLIGHT_MARKER).cast("int"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = F.max("is_marker").over(w)
-    flag = ((after == 1) & (F.col("is_marker") == 0) & (F.col("line") != "")).cast("long")
-    return m.select("doc_id", "line_no", flag.alias("is_highlight"))
+    m = c.withColumn("is_marker", F.col("line").startswith(HIGHLIGHT_MARKER))
+    first = m.where("is_marker").groupBy("doc_id").agg(F.min("line_no").alias("first_marker"))
+    if first.count() <= BROADCAST_ROW_LIMIT:  # one row per document
+        first = F.broadcast(first)
+    j = m.join(first, "doc_id", "left")
+    flag = (F.col("first_marker").isNotNull() & (F.col("line_no") > F.col("first_marker"))
+            & ~F.col("is_marker") & (F.col("line") != ""))
+    return j.select("doc_id", "line_no", flag.cast("long").alias("is_highlight"))
 
 
 # --------------------------------------------------------------------------- ids / alignment
