@@ -34,6 +34,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # long texts: keep Arrow batches to the Python workers moderate
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.driver.memory", os.environ.get("PRECIS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
     )
