@@ -6,7 +6,10 @@ The table's size is checked before anything is shipped:
 * up to ``LITERAL_LIMIT`` keys: a literal map inside ``transform`` (JVM only);
 * up to ``BROADCAST_LIMIT`` keys: a per-executor dictionary (Spark broadcast
   variable) applied to whole token arrays in an Arrow-batched UDF;
-* larger: posexplode -> join -> regroup by row id (one shuffle of tokens).
+* larger: posexplode -> salted join -> regroup by row id. A frequent token
+  (one key holding a large share of all occurrences) is split over
+  ``SALTS`` join partitions: each occurrence gets a salt from (row id,
+  position) and the table is replicated once per salt.
 
 None of the paths emits pairs or collects more than one row's tokens.
 """
@@ -22,6 +25,7 @@ from precis.functions.tokens import explode_tokens
 
 LITERAL_LIMIT = 256
 BROADCAST_LIMIT = 1_000_000
+SALTS = 16
 
 
 def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, value_col: str,
@@ -56,7 +60,10 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
         return df.withColumn(out_col, _lookup(F.col(tokens_col)))
 
     exploded = explode_tokens(df, tokens_col, "_tok", "_pos", keep=[F.col(id_col).alias("_id")])
-    mapped = exploded.join(tab, exploded["_tok"] == tab["_k"], "left").select(
+    exploded = exploded.withColumn("_salt", F.pmod(F.xxhash64("_id", "_pos"), F.lit(SALTS)))
+    salted = tab.select("_k", "_v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"))
+    cond = (exploded["_tok"] == salted["_k"]) & (exploded["_salt"] == salted["_salt"])
+    mapped = exploded.join(salted, cond, "left").select(
         "_id", "_pos", F.coalesce(F.col("_v"), fallback(F.col("_tok"))).alias("_val")
     )
     regrouped = mapped.groupBy("_id").agg(
