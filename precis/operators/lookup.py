@@ -61,7 +61,8 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
 
     exploded = explode_tokens(df, tokens_col, "_tok", "_pos", keep=[F.col(id_col).alias("_id")])
     exploded = exploded.withColumn("_salt", F.pmod(F.xxhash64("_id", "_pos"), F.lit(SALTS)))
-    salted = tab.select("_k", "_v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salted = tab.select("_k", "_v", F.explode(salts).alias("_salt"))
     cond = (exploded["_tok"] == salted["_k"]) & (exploded["_salt"] == salted["_salt"])
     mapped = exploded.join(salted, cond, "left").select(
         "_id", "_pos", F.coalesce(F.col("_v"), fallback(F.col("_tok"))).alias("_val")
