@@ -238,3 +238,14 @@ def test_story_job_and_size_split_job(spark, tmp_path):
                              str(tmp_path / "sz"), 3, 2, overlap=True)
     back = spark.read.parquet(str(tmp_path / "sz"))
     assert back.count() == 8 and out.count() == 8
+
+
+def test_encoding_through_salted_join(spark, monkeypatch):
+    from precis.operators import lookup
+
+    monkeypatch.setattr(lookup, "BROADCAST_LIMIT", 0)
+    hot = ["the"] * 50 + ["cat", "zzz"]
+    df = spark.createDataFrame([(0, hot), (1, []), (2, ["cat", "the"])], "doc_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("the", 60, 0), ("cat", 3, 1)], "token string, count long, id long")
+    enc = {r["doc_id"]: r["ids"] for r in encode(df, "tokens", vocab, id_col="doc_id", unk_id=-1).collect()}
+    assert enc == {0: [0] * 50 + [1, -1], 1: [], 2: [1, 0]}
