@@ -96,6 +96,33 @@ def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line
             running += int(r["count"])
         key_type = counts.schema[file_col].dataType.simpleString()
         offsets = F.broadcast(spark.createDataFrame(rows, f"`{file_col}` {key_type}, _off long"))
+        joined = df.join(offsets, file_col)
     else:
         offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
-    return df.join(offsets, file_col).withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")
+        joined = join_per_group(df, offsets, file_col, salt_from=[F.col(line_col)])
+    return joined.withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")
+
+
+GROUP_SALTS = 16
+
+
+def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from, how: str = "inner",
+                   salts: int = GROUP_SALTS) -> DataFrame:
+    """Join a table with one row per group (offsets, first positions, minima)
+    onto rows of which one group may hold a large share.
+
+    Under ``BROADCAST_ROW_LIMIT`` groups (checked with ``limit(N+1)``) the
+    per-group table is broadcast. Beyond it the join is salted: every row gets
+    a salt from ``salt_from`` columns and the per-group table is replicated
+    once per salt (``explode``, no cross join), so a hot group is spread over
+    ``salts`` join partitions."""
+    from precis.session import BROADCAST_ROW_LIMIT
+
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    n = per_group.limit(BROADCAST_ROW_LIMIT + 1).count()
+    if n <= BROADCAST_ROW_LIMIT:
+        return rows.join(F.broadcast(per_group), keys, how)
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)))
+    seq = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    salted_groups = per_group.select("*", F.explode(seq).alias("_salt"))
+    return salted_rows.join(salted_groups, keys + ["_salt"], how).drop("_salt")

@@ -33,13 +33,13 @@ from precis.functions.tokens import (
 from precis.operators import bootstrap as B
 from precis.operators.bleu import corpus_bleu
 from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
-from precis.operators.ids import global_index, with_dense_ids
+from precis.operators.ids import global_index, join_per_group, with_dense_ids
 from precis.operators.lines import map_lines, score_with
 from precis.operators.rouge import example_report, ngram_table, score_pairs
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
-from precis.session import BROADCAST_ROW_LIMIT, spread
+from precis.session import spread
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
@@ -172,9 +172,7 @@ def q_after_marker_window(spark, sf_dir):
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
     m = c.withColumn("is_marker", F.col("line").startswith(HIGHLIGHT_MARKER))
     first = m.where("is_marker").groupBy("doc_id").agg(F.min("line_no").alias("first_marker"))
-    if first.count() <= BROADCAST_ROW_LIMIT:  # one row per document
-        first = F.broadcast(first)
-    j = m.join(first, "doc_id", "left")
+    j = join_per_group(m, first, "doc_id", salt_from=[F.col("line_no")], how="left")
     flag = (F.col("first_marker").isNotNull() & (F.col("line_no") > F.col("first_marker"))
             & ~F.col("is_marker") & (F.col("line") != ""))
     return j.select("doc_id", "line_no", flag.cast("long").alias("is_highlight"))
@@ -207,11 +205,10 @@ def _role_ordinals(conv: DataFrame) -> DataFrame:
     window, so a conversation holding a third of all turns is not one task."""
     ix = global_index(conv.select("conv_id", "role", "turn"), ["conv_id", "role", "turn"], "gi")
     first = ix.groupBy("conv_id", "role").agg(F.min("gi").alias("g0"))
-    # one row per (conversation, role): broadcast under a checked size;
-    # above it, AQE's skew-join split handles a hot conversation
-    if first.count() <= BROADCAST_ROW_LIMIT:
-        first = F.broadcast(first)
-    return ix.join(first, ["conv_id", "role"]).select("conv_id", "role", "turn", (F.col("gi") - F.col("g0")).alias("k"))
+    # one row per (conversation, role): broadcast or salted join, so a
+    # conversation holding a third of all turns is not one hot join key
+    joined = join_per_group(ix, first, ["conv_id", "role"], salt_from=[F.col("turn")])
+    return joined.select("conv_id", "role", "turn", (F.col("gi") - F.col("g0")).alias("k"))
 
 
 def q_positional_join(spark, sf_dir):

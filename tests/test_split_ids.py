@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from precis.operators.ids import global_index, prefix_offsets
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
@@ -131,3 +132,17 @@ def test_with_dense_ids_both_paths(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 2)
     got = {(r["file"], r["line"]): r["id"] for r in with_dense_ids(df).collect()}
     assert got == expect
+
+
+def test_join_per_group_salted_path(spark, monkeypatch):
+    from precis import session
+    from precis.operators.ids import join_per_group
+
+    rows = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 0)], "g string, i long")
+    per = spark.createDataFrame([("hot", 10), ("cold", 20)], "g string, v long")
+    plain = sorted(tuple(r) for r in join_per_group(rows, per, "g", [F.col("i")]).collect())
+    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 1)
+    salted = join_per_group(rows, per, "g", [F.col("i")])
+    assert "_salt" not in salted.columns
+    assert sorted(tuple(r) for r in salted.collect()) == plain
+    assert len(plain) == 201
