@@ -16,15 +16,15 @@ from precis.constants import HIGHLIGHT_MARKER
 from precis.functions.text import (
     cleanup,
     cleanup_lines,
-    with_html_text,
     newlines_to_space,
     split_sentences,
     squeeze_spaces,
+    with_html_text,
 )
 from precis.functions.tokens import (
     drop_punct_tokens,
-    explode_tokens,
     drop_stopwords_by_lang,
+    explode_tokens,
     rouge_tokens,
     split_space,
     stopwords,
