@@ -15,7 +15,13 @@ from precis.operators.ids import global_index
 
 
 def with_position(df: DataFrame, order_col: str = "id", name: str = "pos") -> DataFrame:
-    return global_index(df, [order_col], name)
+    """``df`` plus its 0-based rank by ``order_col`` (unique). Only the key
+    column is sorted and checkpointed; the rank is joined back by key, so
+    wide rows (texts) move once and are never written to the checkpoint."""
+    if df.columns == [order_col]:
+        return global_index(df, [order_col], name)
+    ranks = global_index(df.select(order_col), [order_col], name)
+    return df.join(ranks, order_col)
 
 
 def ratio_thresholds(n: int, ratio=DEFAULT_SPLIT_RATIO) -> tuple[float, float]:

@@ -125,6 +125,23 @@ STORIES = f"""stories AS (
   FROM documents)"""
 
 
+def story_pairs_ctes() -> str:
+    """CTEs ending in ``spairs(id, article, summary)``: documents rendered as
+    stories, parsed and cleaned line by line."""
+    lines = _story_parse("content")
+    return f"""{STORIES},
+parsed AS (SELECT id, {lines} AS lines FROM stories),
+marked AS (SELECT id, lines, list_position(list_transform(lines, lambda lm: starts_with(lm, '{HIGHLIGHT_MARKER}')), true) AS first FROM parsed),
+parts AS (SELECT id,
+                 CASE WHEN first IS NULL THEN lines ELSE list_slice(lines, 1, first - 1) END AS body,
+                 CASE WHEN first IS NULL THEN []::VARCHAR[] ELSE list_filter(list_slice(lines, first + 1, len(lines)), lambda lh: NOT starts_with(lh, '{HIGHLIGHT_MARKER}')) END AS hl
+          FROM marked),
+spairs AS (SELECT id,
+       {SQUEEZE(f"replace({SQUEEZE(JOIN(DROP_PUNCT(DROP_SW(SPLIT(JOIN('body')), 'en'))))}, chr(10), '')")} AS article,
+       {SQUEEZE(f"replace({JOIN(chr_join_wrap('hl'))}, chr(10), '')")} AS summary
+FROM parts)"""
+
+
 def rouge_n_ctes(ns) -> str:
     nlist = "[" + ", ".join(str(n) for n in ns) + "]"
     return f"""{PAIRS},
@@ -288,18 +305,18 @@ SELECT doc_id, line_no, {FIX(CLEAN('line'))} AS line FROM (
     Q["records_to_pairs"] = f"SELECT page_id AS id, {art} AS article, url AS summary FROM pages"
 
     lines = _story_parse("content")
-    Q["story_to_pairs"] = f"""
-WITH {STORIES},
-parsed AS (SELECT id, {lines} AS lines FROM stories),
-marked AS (SELECT id, lines, list_position(list_transform(lines, lambda lm: starts_with(lm, '{HIGHLIGHT_MARKER}')), true) AS first FROM parsed),
-parts AS (SELECT id,
-                 CASE WHEN first IS NULL THEN lines ELSE list_slice(lines, 1, first - 1) END AS body,
-                 CASE WHEN first IS NULL THEN []::VARCHAR[] ELSE list_filter(list_slice(lines, first + 1, len(lines)), lambda lh: NOT starts_with(lh, '{HIGHLIGHT_MARKER}')) END AS hl
-          FROM marked)
-SELECT id,
-       {SQUEEZE(f"replace({SQUEEZE(JOIN(DROP_PUNCT(DROP_SW(SPLIT(JOIN('body')), 'en'))))}, chr(10), '')")} AS article,
-       {SQUEEZE(f"replace({JOIN(chr_join_wrap('hl'))}, chr(10), '')")} AS summary
-FROM parts"""
+    Q["story_to_pairs"] = f"WITH {story_pairs_ctes()} SELECT id, article, summary FROM spairs"
+
+    r0, r1, r2 = P.SPLIT_RATIO
+    tot = r0 + r1 + r2
+    Q["train_vocabulary"] = f"""
+WITH {story_pairs_ctes()},
+pos AS (SELECT id, article, summary, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM spairs),
+train AS (SELECT article, summary FROM pos WHERE p < (CAST({r0} AS DOUBLE) / {tot}) * n),
+toks AS (SELECT 'articles' AS side, unnest({WTOK('article')}) AS token FROM train
+         UNION ALL SELECT 'summaries' AS side, unnest({WTOK('summary')}) AS token FROM train),
+c AS (SELECT side, token, count(*) AS count FROM toks GROUP BY side, token)
+SELECT side, token, count, row_number() OVER (PARTITION BY side ORDER BY count DESC, token ASC) - 1 AS id FROM c"""
 
     lex_case = "CASE lx " + " ".join(f"WHEN {q(f)} THEN {q(l)}" for f, l in P.LEXICON) + " ELSE lx END"
     Q["lemmatize_corpus"] = f"SELECT doc_id, {JOIN(f'list_transform({SPLIT(clean_doc)}, lambda lx: {lex_case})')} AS lemmatized FROM documents"

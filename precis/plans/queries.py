@@ -356,6 +356,17 @@ def q_sample_share(spark, sf_dir):
     return sample_share(d, P.MAX_LENGTH)
 
 
+def q_train_vocabulary(spark, sf_dir):
+    """Source and target vocabularies over the training split of the story
+    pairs (ratio split by pair id), white-space tokens."""
+    from precis.plans.jobs import corpus_vocabularies
+
+    pairs = ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO)
+    vocabs = corpus_vocabularies(pairs)
+    parts = [v.select(F.lit(side).alias("side"), "token", "count", "id") for side, v in sorted(vocabs.items())]
+    return parts[0].unionByName(parts[1])
+
+
 def _vocab_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(clean_doc()).alias("tokens"))
 
@@ -428,6 +439,7 @@ QUERIES = {
     "sample_by_length": q_sample_by_length,
     "sample_share": q_sample_share,
     "vocabulary": q_vocabulary,
+    "train_vocabulary": q_train_vocabulary,
     "encode_corpus": q_encode_corpus,
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
