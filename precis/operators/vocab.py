@@ -19,15 +19,24 @@ from precis.operators.ids import global_index
 from precis.operators.lookup import map_tokens
 
 
-def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1, id_offset: int = 0) -> DataFrame:
+def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1, id_offset: int = 0,
+                     by: str | None = None) -> DataFrame:
+    """(token, count, id); with ``by`` one vocabulary per value of that column
+    (side, language), ranked in one sort: ids restart at 0 for every value."""
+    keep = [by] if by else []
     counts = (
-        explode_tokens(df, tokens_col, "token")
-        .groupBy("token")
+        explode_tokens(df, tokens_col, "token", keep=keep)
+        .groupBy(*keep, "token")
         .agg(F.count("*").alias("count"))
         .where(F.col("count") >= min_count)
     )
-    indexed = global_index(counts, [F.col("count").desc(), F.col("token").asc()], "id")
-    return indexed.select("token", "count", (F.col("id") + F.lit(id_offset)).alias("id"))
+    order = [F.col(by)] if by else []
+    indexed = global_index(counts, order + [F.col("count").desc(), F.col("token").asc()], "id")
+    if by:
+        # one row per vocabulary: bounded, broadcast
+        first = F.broadcast(indexed.groupBy(by).agg(F.min("id").alias("_first")))
+        indexed = indexed.join(first, by).withColumn("id", F.col("id") - F.col("_first"))
+    return indexed.select(*keep, "token", "count", (F.col("id") + F.lit(id_offset)).alias("id"))
 
 
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "id", unk_id: int = -1,

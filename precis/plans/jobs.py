@@ -90,12 +90,18 @@ def map_file_lines(spark: SparkSession, input_path: str, worker, payload=(), out
 def corpus_vocabularies(pairs: DataFrame, only_source: bool = False, split_col: str = "split",
                         train_tag: str = "train", min_count: int = 1) -> dict:
     """Vocabularies built over the training split: ``articles`` (source) and,
-    unless ``only_source``, ``summaries`` (target); white-space tokens."""
+    unless ``only_source``, ``summaries`` (target); white-space tokens.
+
+    One pass over the pairs: both sides are tokenized into one (side, token)
+    stream, counted per (side, token) and ranked once; a side's ids are its
+    ranks minus the side's first rank."""
     train = pairs.where(F.col(split_col) == train_tag) if split_col in pairs.columns else pairs
-    out = {ARTICLES_TAG: build_vocabulary(train.select(whitespace_tokens(F.col("article")).alias("t")), "t", min_count)}
-    if not only_source:
-        out[SUMMARIES_TAG] = build_vocabulary(train.select(whitespace_tokens(F.col("summary")).alias("t")), "t", min_count)
-    return out
+    sides = [(ARTICLES_TAG, "article")] + ([] if only_source else [(SUMMARIES_TAG, "summary")])
+    tagged = train.select(F.explode(F.array(*[
+        F.struct(F.lit(tag).alias("side"), whitespace_tokens(F.col(col)).alias("t")) for tag, col in sides
+    ])).alias("s")).select("s.side", "s.t")
+    vocab = build_vocabulary(tagged, "t", min_count, by="side")
+    return {tag: vocab.where(F.col("side") == tag).select("token", "count", "id") for tag, _ in sides}
 
 
 def encode_pairs(pairs: DataFrame, vocabularies: dict, unk_id: int = -1) -> DataFrame:
