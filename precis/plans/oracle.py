@@ -309,6 +309,25 @@ SELECT doc_id, line_no, {FIX(CLEAN('line'))} AS line FROM (
 
     r0, r1, r2 = P.SPLIT_RATIO
     tot = r0 + r1 + r2
+    split_case = (f"CASE WHEN p < (CAST({r0} AS DOUBLE) / {tot}) * n THEN 'train' "
+                  f"WHEN p < (CAST({r0} AS DOUBLE) / {tot}) * n + (CAST({r1} AS DOUBLE) / {tot}) * n THEN 'val' ELSE 'test' END")
+    Q["encode_splits"] = f"""
+WITH {story_pairs_ctes()},
+pos AS (SELECT id, article, summary, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM spairs),
+sp AS (SELECT id, article, summary, {split_case} AS split FROM pos),
+toks AS (SELECT 'articles' AS side, unnest({WTOK('article')}) AS token FROM sp WHERE split = 'train'
+         UNION ALL SELECT 'summaries' AS side, unnest({WTOK('summary')}) AS token FROM sp WHERE split = 'train'),
+c AS (SELECT side, token, count(*) AS count FROM toks GROUP BY side, token),
+v AS (SELECT side, token, row_number() OVER (PARTITION BY side ORDER BY count DESC, token ASC) - 1 AS vid FROM c),
+atok AS (SELECT id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT id, {WTOK('article')} AS t FROM sp)),
+stok AS (SELECT id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT id, {WTOK('summary')} AS t FROM sp)),
+ae AS (SELECT atok.id, string_agg(CAST(coalesce(v.vid, {P.UNK_ID}) AS VARCHAR), ' ' ORDER BY atok.i) AS ids
+       FROM atok LEFT JOIN v ON v.side = 'articles' AND v.token = atok.token GROUP BY atok.id),
+se AS (SELECT stok.id, string_agg(CAST(coalesce(v.vid, {P.UNK_ID}) AS VARCHAR), ' ' ORDER BY stok.i) AS ids
+       FROM stok LEFT JOIN v ON v.side = 'summaries' AND v.token = stok.token GROUP BY stok.id)
+SELECT sp.id, sp.split, coalesce(ae.ids, '') AS article_ids, coalesce(se.ids, '') AS summary_ids
+FROM sp LEFT JOIN ae ON sp.id = ae.id LEFT JOIN se ON sp.id = se.id"""
+
     Q["train_vocabulary"] = f"""
 WITH {story_pairs_ctes()},
 pos AS (SELECT id, article, summary, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM spairs),

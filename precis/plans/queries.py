@@ -367,6 +367,17 @@ def q_train_vocabulary(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def q_encode_splits(spark, sf_dir):
+    """Every split of the story pairs encoded with the training vocabularies
+    (tokens unseen in training get the unknown id)."""
+    from precis.plans.jobs import corpus_vocabularies, encode_pairs
+
+    pairs = ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO)
+    enc = encode_pairs(pairs, corpus_vocabularies(pairs), unk_id=P.UNK_ID)
+    as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return enc.select("id", "split", as_text("article_ids").alias("article_ids"), as_text("summary_ids").alias("summary_ids"))
+
+
 def _vocab_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(clean_doc()).alias("tokens"))
 
@@ -440,6 +451,7 @@ QUERIES = {
     "sample_share": q_sample_share,
     "vocabulary": q_vocabulary,
     "train_vocabulary": q_train_vocabulary,
+    "encode_splits": q_encode_splits,
     "encode_corpus": q_encode_corpus,
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
