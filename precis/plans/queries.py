@@ -39,7 +39,7 @@ from precis.operators.rouge import example_report, ngram_table, score_pairs
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
-from precis.session import spread
+from precis.session import materialize, spread
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
@@ -96,9 +96,8 @@ def q_missing_period(spark, sf_dir):
     # every line of every document: clean-up, then the missing-period fix
     # (computed over whole texts, then split: same lines, fewer regex calls)
     d = table(spark, sf_dir, "documents").select("doc_id", cleanup_lines(F.col("text")).alias("c"))
-    return d.select("doc_id", F.posexplode(F.split("c", "\n", -1)).alias("line_no", "line")).select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), "line"
-    )
+    lines = explode_tokens(d, F.split("c", "\n", -1), "line", "line_no", keep=["doc_id"])
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def q_html_to_text(spark, sf_dir):
@@ -163,19 +162,20 @@ def q_sentence_split(spark, sf_dir):
 
 def q_after_marker_window(spark, sf_dir):
     """Per story line: is it a highlight (after the first marker line, not a
-    marker, not empty)? The running "seen a marker" flag of a window per
-    document equals ``line_no > first marker line``; that first line is a
-    ``min`` per document (pre-aggregated in each task) joined back, so one
-    huge document does not become one window task."""
+    marker, not empty)? The running "seen a marker" flag equals
+    ``line_no >= first marker line``; a document is one row, so its first
+    marker is found in its own line array (``array_position``) before the
+    lines are exploded - one narrow stage, no window, join or shuffle, and a
+    huge document stays one row's work."""
     s = story_frame(spark, sf_dir).select("id", cleanup_lines(F.col("content"), strip=True).alias("c"))
-    c = s.select(F.col("id").alias("doc_id"), F.posexplode(F.split("c", "\n", -1)).alias("line_no", "line")).select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
-    m = c.withColumn("is_marker", F.col("line").startswith(HIGHLIGHT_MARKER))
-    first = m.where("is_marker").groupBy("doc_id").agg(F.min("line_no").alias("first_marker"))
-    j = join_per_group(m, first, "doc_id", salt_from=[F.col("line_no")], how="left")
-    flag = (F.col("first_marker").isNotNull() & (F.col("line_no") > F.col("first_marker"))
-            & ~F.col("is_marker") & (F.col("line") != ""))
-    return j.select("doc_id", "line_no", flag.cast("long").alias("is_highlight"))
+    lines = s.select("id", F.split("c", "\n", -1).alias("lines"))
+    marked = lines.select(
+        "id", "lines",
+        F.array_position(F.transform("lines", lambda l: l.startswith(HIGHLIGHT_MARKER)), True).alias("first"))
+    c = explode_tokens(marked, "lines", "line", "line_no", keep=[F.col("id").alias("doc_id"), "first"])
+    flag = ((F.col("first") > 0) & (F.col("line_no") + 1 > F.col("first"))
+            & ~F.col("line").startswith(HIGHLIGHT_MARKER) & (F.col("line") != ""))
+    return c.select("doc_id", F.col("line_no").cast("long").alias("line_no"), flag.cast("long").alias("is_highlight"))
 
 
 # --------------------------------------------------------------------------- ids / alignment
@@ -372,7 +372,8 @@ def q_encode_splits(spark, sf_dir):
     (tokens unseen in training get the unknown id)."""
     from precis.plans.jobs import corpus_vocabularies, encode_pairs
 
-    pairs = ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO)
+    # the split pairs feed both the vocabularies and the encoding: write once
+    pairs = materialize(ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO))
     enc = encode_pairs(pairs, corpus_vocabularies(pairs), unk_id=P.UNK_ID)
     as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return enc.select("id", "split", as_text("article_ids").alias("article_ids"), as_text("summary_ids").alias("summary_ids"))
