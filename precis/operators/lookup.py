@@ -33,7 +33,10 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
     """``out_col = transform(tokens, t -> coalesce(table[t], default or t))``."""
     out_col = out_col or tokens_col
     spark = df.sparkSession
-    tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).dropDuplicates(["_k"])
+    # one value per key, chosen deterministically (a recomputed task must pick
+    # the same lemma when a form has several)
+    tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).groupBy("_k").agg(
+        F.min("_v").alias("_v"))
     value_type = tab.schema["_v"].dataType
     fallback = (lambda t: F.lit(default).cast(value_type)) if default is not None else (lambda t: t.cast(value_type))
     # Size check and fetch in one job; never more than BROADCAST_LIMIT + 1 rows
