@@ -149,7 +149,7 @@ def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     types = sorted(types)
     if not types:
         return scores.sparkSession.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
-    wide = scores.groupBy("id").pivot("score_type", types).agg(*[F.first(m).alias(m) for m in MEASURES])
+    wide = scores.groupBy("id").pivot("score_type", types).agg(*[F.min(m).alias(m) for m in MEASURES])  # one row per (id, type)
     cols = [f"{t}_{m}" for t in types for m in MEASURES]
     nb = (n_samples + 3) // 4
     rep = wide.select("id", *[F.col(f"`{c}`").alias(c) for c in cols],
