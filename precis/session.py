@@ -42,9 +42,40 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``precis`` importable in the executors' Python workers.
+
+    Pandas UDFs and ``mapInPandas`` functions live in this package and are
+    pickled by reference, so every worker must be able to import it. The
+    package is zipped once per application and added with ``addPyFile``
+    (the same as ``spark-submit --py-files``)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import precis
+
+    pkg_dir = os.path.dirname(os.path.abspath(precis.__file__))
+    root = os.path.dirname(pkg_dir)
+    path = os.path.join(tempfile.mkdtemp(prefix="precis-pyfiles-"), "precis.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring one only when unset."""
     sc = spark.sparkContext
