@@ -1,11 +1,17 @@
-"""Dense positions without a single-task window.
-
-``global_index`` numbers rows 0..n-1 in a total order. It sorts once (range
-partitioning, so every task holds a contiguous slice), stamps each row with
-``monotonically_increasing_id`` (partition index in the high bits, position in
-the low 33 bits), cuts the lineage with a reliable checkpoint so that the
-stamps are fixed, and adds the row count of all earlier partitions. Only one
-row per partition reaches the driver.
+"""Dense positions and per-group attachments without a single-task step.
+
+* ``global_index`` numbers rows 0..n-1 in a total order. It sorts once (range
+  partitioning, so every task holds a contiguous slice), stamps each row with
+  ``monotonically_increasing_id`` (partition index in the high bits, position
+  in the low 33 bits), cuts the lineage with a reliable checkpoint so that the
+  stamps are fixed, and adds the row count of all earlier partitions. Only one
+  row per partition reaches the driver.
+* ``prefix_offsets`` is a running sum in two levels (block totals on the
+  driver, windows partitioned by block).
+* ``with_dense_ids`` turns (group, position-in-group) into global ids from
+  per-group counts - no sort of the rows themselves.
+* ``join_per_group`` attaches a one-row-per-group table: broadcast under a
+  checked size, a salted join beyond it, so a hot group is never one task.
 """
 
 from __future__ import annotations
