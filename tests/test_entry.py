@@ -83,3 +83,15 @@ def test_no_single_task_operator_in_any_plan(spark):
         plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
         offenders += [(name, o) for o in single_partition_offenders(plan)]
     assert offenders == []
+
+
+def test_ship_package_once_per_application(spark):
+    from precis import session
+
+    session.ship_package(spark)
+    session.ship_package(spark)  # a second call is a no-op (no duplicate addPyFile)
+    assert spark.sparkContext.applicationId in session._SHIPPED
+    from pyspark import SparkFiles
+
+    import os
+    assert os.path.exists(SparkFiles.get("precis.zip"))
