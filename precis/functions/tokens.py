@@ -81,9 +81,12 @@ def drop_punct_tokens(tokens) -> Column:
     )
 
 
-def rouge_tokens(c) -> Column:
-    """Scoring tokenizer: lower, non ``[a-z0-9]`` runs to space, split, drop empties."""
-    spaced = F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " ")
+def rouge_tokens(c, ascii_only: bool = True) -> Column:
+    """Scoring tokenizer: lower, non ``[a-z0-9]`` runs to space, split, drop
+    empties (so Cyrillic text has no tokens). ``ascii_only=False`` keeps
+    letters and digits of every script instead (an option, not the default)."""
+    pattern = "[^a-z0-9]+" if ascii_only else r"[^\p{L}\p{N}]+"
+    spaced = F.regexp_replace(F.lower(_col(c)), pattern, " ")
     return F.array_remove(F.split(spaced, " ", -1), "")
 
 

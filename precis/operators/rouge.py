@@ -84,8 +84,8 @@ def _score(p: Column, r: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), fmeasure(p, r).alias("fmeasure"))
 
 
-def tokenize_for_scoring(c, use_stemmer: bool = False) -> Column:
-    toks = rouge_tokens(c)
+def tokenize_for_scoring(c, use_stemmer: bool = False, ascii_only: bool = True) -> Column:
+    toks = rouge_tokens(c, ascii_only)
     return stem_tokens(toks) if use_stemmer else toks
 
 
@@ -118,16 +118,17 @@ def rouge_lsum_score(m: Column, n: Column, empty: Column, hits: Column) -> Colum
 
 
 def score_columns(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: bool = False,
-                  target: str = "target", prediction: str = "prediction", id_col: str = "id") -> DataFrame:
+                  target: str = "target", prediction: str = "prediction", id_col: str = "id",
+                  ascii_only: bool = True) -> DataFrame:
     """(id, one struct<precision, recall, fmeasure> column per rouge type)."""
     types = check_rouge_types(rouge_types)
     need_lsum = "rougeLsum" in types
     cols = [F.col(id_col).alias("id"),
-            tokenize_for_scoring(F.col(target), use_stemmer).alias("_tt"),
-            tokenize_for_scoring(F.col(prediction), use_stemmer).alias("_pt")]
+            tokenize_for_scoring(F.col(target), use_stemmer, ascii_only).alias("_tt"),
+            tokenize_for_scoring(F.col(prediction), use_stemmer, ascii_only).alias("_pt")]
     if need_lsum:
         def sentence_tokens(c):
-            sents = F.transform(split_sentences(F.col(c)), rouge_tokens)
+            sents = F.transform(split_sentences(F.col(c)), lambda s: rouge_tokens(s, ascii_only))
             return stem_sentence_tokens(sents) if use_stemmer else sents
         cols += [sentence_tokens(target).alias("_ts"), sentence_tokens(prediction).alias("_ps")]
     tok = df.select(*cols)
@@ -158,10 +159,11 @@ def score_columns(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: b
 
 
 def score_pairs(df: DataFrame, rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: bool = False,
-                target: str = "target", prediction: str = "prediction", id_col: str = "id") -> DataFrame:
+                target: str = "target", prediction: str = "prediction", id_col: str = "id",
+                ascii_only: bool = True) -> DataFrame:
     """Long score table (id, score_type, precision, recall, fmeasure)."""
     types = check_rouge_types(rouge_types)
-    wide = score_columns(df, types, use_stemmer, target, prediction, id_col)
+    wide = score_columns(df, types, use_stemmer, target, prediction, id_col, ascii_only)
     tagged = F.array(*[
         F.struct(F.lit(ty).alias("score_type"), F.col(f"`{ty}`.precision").alias("precision"),
                  F.col(f"`{ty}`.recall").alias("recall"), F.col(f"`{ty}`.fmeasure").alias("fmeasure"))

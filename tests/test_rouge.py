@@ -175,3 +175,13 @@ def test_stemmer_with_summary_level(spark):
     # union LCS hits: cat, run (sentence 1) + fast, dog (sentence 2) = 4 of m=6, n=5
     assert s[(0, "rougeLsum")][:2] == pytest.approx((4 / 5, 4 / 6))
     assert s[(0, "rouge1")][:2] == pytest.approx((4 / 5, 4 / 6))
+
+
+def test_unicode_tokens_option(spark):
+    from precis.operators.rouge import score_pairs
+
+    df = spark.createDataFrame([(0, "президент сирии", "президент Сирии")], "id long, target string, prediction string")
+    ascii_rows = {r["score_type"]: r["fmeasure"] for r in score_pairs(df, ["rouge1", "rougeLsum"]).collect()}
+    uni_rows = {r["score_type"]: r["fmeasure"] for r in score_pairs(df, ["rouge1", "rougeLsum"], ascii_only=False).collect()}
+    assert ascii_rows == {"rouge1": 0.0, "rougeLsum": 0.0}
+    assert uni_rows == {"rouge1": 1.0, "rougeLsum": 1.0}
