@@ -31,6 +31,9 @@ CLEANUP_RULES = [
 # ---------------------------------------------------------------------------
 END_TOKENS = [".", "!", "?", "...", "'", "`", '"', "’", "”)"]
 END_CHARS = [t for t in END_TOKENS if len(t) == 1]
+# Option (not the default): the list as evidently intended, with the closing
+# quote and the parenthesis as two separate endings.
+END_CHARS_STRICT = END_CHARS + ["”", ")"]
 
 # Sentence markers around each summary sentence.
 SENTENCE_START = "<s>"

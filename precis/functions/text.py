@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from precis.constants import (
     CLEANUP_RULES,
     END_CHARS,
+    END_CHARS_STRICT,
     PY_SPACE_CLASS,
     SENTENCE_END,
     SENTENCE_START,
@@ -92,23 +93,29 @@ def cleanup(c) -> Column:
     return regex_chain(F.lower(_col(c)), compiled_cleanup_rules())
 
 
-def fix_missing_period(c) -> Column:
-    """Append " ." unless the line is empty or ends in an end character.
+def _end_class(strict: bool) -> str:
+    chars = END_CHARS_STRICT if strict else END_CHARS
+    return "".join("\\" + ch if ch in "\\^]-[" else ch for ch in chars)
+
+
+def fix_missing_period(c, strict: bool = False) -> Column:
+    """Append " ." unless the line is empty or ends in an end character
+    (``strict=True``: also after ``”`` and ``)``).
 
     One anchored replacement, so the argument is evaluated once: the last
     character, when it is not an end character, is replaced by itself + " ."."""
-    not_end = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in END_CHARS)
+    not_end = _end_class(strict)
     return F.regexp_replace(_col(c), f"(?s)([^{not_end}])\\z", "$1 .")
 
 
-def fix_missing_period_lines(c) -> Column:
+def fix_missing_period_lines(c, strict: bool = False) -> Column:
     """``fix_missing_period`` applied to every ``\\n``-separated line of a text
     in one multi-line replacement (empty lines stay empty)."""
-    not_end = "".join("\\" + ch if ch in "\\^]-[" else ch for ch in END_CHARS)
+    not_end = _end_class(strict)
     return F.regexp_replace(_col(c), f"(?md)([^{not_end}\\n])$", "$1 .")
 
 
-def cleanup_lines(c, strip: bool = False, fix_period: bool = True) -> Column:
+def cleanup_lines(c, strip: bool = False, fix_period: bool = True, strict_end: bool = False) -> Column:
     """Per-line clean-up of a ``\\n``-separated text in whole-text passes.
 
     Equals splitting on ``\\n`` and applying (strip,) clean-up and the period
@@ -121,7 +128,7 @@ def cleanup_lines(c, strip: bool = False, fix_period: bool = True) -> Column:
         out = F.regexp_replace(out, rf"(?md)^{cls}+|{cls}+$", "")
     rules = compiled_cleanup_rules()
     out = regex_chain(F.lower(out), [(rules[0][0].replace("[\\r\\n]*", ""), rules[0][1])] + rules[1:])
-    return fix_missing_period_lines(out) if fix_period else out
+    return fix_missing_period_lines(out, strict_end) if fix_period else out
 
 
 def py_strip(c) -> Column:

@@ -29,19 +29,19 @@ from precis.operators.lookup import map_tokens
 # Story files
 # ---------------------------------------------------------------------------
 
-def clean_story_text(content) -> Column:
+def clean_story_text(content, strict_end: bool = False) -> Column:
     """Whole story text, cleaned line by line but in one pass per rule: line
     breaks are normalised to ``\\n`` (text-mode reading), then every line is
     stripped, cleaned and period-fixed by ``cleanup_lines``."""
-    return cleanup_lines(F.regexp_replace(_col(content), r"\r\n|\r", "\n"), strip=True)
+    return cleanup_lines(F.regexp_replace(_col(content), r"\r\n|\r", "\n"), strip=True, strict_end=strict_end)
 
 
-def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines") -> DataFrame:
+def with_story_lines(df: DataFrame, content_col: str, out_col: str = "lines", strict_end: bool = False) -> DataFrame:
     """Add the cleaned, non-empty lines (missing-period fix applied) of a story
     text. The cleaned text is its own projection, so it is computed once; no
     per-line lambda is evaluated."""
     tmp = f"_{out_col}_text"
-    staged = df.withColumn(tmp, clean_story_text(F.col(content_col)))
+    staged = df.withColumn(tmp, clean_story_text(F.col(content_col), strict_end))
     text = F.col(tmp)
     parts = F.split(text, "\n", -1)
     lines = F.when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(
@@ -80,9 +80,11 @@ def filter_article_tokens(text, words) -> Column:
 
 
 def stories_to_pairs(df: DataFrame, id_col: str = "id", content_col: str = "content",
-                     language: str = "english") -> DataFrame:
-    """(id, content) story texts -> (id, article, summary)."""
-    lined = with_story_lines(df.select(F.col(id_col).alias("id"), F.col(content_col).alias("_content")), "_content")
+                     language: str = "english", strict_end: bool = False) -> DataFrame:
+    """(id, content) story texts -> (id, article, summary). ``strict_end``
+    uses the intended end-character list for the missing-period fix."""
+    lined = with_story_lines(df.select(F.col(id_col).alias("id"), F.col(content_col).alias("_content")), "_content",
+                             strict_end=strict_end)
     parsed = split_story(lined.drop("_content"))
     article = filter_article_tokens(F.array_join(F.col("article_lines"), " "), stopwords(language))
     summary = wrap_sentences(F.col("highlights"))

@@ -118,3 +118,9 @@ def test_punctuation_and_stopword_filters(spark):
     df2 = spark.createDataFrame([(["the", "cat", "the", "cat", "is", "a", "dog"],)], "t array<string>")
     kept = df2.select(drop_stopwords(F.col("t"), words).alias("o")).first()["o"]
     assert kept == ["cat", "cat", "dog"]  # order and duplicates kept
+
+
+def test_strict_end_list_option(spark):
+    values = ["a”", "a)", "a."]
+    assert run(spark, values, T.fix_missing_period) == ["a” .", "a) .", "a."]
+    assert run(spark, values, lambda c: T.fix_missing_period(c, strict=True)) == ["a”", "a)", "a."]
