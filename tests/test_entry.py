@@ -95,3 +95,15 @@ def test_ship_package_once_per_application(spark):
 
     import os
     assert os.path.exists(SparkFiles.get("precis.zip"))
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data not present")
+def test_scans_read_only_needed_columns(spark):
+    """Column pruning reaches the parquet scan (through the spread repartition)."""
+    import re
+
+    plan = E.queries()["alignment_check"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    schemas = set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan))
+    assert schemas == {"struct<conv_id:bigint,role:string>"}
+    plan = E.queries()["sample_share"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert all("lang" not in s and "source" not in s for s in re.findall(r"ReadSchema: (struct<[^>]*>)", plan))
