@@ -1,5 +1,132 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
+
+The rules are written out again here; nothing is taken from the operators but the
+two fixed tables of the licence scan (equivalent spellings and known digests).
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from precis.llm.license_scan import KNOWN_DIGESTS, SPELLINGS
+
+OP1 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP5 = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM parts),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split),
+rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+fits AS (
+  SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS place
+  FROM urls JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+                      AND starts_with(path, substr(rule, instr(rule, '/')))),
+marks AS (
+  SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, string_split(host, '.') AS labels, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM urls LEFT JOIN marks ON page_id = doc_id GROUP BY host),
+named AS (
+  SELECT host, n, bad, array_to_string(labels[-2:], '.') IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','org.uk') AS long, labels
+  FROM hosts),
+levels AS (
+  SELECT host, n, bad, array_to_string(CASE WHEN long THEN labels[-2:] ELSE labels[-1:] END, '.') AS suffix,
+         array_to_string(CASE WHEN long THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain FROM named),
+s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM levels GROUP BY suffix),
+top AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS m FROM s0),
+s1 AS (SELECT suffix, n, bad, m FROM s0, top),
+ks AS (SELECT fit(sum(CASE WHEN n > 0 THEN n * (bad / n - m) ^ 2 - m * (1 - m) END),
+                  sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM s1),
+s2 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s1, ks),
+d1 AS (SELECT l.suffix, domain, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(m) AS m
+       FROM levels l JOIN s2 USING (suffix) GROUP BY l.suffix, domain),
+kd AS (SELECT fit(sum(CASE WHEN n > 0 THEN n * (bad / n - m) ^ 2 - m * (1 - m) END),
+                  sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM d1),
+d2 AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS m FROM d1, kd),
+h1 AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, m FROM levels JOIN d2 USING (suffix, domain)),
+kh AS (SELECT fit(sum(CASE WHEN n > 0 THEN n * (bad / n - m) ^ 2 - m * (1 - m) END),
+                  sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM h1),
+h2 AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS weight FROM h1, kh)
+SELECT u.page_id, u.host, u.path, f.rule,
+       coalesce(f.verdict, CASE WHEN rate - 1.64 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls u JOIN h2 USING (host) LEFT JOIN fits f ON f.page_id = u.page_id AND f.place = 1
+"""
+
+
+def _fitted(sql: str) -> str:
+    """``fit(extra, weight)`` written out: the clamped moment estimate of a prior strength."""
+    import re
+
+    def one(m: re.Match) -> str:
+        extra, weight = m.group(1), m.group(2)
+        return f"CASE WHEN {extra} > 0 THEN least(greatest({weight} / {extra} - 1, 1.0), 1000.0) ELSE 1000.0 END"
+
+    return re.sub(r"fit\((sum\(CASE.*?END\)),\s*(sum\(CASE.*?END\))\)", one, sql, flags=re.S)
+
+
+def _canonical(text: str) -> str:
+    marks = "‘’‚‛“”„‟‐‑‒–—―…·•«»  "
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{marks}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(marks)}')"
+    notice = (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*")
+    out = f"regexp_replace({lower}, '{notice}', ' ', 'g')"
+    out = rf"' ' || regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10ffff}}]+', ' ', 'g') || ' '"
+    for spelling, canonical in SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{canonical}')"
+    return f"trim({out}, ' ')"
+
+
+def _op6() -> str:
+    known = ", ".join(f"('{digest}', '{name}')" for name, digest in KNOWN_DIGESTS)
+    return f"""
+WITH digests AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents),
+known(known, license) AS (VALUES {known})
+SELECT doc_id, digest, license FROM digests LEFT JOIN known ON digest = known
+"""
+
+
+OP7 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS size,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+totals AS (SELECT *, 1.5::DOUBLE * (sum(size) OVER ())::DOUBLE AS wanted, sum(weight) OVER () AS weights FROM sources),
+-- sources in the order in which they stop as the level rises
+filled AS (
+  SELECT *, wanted - coalesce(sum(2 * size) OVER earlier, 0)::DOUBLE AS rest, weights - coalesce(sum(weight) OVER earlier, 0) AS parts
+  FROM totals WINDOW earlier AS (ORDER BY 2 * size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stops AS (SELECT *, 2 * size * parts < weight * rest AS stopped FROM filled),
+level AS (SELECT any_value(wanted) - coalesce(sum(2 * size) FILTER (WHERE stopped), 0)::DOUBLE AS rest,
+                 sum(weight) FILTER (WHERE NOT stopped) AS parts FROM stops),
+targets AS (
+  SELECT source, size AS source_size, CASE WHEN stopped THEN (2 * size)::DOUBLE ELSE weight * level.rest / level.parts END AS target
+  FROM stops, level),
+passes AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM targets),
+ordered AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key, CAST(s.doc_id AS VARCHAR), s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       (size * (passes + CASE WHEN 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1,
+    "op5_host_reputation": _fitted(OP5),
+    "op7_mixing": OP7,
+}
+if KNOWN_DIGESTS:
+    ORACLES["op6_license_scan"] = _op6()
