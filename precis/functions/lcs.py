@@ -5,7 +5,7 @@
   and O(|b|) memory.
 * ``lcs_indices``: one LCS as indices into ``a`` with a fixed tie-break
   (diagonal on a match; otherwise left only when strictly larger, else up),
-  computed with a numpy DP table and an iterative backtrack.
+  with two numpy rows and one bit per cell for an iterative backtrack.
 * ``lsum_hits``: summary-level LCS hits (union of per-sentence LCS indices,
   clipped by token counts).
 """
@@ -32,40 +32,39 @@ def lcs_length(a, b) -> int:
     return len(b) - v.bit_count()
 
 
-def _lcs_table(a, b) -> np.ndarray:
+def _left_bits(a, b) -> np.ndarray:
+    """For every cell of the LCS table, one bit: is the cell to the left larger
+    than the one above? Only two rows of lengths are kept at a time."""
     ids: dict = {}
     ai = np.array([ids.setdefault(x, len(ids)) for x in a], dtype=np.int64)
     bi = np.array([ids.setdefault(x, len(ids)) for x in b], dtype=np.int64)
-    m, n = len(ai), len(bi)
-    # values never exceed min(m, n): the smallest type halves the table
-    table = np.zeros((m + 1, n + 1), dtype=np.uint16 if min(m, n) < 65535 else np.int32)
-    for i in range(1, m + 1):
-        prev = table[i - 1]
-        d = prev[1:].copy()
-        match = bi == ai[i - 1]
-        np.maximum(d, np.where(match, prev[:-1] + 1, 0), out=d)
-        table[i, 1:] = np.maximum.accumulate(d)
-    return table
+    above = np.zeros(len(bi) + 1, dtype=np.int32)
+    bits = np.zeros((len(ai), (len(bi) + 7) // 8), dtype=np.uint8)
+    for i, token in enumerate(ai):
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], np.where(bi == token, above[:-1] + 1, 0)), out=row[1:])
+        bits[i] = np.packbits(row[:-1] > above[1:])
+        above = row
+    return bits
 
 
 def lcs_indices(a, b) -> list[int]:
     """Indices into ``a`` of one LCS of ``a`` and ``b``, ascending."""
     if not len(a) or not len(b):
         return []
-    t = _lcs_table(a, b)
-    i, j = len(a), len(b)
+    bits = _left_bits(a, b)
+    i, j = len(a) - 1, len(b) - 1
     out = []
-    while i > 0 and j > 0:
-        if a[i - 1] == b[j - 1]:
-            out.append(i - 1)
+    while i >= 0 and j >= 0:
+        if a[i] == b[j]:
+            out.append(i)
             i -= 1
             j -= 1
-        elif t[i, j - 1] > t[i - 1, j]:
+        elif bits[i, j >> 3] >> (7 - (j & 7)) & 1:
             j -= 1
         else:
             i -= 1
-    out.reverse()
-    return out
+    return out[::-1]
 
 
 def lsum_hits(ref_sents, can_sents) -> int:

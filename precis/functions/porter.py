@@ -1,4 +1,8 @@
-"""Porter's suffix-stripping algorithm as published (Program 14(3), 1980).
+"""Porter's suffix-stripping algorithm, as published (Program 14(3), 1980) or with
+the additions that have become common since (``extended``): a few irregular
+words, ``ies``/``ied`` of four-letter words, ``y`` after a consonant only, the endings
+``bli``, ``fulli`` and ``logi``, ``alli`` before the other endings of its step, and
+two-letter vowel-consonant stems that end like short syllables.
 
 A small per-token helper; it is applied to distinct tokens or token arrays
 inside Arrow-batched pandas UDFs with a per-process cache.
@@ -37,7 +41,9 @@ def _double_cons(w: str) -> bool:
     return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
 
 
-def _cvc(w: str) -> bool:
+def _cvc(w: str, extended: bool) -> bool:
+    if len(w) == 2:
+        return extended and not _is_cons(w, 0) and _is_cons(w, 1)
     return (
         len(w) >= 3
         and _is_cons(w, len(w) - 3)
@@ -57,6 +63,13 @@ def _apply(w: str, rules, min_m: int):
     return w
 
 
+# Irregular words of the extended form.
+IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning",
+    "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
 # Suffix rules of steps 2, 3 and 4, longest first within a step.
 _STEP2 = sorted(
     [
@@ -68,6 +81,8 @@ _STEP2 = sorted(
     ],
     key=lambda r: -len(r[0]),
 )
+_STEP2_EXTENDED = sorted(
+    [("bli", "ble") if r[0] == "abli" else r for r in _STEP2] + [("fulli", "ful")], key=lambda r: -len(r[0]))
 _STEP3 = sorted(
     [
         ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"),
@@ -86,52 +101,57 @@ _STEP4 = sorted(
 )
 
 
-def _step1ab(w: str) -> str:
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
+def _step1ab(w: str, extended: bool) -> str:
+    if extended and w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith(("sses", "ies")):
         w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
+    elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
 
+    if extended and w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
     if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-        return w
+        return w[:-1] if _measure(w[:-3]) > 0 else w
     for suf in ("ed", "ing"):
         if w.endswith(suf) and _has_vowel(w[: -len(suf)]):
             w = w[: -len(suf)]
             if w.endswith(("at", "bl", "iz")):
                 return w + "e"
-            if _double_cons(w) and w[-1] not in "lsz":
-                return w[:-1]
-            if _measure(w) == 1 and _cvc(w):
-                return w + "e"
-            return w
+            if _double_cons(w):
+                return w if w[-1] in "lsz" else w[:-1]
+            return w + "e" if _measure(w) == 1 and _cvc(w, extended) else w
     return w
 
 
-def _stem(w: str) -> str:
+def _step2(w: str, extended: bool) -> str:
+    if not extended:
+        return _apply(w, _STEP2, 0)
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi"):  # measured with its o
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    return _apply(w, _STEP2_EXTENDED, 0)
+
+
+def _stem(w: str, extended: bool) -> str:
+    if extended and w in IRREGULAR:
+        return IRREGULAR[w]
     if len(w) <= 2:
         return w
-    w = _step1ab(w)
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    w = _step1ab(w, extended)
+    if w.endswith("y") and (len(w) > 2 and _is_cons(w, len(w) - 2) if extended else _has_vowel(w[:-1])):
         w = w[:-1] + "i"
-    w = _apply(w, _STEP2, 0)
+    w = _step2(w, extended)
     w = _apply(w, _STEP3, 0)
     w = _apply(w, _STEP4, 1)
     if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
+        m = _measure(w[:-1])
+        if m > 1 or (m == 1 and not _cvc(w[:-1], extended)):
+            w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
 @functools.lru_cache(maxsize=200_000)
-def stem(word: str) -> str:
-    return _stem(word)
+def stem(word: str, extended: bool = False) -> str:
+    return _stem(word, extended)

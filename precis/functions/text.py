@@ -131,12 +131,6 @@ def cleanup_lines(c, strip: bool = False, fix_period: bool = True, strict_end: b
     return fix_missing_period_lines(out, strict_end) if fix_period else out
 
 
-def py_strip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Unicode white space."""
-    cls = PY_SPACE_CLASS
-    return F.regexp_replace(_col(c), f"^{cls}+|{cls}+$", "")
-
-
 def squeeze_spaces(c) -> Column:
     """Collapse runs of U+0020 into one."""
     return F.regexp_replace(_col(c), " +", " ")
@@ -150,18 +144,6 @@ def drop_newlines(c) -> Column:
     return F.replace(_col(c), F.lit("\n"), F.lit(""))
 
 
-def split_file_lines(c) -> Column:
-    """Split file content into lines the way text-mode file iteration does
-    (``\\r\\n``, ``\\r`` or ``\\n``); a final terminator gives no extra line.
-    ``c`` is read several times: pass a column, not a costly expression."""
-    c = _col(c)
-    parts = F.split(c, r"\r\n|\r|\n", -1)
-    ends_with_break = c.rlike(r"(\r|\n)\z")
-    return F.when(ends_with_break, F.slice(parts, 1, F.size(parts) - 1)).otherwise(
-        F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
-    )
-
-
 def split_sentences(c) -> Column:
     """Sentences are the non-empty ``\\n``-separated pieces."""
     return F.array_remove(F.split(_col(c), "\n", -1), "")
@@ -187,16 +169,13 @@ def join_wordpieces(c) -> Column:
 # HTML -> text
 # ---------------------------------------------------------------------------
 
-# Element bodies and markup that contribute no text, then every remaining tag.
-HTML_STRIP_RULES = [
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<template\b[^>]*>.*?</template\s*>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?s)<![^>]*>", ""),
-    (r"(?s)<\?[^>]*>", ""),
-    (r"(?s)</?[A-Za-z][^>]*>", ""),
-]
+# All markup in one left-to-right pass, so that what looks like a tag inside a
+# comment, a script or a quoted attribute value is not one: comments, bodies that
+# give no text (up to their end tag or the end of the page), declarations and
+# instructions, tags with quoted attribute values.
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+"""
+_BODIES = "|".join(rf"<{name}\b{_ATTRIBUTES}>.*?(?:</{name}\b[^>]*>|\z)" for name in ("script", "style", "template"))
+MARKUP = rf"(?is)<!--.*?(?:-->|\z)|{_BODIES}|<[!?][^>]*>|</?[a-z]{_ATTRIBUTES}>"
 
 # Named and numeric references decoded without Python;
 # "&amp;" comes last so that a decoded "&" is never decoded again.
@@ -222,10 +201,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def strip_markup(c) -> Column:
-    out = _col(c)
-    for pattern, repl in HTML_STRIP_RULES:
-        out = F.regexp_replace(out, pattern, repl)
-    return out
+    return F.regexp_replace(_col(c), MARKUP, "")
 
 
 def decode_entities_native(c) -> Column:

@@ -158,8 +158,6 @@ def explode_tokens(df, array_col, alias: str = "token", pos_alias: str | None =
     ``size(arr) > 0`` filter and push it below the projection that computes
     the array - which would evaluate a costly array expression again."""
     arr = F.col(array_col) if isinstance(array_col, str) else array_col
-    if pos_alias:
-        gen = F.posexplode_outer(arr).alias(pos_alias, alias)
-    else:
-        gen = F.explode_outer(arr).alias(alias)
-    return df.select(*keep, gen).where(F.col(alias).isNotNull())
+    if pos_alias:  # an array without elements has no position; a null element has one
+        return df.select(*keep, F.posexplode_outer(arr).alias(pos_alias, alias)).where(F.col(pos_alias).isNotNull())
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).where(F.col(alias).isNotNull())

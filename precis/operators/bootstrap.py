@@ -11,13 +11,16 @@ uniforms, keyed ``seed-rep-(slot div 4)`` (exact) and ``seed-p-id-(rep div 4)``
 (Poisson), part ``mod 4``:
 
 * ``exact``  - B resamples of size n with replacement, as in the textbook
-  bootstrap. Draw ``(b, k)`` picks row ``floor(u * n)`` of the id order. It
-  costs n*B draw rows, so it is guarded by ``EXACT_ROW_LIMIT``.
+  bootstrap, at any size. Draw ``(b, k)`` picks row ``floor(u * n)`` of the id
+  order; it costs n*B draw rows.
 * ``poisson`` - every pair gets a Poisson(1) weight per resample; the
-  resample mean is sum(w*x)/sum(w). The score table is pivoted to one row per
-  pair (one shuffle of that small table), then each task folds its weighted
-  rows into partial sums per resample and only those partial sums are
-  shuffled, so it scales with the data.
+  resample mean is sum(w*x)/sum(w). Each task folds its weighted rows into
+  partial sums per resample and only those partial sums are shuffled. It takes
+  the wide score frame (one row per pair) as it is; a long score table is
+  pivoted first (one shuffle of that table).
+
+The method is the caller's choice (``exact`` unless told otherwise) and never
+changes with the size of the input.
 """
 
 from __future__ import annotations
@@ -29,18 +32,18 @@ from pyspark.sql import functions as F
 
 from precis.constants import BOOTSTRAP_CONFIDENCE, BOOTSTRAP_SAMPLES
 from precis.operators.ids import global_index
-from precis.session import BROADCAST_ROW_LIMIT, materialize
+from precis import session
+from precis.session import measured_bytes, written
 
 MEASURES = ("precision", "recall", "fmeasure")
-EXACT_ROW_LIMIT = 1_000_000
 _TWO_32 = 4294967296.0
 
 
 def check_params(confidence: float, n_samples: int) -> None:
     if confidence < 0 or confidence > 1:
-        raise ValueError("confidence_interval must be in range [0, 1]")
+        raise ValueError(f"confidence {confidence} is not between 0 and 1")
     if n_samples <= 0:
-        raise ValueError("n_samples must be positive")
+        raise ValueError(f"{n_samples} resamples: at least one is needed")
 
 
 def quantiles(confidence: float) -> list[float]:
@@ -48,13 +51,6 @@ def quantiles(confidence: float) -> list[float]:
     return [delta, 0.5, 1 - delta]
 
 
-def uniform_from(key: Column, part: int = 0) -> Column:
-    """u in [0, 1) from 32 bits of md5(key): hex digits 8*part+1 .. 8*part+8.
-
-    One md5 gives four independent uniforms (part 0..3)."""
-    return F.conv(F.substring(F.md5(key), 8 * part + 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)
-
-
 def _uniform_block(h: Column, index_name: str, block: Column, limit) -> Column:
     """array of 4 structs (index = 4*block + part, u) from one md5 hex digest
     ``h`` - pass a projected column, so the digest is computed once."""
@@ -106,11 +102,9 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     check_params(confidence, n_samples)
     spark = scores.sparkSession
     # The score table is read several times below: evaluate it once.
-    scores = materialize(scores.select("id", "score_type", *MEASURES))
+    scores = written(scores.select("id", "score_type", *MEASURES), "scores")
     ids = scores.select("id").distinct()
     n = ids.count()
-    if n > EXACT_ROW_LIMIT:
-        raise ValueError(f"{n} rows: use bootstrap_poisson above {EXACT_ROW_LIMIT}")
     if n == 0:
         return spark.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
     indexed = global_index(ids, ["id"], "idx")
@@ -126,9 +120,8 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
         "b", F.floor(F.col("u") * F.lit(n)).cast("long").alias("pick")
     )
     mult = draws.groupBy("b", "pick").count()
-    # n <= EXACT_ROW_LIMIT, so the per-id score rows have a proven bound.
-    per_row = scores.join(indexed, "id").select(F.col("idx").alias("pick"), "score_type", *MEASURES)
-    if n * 3 <= BROADCAST_ROW_LIMIT:
+    per_row = written(scores.join(indexed, "id").select(F.col("idx").alias("pick"), "score_type", *MEASURES), "indexed-scores")
+    if measured_bytes(per_row) <= session.BROADCAST_BYTES:
         per_row = F.broadcast(per_row)
     joined = mult.join(per_row, "pick")
     means = joined.groupBy("score_type", "b").agg(
@@ -139,17 +132,27 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
 
 def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
                       confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0, types=None) -> DataFrame:
-    """Poisson(1) weight of row ``id`` in resample b: inverse CDF of u from
-    md5("seed-p-id-(b div 4)"), 32-bit part b mod 4. The weight depends on the
-    id only, so the long table is first turned into one row per id (all score
-    types side by side) and each weight is drawn once for all types."""
-    check_params(confidence, n_samples)
+    """Poisson bootstrap of a long score table, turned into one row per id first."""
     if types is None:  # a few names; pass them to skip this extra job
         types = [r[0] for r in scores.select("score_type").distinct().collect()]
     types = sorted(types)
+    wide = scores.groupBy("id").pivot("score_type", types).agg(
+        F.min(F.struct(*MEASURES)).alias("s")) if types else scores.select("id")  # one row per (id, type)
+    return bootstrap_poisson_wide(wide, types, n_samples, confidence, seed)
+
+
+def bootstrap_poisson_wide(wide: DataFrame, types, n_samples: int = BOOTSTRAP_SAMPLES,
+                           confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0) -> DataFrame:
+    """``wide``: id and one struct of measures per score type, as ``score_columns`` gives.
+
+    Poisson(1) weight of row ``id`` in resample b: inverse CDF of u from
+    md5("seed-p-id-(b div 4)"), 32-bit part b mod 4. The weight depends on the id
+    only, so each is drawn once for all types."""
+    check_params(confidence, n_samples)
+    types = sorted(types)
     if not types:
-        return scores.sparkSession.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
-    wide = scores.groupBy("id").pivot("score_type", types).agg(*[F.min(m).alias(m) for m in MEASURES])  # one row per (id, type)
+        return wide.sparkSession.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
+    wide = wide.select("id", *[F.col(f"`{t}`.{m}").alias(f"{t}_{m}") for t in types for m in MEASURES])
     cols = [f"{t}_{m}" for t in types for m in MEASURES]
     nb = (n_samples + 3) // 4
     rep = wide.select("id", *[F.col(f"`{c}`").alias(c) for c in cols],
@@ -177,16 +180,13 @@ def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     return _intervals(means, confidence)
 
 
-def aggregate_scores(scores: DataFrame, method: str = "auto", types=None, **kw) -> DataFrame:
-    """``exact`` up to ``EXACT_ROW_LIMIT`` pairs, ``poisson`` beyond (``auto``)."""
+def aggregate_scores(scores: DataFrame, method: str = "exact", types=None, **kw) -> DataFrame:
+    """Intervals by the named method: ``exact`` or ``poisson``."""
     if method == "exact":
         return bootstrap_exact(scores, **kw)
     if method == "poisson":
         return bootstrap_poisson(scores, types=types, **kw)
-    if method != "auto":
-        raise ValueError(f"unknown bootstrap method {method}")
-    n = scores.select("id").distinct().count()
-    return bootstrap_exact(scores, **kw) if n <= EXACT_ROW_LIMIT else bootstrap_poisson(scores, types=types, **kw)
+    raise ValueError(f"unknown bootstrap method {method!r}")
 
 
 def aggregate_report(intervals: DataFrame) -> DataFrame:

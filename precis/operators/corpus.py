@@ -80,16 +80,16 @@ def filter_article_tokens(text, words) -> Column:
 
 
 def stories_to_pairs(df: DataFrame, id_col: str = "id", content_col: str = "content",
-                     language: str = "english", strict_end: bool = False) -> DataFrame:
-    """(id, content) story texts -> (id, article, summary). ``strict_end``
-    uses the intended end-character list for the missing-period fix."""
-    lined = with_story_lines(df.select(F.col(id_col).alias("id"), F.col(content_col).alias("_content")), "_content",
+                     language: str = "english", strict_end: bool = False, keep=()) -> DataFrame:
+    """(id, content) story texts -> (id, article, summary) and the columns ``keep``.
+    ``strict_end`` uses the intended end-character list for the missing-period fix."""
+    lined = with_story_lines(df.select(F.col(id_col).alias("id"), *keep, F.col(content_col).alias("_content")), "_content",
                              strict_end=strict_end)
     parsed = split_story(lined.drop("_content"))
     article = filter_article_tokens(F.array_join(F.col("article_lines"), " "), stopwords(language))
     summary = wrap_sentences(F.col("highlights"))
     return parsed.select(
-        "id",
+        "id", *keep,
         squeeze_spaces(drop_newlines(article)).alias("article"),
         squeeze_spaces(drop_newlines(summary)).alias("summary"),
     )
@@ -112,28 +112,29 @@ def normalize_articles(df: DataFrame, html_col: str, out_col: str = "article", w
 
 
 def records_to_pairs(df: DataFrame, id_col: str = "id", lexicon: DataFrame | None = None,
-                     language: str = "russian", lemmatize: bool = True) -> DataFrame:
-    """(id, text=HTML, title) -> (id, article, summary); the title is kept raw."""
+                     language: str = "russian", lemmatize: bool = True, keep=()) -> DataFrame:
+    """(id, text=HTML, title) -> (id, article, summary) and the columns ``keep``; the
+    title is kept raw."""
     words = stopwords(language)
-    base = df.select(F.col(id_col).alias("id"), F.col("text").alias("_html"), F.col("title").alias("summary"))
+    base = df.select(F.col(id_col).alias("id"), *keep, F.col("text").alias("_html"), F.col("title").alias("summary"))
     if not lemmatize or lexicon is None:
         out = normalize_articles(base, "_html", "article", words, lemmatize)
-        return out.select("id", "article", "summary")
+        return out.select("id", *keep, "article", "summary")
     staged = with_html_text(base, "_html", "_text").select(
-        "id", split_space(cleanup(F.col("_text"))).alias("tokens"), "summary"
+        "id", *keep, split_space(cleanup(F.col("_text"))).alias("tokens"), "summary"
     )
-    staged = lemmatize_tokens(staged, "tokens", lexicon, id_col="id")
+    staged = lemmatize_tokens(staged, "tokens", lexicon)
     tokens = drop_punct_tokens(drop_stopwords(F.col("tokens"), words))
     article = newlines_to_space(squeeze_spaces(F.array_join(tokens, " ")))
-    return staged.select("id", article.alias("article"), "summary")
+    return staged.select("id", *keep, article.alias("article"), "summary")
 
 
 # ---------------------------------------------------------------------------
 # Lemmatization by lexicon
 # ---------------------------------------------------------------------------
 
-def lemmatize_tokens(df: DataFrame, tokens_col: str, lexicon: DataFrame, id_col: str = "id",
+def lemmatize_tokens(df: DataFrame, tokens_col: str, lexicon: DataFrame,
                      form_col: str = "form", lemma_col: str = "lemma") -> DataFrame:
     """Replace every token that has an entry in ``lexicon(form, lemma)``;
     tokens without an entry are kept (a missing lexicon means identity)."""
-    return map_tokens(df, tokens_col, lexicon, form_col, lemma_col, id_col)
+    return map_tokens(df, tokens_col, lexicon, form_col, lemma_col)

@@ -3,73 +3,89 @@
 * ``global_index`` numbers rows 0..n-1 in a total order. It sorts once (range
   partitioning, so every task holds a contiguous slice), stamps each row with
   ``monotonically_increasing_id`` (partition index in the high bits, position
-  in the low 33 bits), cuts the lineage with a reliable checkpoint so that the
+  in the low 33 bits), writes the stamped rows to the shared folder so that the
   stamps are fixed, and adds the row count of all earlier partitions. Only one
   row per partition reaches the driver.
-* ``prefix_offsets`` is a running sum in two levels (block totals on the
-  driver, windows partitioned by block).
+* ``prefix_offsets`` is a running sum in two levels of about sqrt(n) rows.
 * ``with_dense_ids`` turns (group, position-in-group) into global ids from
   per-group counts - no sort of the rows themselves.
+* ``keys_at`` finds the keys at given ranks, for splits by position.
 * ``join_per_group`` attaches a one-row-per-group table: broadcast under a
-  checked size, a salted join beyond it, so a hot group is never one task.
+  measured size, a salted join beyond it, so a hot group is never one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import math
 
 from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from precis.session import materialize
+from precis import session
+from precis.session import measured_bytes, written
 
 _LOW_BITS = 33
+GROUP_SALTS = 16
 
 
-def global_index(df: DataFrame, order_cols, name: str = "idx", checkpoint: bool = True) -> DataFrame:
-    """Add ``name``: 0-based rank of each row in ``order_cols`` (must be unique)."""
-    spark = df.sparkSession
-    cols = [c for c in df.columns]
+def _stamped(df: DataFrame, order_cols) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rows with ``_pid`` and ``_pos`` (partition and place of the sorted order),
+    written once, and (partition, rows before it) for every partition."""
     # The range-partitioned sort samples its input and then reads it again:
     # keep the input cached while the sorted, stamped rows are written out.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ordered = src.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
-    if checkpoint:
-        try:
-            ordered = materialize(ordered)
-        finally:
-            src.unpersist()
-    ordered = ordered.withColumn("_pid", F.shiftright("_mono", _LOW_BITS))
-    counts = ordered.groupBy("_pid").count().orderBy("_pid").collect()
-    offsets, running = [], 0
-    for row in counts:  # one row per partition
-        offsets.append((int(row["_pid"]), running))
+    try:
+        mono = F.col("_mono")
+        rows = src.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
+        rows = rows.withColumn("_pid", F.shiftright(mono, _LOW_BITS))
+        rows = written(rows.withColumn("_pos", mono - F.shiftleft("_pid", _LOW_BITS)).drop("_mono"), "ranked")
+    finally:
+        src.unpersist()
+    before, running = [], 0
+    for row in rows.groupBy("_pid").count().orderBy("_pid").collect():  # one row per partition
+        before.append((int(row["_pid"]), running))
         running += int(row["count"])
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
-    pos = F.col("_mono") - F.shiftleft(F.col("_pid"), _LOW_BITS)
-    return (
-        ordered.join(F.broadcast(off_df), "_pid")
-        .select(*cols, (F.col("_off") + pos).alias(name))
-    )
+    return rows, before
+
 
+def global_index(df: DataFrame, order_cols, name: str = "idx") -> DataFrame:
+    """Add ``name``: 0-based rank of each row in ``order_cols`` (must be unique)."""
+    rows, before = _stamped(df, order_cols)
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_pid long, _off long")
+    return rows.join(F.broadcast(offsets), "_pid").select(*df.columns, (F.col("_off") + F.col("_pos")).alias(name))
+
+
+def keys_at(df: DataFrame, key: str, ranks: list[int]) -> list:
+    """The key at each 0-based rank of ``key`` (unique); None beyond the last
+    row. Only keys are sorted, and only the wanted ones reach the driver."""
+    rows, before = _stamped(df.select(key), [key])
+    at = F.lit(False)
+    wanted = {}
+    for rank in ranks:
+        inside = [(pid, off) for pid, off in before if off <= rank]
+        if rank >= 0 and inside:
+            pid, off = inside[-1]
+            wanted[rank] = (pid, rank - off)
+            at = at | ((F.col("_pid") == pid) & (F.col("_pos") == rank - off))
+    found = {(r["_pid"], r["_pos"]): r[key] for r in rows.where(at).collect()}  # one row per rank
+    return [found.get(wanted.get(rank)) for rank in ranks]
 
 
 def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "offset",
-                   block_rows: int = 100_000) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """Exclusive running sum of ``count_col`` in ``order_col`` order (unique).
 
     Two levels, so no window covers all rows: rows are ranked with
-    ``global_index`` and cut into blocks of ``block_rows``; block totals (one
-    row per block) are summed on the driver, and the running sum inside a
-    block is a window partitioned by block."""
-    from pyspark.sql import Window
-
+    ``global_index`` and cut into about sqrt(n) blocks; block totals are summed
+    on the driver, and the running sum inside a block is a window partitioned
+    by block."""
     spark = df.sparkSession
-    ranked = global_index(df, [order_col], "_rank").withColumn(
-        "_blk", F.floor(F.col("_rank") / F.lit(block_rows)).cast("long"))
-    totals = ranked.groupBy("_blk").agg(F.sum(count_col).alias("_tot")).orderBy("_blk").collect()
+    ranked = global_index(df, [order_col], "_rank")
+    block_rows = block_rows or max(1000, math.isqrt(ranked.count()))
+    ranked = ranked.withColumn("_blk", F.floor(F.col("_rank") / F.lit(block_rows)).cast("long"))
     starts, running = [], 0
-    for r in totals:  # one row per block of rows
+    for r in ranked.groupBy("_blk").agg(F.sum(count_col).alias("_tot")).orderBy("_blk").collect():  # sqrt(n) rows
         starts.append((int(r["_blk"]), running))
         running += int(r["_tot"])
     blocks = spark.createDataFrame(starts or [(0, 0)], "_blk long, _start long")
@@ -82,51 +98,32 @@ def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "o
     )
 
 
-def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line") -> DataFrame:
+def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line",
+                   counts: DataFrame | None = None) -> DataFrame:
     """Dense 0-based ids over all groups (files, documents) in key order from
     (group, position-in-group) columns; the rows themselves are never sorted.
 
-    Per-group row counts (one small row per group) become offsets: up to
-    ``BROADCAST_ROW_LIMIT`` groups they are fetched in one job (``limit(N+1)``
-    proves the bound), summed on the driver and broadcast back; beyond that
-    ``prefix_offsets`` computes them distributed and they are joined back."""
-    from precis.session import BROADCAST_ROW_LIMIT
-
-    spark = df.sparkSession
-    counts = df.groupBy(file_col).count()
-    head = counts.limit(BROADCAST_ROW_LIMIT + 1).collect()
-    if len(head) <= BROADCAST_ROW_LIMIT:
-        rows, running = [], 0
-        for r in sorted(head, key=lambda r: r[file_col]):
-            rows.append((r[file_col], running))
-            running += int(r["count"])
-        key_type = counts.schema[file_col].dataType.simpleString()
-        offsets = F.broadcast(spark.createDataFrame(rows, f"`{file_col}` {key_type}, _off long"))
-        joined = df.join(offsets, file_col)
-    else:
-        offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
-        joined = join_per_group(df, offsets, file_col, salt_from=[F.col(line_col)])
+    ``counts`` (group, ``count``) saves counting the rows where the sizes of the
+    groups are known before they are taken apart."""
+    counts = df.groupBy(file_col).count() if counts is None else counts
+    offsets = prefix_offsets(counts, file_col, "count", "_off").select(file_col, "_off")
+    joined = join_per_group(df, offsets, file_col, salt_from=[F.col(line_col)])
     return joined.withColumn(name, F.col("_off") + F.col(line_col)).drop("_off")
 
 
-GROUP_SALTS = 16
-
-
-def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from, how: str = "inner",
+def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from: list[Column], how: str = "inner",
                    salts: int = GROUP_SALTS) -> DataFrame:
     """Join a table with one row per group (offsets, first positions, minima)
     onto rows of which one group may hold a large share.
 
-    Under ``BROADCAST_ROW_LIMIT`` groups (checked with ``limit(N+1)``) the
-    per-group table is broadcast. Beyond it the join is salted: every row gets
-    a salt from ``salt_from`` columns and the per-group table is replicated
-    once per salt (``explode``, no cross join), so a hot group is spread over
-    ``salts`` join partitions."""
-    from precis.session import BROADCAST_ROW_LIMIT
-
+    The per-group table is evaluated once. Under ``BROADCAST_BYTES`` (measured) it
+    is broadcast. Beyond it the join is salted: every row gets a salt from
+    ``salt_from`` columns and the per-group table is replicated once per salt
+    (``explode``, no cross join), so a hot group is spread over ``salts`` join
+    partitions."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    n = per_group.limit(BROADCAST_ROW_LIMIT + 1).count()
-    if n <= BROADCAST_ROW_LIMIT:
+    per_group = written(per_group, "per-group")
+    if measured_bytes(per_group) <= session.BROADCAST_BYTES:
         return rows.join(F.broadcast(per_group), keys, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)))
     seq = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))

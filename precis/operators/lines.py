@@ -1,8 +1,8 @@
 """User functions over lines and pluggable scorers (the UDF surface).
 
 ``map_lines``: apply ``worker(line, *payload)`` to every line of a line
-table with ``mapInPandas``; ``None`` results are dropped and the line id is
-kept, so ordered output is ``orderBy(id)`` at the sink.
+table with ``mapInPandas``; ``None`` results are dropped and the columns that
+number a line are kept, so ordered output is a sort by them at the sink.
 
 ``score_with``: any object with ``score(target, prediction) -> {type: (p, r, f)}``
 is run per pair in ``mapInPandas`` and produces the long score table.
@@ -15,19 +15,24 @@ from typing import Callable, Iterator, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precis.operators.rouge import SCORE_SCHEMA
 
 
-def map_lines(df: DataFrame, worker: Callable, *payload, line_col: str = "value", id_col: str = "line",
+def map_lines(df: DataFrame, worker: Callable, *payload, line_col: str = "value", id_col="line",
               out_col: str = "value") -> DataFrame:
+    """``id_col`` is one column or several (such as file, line, sub-line)."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    rows = df.select(*ids, F.col(line_col).alias("_line"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vals = [worker(v, *payload) for v in pdf[line_col]]
-            out = pd.DataFrame({id_col: pdf[id_col].astype("int64"), out_col: vals})
+            out = pdf[ids].copy()
+            out[out_col] = pd.Series([worker(v, *payload) for v in pdf["_line"]], index=pdf.index, dtype=object)
             yield out[out[out_col].notna()]
 
-    return df.select(id_col, line_col).mapInPandas(run, f"{id_col} long, {out_col} string")
+    return rows.mapInPandas(run, T.StructType(rows.schema.fields[:-1] + [T.StructField(out_col, T.StringType())]))
 
 
 class Scorer(Protocol):

@@ -1,81 +1,98 @@
 """Replace every element of an ``array<string>`` column through a key -> value table.
 
 Used by lemmatization (form -> lemma) and corpus encoding (token -> id).
-The table's size is checked before anything is shipped:
+Three ways with the same result, picked by the measured size of the table:
 
-* up to ``LITERAL_LIMIT`` keys: a literal map inside ``transform`` (JVM only);
-* up to ``BROADCAST_LIMIT`` keys: a per-executor dictionary (Spark broadcast
-  variable) applied to whole token arrays in an Arrow-batched UDF;
-* larger: posexplode -> salted join -> regroup by row id. A frequent token
-  (one key holding a large share of all occurrences) is split over
-  ``SALTS`` join partitions: each occurrence gets a salt from (row id,
-  position) and the table is replicated once per salt.
+* a few keys: a literal map inside ``transform`` (JVM only);
+* up to ``BROADCAST_BYTES``: the table as two Arrow arrays in a broadcast
+  variable; all tokens of an Arrow batch are looked up at once;
+* larger: posexplode -> salted join -> regroup by row. A frequent token (one key
+  holding a large share of all occurrences) is split over ``SALTS`` join
+  partitions: each occurrence gets a salt from (row, position) and the table is
+  replicated once per salt.
 
-None of the paths emits pairs or collects more than one row's tokens.
+Null tokens stay in their place: they become ``default``, or null without one. A
+null array stays null, and rows are told apart by themselves, not by an id.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from precis.functions.tokens import explode_tokens
+from precis import session
+from precis.session import measured_bytes, written
 
-LITERAL_LIMIT = 256
-BROADCAST_LIMIT = 1_000_000
+LITERAL_KEYS = 256
 SALTS = 16
 
 
 def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, value_col: str,
-               id_col: str, default=None, out_col: str | None = None) -> DataFrame:
+               default=None, out_col: str | None = None) -> DataFrame:
     """``out_col = transform(tokens, t -> coalesce(table[t], default or t))``."""
     out_col = out_col or tokens_col
-    spark = df.sparkSession
     # one value per key, chosen deterministically (a recomputed task must pick
     # the same lemma when a form has several)
-    tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).groupBy("_k").agg(
+    tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).where("_k is not null").groupBy("_k").agg(
         F.min("_v").alias("_v"))
-    value_type = tab.schema["_v"].dataType
-    fallback = (lambda t: F.lit(default).cast(value_type)) if default is not None else (lambda t: t.cast(value_type))
-    # Size check and fetch in one job; never more than BROADCAST_LIMIT + 1 rows
-    # reach the driver.
-    head = tab.limit(BROADCAST_LIMIT + 1).collect()
-    n = len(head)
-    if n == 0:
+    tab = written(tab, "lookup")
+    small = measured_bytes(tab) <= session.BROADCAST_BYTES
+    if small and tab.count() <= LITERAL_KEYS:
+        return _by_literal(df, tokens_col, tab, default, out_col)
+    return (_by_broadcast if small else _by_join)(df, tokens_col, tab, default, out_col)
+
+
+def _fallback(tab: DataFrame, default):
+    kind = tab.schema["_v"].dataType
+    return lambda t: t.cast(kind) if default is None else F.lit(default).cast(kind)
+
+
+def _by_literal(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
+    pairs = sorted((r["_k"], r["_v"]) for r in tab.collect())  # LITERAL_KEYS rows at most
+    fallback = _fallback(tab, default)
+    if not pairs:
         return df.withColumn(out_col, F.transform(F.col(tokens_col), fallback))
+    m = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return df.withColumn(out_col, F.transform(F.col(tokens_col), lambda t: F.coalesce(m[t], fallback(t))))
+
+
+def _by_broadcast(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
+    kind = to_arrow_type(tab.schema["_v"].dataType)
+    arrow = tab.toArrow().combine_chunks()  # its size has been measured
+    shared = df.sparkSession.sparkContext.broadcast(
+        (arrow.column("_k").combine_chunks().cast(pa.string()), arrow.column("_v").combine_chunks().cast(kind)))
 
-    if n <= BROADCAST_LIMIT:
-        pairs = {r["_k"]: r["_v"] for r in head}
-        if n <= LITERAL_LIMIT:
-            m = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
-            return df.withColumn(out_col, F.transform(F.col(tokens_col), lambda t: F.coalesce(m[t], fallback(t))))
-        bc = spark.sparkContext.broadcast(pairs)
+    @F.arrow_udf(T.ArrayType(tab.schema["_v"].dataType))
+    def looked_up(tokens: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        flat = tokens.flatten().cast(pa.string())
+        found = values.take(pc.index_in(flat, value_set=keys))
+        rest = flat.cast(kind) if default is None else pa.scalar(default, kind)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.ListArray.from_arrays(ends, pc.coalesce(found, rest), mask=pc.is_null(tokens))
 
-        @F.pandas_udf(T.ArrayType(value_type))
-        def _lookup(s: pd.Series) -> pd.Series:
-            d = bc.value
-            if default is None:
-                return s.map(lambda arr: None if arr is None else [d.get(t, t) for t in arr])
-            return s.map(lambda arr: None if arr is None else [d.get(t, default) for t in arr])
+    return df.withColumn(out_col, looked_up(F.col(tokens_col)))
 
-        return df.withColumn(out_col, _lookup(F.col(tokens_col)))
 
-    exploded = explode_tokens(df, tokens_col, "_tok", "_pos", keep=[F.col(id_col).alias("_id")])
-    exploded = exploded.withColumn("_salt", F.pmod(F.xxhash64("_id", "_pos"), F.lit(SALTS)))
+def _by_join(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
+    # the row numbers are fixed by writing them once
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
+    tokens = rows.select("_row", F.posexplode_outer(tokens_col).alias("_pos", "_tok")).where("_pos is not null")
+    tokens = tokens.withColumn("_salt", F.pmod(F.xxhash64("_row", "_pos"), F.lit(SALTS)))
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    salted = tab.select("_k", "_v", F.explode(salts).alias("_salt"))
-    cond = (exploded["_tok"] == salted["_k"]) & (exploded["_salt"] == salted["_salt"])
-    mapped = exploded.join(salted, cond, "left").select(
-        "_id", "_pos", F.coalesce(F.col("_v"), fallback(F.col("_tok"))).alias("_val")
-    )
-    regrouped = mapped.groupBy("_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_val"))), lambda x: x["_val"]).alias("_mapped")
-    )
-    empty = F.array().cast(T.ArrayType(value_type))
-    return (
-        df.join(regrouped, df[id_col] == regrouped["_id"], "left")
-        .withColumn(out_col, F.when(F.col(tokens_col).isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_mapped"), empty)))
-        .drop("_id", "_mapped")
-    )
+    salted = tab.select("_k", "_v", F.explode(salts).alias("_salt2"))
+    cond = (F.col("_tok") == F.col("_k")) & (F.col("_salt") == F.col("_salt2"))
+    value = F.coalesce(F.col("_v"), _fallback(tab, default)(F.col("_tok")))
+    mapped = tokens.join(salted, cond, "left").select(F.col("_row").alias("_of"), "_pos", value.alias("_val"))
+    # one group is one row's tokens
+    regrouped = mapped.groupBy("_of").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_val"))), lambda x: x["_val"]).alias("_mapped"))
+    empty = F.array().cast(T.ArrayType(tab.schema["_v"].dataType))
+    out = F.when(F.col(tokens_col).isNotNull(), F.coalesce(F.col("_mapped"), empty))
+    return rows.join(regrouped, F.col("_row") == F.col("_of"), "left").withColumn(out_col, out).drop("_row", "_of", "_mapped")

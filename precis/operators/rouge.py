@@ -19,7 +19,7 @@ from precis.constants import DEFAULT_ROUGE_TYPES
 from precis.functions.lcs import lcs_length, lsum_hits
 from precis.functions.porter import stem
 from precis.functions.text import split_sentences
-from precis.functions.tokens import count_ngrams, explode_tokens, multiset_overlap, ngrams, rouge_tokens
+from precis.functions.tokens import count_ngrams, multiset_overlap, ngrams, rouge_tokens
 
 SCORE_SCHEMA = "id long, score_type string, precision double, recall double, fmeasure double"
 MEASURES = ("precision", "recall", "fmeasure")
@@ -33,10 +33,10 @@ def check_rouge_types(types) -> list[str]:
             continue
         if re.match(r"rouge[0-9]$", t):
             if int(t[5:]) <= 0:
-                raise ValueError(f"rougen requires positive n: {t}")
+                raise ValueError(f"{t}: n-grams have at least one token")
             out.append(t)
             continue
-        raise ValueError(f"Invalid rouge type: {t}")
+        raise ValueError(f"no such measure: {t!r}")
     return out
 
 
@@ -46,8 +46,13 @@ def stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda arr: None if arr is None else _stem_list(arr))
 
 
+def stem_if_long(token: str) -> str:
+    """Stem (extended Porter) of a token of more than three characters; others as they are."""
+    return stem(token, True) if len(token) > 3 else token
+
+
 def _stem_list(arr):
-    out = [stem(t) if len(t) > 3 else t for t in arr]
+    out = [stem_if_long(t) for t in arr]
     return [t for t in out if t and t.isascii() and t.isalnum() and t.lower() == t]
 
 
@@ -60,8 +65,8 @@ def stem_sentence_tokens(sents: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def stem_word(words: pd.Series) -> pd.Series:
-    """Porter stem of one token per row (per-process cache)."""
-    return words.map(lambda w: None if w is None else stem(w))
+    """``stem_if_long`` of one token per row."""
+    return words.map(lambda w: None if w is None else stem_if_long(w))
 
 
 @F.pandas_udf(T.LongType())
@@ -191,14 +196,27 @@ def ngram_table(df: DataFrame, n_values=(1, 2, 3), target: str = "target", predi
     each n-gram occurs in the target and in the prediction."""
     toks = df.select(F.col(id_col).alias("id"), rouge_tokens(F.col(target)).alias("t"),
                      rouge_tokens(F.col(prediction)).alias("p"))
-    parts = []
-    for n in n_values:
-        side_t = explode_tokens(toks, ngrams(F.col("t"), n), "ngram", keep=["id", F.lit(n).alias("n")]).select(
-            "id", "n", "ngram", F.lit(1).cast("long").alias("tc"), F.lit(0).cast("long").alias("pc"))
-        side_p = explode_tokens(toks, ngrams(F.col("p"), n), "ngram", keep=["id", F.lit(n).alias("n")]).select(
-            "id", "n", "ngram", F.lit(0).cast("long").alias("tc"), F.lit(1).cast("long").alias("pc"))
-        parts += [side_t, side_p]
-    allg = parts[0]
-    for p in parts[1:]:
-        allg = allg.unionByName(p)
-    return allg.groupBy("id", "n", "ngram").agg(F.sum("tc").alias("tc"), F.sum("pc").alias("pc"))
+
+    def tagged(side: str, n: int, prediction: int):
+        return F.transform(ngrams(F.col(side), n), lambda g: F.struct(
+            F.lit(n).alias("n"), g.alias("ngram"), F.lit(prediction).alias("s")))
+
+    # counted inside the row: sort, then measure the runs of equal (n, ngram)
+    grams = toks.select("id", F.sort_array(F.concat(*[
+        tagged(side, n, k) for n in n_values for k, side in enumerate(("t", "p"))])).alias("g"))
+    g = F.col("g")
+    # (outer explode and null rows dropped after it: no condition on the arrays is pushed below them)
+    places = F.when(F.size(g) > 0, F.sequence(F.lit(1), F.size(g)))
+    starts = F.filter(places, lambda i: (i == 1) | (
+        F.struct(F.get(g, i - 1)["n"], F.get(g, i - 1)["ngram"]) != F.struct(F.get(g, i - 2)["n"], F.get(g, i - 2)["ngram"])))
+    runs = grams.select("id", "g", starts.alias("at"))
+    size = F.size("g")
+
+    def counted(i, k):
+        end = F.coalesce(F.get(F.col("at"), k + 1), size + 1)
+        both = end - i
+        ours = F.size(F.filter(F.slice(g, i, both), lambda x: x["s"] == 0))
+        return F.struct(F.get(g, i - 1)["n"].alias("n"), F.get(g, i - 1)["ngram"].alias("ngram"),
+                        ours.cast("long").alias("tc"), (both - ours).cast("long").alias("pc"))
+
+    return runs.select("id", F.transform("at", counted).alias("c")).select("id", F.inline_outer("c")).where("n is not null")

@@ -1,42 +1,40 @@
 """Position-based splits and samples of an aligned pair table.
 
-Positions are dense ranks of the pair id (``global_index``), never ``limit``.
-The only driver-side values are the row count and the thresholds.
+A split by position needs only the keys at its boundaries: they are found on
+the key column alone (``keys_at``), and the rows are then told apart by comparing
+their key, with no join and no shuffle of texts. The comparison reaches the scan.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.constants import BY_LENGTH, DEFAULT_SPLIT_RATIO, TEST_TAG, TRAIN_TAG, VAL_TAG
-from precis.operators.ids import global_index
+from precis.operators.ids import keys_at
 
 
-def with_position(df: DataFrame, order_col: str = "id", name: str = "pos") -> DataFrame:
-    """``df`` plus its 0-based rank by ``order_col`` (unique). Only the key
-    column is sorted and checkpointed; the rank is joined back by key, so
-    wide rows (texts) move once and are never written to the checkpoint."""
-    if df.columns == [order_col]:
-        return global_index(df, [order_col], name)
-    ranks = global_index(df.select(order_col), [order_col], name)
-    return df.join(ranks, order_col)
+def _before(order_col: str, key) -> Column:
+    """Rows ahead of the row with ``key`` (None: there is no such row, so all)."""
+    return F.lit(True) if key is None else F.col(order_col) < F.lit(key)
 
 
 def ratio_thresholds(n: int, ratio=DEFAULT_SPLIT_RATIO) -> tuple[float, float]:
-    train, val, _ = np.asarray(ratio) / np.sum(ratio) * n
-    return float(train), float(train + val)
+    """Positions (not rounded) at which the validation and the test part begin."""
+    whole = float(sum(ratio))
+    first = ratio[0] / whole * n
+    return first, first + ratio[1] / whole * n
 
 
 def ratio_split(df: DataFrame, order_col: str = "id", ratio=DEFAULT_SPLIT_RATIO) -> DataFrame:
     """``split`` = train for positions < r0*n, val below (r0+r1)*n, else test
     (ratio normalised; a zero share gets no rows)."""
-    n = df.count()
-    t1, t2 = ratio_thresholds(n, ratio)
-    pos = with_position(df, order_col)
-    split = F.when(F.col("pos") < F.lit(t1), TRAIN_TAG).when(F.col("pos") < F.lit(t2), VAL_TAG).otherwise(TEST_TAG)
-    return pos.withColumn("split", split).drop("pos")
+    val, test = (math.ceil(t) for t in ratio_thresholds(df.count(), ratio))
+    first_val, first_test = keys_at(df, order_col, [val, test])
+    split = F.when(_before(order_col, first_val), TRAIN_TAG).when(_before(order_col, first_test), VAL_TAG)
+    return df.withColumn("split", split.otherwise(TEST_TAG))
 
 
 def size_split(df: DataFrame, train_size: int, test_size: int, order_col: str = "id", overlap: bool = False) -> DataFrame:
@@ -45,23 +43,21 @@ def size_split(df: DataFrame, train_size: int, test_size: int, order_col: str =
     ``overlap=True`` reproduces the head/tail script exactly: ``tail -n +N`` is
     1-based, so the N-th row is in train and test, and row N+M-1 in test and
     valid (the result has two duplicated rows)."""
-    pos = with_position(df, order_col)
-    p = F.col("pos")
+    ranks = [train_size, train_size + test_size, train_size - 1, train_size - 1 + test_size, train_size + test_size - 2]
+    key = dict(zip(ranks, keys_at(df, order_col, [max(0, r) for r in ranks])))
+    ahead = {r: _before(order_col, key[r]) for r in ranks}
     if not overlap:
-        split = F.when(p < train_size, "train").when(p < train_size + test_size, "test").otherwise("valid")
-        return pos.withColumn("split", split).drop("pos")
-    first_test = train_size - 1
-    first_valid = train_size + test_size - 2
-    train = pos.where(p < train_size).withColumn("split", F.lit("train"))
-    test = pos.where((p >= first_test) & (p < first_test + test_size)).withColumn("split", F.lit("test"))
-    valid = pos.where(p >= first_valid).withColumn("split", F.lit("valid"))
-    return train.unionByName(test).unionByName(valid).drop("pos")
+        split = F.when(ahead[train_size], "train").when(ahead[train_size + test_size], "test").otherwise("valid")
+        return df.withColumn("split", split)
+    train = F.when(ahead[train_size], F.lit("train"))
+    test = F.when(~ahead[train_size - 1] & ahead[train_size - 1 + test_size], F.lit("test"))
+    valid = F.when(~ahead[train_size + test_size - 2], F.lit("valid"))
+    return df.withColumn("split", F.explode(F.array_compact(F.array(train, test, valid))))
 
 
 def head_tail(df: DataFrame, n: int, order_col: str = "id") -> DataFrame:
     """``part`` = head for the first n rows, tail for the rest."""
-    pos = with_position(df, order_col)
-    return pos.withColumn("part", F.when(F.col("pos") < n, "head").otherwise("tail")).drop("pos")
+    return df.withColumn("part", F.when(_before(order_col, keys_at(df, order_col, [n])[0]), "head").otherwise("tail"))
 
 
 def byte_length_predicate(article_col: str, max_length: int):
@@ -71,7 +67,7 @@ def byte_length_predicate(article_col: str, max_length: int):
 
 def sample_pairs(df: DataFrame, method: str = BY_LENGTH, article_col: str = "article", **kwargs) -> DataFrame:
     if method != BY_LENGTH:
-        raise NotImplementedError(f"Only {{'{BY_LENGTH}'}} are available. This method is not implemented, aborting.")
+        raise NotImplementedError(f"unknown sampling method {method!r}; there is {BY_LENGTH!r}")
     if BY_LENGTH not in kwargs:
         raise KeyError(BY_LENGTH)
     return df.where(byte_length_predicate(article_col, kwargs[BY_LENGTH]))

@@ -5,8 +5,7 @@ task, so a token that is a third of the corpus is pre-aggregated before the
 shuffle) -> dense ids by (count desc, token asc) with ``global_index``
 (range-partitioned sort, no single-task window).
 
-``encode``: token -> id through ``map_tokens`` (literal map, broadcast
-dictionary or join, depending on the checked vocabulary size).
+``encode``: token -> id through ``map_tokens``.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import explode_tokens
-from precis.operators.ids import global_index
+from precis.operators.ids import global_index, join_per_group
 from precis.operators.lookup import map_tokens
 
 
@@ -33,12 +32,11 @@ def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int =
     order = [F.col(by)] if by else []
     indexed = global_index(counts, order + [F.col("count").desc(), F.col("token").asc()], "id")
     if by:
-        # one row per vocabulary: bounded, broadcast
-        first = F.broadcast(indexed.groupBy(by).agg(F.min("id").alias("_first")))
-        indexed = indexed.join(first, by).withColumn("id", F.col("id") - F.col("_first"))
+        first = indexed.groupBy(by).agg(F.min("id").alias("_first"))
+        indexed = join_per_group(indexed, first, by, salt_from=[F.col("id")])
+        indexed = indexed.withColumn("id", F.col("id") - F.col("_first"))
     return indexed.select(*keep, "token", "count", (F.col("id") + F.lit(id_offset)).alias("id"))
 
 
-def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "id", unk_id: int = -1,
-           out_col: str = "ids") -> DataFrame:
-    return map_tokens(df, tokens_col, vocab, "token", "id", id_col, default=unk_id, out_col=out_col)
+def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, unk_id: int = -1, out_col: str = "ids") -> DataFrame:
+    return map_tokens(df, tokens_col, vocab, "token", "id", default=unk_id, out_col=out_col)

@@ -18,6 +18,9 @@ from precis.constants import (
     NEWS_TAG,
     STORIES_TAG,
     SUMMARIES_TAG,
+    TEST_TAG,
+    TRAIN_TAG,
+    VAL_TAG,
 )
 from precis.functions.text import newlines_to_space
 from precis.functions.tokens import whitespace_tokens
@@ -28,7 +31,7 @@ from precis.operators.rouge import example_report, score_pairs
 from precis.operators.split import ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.sources.files import (
-    read_delimited,
+    read_aligned_records,
     read_documents,
     read_lines,
     read_records,
@@ -42,7 +45,9 @@ from precis.sources.sinks import (
     write_pairs_text,
     write_sample,
     write_split,
+    write_split_text,
 )
+from precis.session import written
 
 
 def prepare_stories(spark: SparkSession, story_dirs, target_dir: str, tag: str = STORIES_TAG,
@@ -76,14 +81,15 @@ def process_articles(spark: SparkSession, data_path, save_path: str, lexicon: Da
 
 def map_file_lines(spark: SparkSession, input_path: str, worker, payload=(), output_path: str | None = None,
                    skip_lines: int = 0) -> int:
-    """User function over every line of a file (after ``skip_lines`` header
-    lines); ``None`` results are dropped; the kept lines are written in input
-    order when ``output_path`` is given. Returns the number of kept lines."""
+    """User function over every line of one or several files (after ``skip_lines``
+    header lines each); ``None`` results are dropped; the kept lines are written in
+    input order (file name, line) when ``output_path`` is given. Returns the number
+    of kept lines. The function is called once per line."""
     lines = read_lines(spark, input_path, skip_lines=skip_lines, split_all_breaks=True)
-    ordered_ids = lines.select((F.col("line") * F.lit(1 << 20) + F.col("sub")).alias("line"), "value")
-    out = map_lines(ordered_ids, worker, *payload)
+    place = ["file", "line", "sub"]
+    out = written(map_lines(lines, worker, *payload, id_col=place), "mapped-lines")
     if output_path:
-        write_lines(out, output_path)
+        write_lines(out, output_path, place)
     return out.count()
 
 
@@ -107,35 +113,40 @@ def corpus_vocabularies(pairs: DataFrame, only_source: bool = False, split_col:
 def encode_pairs(pairs: DataFrame, vocabularies: dict, unk_id: int = -1) -> DataFrame:
     """Integer-id arrays per split for the article (and summary) columns."""
     out = pairs.withColumn("_at", whitespace_tokens(F.col("article")))
-    out = encode(out, "_at", vocabularies[ARTICLES_TAG], id_col="id", unk_id=unk_id, out_col="article_ids")
+    out = encode(out, "_at", vocabularies[ARTICLES_TAG], unk_id=unk_id, out_col="article_ids")
     if SUMMARIES_TAG in vocabularies:
         out = out.withColumn("_st", whitespace_tokens(F.col("summary")))
-        out = encode(out, "_st", vocabularies[SUMMARIES_TAG], id_col="id", unk_id=unk_id, out_col="summary_ids")
+        out = encode(out, "_st", vocabularies[SUMMARIES_TAG], unk_id=unk_id, out_col="summary_ids")
     return out.drop("_at", "_st")
 
 
 def read_aligned(spark: SparkSession, articles_path: str, summaries_path: str) -> DataFrame:
-    """Two line files -> (id, article, summary) by line position; unequal line
-    counts raise ``ValueError``."""
-    a = read_delimited(spark, articles_path).select(F.col("line").alias("id"), F.col("value").alias("article"))
-    s = read_delimited(spark, summaries_path).select(F.col("line").alias("id"), F.col("value").alias("summary"))
-    n, m = a.count(), s.count()
-    if n != m:
-        raise ValueError(f"The number of articles and summaries must be the same, got {n} and {m}")
-    return a.join(s, "id")
+    """Line files, or folders of part files, -> (id, article, summary) by (file
+    rank, line); files of unequal length raise ``ValueError``."""
+    return read_aligned_records(spark, articles_path, summaries_path, "\n", ("article", "summary"))
 
 
 def split_files(spark: SparkSession, articles_path: str, summaries_path: str, target: str,
-                ratio=DEFAULT_SPLIT_RATIO) -> DataFrame:
-    pairs = ratio_split(read_aligned(spark, articles_path, summaries_path), "id", ratio)
-    write_split(pairs, target)
+                ratio=DEFAULT_SPLIT_RATIO, as_text: bool = False) -> DataFrame:
+    """Ratio split of aligned files: Parquet by split, or ``as_text`` the files
+    ``{train,val,test}.articles`` and ``.summaries``."""
+    pairs = ratio_split(written(read_aligned(spark, articles_path, summaries_path), "aligned"), "id", ratio)
+    _write_splits(pairs, target, as_text, (TRAIN_TAG, VAL_TAG, TEST_TAG))
     return pairs
 
 
+def _write_splits(pairs: DataFrame, target: str, as_text: bool, splits) -> None:
+    if as_text:
+        write_split_text(pairs, target, splits)
+    else:
+        write_split(pairs, target)
+
+
 def split_by_size(spark: SparkSession, articles_path: str, summaries_path: str, target: str,
-                  train_size: int, test_size: int, overlap: bool = False) -> DataFrame:
-    pairs = size_split(read_aligned(spark, articles_path, summaries_path), train_size, test_size, "id", overlap)
-    write_split(pairs, target)
+                  train_size: int, test_size: int, overlap: bool = False, as_text: bool = False) -> DataFrame:
+    aligned = written(read_aligned(spark, articles_path, summaries_path), "aligned")
+    pairs = size_split(aligned, train_size, test_size, "id", overlap)
+    _write_splits(pairs, target, as_text, ("train", "test", "valid"))
     return pairs
 
 
@@ -143,7 +154,7 @@ def sample_files(spark: SparkSession, articles_path: str, summaries_path: str, t
                  method: str = BY_LENGTH, **kwargs) -> float | None:
     """Keep pairs whose article is shorter than ``length`` bytes (with its
     newline); returns the kept share in percent (two decimals)."""
-    pairs = read_aligned(spark, articles_path, summaries_path)
+    pairs = written(read_aligned(spark, articles_path, summaries_path), "aligned")
     kept = sample_pairs(pairs, method, **kwargs)
     write_sample(kept, target_dir)
     return sample_share(pairs, kwargs[BY_LENGTH]).first()["share"]
@@ -151,7 +162,7 @@ def sample_files(spark: SparkSession, articles_path: str, summaries_path: str, t
 
 def score_files(spark: SparkSession, target_pattern: str, prediction_pattern: str, output: str,
                 rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: bool = False, aggregate: bool = True,
-                delimiter: str = "\n", method: str = "auto", per_example_output: str | None = None,
+                delimiter: str = "\n", method: str = "exact", per_example_output: str | None = None,
                 n_samples: int = 1000, confidence: float = 0.95, seed: int = 0):
     """Scoring job: files -> aligned pairs -> long score table -> bootstrap
     intervals (CSV) and/or per-example scores (CSV)."""

@@ -9,6 +9,8 @@ both sides.
 
 from __future__ import annotations
 
+import math
+
 from precis.constants import (
     CLEANUP_RULES,
     END_CHARS,
@@ -16,9 +18,7 @@ from precis.constants import (
     PUNCTUATION,
     PY_SPACE_CLASS,
 )
-from precis.functions.text import HTML_STRIP_RULES, NATIVE_ENTITIES
 from precis.functions.tokens import stopwords
-from precis.operators.bootstrap import poisson1_cdf, quantiles
 from precis.plans import params as P
 
 
@@ -57,13 +57,21 @@ def NL2SP(x: str) -> str:
     return f"replace({x}, chr(10), ' ')"
 
 
+# Page text by the rules of markup: one alternation, tried from left to right.
+_ATTR = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
+MARKUP = "|".join(
+    [r"<!--.*?(?:-->|\z)"]
+    + [rf"<{tag}\b{_ATTR}>.*?(?:</{tag}\b[^>]*>|\z)" for tag in ("script", "style", "template")]
+    + [r"<[!?][^>]*>", rf"</?[a-z]{_ATTR}>"])
+# References that occur in the pages (others would need the whole HTML table).
+REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def HTML(x: str) -> str:
-    out = chain(x, HTML_STRIP_RULES)
-    for ent, ch in NATIVE_ENTITIES:
-        if ent == "&amp;":
-            out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
-        else:
-            out = f"replace({out}, {q(ent)}, {q(ch)})"
+    out = f"regexp_replace({x}, {q(MARKUP)}, '', 'gis')"
+    for name, char in REFERENCES:
+        out = f"regexp_replace({out}, '&amp;?', '&', 'g')" if char == "&" else f"replace({out}, {q(name)}, {q(char)})"
     return f"replace({out}, chr(160), ' ')"
 
 
@@ -113,7 +121,7 @@ def FMEAS(p: str, r: str) -> str:
 
 
 PAIRS = """pairs AS (
-  SELECT u.conv_id * 10000 + u.turn AS id, u.text AS target, a.text AS prediction
+  SELECT u.conv_id * 4294967296 + u.turn AS id, u.text AS target, a.text AS prediction
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
@@ -236,7 +244,7 @@ SCORE_COLS = f"id, score_type, {R9('precision')} AS precision, {R9('recall')} AS
 
 
 def interval_select(means: str, confidence: float) -> str:
-    qs = "[" + ", ".join(repr(x) for x in quantiles(confidence)) + "]"
+    qs = f"[{(1 - confidence) / 2!r}, 0.5, {1 - (1 - confidence) / 2!r}]"
     parts = []
     for m in ("precision", "recall", "fmeasure"):
         parts.append(
@@ -270,7 +278,10 @@ means AS (SELECT score_type, b,
 
 
 def bootstrap_poisson_ctes(B: int, seed: int) -> str:
-    cdf = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in poisson1_cdf()) + "]"
+    # P(X <= k) of Poisson(1) until it is one to 15 places
+    sums = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(30)]
+    last = next(k for k, x in enumerate(sums) if x >= 1 - 1e-15)
+    cdf = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in sums[:last + 1]) + "]"
     return f"""rep AS (SELECT id, score_type, precision, recall, fmeasure, unnest(range(0, {B})) AS b FROM scores),
 wts AS (SELECT score_type, b, precision, recall, fmeasure,
                CAST(len(list_filter({cdf}, lambda cv: cv <= u)) AS DOUBLE) AS w
@@ -287,6 +298,69 @@ def _story_parse(content: str) -> str:
     return lines
 
 
+# Fixed values of the stemmer, step by step: (ending, replacement).
+STEP2 = """ational ate tional tion enci ence anci ance izer ize bli ble alli al entli ent eli e ousli ous ization ize ation ate
+ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble fulli ful""".split()
+STEP3 = "icate ic ative - alize al iciti ic ical ic ful - ness -".split()
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+IRREGULAR = """skies sky sky sky dying die lying lie tying tie news news innings inning inning inning outings outing outing
+outing cannings canning canning canning howe howe proceed proceed exceed exceed succeed succeed""".split()
+
+
+def stem_ctes(tokens: str) -> str:
+    """CTEs ending in ``stems(token, stem)`` for the table ``tokens(token)``: every step
+    is a table of words with their letters written as c and v."""
+    shape = lambda w: (f"list_reduce(string_split({w}, ''), lambda acc, ch: acc || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') "
+                       "THEN 'v' WHEN ch = 'y' AND right(acc, 1) = 'c' THEN 'v' ELSE 'c' END, '')")
+    cut = lambda n: f"left(w, len(w) - {n})"
+    cv = lambda n: f"left(s, len(w) - {n})"
+    m = lambda n: f"len(regexp_extract_all({cv(n)}, 'v+c+'))"
+    double = "(len(w) >= 2 AND right(w, 1) = substr(w, len(w) - 1, 1) AND right(s, 1) = 'c')"
+    cvc = lambda n: (f"((len(w) - {n} >= 3 AND right({cv(n)}, 3) = 'cvc' AND right({cut(n)}, 1) NOT IN ('w', 'x', 'y')) "
+                     f"OR {cv(n)} = 'vc')")
+
+    def longest(rules, condition):
+        arms = [f"WHEN ends_with(w, '{e}') THEN CASE WHEN {condition(e)} THEN {cut(len(e))} || '{r}' ELSE w END"
+                for e, r in sorted(rules, key=lambda x: -len(x[0]))]
+        return "CASE " + " ".join(arms) + " ELSE w END"
+
+    pairs = lambda flat: [(a, "" if b == "-" else b) for a, b in zip(flat[::2], flat[1::2])]
+    steps = [
+        f"""CASE WHEN ends_with(w, 'ies') AND len(w) = 4 THEN {cut(1)} WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)}
+            WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END""",
+        # a stem that lost ed or ing is marked by a bar for the next step
+        f"""CASE WHEN ends_with(w, 'ied') THEN CASE WHEN len(w) = 4 THEN {cut(1)} ELSE {cut(2)} END
+            WHEN ends_with(w, 'eed') THEN CASE WHEN {m(3)} > 0 THEN {cut(1)} ELSE w END
+            WHEN ends_with(w, 'ed') AND contains({cv(2)}, 'v') THEN {cut(2)} || '|'
+            WHEN ends_with(w, 'ing') AND contains({cv(3)}, 'v') THEN {cut(3)} || '|' ELSE w END""",
+        "w",
+        f"""CASE WHEN NOT bar THEN w WHEN ends_with(w, 'at') OR ends_with(w, 'bl') OR ends_with(w, 'iz') THEN w || 'e'
+            WHEN {double} THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE {cut(1)} END
+            WHEN {m(0)} = 1 AND {cvc(0)} THEN w || 'e' ELSE w END""",
+        f"CASE WHEN ends_with(w, 'y') AND len(w) > 2 AND right({cv(1)}, 1) = 'c' THEN {cut(1)} || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {m(4)} > 0 THEN {cut(2)} ELSE w END",
+        f"""CASE WHEN ends_with(w, 'logi') THEN CASE WHEN {m(3)} > 0 THEN {cut(1)} ELSE w END
+            ELSE {longest(pairs(STEP2), lambda e: f"{m(len(e))} > 0")} END""",
+        longest(pairs(STEP3), lambda e: f"{m(len(e))} > 0"),
+        longest([(e, "") for e in STEP4], lambda e: f"{m(len(e))} > 1" + (
+            f" AND right({cut(3)}, 1) IN ('s', 't')" if e == "ion" else "")),
+        f"CASE WHEN ends_with(w, 'e') AND ({m(1)} > 1 OR ({m(1)} = 1 AND NOT {cvc(1)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {m(1)} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    odd = dict(zip(IRREGULAR[::2], IRREGULAR[1::2]))
+    listed = ", ".join(f"'{w}'" for w in odd)
+    out = [f"w0 AS (SELECT token, token AS w, false AS bar, {shape('token')} AS s FROM {tokens} "
+           f"WHERE len(token) > 3 AND token NOT IN ({listed}))"]
+    for i, step in enumerate(steps):
+        out.append(f"x{i} AS (SELECT token, bar, {step} AS w FROM w{i})")
+        out.append(f"w{i + 1} AS (SELECT token, rtrim(w, '|') AS w, bar OR ends_with(w, '|') AS bar, "
+                   f"{shape(chr(39) + chr(39) + ' || rtrim(w, ' + chr(39) + '|' + chr(39) + ')')} AS s FROM x{i})")
+    irregular = " ".join(f"WHEN '{w}' THEN '{x}'" for w, x in odd.items())
+    out.append(f"stems AS (SELECT token, w AS stem FROM w{len(steps)} UNION ALL "
+               f"SELECT token, CASE token {irregular} ELSE token END FROM {tokens} WHERE len(token) <= 3 OR token IN ({listed}))")
+    return ",\n".join(out)
+
+
 def _queries() -> dict[str, str]:
     Q: dict[str, str] = {}
     clean_doc = SQUEEZE(NL2SP(CLEAN("text")))
@@ -337,6 +411,11 @@ toks AS (SELECT 'articles' AS side, unnest({WTOK('article')}) AS token FROM trai
 c AS (SELECT side, token, count(*) AS count FROM toks GROUP BY side, token)
 SELECT side, token, count, row_number() OVER (PARTITION BY side ORDER BY count DESC, token ASC) - 1 AS id FROM c"""
 
+    lemma = "CASE lm " + " ".join(f"WHEN {q(f)} THEN {q(l)}" for f, l in P.LEXICON) + " ELSE lm END"
+    lemmas = f"list_transform({SPLIT(CLEAN(HTML('html')))}, lambda lm: {lemma})"
+    Q["records_to_pairs_lemmas"] = f"""
+SELECT page_id AS id, {NL2SP(SQUEEZE(JOIN(DROP_PUNCT(DROP_SW(lemmas, 'en')))))} AS article, url AS summary FROM pages"""
+
     lex_case = "CASE lx " + " ".join(f"WHEN {q(f)} THEN {q(l)}" for f, l in P.LEXICON) + " ELSE lx END"
     Q["lemmatize_corpus"] = f"SELECT doc_id, {JOIN(f'list_transform({SPLIT(clean_doc)}, lambda lx: {lex_case})')} AS lemmatized FROM documents"
 
@@ -347,6 +426,11 @@ SELECT side, token, count, row_number() OVER (PARTITION BY side ORDER BY count D
 
     Q["score_tokens"] = f"SELECT doc_id, {JOIN(TOK('text'))} AS tokens, CAST(len({TOK('text')}) AS BIGINT) AS n_tokens FROM documents"
 
+    Q["stem_vocabulary"] = f"""
+WITH tokens AS (SELECT DISTINCT unnest({TOK('text')}) AS token FROM documents),
+{stem_ctes('tokens')}
+SELECT token, stem FROM stems"""
+
     Q["ngram_counts"] = f"""
 WITH {PAIRS},
 tok AS (SELECT id, {TOK('target')} AS t, {TOK('prediction')} AS p FROM pairs),
@@ -392,6 +476,42 @@ SELECT t.key, replace(t.target, ' ##', '') AS target, replace(h.hypothesis, ' ##
 
     Q["rouge_n"] = f"WITH {rouge_n_ctes([1, 2, 3])} SELECT {SCORE_COLS} FROM scores"
 
+    Q["rouge_n_stemmed"] = f"""
+WITH {PAIRS},
+sides AS (SELECT id, 't' AS side, {TOK('target')} AS a FROM pairs UNION ALL SELECT id, 'p', {TOK('prediction')} FROM pairs),
+words AS (SELECT id, side, generate_subscripts(a, 1) AS i, unnest(a) AS token FROM sides),
+tokens AS (SELECT DISTINCT token FROM words),
+{stem_ctes('tokens')},
+stemmed AS (SELECT id, side, i, stem, lead(stem) OVER (PARTITION BY id, side ORDER BY i) AS after FROM words JOIN stems USING (token)),
+grams AS (SELECT id, side, 1 AS n, stem AS gram FROM stemmed
+          UNION ALL SELECT id, side, 2, stem || ' ' || after FROM stemmed WHERE after IS NOT NULL),
+counts AS (SELECT id, n, gram, count(*) FILTER (WHERE side = 't') AS t, count(*) FILTER (WHERE side = 'p') AS p
+           FROM grams GROUP BY id, n, gram),
+sums AS (SELECT id, n, sum(least(t, p)) AS h, sum(t) AS t, sum(p) AS p FROM counts GROUP BY id, n),
+pr AS (SELECT pairs.id, 'rouge' || ns.n AS score_type,
+              coalesce(h, 0)::DOUBLE / greatest(coalesce(p, 0), 1) AS precision, coalesce(h, 0)::DOUBLE / greatest(coalesce(t, 0), 1) AS recall
+       FROM pairs CROSS JOIN (VALUES (1), (2)) ns(n) LEFT JOIN sums ON sums.id = pairs.id AND sums.n = ns.n),
+scores AS (SELECT *, {FMEAS('precision', 'recall')} AS fmeasure FROM pr)
+SELECT {SCORE_COLS} FROM scores"""
+
+    uni = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+'), lambda ut: ut <> '')"
+    Q["custom_scorer"] = f"""
+WITH {PAIRS},
+tok AS (SELECT id, {uni('target')} AS t, {uni('prediction')} AS p FROM pairs),
+words AS (SELECT id, unnest(t) AS x, 1 AS t, 0 AS p FROM tok UNION ALL SELECT id, unnest(p), 0, 1 FROM tok),
+counts AS (SELECT id, x, sum(t) AS t, sum(p) AS p FROM words GROUP BY id, x),
+hits AS (SELECT id, sum(least(t, p))::DOUBLE AS h FROM counts GROUP BY id),
+pr AS (SELECT tok.id, 'unigram' AS score_type, CASE WHEN len(p) > 0 THEN coalesce(h, 0) / len(p) ELSE 0.0 END AS precision,
+              CASE WHEN len(t) > 0 THEN coalesce(h, 0) / len(t) ELSE 0.0 END AS recall FROM tok LEFT JOIN hits USING (id)),
+scores AS (SELECT *, {FMEAS('precision', 'recall')} AS fmeasure FROM pr)
+SELECT {SCORE_COLS} FROM scores"""
+
+    Q["map_lines"] = f"""
+SELECT line, replace(value, 'a', 'A') || '!' AS value FROM (
+  SELECT row_number() OVER (ORDER BY doc_id, ln) - 1 AS line, value FROM (
+    SELECT doc_id, generate_subscripts(arr, 1) AS ln, unnest(arr) AS value FROM (SELECT doc_id, {SPLIT('text', NL)} AS arr FROM documents)))
+WHERE len(value) >= 20"""
+
     Q["rouge_l"] = f"WITH RECURSIVE {rouge_l_ctes()} SELECT {SCORE_COLS} FROM lscores"
 
     Q["rouge_lsum"] = f"WITH RECURSIVE {rouge_lsum_ctes()} SELECT {SCORE_COLS} FROM lsscores"
@@ -456,29 +576,30 @@ SELECT {R9("CASE WHEN h1 = 0 OR h2 = 0 OR h3 = 0 OR h4 = 0 OR c = 0 THEN 0.0 ELS
        c AS sys_len, r AS ref_len
 FROM s"""
 
-    pos = "(SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)"
+    pos = ("(SELECT doc_id, text AS article, split_part(text, chr(10), 1) AS summary, "
+           "row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)")
     r0, r1, r2 = P.SPLIT_RATIO
     tot = r0 + r1 + r2
     Q["ratio_split"] = f"""
-SELECT doc_id, CASE WHEN pos < (CAST({r0} AS DOUBLE) / {tot}) * n THEN 'train'
+SELECT doc_id, article, summary, CASE WHEN pos < (CAST({r0} AS DOUBLE) / {tot}) * n THEN 'train'
                     WHEN pos < (CAST({r0} AS DOUBLE) / {tot}) * n + (CAST({r1} AS DOUBLE) / {tot}) * n THEN 'val'
                     ELSE 'test' END AS split
 FROM {pos}"""
 
     N, M = P.TRAIN_SIZE, P.TEST_SIZE
     Q["size_split"] = f"""
-SELECT doc_id, CASE WHEN pos < {N} THEN 'train' WHEN pos < {N + M} THEN 'test' ELSE 'valid' END AS split FROM {pos}"""
+SELECT doc_id, article, summary, CASE WHEN pos < {N} THEN 'train' WHEN pos < {N + M} THEN 'test' ELSE 'valid' END AS split FROM {pos}"""
     Q["size_split_overlap"] = f"""
-SELECT doc_id, 'train' AS split FROM {pos} WHERE pos < {N}
-UNION ALL SELECT doc_id, 'test' AS split FROM {pos} WHERE pos >= {N - 1} AND pos < {N - 1 + M}
-UNION ALL SELECT doc_id, 'valid' AS split FROM {pos} WHERE pos >= {N + M - 2}"""
+SELECT doc_id, article, summary, 'train' AS split FROM {pos} WHERE pos < {N}
+UNION ALL SELECT doc_id, article, summary, 'test' AS split FROM {pos} WHERE pos >= {N - 1} AND pos < {N - 1 + M}
+UNION ALL SELECT doc_id, article, summary, 'valid' AS split FROM {pos} WHERE pos >= {N + M - 2}"""
     Q["lm_split"] = f"""
 SELECT doc_id, CASE WHEN pos < {N} THEN 'train' WHEN pos < {N + M} THEN 'test' ELSE 'valid' END AS split, article
 FROM (SELECT doc_id, {clean_doc} AS article, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)"""
-    Q["head_tail"] = f"SELECT doc_id, CASE WHEN pos < {P.HEAD_N} THEN 'head' ELSE 'tail' END AS part FROM {pos}"
+    Q["head_tail"] = f"SELECT doc_id, article, summary, CASE WHEN pos < {P.HEAD_N} THEN 'head' ELSE 'tail' END AS part FROM {pos}"
 
     L = P.MAX_LENGTH
-    Q["sample_by_length"] = f"SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) + 1 < {L}"
+    Q["sample_by_length"] = f"SELECT doc_id, text AS article, CAST(strlen(text) + 1 AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) + 1 < {L}"
     Q["sample_share"] = f"""
 SELECT CAST(coalesce(sum(CASE WHEN strlen(text) + 1 < {L} THEN 1 ELSE 0 END), 0) AS BIGINT) AS kept, count(*) AS total,
        round(CASE WHEN count(*) > 0 THEN sum(CASE WHEN strlen(text) + 1 < {L} THEN 1 ELSE 0 END) / count(*) * 100 END, 2) AS share
@@ -498,6 +619,15 @@ SELECT docs.doc_id, coalesce(string_agg(CAST(e.id AS VARCHAR), ' ' ORDER BY e.po
        CAST(coalesce(sum(CASE WHEN e.id = {P.UNK_ID} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_unk
 FROM documents docs LEFT JOIN e ON docs.doc_id = e.doc_id GROUP BY docs.doc_id"""
 
+    Q["encode_articles"] = f"""
+WITH docs AS (SELECT doc_id AS id, CASE WHEN pos < {N} THEN 'train' WHEN pos < {N + M} THEN 'test' ELSE 'valid' END AS split, toks
+              FROM (SELECT doc_id, {vtoks} AS toks, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)),
+t AS (SELECT unnest(toks) AS token FROM docs WHERE split = 'train'),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token ASC) - 1 AS vid FROM t GROUP BY token),
+d AS (SELECT id, generate_subscripts(toks, 1) AS i, unnest(toks) AS token FROM docs),
+e AS (SELECT d.id, string_agg(CAST(coalesce(vid, {P.UNK_ID}) AS VARCHAR), ' ' ORDER BY i) AS ids FROM d LEFT JOIN v USING (token) GROUP BY d.id)
+SELECT docs.id, split, coalesce(ids, '') AS article_ids FROM docs LEFT JOIN e USING (id)"""
+
     Q["corpus_union"] = """
 SELECT 'documents' AS corpus, doc_id AS id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents
 UNION ALL SELECT 'benchmark' AS corpus, item_id AS id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM benchmark"""

@@ -2,7 +2,7 @@
 the whole driver tables (or frames Spark derives from them).
 
 Conversation pairs: target = a user turn, prediction = the assistant turn
-that follows it; pair id = conv_id * 10000 + turn of the user turn. The pair
+that follows it; pair id = conv_id * 2^32 + turn of the user turn. The pair
 join is an equi-join on (conv_id, turn) - no window over a conversation, so a
 single huge conversation does not land in one task.
 """
@@ -33,13 +33,15 @@ from precis.functions.tokens import (
 from precis.operators import bootstrap as B
 from precis.operators.bleu import corpus_bleu
 from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
+from precis.operators.align import align, alignment_counts, ordinals, pair_by_rank
 from precis.operators.ids import global_index, join_per_group, with_dense_ids
 from precis.operators.lines import map_lines, score_with
-from precis.operators.rouge import example_report, ngram_table, score_pairs
+from precis.operators.rouge import example_report, ngram_table, score_columns, score_pairs, stem_word
 from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_share, size_split
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
-from precis.session import materialize, spread
+from precis.plans.jobs import corpus_vocabularies, encode_pairs
+from precis.session import spread, written
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
@@ -47,7 +49,7 @@ MEASURES = ("precision", "recall", "fmeasure")
 
 # Text tables and their id columns: spread over the cores when the scan has
 # fewer splits than that (the test files are one row group each).
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
+SPREAD_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "benchmark": ["item_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,7 @@ def conversation_pairs(spark, sf_dir) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")
     )
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "target", "prediction"
+        (F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("id"), "target", "prediction"
     )
 
 
@@ -122,10 +124,18 @@ def q_records_to_pairs(spark, sf_dir):
     return records_to_pairs(records, language="english")
 
 
+def q_records_to_pairs_lemmas(spark, sf_dir):
+    """The news job as it runs by default: with a lexicon."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.col("html").alias("text"), F.col("url").alias("title"))
+    lexicon = spark.createDataFrame(P.LEXICON, "form string, lemma string")
+    return records_to_pairs(pages, lexicon=lexicon, language="english")
+
+
 def q_lemmatize_corpus(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", split_space(clean_doc()).alias("tokens"))
     lex = spark.createDataFrame(P.LEXICON, "form string, lemma string")
-    out = lemmatize_tokens(d, "tokens", lex, id_col="doc_id")
+    out = lemmatize_tokens(d, "tokens", lex)
     return out.select("doc_id", F.array_join("tokens", " ").alias("lemmatized"))
 
 
@@ -145,8 +155,6 @@ def q_score_tokens(spark, sf_dir):
 
 
 def q_stem_vocabulary(spark, sf_dir):
-    from precis.operators.rouge import stem_word
-
     # distinct-vocabulary job: every distinct scoring token is stemmed once
     docs = table(spark, sf_dir, "documents")
     toks = explode_tokens(docs, rouge_tokens(F.col("text")), "token").distinct()
@@ -180,55 +188,47 @@ def q_after_marker_window(spark, sf_dir):
 
 # --------------------------------------------------------------------------- ids / alignment
 
+def _line_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, count): lines per document, from the text itself."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return docs.select("doc_id", (breaks + 1).cast("long").alias("count"))
+
+
 def q_line_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), (F.octet_length("line") + 1).cast("long").alias("n_bytes")
     )
     # global line number = lines of earlier documents + position in the document
-    return with_dense_ids(lines, "line_id", "doc_id", "line_no").select("doc_id", "line_no", "line_id", "n_bytes")
+    return with_dense_ids(lines, "line_id", "doc_id", "line_no", _line_counts(d)).select(
+        "doc_id", "line_no", "line_id", "n_bytes")
 
 
-def q_file_pairs(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
-    t = global_index(conv.where(F.col("role") == "user").select("conv_id").distinct(), ["conv_id"], "rank")
-    p = global_index(conv.where(F.col("role") == "assistant").select("conv_id").distinct(), ["conv_id"], "rank")
-    return t.select("rank", F.col("conv_id").alias("target_conv")).join(
-        p.select("rank", F.col("conv_id").alias("prediction_conv")), "rank"
-    )
+def _role(conv: DataFrame, role: str) -> DataFrame:
+    return conv.where(F.col("role") == role)
 
 
-def _role_ordinals(conv: DataFrame) -> DataFrame:
-    """(conv_id, role, turn, k): k = ordinal of a turn among the turns of the
-    same role in its conversation, from one global index over the keys only
-    (no text is sorted) and a per-(conv, role) minimum - no per-conversation
-    window, so a conversation holding a third of all turns is not one task."""
-    ix = global_index(conv.select("conv_id", "role", "turn"), ["conv_id", "role", "turn"], "gi")
-    first = ix.groupBy("conv_id", "role").agg(F.min("gi").alias("g0"))
-    # one row per (conversation, role): broadcast or salted join, so a
-    # conversation holding a third of all turns is not one hot join key
-    joined = join_per_group(ix, first, ["conv_id", "role"], salt_from=[F.col("turn")])
-    return joined.select("conv_id", "role", "turn", (F.col("gi") - F.col("g0")).alias("k"))
+def q_file_pairs(spark, sf_dir):
+    # a conversation stands for a file of targets (user turns) and one of predictions
+    conv = table(spark, sf_dir, "conversations")
+    names = [_role(conv, role).select(F.col("conv_id").alias(name)).distinct()
+             for role, name in (("user", "target_conv"), ("assistant", "prediction_conv"))]
+    return pair_by_rank(*names, "target_conv", "prediction_conv")
 
 
 def q_positional_join(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    k = _role_ordinals(conv)
-    pairs = k.where(F.col("role") == "user").select("conv_id", "k", F.col("turn").alias("t_turn")).join(
-        k.where(F.col("role") == "assistant").select("conv_id", "k", F.col("turn").alias("p_turn")), ["conv_id", "k"])
-    texts = conv.select("conv_id", "turn", "text")
-    out = pairs.join(texts.withColumnRenamed("turn", "t_turn").withColumnRenamed("text", "target"), ["conv_id", "t_turn"])
-    out = out.join(texts.withColumnRenamed("turn", "p_turn").withColumnRenamed("text", "prediction"), ["conv_id", "p_turn"])
-    return out.select("conv_id", "k", "target", "prediction")
+    k = written(ordinals(conv, ["conv_id", "role"], "turn"), "ordinals")
+    sides = []
+    for role, name in (("user", "target"), ("assistant", "prediction")):
+        texts = _role(conv, role).select("conv_id", "turn", F.col("text").alias(name))
+        sides.append(align(_role(k, role).select("conv_id", "turn", "k"), texts, ["conv_id", "turn"]).drop("turn"))
+    return align(*sides, ["conv_id", "k"]).select("conv_id", "k", "target", "prediction")
 
 
 def q_alignment_check(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    agg = conv.groupBy("conv_id").agg(
-        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("long").alias("n_targets"),
-        F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).cast("long").alias("n_predictions"),
-    )
-    return agg.withColumn("aligned", (F.col("n_targets") == F.col("n_predictions")).cast("long"))
+    return alignment_counts(_role(conv, "user"), _role(conv, "assistant"), "conv_id", ("n_targets", "n_predictions"))
 
 
 def q_generation_log_pairs(spark, sf_dir):
@@ -255,6 +255,10 @@ def q_rouge_n(spark, sf_dir):
     return r9(rouge_scores(spark, sf_dir, ["rouge1", "rouge2", "rouge3"]), MEASURES)
 
 
+def q_rouge_n_stemmed(spark, sf_dir):
+    return r9(score_pairs(conversation_pairs(spark, sf_dir), ["rouge1", "rouge2"], use_stemmer=True), MEASURES)
+
+
 def q_rouge_l(spark, sf_dir):
     return r9(rouge_scores(spark, sf_dir, ["rougeL"]), MEASURES)
 
@@ -273,8 +277,9 @@ def q_bootstrap_exact(spark, sf_dir):
 
 
 def q_bootstrap_poisson(spark, sf_dir):
-    iv = B.bootstrap_poisson(_boot_scores(spark, sf_dir), P.BOOT_SAMPLES, P.BOOT_CONFIDENCE, P.BOOT_SEED,
-                             types=["rouge1", "rouge2"])
+    types = ["rouge1", "rouge2"]
+    wide = score_columns(conversation_pairs(spark, sf_dir), types)
+    iv = B.bootstrap_poisson_wide(wide, types, P.BOOT_SAMPLES, P.BOOT_CONFIDENCE, P.BOOT_SEED)
     return r9(iv, ("low", "mid", "high"))
 
 
@@ -292,7 +297,7 @@ def q_sorted_scores(spark, sf_dir):
     s = rouge_scores(spark, sf_dir, ["rouge1", "rouge2", "rouge3"]).select("score_type", "id", "fmeasure")
     ix = global_index(s, ["score_type", F.col("fmeasure").desc(), "id"], "gi")
     first = ix.groupBy("score_type").agg(F.min("gi").alias("g0"))
-    out = ix.join(F.broadcast(first), "score_type").select(
+    out = join_per_group(ix, first, "score_type", salt_from=[F.col("id")]).select(
         "score_type", "id", F.round("fmeasure", 9).alias("fmeasure"), (F.col("gi") - F.col("g0")).alias("rank")
     )
     return out
@@ -308,7 +313,7 @@ class _UnigramOverlap:
     """A user-supplied scorer: plain-Python unigram F1 on lower-cased words."""
 
     def score(self, target, prediction):
-        t, p = target.lower().split(), prediction.lower().split()
+        t, p = [x.split() for x in (target.lower(), prediction.lower())]
         common = sum(min(t.count(w), p.count(w)) for w in set(t))
         pr = common / len(p) if p else 0.0
         rc = common / len(t) if t else 0.0
@@ -317,38 +322,42 @@ class _UnigramOverlap:
 
 
 def q_custom_scorer(spark, sf_dir):
-    return score_with(conversation_pairs(spark, sf_dir), _UnigramOverlap())
+    return r9(score_with(conversation_pairs(spark, sf_dir), _UnigramOverlap()), MEASURES)
 
 
 # --------------------------------------------------------------------------- splits / samples / vocabulary
 
+def _article_pairs(spark, sf_dir) -> DataFrame:
+    """(doc_id, article, summary): a document and its first line."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("article"), F.substring_index("text", "\n", 1).alias("summary"))
+
+
 def q_ratio_split(spark, sf_dir):
-    return ratio_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", P.SPLIT_RATIO)
+    return ratio_split(_article_pairs(spark, sf_dir), "doc_id", P.SPLIT_RATIO)
 
 
 def q_size_split(spark, sf_dir):
-    return size_split(table(spark, sf_dir, "documents").select("doc_id"), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id")
+    return size_split(_article_pairs(spark, sf_dir), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id")
 
 
 def q_size_split_overlap(spark, sf_dir):
-    return size_split(table(spark, sf_dir, "documents").select("doc_id"), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id", overlap=True)
+    return size_split(_article_pairs(spark, sf_dir), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id", overlap=True)
 
 
 def q_lm_split(spark, sf_dir):
-    # Positions come from the id column alone; the text is cleaned once, after.
-    docs = table(spark, sf_dir, "documents")
-    parts = size_split(docs.select("doc_id"), P.TRAIN_SIZE, P.TEST_SIZE, "doc_id")
-    return parts.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "split", clean_doc().alias("article"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return size_split(docs, P.TRAIN_SIZE, P.TEST_SIZE, "doc_id").select("doc_id", "split", clean_doc().alias("article"))
 
 
 def q_head_tail(spark, sf_dir):
-    return head_tail(table(spark, sf_dir, "documents").select("doc_id"), P.HEAD_N, "doc_id")
+    return head_tail(_article_pairs(spark, sf_dir), P.HEAD_N, "doc_id")
 
 
 def q_sample_by_length(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article"))
     kept = sample_pairs(d, length=P.MAX_LENGTH)
-    return kept.select("doc_id", (F.octet_length("article") + 1).cast("long").alias("n_bytes"))
+    return kept.select("doc_id", "article", (F.octet_length("article") + 1).cast("long").alias("n_bytes"))
 
 
 def q_sample_share(spark, sf_dir):
@@ -356,13 +365,17 @@ def q_sample_share(spark, sf_dir):
     return sample_share(d, P.MAX_LENGTH)
 
 
+def _split_stories(spark, sf_dir) -> DataFrame:
+    """Story pairs with their split. The split is told by the id alone, before the
+    stories are cleaned, so that only the wanted parts are."""
+    stories = ratio_split(story_frame(spark, sf_dir), "id", P.SPLIT_RATIO)
+    return stories_to_pairs(stories, language="english", keep=["split"])
+
+
 def q_train_vocabulary(spark, sf_dir):
     """Source and target vocabularies over the training split of the story
     pairs (ratio split by pair id), white-space tokens."""
-    from precis.plans.jobs import corpus_vocabularies
-
-    pairs = ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO)
-    vocabs = corpus_vocabularies(pairs)
+    vocabs = corpus_vocabularies(_split_stories(spark, sf_dir))
     parts = [v.select(F.lit(side).alias("side"), "token", "count", "id") for side, v in sorted(vocabs.items())]
     return parts[0].unionByName(parts[1])
 
@@ -370,13 +383,24 @@ def q_train_vocabulary(spark, sf_dir):
 def q_encode_splits(spark, sf_dir):
     """Every split of the story pairs encoded with the training vocabularies
     (tokens unseen in training get the unknown id)."""
-    from precis.plans.jobs import corpus_vocabularies, encode_pairs
-
     # the split pairs feed both the vocabularies and the encoding: write once
-    pairs = materialize(ratio_split(q_story_to_pairs(spark, sf_dir), "id", P.SPLIT_RATIO))
+    pairs = written(_split_stories(spark, sf_dir), "split-pairs")
     enc = encode_pairs(pairs, corpus_vocabularies(pairs), unk_id=P.UNK_ID)
-    as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return enc.select("id", "split", as_text("article_ids").alias("article_ids"), as_text("summary_ids").alias("summary_ids"))
+    return enc.select("id", "split", _ids_text("article_ids").alias("article_ids"),
+                      _ids_text("summary_ids").alias("summary_ids"))
+
+
+def q_encode_articles(spark, sf_dir):
+    """Articles only, as for a language model: the source vocabulary of the training
+    part (size split) and every part encoded with it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean_doc().alias("article"))
+    parts = written(size_split(docs, P.TRAIN_SIZE, P.TEST_SIZE, "id"), "lm-parts")
+    enc = encode_pairs(parts, corpus_vocabularies(parts, only_source=True), unk_id=P.UNK_ID)
+    return enc.select("id", "split", _ids_text("article_ids").alias("article_ids"))
+
+
+def _ids_text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
 def _vocab_tokens(spark, sf_dir):
@@ -390,10 +414,10 @@ def q_vocabulary(spark, sf_dir):
 def q_encode_corpus(spark, sf_dir):
     toks = _vocab_tokens(spark, sf_dir)
     vocab = build_vocabulary(toks, "tokens", min_count=P.VOCAB_MIN_COUNT)
-    enc = encode(toks, "tokens", vocab, id_col="doc_id", unk_id=P.UNK_ID)
+    enc = encode(toks, "tokens", vocab, unk_id=P.UNK_ID)
     return enc.select(
         "doc_id",
-        F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"),
+        _ids_text("ids").alias("ids"),
         F.size(F.filter("ids", lambda x: x == P.UNK_ID)).cast("long").alias("n_unk"),
     )
 
@@ -404,15 +428,15 @@ def q_corpus_union(spark, sf_dir):
     return d.unionByName(b).select("corpus", "id", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def _upper_unless_comment(line, suffix):
-    return None if line.startswith("#") else line.upper() + suffix
+def _shout_long_lines(line, suffix):
+    return None if len(line) < 20 else line.replace("a", "A") + suffix
 
 
 def q_map_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lines = d.select(F.posexplode(F.split("text", "\n", -1)).alias("ln", "value"), "doc_id")
-    lines = with_dense_ids(lines, "line", "doc_id", "ln").select("line", "value")
-    return map_lines(lines, _upper_unless_comment, "!")
+    lines = with_dense_ids(lines, "line", "doc_id", "ln", _line_counts(d)).select("line", "value")
+    return map_lines(lines, _shout_long_lines, "!")
 
 
 QUERIES = {
@@ -422,6 +446,7 @@ QUERIES = {
     "normalize_articles": q_normalize_articles,
     "story_to_pairs": q_story_to_pairs,
     "records_to_pairs": q_records_to_pairs,
+    "records_to_pairs_lemmas": q_records_to_pairs_lemmas,
     "lemmatize_corpus": q_lemmatize_corpus,
     "stopword_filter": q_stopword_filter,
     "punct_filter": q_punct_filter,
@@ -434,6 +459,7 @@ QUERIES = {
     "alignment_check": q_alignment_check,
     "generation_log_pairs": q_generation_log_pairs,
     "rouge_n": q_rouge_n,
+    "rouge_n_stemmed": q_rouge_n_stemmed,
     "rouge_l": q_rouge_l,
     "rouge_lsum": q_rouge_lsum,
     "bootstrap_exact": q_bootstrap_exact,
@@ -453,6 +479,7 @@ QUERIES = {
     "vocabulary": q_vocabulary,
     "train_vocabulary": q_train_vocabulary,
     "encode_splits": q_encode_splits,
+    "encode_articles": q_encode_articles,
     "encode_corpus": q_encode_corpus,
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,

@@ -1,22 +1,24 @@
 """Session helpers.
 
-``get_session`` builds a local session for tests and benchmarks; on a cluster
-the caller's session (spark-submit) is used as is. ``ensure_checkpoint_dir``
-reads ``spark.checkpoint.dir`` from the session and only picks a scratch
-folder when none is configured (local runs and tests).
+``get_session`` builds a local session for tests and benchmarks;
+``submitted_session`` takes the one spark-submit configures. ``ensure_checkpoint_dir``
+reads ``spark.checkpoint.dir`` from the session and only picks a scratch folder
+for a local master; off ``local`` it refuses to guess.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Fixed-size tables (offset lists, small lexicons) are broadcast only below
-# this many rows; larger inputs take the shuffle join.
-BROADCAST_ROW_LIMIT = 2_000_000
+# A table (offsets, lexicon, file list) is broadcast only if its measured size
+# is below this many bytes; larger ones take the shuffle join.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "precis") -> SparkSession:
@@ -38,6 +40,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.driver.memory", os.environ.get("PRECIS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(32 * 1024 * 1024))
+        # checkpoints go when the frames that read them are garbage
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,6 +50,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def submitted_session(app: str = "precis") -> SparkSession:
+    """The session as spark-submit configures it: master, memory and shuffle
+    partitions are not touched."""
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
+
+
 _SHIPPED: set = set()
 
 
@@ -85,11 +98,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
-    else:  # local sessions and tests only
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="precis-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` once as Parquet into the shared checkpoint folder and read it
+    back: the lineage is cut, a lost executor costs no recomputation of what came
+    before, and later readers still prune columns. The table goes with the driver
+    (or earlier, by ``discard``). Row order and partitions are not kept."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path is not None:
+        target, files = _file_system(df.sparkSession, path)
+        files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: text and binary columns by their length, others as 8."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        plain = field.dataType.simpleString() in ("string", "binary")
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16 if plain else F.lit(8))
+    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and return a frame
     that reads it back (lineage cut; survives executor loss).
@@ -104,7 +156,7 @@ def materialize(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None,
+def spread(df: DataFrame, key: str | list[str] | None = None, min_partitions: int | None = None,
            scan: DataFrame | None = None) -> DataFrame:
     """Give CPU-heavy narrow stages enough tasks.
 
@@ -120,4 +172,4 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if (scan if scan is not None else df).rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    return df.repartition(target, *([key] if isinstance(key, str) else key or []))

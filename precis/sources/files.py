@@ -4,9 +4,13 @@ file pairing by sorted name, generation logs.
 Line positions: a text scan keeps file order inside every split, so the
 position of a row is (rows in earlier splits of the same file) + (its offset
 inside its split). ``with_file_positions`` gets both without moving rows: it
-stamps rows with ``monotonically_increasing_id``, counts rows per split
-(one small row per split), turns the counts into per-file prefix offsets and
-joins them back (broadcast below a checked size).
+stamps rows with ``monotonically_increasing_id``, counts rows per split (one
+pre-scan, one small row per split), turns the counts into per-file offsets and
+joins them back (broadcast below a measured size).
+
+Files are known by one name throughout, the path as the scan's metadata writes
+it, so that blanks and letters beyond ASCII in a path can't tell two spellings of
+it apart.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.operators.ids import global_index, with_dense_ids
-from precis.session import BROADCAST_ROW_LIMIT, spread
+from precis.operators.align import align, alignment_counts, check_aligned, pair_by_rank
+from precis.operators.ids import global_index, join_per_group, prefix_offsets, with_dense_ids
+from precis.session import spread, written
 
 NEWS_SCHEMA = "text string, title string"
 
@@ -35,13 +40,8 @@ def with_file_positions(df: DataFrame, name: str = "line") -> DataFrame:
     blocks = stamped.groupBy("file", "_block").agg(F.min("_mono").alias("_base"), F.count("*").alias("_n"))
     w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "_block", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if blocks.count() <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
-    return (
-        stamped.join(offsets, ["file", "_block"])
-        .withColumn(name, F.col("_off") + F.col("_mono") - F.col("_base"))
-        .drop("_block", "_mono", "_base", "_off")
-    )
+    joined = join_per_group(stamped, offsets, ["file", "_block"], salt_from=[F.col("_mono")])
+    return joined.withColumn(name, F.col("_off") + F.col("_mono") - F.col("_base")).drop("_block", "_mono", "_base", "_off")
 
 
 def read_lines(spark: SparkSession, paths, line_sep: str = "\n", skip_lines: int = 0,
@@ -73,9 +73,19 @@ def read_delimited(spark: SparkSession, paths, delimiter: str = "\n") -> DataFra
     if delimiter == "\n":  # the text source's default splits on \n, \r\n and \r
         raw = spark.read.text(paths)
         return with_file_positions(raw).select("file", "line", "value")
-    raw = spark.read.option("lineSep", delimiter).text(paths)
-    return with_file_positions(raw).select(
-        "file", "line", F.regexp_replace("value", r"\r\n|\r", "\n").alias("value"))
+    if "\n" not in delimiter:
+        raw = spark.read.option("lineSep", delimiter).text(paths)
+        return with_file_positions(raw).select(
+            "file", "line", F.regexp_replace("value", r"\r\n|\r", "\n").alias("value"))
+    # a delimiter with line breaks meets files whose breaks are \r\n: lines are
+    # normalised before records are cut, so such a file is read whole
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    text = F.regexp_replace("value", r"\r\n|\r", "\n")
+    raw = raw.select("file", F.split(text, r"\Q" + delimiter + r"\E", -1).alias("parts")).select(
+        "file", F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(
+            F.col("parts")).alias("parts"))
+    return raw.select("file", F.posexplode("parts").alias("line", "value")).select(
+        "file", F.col("line").cast("long").alias("line"), "value")
 
 
 def read_stories(spark: SparkSession, dirs) -> DataFrame:
@@ -85,10 +95,16 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
         dirs = [dirs]
     raw = spark.read.text(list(dirs), wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    ranks = global_index(files.select("path"), ["path"], "id")
-    if ranks.count() <= BROADCAST_ROW_LIMIT:  # one row per story file
-        ranks = F.broadcast(ranks)
-    return spread(files.join(ranks, "path").select("id", "path", "content"), "id", scan=raw)
+    ranks = global_index(_listing(spark, list(dirs)).select("path"), ["path"], "id")
+    joined = join_per_group(files, ranks, "path", salt_from=[F.col("path")])
+    return spread(joined.select("id", "path", "content"), "id", scan=raw)
+
+
+def _listing(spark: SparkSession, paths) -> DataFrame:
+    """(path, name): one row per file, empty ones too. Only the listing is read:
+    the binary-file source skips contents when they are not selected."""
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("name"))
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -112,77 +128,63 @@ def read_records(spark: SparkSession, paths) -> DataFrame:
     return spread(with_dense_ids(checked).select("id", "text", "title"), "id", scan=raw)
 
 
-def file_ranks(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, rank) of the files matching ``pattern``, ranked by name. Only the
-    listing is read: the binary-file source skips file contents when the
-    ``content`` column is not selected."""
-    files = spark.read.format("binaryFile").load(pattern).select(F.col("path"))
-    return global_index(files, ["path"], "rank")
-
-
 def pair_files(spark: SparkSession, target_pattern: str, prediction_pattern: str) -> DataFrame:
     """(rank, target_file, prediction_file) paired by sorted name; counts must
     be equal and at least one."""
-    t = file_ranks(spark, target_pattern)
-    p = file_ranks(spark, prediction_pattern)
-    nt, np_ = t.count(), p.count()
-    if nt < 1 or nt != np_:
-        raise ValueError(
-            "Must have equal and positive number of target and prediction files. "
-            f"Found: {nt} target files, {np_} prediction files."
-        )
-    return t.select("rank", F.col("path").alias("target_file")).join(
-        p.select("rank", F.col("path").alias("prediction_file")), "rank"
-    )
+    t = _listing(spark, target_pattern).select(F.col("path").alias("target_file"))
+    p = _listing(spark, prediction_pattern).select(F.col("path").alias("prediction_file"))
+    n_t, n_p = t.count(), p.count()
+    if not n_t or n_t != n_p:
+        raise ValueError(f"files can't be paired: {n_t} with targets, {n_p} with predictions")
+    return pair_by_rank(t, p, "target_file", "prediction_file")
+
+
+def read_aligned_records(spark: SparkSession, left_pattern: str, right_pattern: str, delimiter: str,
+                         names: tuple[str, str]) -> DataFrame:
+    """(id, left record, right record), the columns called ``names``: records of two sets
+    of files aligned by (file rank, place in the file).
+
+    Counts are compared per pair of files first: an uneven pair raises
+    ``ValueError`` naming it, so no record is without a partner. ``id`` is 0-based
+    over all files in rank order: the records of earlier files plus the place
+    in the file, from a table with a row per file (no sort of the records)."""
+    pairs = written(pair_files(spark, left_pattern, right_pattern), "file-pairs")
+    sides = []
+    for pattern, path, name in ((left_pattern, "target_file", names[0]), (right_pattern, "prediction_file", names[1])):
+        records = read_delimited(spark, pattern, delimiter).withColumnRenamed("file", path)
+        ranks = pairs.select("rank", path)
+        sides.append(join_per_group(records, ranks, path, salt_from=[F.col("line")]).select(
+            "rank", "line", F.col("value").alias(name)))
+    counts = alignment_counts(sides[0], sides[1], "rank", ("targets", "predictions"))
+    # files without any record have no row on either side: they add nothing
+    counts = written(counts.join(pairs, "rank"), "record-counts")
+    check_aligned(counts.withColumn("files", F.concat_ws(" / ", "target_file", "prediction_file")), "files",
+                  ("targets", "predictions"), "uneven files")
+    offsets = prefix_offsets(counts.select("rank", "targets"), "rank", "targets", "offset").select("rank", "offset")
+    left = join_per_group(sides[0], offsets, "rank", salt_from=[F.col("line")])
+    both = align(left, sides[1], ["rank", "line"])
+    return both.select((F.col("offset") + F.col("line")).alias("id"), *names)
 
 
 def read_scoring_pairs(spark: SparkSession, target_pattern: str, prediction_pattern: str,
                        delimiter: str = "\n") -> DataFrame:
-    """(id, target, prediction) aligned by (file rank, record position).
-
-    Record counts are compared per file pair first (one small row per file):
-    an uneven pair raises ``ValueError`` naming the files, so the join of the
-    records never has an unmatched side. ``id`` is 0-based over all files in
-    rank order: the records of earlier files plus the position in the file,
-    from a per-file offset table (no sort of the records)."""
-    files = pair_files(spark, target_pattern, prediction_pattern)
-    t = read_delimited(spark, target_pattern, delimiter).withColumnRenamed("file", "target_file")
-    p = read_delimited(spark, prediction_pattern, delimiter).withColumnRenamed("file", "prediction_file")
-    ranks = files.collect()  # one row per file pair
-    t_n = {r["target_file"]: r["count"] for r in t.groupBy("target_file").count().collect()}
-    p_n = {r["prediction_file"]: r["count"] for r in p.groupBy("prediction_file").count().collect()}
-    offsets, running = [], 0
-    for r in sorted(ranks, key=lambda r: r["rank"]):
-        nt, np_ = t_n.get(r["target_file"], 0), p_n.get(r["prediction_file"], 0)
-        if nt != np_:
-            raise ValueError(
-                "Must have equal number of lines across target and prediction files. "
-                f"Mismatch between files: {r['target_file']}, {r['prediction_file']}."
-            )
-        offsets.append((r["rank"], r["target_file"], r["prediction_file"], running))
-        running += nt
-    off = F.broadcast(spark.createDataFrame(offsets, "rank long, target_file string, prediction_file string, offset long"))
-    t = t.join(off.select("rank", "target_file", "offset"), "target_file").select(
-        "rank", "line", "offset", F.col("value").alias("target"))
-    p = p.join(off.select("rank", "prediction_file"), "prediction_file").select(
-        "rank", "line", F.col("value").alias("prediction"))
-    return t.join(p, ["rank", "line"]).select(
-        (F.col("offset") + F.col("line")).alias("id"), "target", "prediction"
-    )
+    """(id, target, prediction) aligned by (file rank, record position)."""
+    return read_aligned_records(spark, target_pattern, prediction_pattern, delimiter, ("target", "prediction"))
 
 
 def parse_generation_log(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """(key, target, hypothesis) from ``T-<k>\\t<target>`` and
     ``H-<k>\\t<score>\\t<hypothesis>`` lines; word pieces are joined."""
-    v = F.col(value_col)
-    fields = F.split(v, "\t", -1)
-    key = F.substring(fields[0], 2, 1 << 20)
-    t = lines.where(v.startswith("T")).select(
-        key.alias("key"), F.array_join(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1))), "\t").alias("target")
-    )
-    h = lines.where(v.startswith("H")).select(
-        key.alias("key"), F.array_join(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(1))), "\t").alias("hypothesis")
-    )
     from precis.functions.text import join_wordpieces
 
-    return t.join(h, "key").select("key", join_wordpieces("target").alias("target"), join_wordpieces("hypothesis").alias("hypothesis"))
+    v = F.col(value_col)
+    fields = F.split(v, "\t", -1)
+    skip = F.when(v.startswith("T"), 1).when(v.startswith("H"), 2)
+    body = F.array_join(F.slice(fields, skip + 1, F.greatest(F.size(fields) - skip, F.lit(1))), "\t")
+    parsed = lines.where(v.startswith("T") | v.startswith("H")).select(
+        F.substring(fields[0], 2, 1 << 20).alias("key"), v.startswith("T").alias("is_target"),
+        join_wordpieces(body).alias("text"))
+    parsed = written(parsed, "generation-log")  # both sides of the join read it
+    t = parsed.where("is_target").select("key", F.col("text").alias("target"))
+    h = parsed.where("not is_target").select("key", F.col("text").alias("hypothesis"))
+    return align(t, h, ["key"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.constants import ARTICLES_TAG, SUMMARIES_TAG
-from precis.session import ensure_checkpoint_dir
+from precis.session import materialize
 
 
 def _path_exists(spark, path: str) -> bool:
@@ -27,13 +27,12 @@ def write_pairs_text(pairs: DataFrame, target_dir: str, tag: str, partitions: in
     a_path = f"{target_dir.rstrip('/')}/{tag}.{ARTICLES_TAG}"
     s_path = f"{target_dir.rstrip('/')}/{tag}.{SUMMARIES_TAG}"
     if _path_exists(spark, a_path) or _path_exists(spark, s_path):
-        raise RuntimeError(f"Aborted the attempt to overwrite existing files {a_path} and {s_path}")
+        raise RuntimeError(f"refusing to write over {a_path} or {s_path}")
     one_line = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n|\r|\n", " ")
     staged = pairs.select("id", one_line("article").alias("article"), one_line("summary").alias("summary"))
     parts = partitions or spark.sparkContext.defaultParallelism
     ordered = staged.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    ensure_checkpoint_dir(spark)
-    ordered = ordered.checkpoint(eager=True)
+    ordered = materialize(ordered)  # evaluated once; both writes keep its partitions
     ordered.select("article").write.mode("errorifexists").text(a_path)
     ordered.select("summary").write.mode("errorifexists").text(s_path)
     return a_path, s_path
@@ -51,11 +50,16 @@ def write_split(df: DataFrame, path: str) -> None:
     write_table(df, path, "split")
 
 
+def write_split_text(pairs: DataFrame, target_dir: str, splits=("train", "val", "test")) -> list[tuple[str, str]]:
+    """``<target_dir>/{train,val,test}.articles`` and ``.summaries``, aligned line by line."""
+    return [write_pairs_text(pairs.where(F.col("split") == name), target_dir, name) for name in splits]
+
+
 def write_sample(df: DataFrame, target_dir: str) -> None:
     if not target_dir:
-        raise ValueError("Please provide a target directory.")
+        raise ValueError("a folder for the sample is needed")
     if _path_exists(df.sparkSession, target_dir):
-        raise ValueError(f"The directory '{target_dir}' already exists, aborting.")
+        raise ValueError(f"{target_dir!r} is there already")
     write_table(df, target_dir)
 
 
@@ -88,5 +92,6 @@ def write_example_csv(wide: DataFrame, path: str) -> None:
     out.write.mode("errorifexists").option("header", "true").option("quote", "").csv(path)
 
 
-def write_lines(df: DataFrame, path: str, order_col: str = "line", value_col: str = "value") -> None:
-    df.repartitionByRange(order_col).sortWithinPartitions(order_col).select(value_col).write.mode("errorifexists").text(path)
+def write_lines(df: DataFrame, path: str, order_col="line", value_col: str = "value") -> None:
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(value_col).write.mode("errorifexists").text(path)

@@ -40,10 +40,8 @@ def start_news_ingest(spark: SparkSession, source_dir: str, sink_dir: str, check
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         keyed = batch.withColumn("id", F.monotonically_increasing_id())
-        pairs = records_to_pairs(keyed, lexicon=lexicon, language=language, lemmatize=lemmatize)
-        out = keyed.select("id", "file").join(pairs, "id").select(
-            "file", F.col("id").alias("row"), "article", "summary"
-        )
+        pairs = records_to_pairs(keyed, lexicon=lexicon, language=language, lemmatize=lemmatize, keep=["file"])
+        out = pairs.select("file", F.col("id").alias("row"), "article", "summary")
         out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}")
 
     writer = record_stream(spark, source_dir).writeStream.foreachBatch(write_batch).option(

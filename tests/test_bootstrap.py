@@ -82,3 +82,28 @@ def test_aggregate_report_rows(spark):
     rep = B.aggregate_report(B.bootstrap_exact(score_frame(spark, rows), n_samples=20)).collect()
     names = sorted((r["_type"], r["_ord"], r["score_type"]) for r in rep)
     assert [n[2] for n in names] == ["rouge1-R", "rouge1-P", "rouge1-F"]
+
+
+def test_the_method_is_the_callers_and_sizes_change_nothing(spark, monkeypatch):
+    from precis import session
+
+    rows = [(i, "rouge1", i / 10, i / 10, i / 10) for i in range(10)]
+    s = score_frame(spark, rows)
+    exact = as_dict(B.bootstrap_exact(s, n_samples=100))
+    assert as_dict(B.aggregate_scores(s, n_samples=100)) == exact
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    got = as_dict(B.aggregate_scores(s, n_samples=100))
+    assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in exact.items())
+    with pytest.raises(ValueError):
+        B.aggregate_scores(s, "auto")
+
+
+def test_poisson_takes_wide_scores(spark):
+    from precis.operators.rouge import score_columns, score_pairs
+
+    pairs = spark.createDataFrame([(i, "a b c d", "a b " + "x " * i) for i in range(30)], "id long, target string, prediction string")
+    types = ["rouge1", "rougeL"]
+    wide = as_dict(B.bootstrap_poisson_wide(score_columns(pairs, types), types, n_samples=60))
+    long = as_dict(B.bootstrap_poisson(score_pairs(pairs, types), n_samples=60))
+    assert wide.keys() == long.keys()
+    assert all(wide[k] == pytest.approx(long[k], abs=1e-12) for k in wide)

@@ -91,20 +91,30 @@ def test_news_record_pairs(spark):
     assert row["article"] == "first sentence !second"
 
 
-def test_lemmatize_literal_and_dictionary_paths(spark, monkeypatch):
+def test_token_lookup_is_the_same_on_every_path(spark, monkeypatch):
+    from precis import session
     from precis.operators import lookup
 
-    df = spark.createDataFrame([(1, ["was", "cats", "was", "x"]), (2, []), (3, None)], "id long, t array<string>")
-    lex = spark.createDataFrame([("was", "be"), ("cats", "cat")], "form string, lemma string")
-    expect = {1: ["be", "cat", "be", "x"], 2: [], 3: None}
-    got = {r["id"]: r["t"] for r in lemmatize_tokens(df, "t", lex).collect()}
-    assert got == expect
-    monkeypatch.setattr(lookup, "LITERAL_LIMIT", 0)
-    got = {r["id"]: r["t"] for r in lemmatize_tokens(df, "t", lex).collect()}
-    assert got == expect
-    monkeypatch.setattr(lookup, "BROADCAST_LIMIT", 0)
-    got = {r["id"]: r["t"] for r in lemmatize_tokens(df, "t", lex).collect()}
-    assert got == expect
+    # a null token, an empty and a null array, an id that two rows share
+    rows = [(1, ["was", "cats", None, "x"]), (2, []), (3, None), (1, ["x", None]), (4, [None]), (5, ["was"] * 40)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    lex = spark.createDataFrame([("was", "be"), ("cats", "cat"), (None, "none"), ("cats", "zoo")], "form string, lemma string")
+    ids = spark.createDataFrame([("was", 0), ("cats", 7)], "token string, id long")
+    be = {"was": "be", "cats": "cat"}
+    key = str
+    lemmas = sorted(((i, t and [be.get(x, x) for x in t]) for i, t in rows), key=key)
+    codes = sorted(((i, t and [{"was": 0, "cats": 7}.get(x, -1) for x in t]) for i, t in rows), key=key)
+
+    def check():
+        assert sorted(((r.id, r.t) for r in lemmatize_tokens(df, "t", lex).collect()), key=key) == lemmas
+        out = lookup.map_tokens(df, "t", ids, "token", "id", default=-1, out_col="ids")
+        assert sorted(((r.id, r.ids) for r in out.collect()), key=key) == codes
+
+    check()
+    monkeypatch.setattr(lookup, "LITERAL_KEYS", 0)
+    check()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    check()
 
 
 def test_read_stories_directory(spark, tmp_path):
@@ -138,3 +148,60 @@ def test_read_records_rejects_missing_key_and_bad_json(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"text": "x", "title": \n')
     with pytest.raises(Exception):
         read_records(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_news_records_with_a_lexicon(spark):
+    df = spark.createDataFrame([(0, "<p>Cats were here, dogs too</p>", "T")], "id long, text string, title string")
+    lex = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
+    assert records_to_pairs(df, lexicon=lex, language="english").first()["article"] == "cat dog"
+
+
+PAGES = [
+    '<p title="a > b">x</p>', "a<script>if (a < b) c</script >d", "a<script>var t", "k<!-- <script> -->eep<b> t</b><i>!</i>",
+    "<!DOCTYPE html><p>1 < 2 and 3 > 2</p>", "a<style media='x>y'>p{}</style>b", "<?php echo 1 ?>z", "a<!-- open", "<a href='q\"q'>l</a>",
+    "<template><p>no</p></template>yes", "<br/><P CLASS=x>caps</P>", "<scripture>kept</scripture>", "no markup", "",
+]
+
+
+def browser_text(page):
+    """Text nodes by the standard library's parser (bodies without text left out)."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.inside = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in ("script", "style", "template")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("script", "style", "template")
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.out.append(data)
+
+    parser = Text()
+    parser.feed(page)
+    parser.close()
+    return "".join(parser.out)
+
+
+def test_irregular_markup(spark):
+    from precis.functions.text import with_html_text
+
+    df = spark.createDataFrame(list(enumerate(PAGES)), "id long, html string")
+    got = {r.id: r.text for r in with_html_text(df, "html", "text").collect()}
+    expected = {0: "x", 1: "ad", 2: "a", 3: "keep t!", 5: "ab", 7: "a", 8: "l", 9: "yes", 10: "caps", 11: "kept", 12: "no markup"}
+    assert {k: got[k] for k in expected} == expected
+    for i in (0, 1, 3, 4, 5, 8, 9, 10, 11, 12, 13):
+        assert got[i] == browser_text(PAGES[i]), PAGES[i]
+
+
+def test_markup_of_a_long_page(spark):
+    from precis.functions.text import with_html_text
+
+    page = "<p class='a b' id=\"c\">word</p>" * 20000 + "<script>" + "x < y; " * 50000 + "</script>end"
+    df = spark.createDataFrame([(0, page)], "id long, html string")
+    assert with_html_text(df, "html", "text").first().text == "word" * 20000 + "end"

@@ -66,10 +66,10 @@ def test_scoring_cli_end_to_end(spark, tmp_path):
 def test_scoring_uneven_files(spark, tmp_path):
     (tmp_path / "a.targets").write_text("one\ntwo\n")
     (tmp_path / "a.decodes").write_text("one\n")
-    with pytest.raises(ValueError, match="Mismatch"):
+    with pytest.raises(ValueError, match="uneven files"):
         jobs.score_files(spark, str(tmp_path / "*.targets"), str(tmp_path / "*.decodes"), str(tmp_path / "o"))
     (tmp_path / "b.decodes").write_text("x\n")
-    with pytest.raises(ValueError, match="equal and positive"):
+    with pytest.raises(ValueError, match="1 with targets, 2 with predictions"):
         jobs.score_files(spark, str(tmp_path / "*.targets"), str(tmp_path / "*.decodes"), str(tmp_path / "o2"))
 
 
@@ -118,7 +118,7 @@ def test_vocabulary_and_encoding(spark):
     v = {r["token"]: (r["count"], r["id"]) for r in build_vocabulary(df, "tokens").collect()}
     assert v == {"b": (3, 0), "a": (2, 1), "c": (1, 2)}
     v2 = build_vocabulary(df, "tokens", min_count=2)
-    enc = {r["doc_id"]: r["ids"] for r in encode(df, "tokens", v2, id_col="doc_id", unk_id=-1).collect()}
+    enc = {r["doc_id"]: r["ids"] for r in encode(df, "tokens", v2, unk_id=-1).collect()}
     assert enc == {0: [0, 1, 0], 1: [-1, 1, 0]}
 
 
@@ -241,11 +241,63 @@ def test_story_job_and_size_split_job(spark, tmp_path):
 
 
 def test_encoding_through_salted_join(spark, monkeypatch):
-    from precis.operators import lookup
+    from precis import session
 
-    monkeypatch.setattr(lookup, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     hot = ["the"] * 50 + ["cat", "zzz"]
     df = spark.createDataFrame([(0, hot), (1, []), (2, ["cat", "the"])], "doc_id long, tokens array<string>")
     vocab = spark.createDataFrame([("the", 60, 0), ("cat", 3, 1)], "token string, count long, id long")
-    enc = {r["doc_id"]: r["ids"] for r in encode(df, "tokens", vocab, id_col="doc_id", unk_id=-1).collect()}
+    enc = {r["doc_id"]: r["ids"] for r in encode(df, "tokens", vocab, unk_id=-1).collect()}
     assert enc == {0: [0] * 50 + [1, -1], 1: [], 2: [1, 0]}
+
+
+def test_part_folders_are_read_back_aligned(spark, tmp_path):
+    pairs = spark.createDataFrame([(i, f"art {i}", f"sum {i}") for i in range(100)], "id long, article string, summary string")
+    a, s = write_pairs_text(pairs, str(tmp_path), "t", partitions=4)
+    back = jobs.read_aligned(spark, a, s).orderBy("id").collect()
+    assert [(r.id, r.article, r.summary) for r in back] == [(i, f"art {i}", f"sum {i}") for i in range(100)]
+    out = jobs.split_files(spark, a, s, str(tmp_path / "texts"), as_text=True)
+    assert out.count() == 100
+    for name, ids in (("train", range(80)), ("val", range(80, 90)), ("test", range(90, 100))):
+        assert read_parts(tmp_path / "texts" / f"{name}.articles") == [f"art {i}" for i in ids]
+        assert read_parts(tmp_path / "texts" / f"{name}.summaries") == [f"sum {i}" for i in ids]
+
+
+def test_odd_names_and_uneven_files(spark, tmp_path):
+    from precis.sources.files import read_scoring_pairs
+
+    folder = tmp_path / "s p é"
+    folder.mkdir()
+    (folder / "a b.t").write_text("t1\nt2\n")
+    (folder / "a b.p").write_text("p1\np2\n")
+    (folder / "b.t").write_text("")
+    (folder / "b.p").write_text("")
+    (folder / "ü.t").write_text("t3\n")
+    (folder / "ü.p").write_text("p3\n")
+    rows = read_scoring_pairs(spark, str(folder / "*.t"), str(folder / "*.p")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(0, "t1", "p1"), (1, "t2", "p2"), (2, "t3", "p3")]
+    (folder / "b.p").write_text("p0\n")  # uneven in the middle, empty on one side
+    with pytest.raises(ValueError, match="b.t"):
+        read_scoring_pairs(spark, str(folder / "*.t"), str(folder / "*.p"))
+
+
+def test_line_job_over_several_files_calls_the_function_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def worker(line, suffix):
+        calls.add(1)
+        return None if line == "drop" else line + suffix
+
+    (tmp_path / "b.txt").write_text("head\nb0\nb1\x0bb1s\ndrop\n")
+    (tmp_path / "a.txt").write_text("head\na0\na1\na2\n")
+    n = jobs.map_file_lines(spark, str(tmp_path / "*.txt"), worker, ("!",), str(tmp_path / "out"), skip_lines=1)
+    assert n == 6 and calls.value == 7
+    assert read_parts(tmp_path / "out") == ["a0!", "a1!", "a2!", "b0!", "b1!", "b1s!"]
+
+
+def test_delimiter_with_line_breaks(spark, tmp_path):
+    from precis.sources.files import read_delimited
+
+    (tmp_path / "x.txt").write_bytes(b"one\r\ntwo\r\n\r\nthree\r\n\r\n")
+    rows = read_delimited(spark, str(tmp_path / "x.txt"), "\n\n").orderBy("line").collect()
+    assert [r.value for r in rows] == ["one\ntwo", "three"]

@@ -185,3 +185,52 @@ def test_unicode_tokens_option(spark):
     uni_rows = {r["score_type"]: r["fmeasure"] for r in score_pairs(df, ["rouge1", "rougeLsum"], ascii_only=False).collect()}
     assert ascii_rows == {"rouge1": 0.0, "rougeLsum": 0.0}
     assert uni_rows == {"rouge1": 1.0, "rougeLsum": 1.0}
+
+
+def test_extended_stemmer():
+    # the additions, and words on which both forms agree
+    cases = {"ties": "tie", "dies": "die", "tied": "tie", "cried": "cri", "skies": "sky", "dying": "die", "news": "news",
+             "enjoy": "enjoy", "happy": "happi", "possibly": "possibl", "hopefully": "hope", "biologically": "biolog",
+             "apologi": "apolog", "innings": "inning", "proceed": "proceed", "caresses": "caress", "running": "run"}
+    for w, s in cases.items():
+        assert stem(w, True) == s, w
+    assert stem("enjoy") == "enjoi" and stem("ties") == "ti"
+
+
+def test_short_tokens_are_not_stemmed(spark):
+    from precis.operators.rouge import stem_word
+
+    words = ["was", "his", "gas", "use", "runs", "cats", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.s for r in df.select(stem_word("w").alias("s")).collect()] == ["was", "his", "gas", "use", "run", "cat", None]
+
+
+def test_lcs_path_memory_of_long_sentences():
+    import tracemalloc
+
+    rnd = random.Random(8)
+    a, b = ([rnd.choice("abcdefgh") for _ in range(10_000)] for _ in range(2))
+    tracemalloc.start()
+    path = lcs_indices(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(path) == lcs_length(a, b)
+    assert peak < 20e6  # one bit per cell: 12.5 MB
+
+
+def test_ngram_table_counts(spark):
+    from precis.operators.rouge import ngram_table
+
+    pairs = [("a b a b c", "b a b"), ("", "x"), ("", ""), ("one", None)]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(pairs)], "id long, target string, prediction string")
+    got = {(r.id, r.n, r.ngram): (r.tc, r.pc) for r in ngram_table(df.where("prediction is not null"), (1, 2)).collect()}
+    want = {}
+    for i, (t, p) in enumerate(pairs[:3]):
+        for side, text in enumerate((t, p)):
+            ws = text.split()
+            for n in (1, 2):
+                for j in range(len(ws) - n + 1):
+                    want.setdefault((i, n, " ".join(ws[j:j + n])), [0, 0])[side] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+    plan = ngram_table(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

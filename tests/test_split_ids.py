@@ -129,7 +129,7 @@ def test_with_dense_ids_both_paths(spark, monkeypatch):
         running += g + 1
     got = {(r["file"], r["line"]): r["id"] for r in with_dense_ids(df).collect()}
     assert got == expect
-    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 2)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     got = {(r["file"], r["line"]): r["id"] for r in with_dense_ids(df).collect()}
     assert got == expect
 
@@ -141,8 +141,61 @@ def test_join_per_group_salted_path(spark, monkeypatch):
     rows = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 0)], "g string, i long")
     per = spark.createDataFrame([("hot", 10), ("cold", 20)], "g string, v long")
     plain = sorted(tuple(r) for r in join_per_group(rows, per, "g", [F.col("i")]).collect())
-    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     salted = join_per_group(rows, per, "g", [F.col("i")])
     assert "_salt" not in salted.columns
     assert sorted(tuple(r) for r in salted.collect()) == plain
     assert len(plain) == 201
+
+
+def test_keys_at_ranks(spark):
+    from precis.operators.ids import keys_at
+
+    df = spark.createDataFrame([(i * 3,) for i in range(1000)], "id long").repartition(6)
+    assert keys_at(df, "id", [0, 999, 500, 1000, 7]) == [0, 2997, 1500, None, 21]
+    assert keys_at(df.where("false"), "id", [0, 1]) == [None, None]
+    names = spark.createDataFrame([("b",), ("a",), ("é",)], "id string")
+    assert keys_at(names, "id", [2, 0]) == ["é", "a"]
+
+
+def test_splits_do_not_shuffle_text(spark):
+    df = spark.range(0, 5000).selectExpr("id", "repeat('x', 50) as article").repartition(3)
+    for out in (ratio_split(df), size_split(df, 100, 20), size_split(df, 100, 20, overlap=True), head_tail(df, 10)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1  # the repartition above
+    assert ratio_split(df).groupBy("split").count().collect()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from precis import session
+
+    def fake(master, configured=None):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, set=[],
+                             getConf=lambda: SimpleNamespace(get=lambda key, default=None: configured))
+        sc.setCheckpointDir = sc.set.append
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default=None: configured))
+
+    for master in ("yarn", "spark://x:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(fake(master))
+    shared = fake("yarn", "hdfs://x/ckpt")
+    session.ensure_checkpoint_dir(shared)
+    assert shared.sparkContext.set == ["hdfs://x/ckpt"]
+    local = fake("local[4]")
+    session.ensure_checkpoint_dir(local)
+    assert len(local.sparkContext.set) == 1
+
+
+def test_written_tables_are_fixed_and_can_be_discarded(spark):
+    import os
+
+    from precis.session import discard, measured_bytes, written
+
+    df = written(spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string"))
+    assert df.count() == 2 and measured_bytes(df) == 2 * 8 + 3 + 2 * 16
+    path = df._written_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    discard(df)
+    assert not os.path.exists(path)

@@ -70,19 +70,6 @@ def test_fix_missing_period_lines(spark):
     assert got == "\n".join(py_fix(x) for x in text.split("\n"))
 
 
-def test_py_strip_unicode(spark):
-    values = ["  a  ", "\t a b\x85", "　", "", "a"]
-    assert run(spark, values, T.py_strip) == [v.strip() for v in values]
-
-
-@pytest.mark.parametrize("content", ["", "a", "a\n", "a\n\n", "a\r\nb\rc\nd", "\n", "a\nb\n"])
-def test_split_file_lines_like_file_iteration(spark, content, tmp_path):
-    p = tmp_path / "f.txt"
-    p.write_bytes(content.encode())
-    with open(p) as fh:
-        expected = [line.rstrip("\n") for line in fh]
-    assert run(spark, [content], T.split_file_lines)[0] == expected
-
 
 def test_html_to_text(spark):
     page = (
