@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import key_bitmap, maybe_in, quoted, written
+from precis.llm.common import key_bitmap, maybe_in, quoted
+from precis.session import written
 
 #: Characters of a text that the second level hashes.
 PREFIX_CHARS = 512
@@ -64,7 +65,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(rows.groupBy("_id", *_KEY, *extra).agg(F.count(F.lit(1)).alias("_n")), "exact-dedup")
     groups = rows.where("_digest is not null").groupBy(*_KEY).agg(
         F.max("_id").alias("_keep"), F.sum("_n").alias("_size"))
-    found = rows.join(groups.where("_size > 1"), _KEY, "left")
+    # written, so that the join doesn't inherit the grouping's partitions and a large one can be split
+    found = rows.join(written(groups.where("_size > 1"), "exact-groups"), _KEY, "left")
     alone = F.col("_size").isNull()
     copies = found.select(
         F.col("_id").alias(id_col),
