@@ -38,7 +38,7 @@ MAX_MODEL_BYTES = 64 << 20
 #: Up to this length the agenda is a row of a matrix, beyond it a heap.
 SHORT_CHARS = 40
 #: Characters of text and rows of a matrix that are worked on at a time.
-BATCH_CHARS, BATCH_ROWS = 12_000_000, 60_000
+BATCH_CHARS, BATCH_ROWS = 2_500_000, 40_000
 
 # Fixed values of the published model format: piece types and field numbers.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -242,6 +242,7 @@ class BpeModel:
             flat.extend(self.chunks(text))
             ends.append(len(flat))
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        del flat
         code = coded.indices.to_numpy()
         counts, ids = self.encode_chunks(coded.dictionary.cast(pa.string()))
         first = np.concatenate(([0], np.cumsum(counts)))
