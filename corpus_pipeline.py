@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from precis.llm.common import prepare, table, written
+from precis.llm.common import prepare, table
 from precis.llm.exact_dedup import drop_exact_duplicates
 from precis.llm.mixing import repeat_to_mix
 from precis.llm.quality_rules import keep_good
 from precis.llm.queries import vocabulary_path
 from precis.llm.sentencepiece_bpe import encode_documents
 from precis.llm.simhash import drop_near_duplicates
+from precis.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

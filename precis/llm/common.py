@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,27 +38,6 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared checkpoint folder and read
-    it back: the lineage is cut, a lost executor costs no recomputation of what
-    came before, and later readers still prune columns."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    path = getattr(df, "_written_at", None)
-    if path is not None:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: Positions per bitmap row: Spark's bitmap functions use 4,096-byte bitmaps.
 _PAGE_BITS = 15
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import discard, written
+from precis.session import discard, written
 
 
 def _state(links: DataFrame) -> tuple[int, int]:

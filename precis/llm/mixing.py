@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from precis.llm.common import fresh, quoted, written
+from precis.llm.common import fresh, quoted
 from precis.operators.ids import global_index
+from precis.session import written
 
 SHARE, MAX_EPOCHS, WEIGHTS, SEED = 1.5, 2, (3, 1, 2), 1
 #: Sources up to this number are broadcast with their cuts (some 100 bytes each).
