@@ -15,6 +15,8 @@ it apart.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,16 +97,18 @@ def read_stories(spark: SparkSession, dirs) -> DataFrame:
         dirs = [dirs]
     raw = spark.read.text(list(dirs), wholetext=True)
     files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    ranks = global_index(_listing(spark, list(dirs)).select("path"), ["path"], "id")
+    ranks = global_index(files.select("path"), ["path"], "id")
     joined = join_per_group(files, ranks, "path", salt_from=[F.col("path")])
     return spread(joined.select("id", "path", "content"), "id", scan=raw)
 
 
 def _listing(spark: SparkSession, paths) -> DataFrame:
-    """(path, name): one row per file, empty ones too. Only the listing is read:
-    the binary-file source skips contents when they are not selected."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("name"))
+    """(path): one row per file, as the scan's metadata writes it. Files without
+    a byte are listed too, though a scan passes them over; the list is the one that
+    Spark's file index holds on the driver for every scan."""
+    files = spark.read.format("binaryFile").load(paths).inputFiles()
+    # the listing writes file:///x where the metadata writes file:/x
+    return spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", f),) for f in sorted(files)], "path string")
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -153,8 +157,10 @@ def read_aligned_records(spark: SparkSession, left_pattern: str, right_pattern:
     for pattern, path, name in ((left_pattern, "target_file", names[0]), (right_pattern, "prediction_file", names[1])):
         records = read_delimited(spark, pattern, delimiter).withColumnRenamed("file", path)
         ranks = pairs.select("rank", path)
-        sides.append(join_per_group(records, ranks, path, salt_from=[F.col("line")]).select(
-            "rank", "line", F.col("value").alias(name)))
+        ranked = join_per_group(records, ranks, path, salt_from=[F.col("line")], how="left")
+        listed = F.when(F.col("rank").isNull(), F.raise_error(F.concat(F.lit("file not listed: "), path)))
+        sides.append(ranked.select(F.coalesce(listed, F.col("rank")).cast("long").alias("rank"), "line",
+                                   F.col("value").alias(name)))
     counts = alignment_counts(sides[0], sides[1], "rank", ("targets", "predictions"))
     # files without any record have no row on either side: they add nothing
     counts = written(counts.join(pairs, "rank"), "record-counts")
