@@ -100,4 +100,5 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     docs = spark.createDataFrame(odd, schema)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
-    assert sorted(r.doc_id for r in docs.collect()) in ([1, 3], [1], [3], [1, 1], [3, 3], [1, 3, 3], [1, 1, 3])
+    # of 90 words 135 are wanted: all of the null source once, the other one twice
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 3]
