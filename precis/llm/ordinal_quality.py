@@ -20,7 +20,7 @@ from precis.llm.common import quoted
 from precis.llm.text_hash import word_ngram_buckets
 
 #: Buckets of hashed features (2**16), and rows of the training sample at most.
-BITS, SAMPLE_ROWS = 16, 12_000
+BITS, SAMPLE_ROWS = 16, 4_000
 STEPS, RATE, L2 = 200, 0.05, 1e-4
 
 
@@ -51,7 +51,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     first one plus positive steps, so that they stay in order."""
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     size = 1 << BITS
     shares = np.cumsum(np.bincount(grades, minlength=levels))[:-1] + 1.0
     first = np.log(shares / (len(grades) + 2.0 - shares))
@@ -101,7 +101,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, learn: Column | None
     table = table.orderBy("part").limit(SAMPLE_ROWS).toPandas()
     if not len(table):
         return OrdinalModel(np.zeros(1 << BITS), np.linspace(-1.0, 1.0, levels - 1) if levels > 2 else np.zeros(levels - 1))
-    x = [(np.asarray(a, dtype=np.int64), np.asarray(v, dtype=np.float64)) for a, v in zip(table["at"], table["value"])]
+    x = list(zip(table["at"], table["value"]))
     return fit(x, np.clip(table["_grade"].to_numpy(), 0, levels - 1), levels)
 
 
