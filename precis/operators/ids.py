@@ -6,7 +6,8 @@
   in the low 33 bits), writes the stamped rows to the shared folder so that the
   stamps are fixed, and adds the row count of all earlier partitions. Only one
   row per partition reaches the driver.
-* ``prefix_offsets`` is a running sum in two levels of about sqrt(n) rows.
+* ``prefix_offsets`` is a running sum in two levels: over the totals of the sorted
+  partitions, and inside each partition.
 * ``with_dense_ids`` turns (group, position-in-group) into global ids from
   per-group counts - no sort of the rows themselves.
 * ``keys_at`` finds the keys at given ranks, for splits by position.
@@ -16,8 +17,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +28,9 @@ _LOW_BITS = 33
 GROUP_SALTS = 16
 
 
-def _stamped(df: DataFrame, order_cols) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _stamped(df: DataFrame, order_cols) -> DataFrame:
     """Rows with ``_pid`` and ``_pos`` (partition and place of the sorted order),
-    written once, and (partition, rows before it) for every partition."""
+    written once so that both are fixed."""
     # The range-partitioned sort samples its input and then reads it again:
     # keep the input cached while the sorted, stamped rows are written out.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -39,27 +38,38 @@ def _stamped(df: DataFrame, order_cols) -> tuple[DataFrame, list[tuple[int, int]
         mono = F.col("_mono")
         rows = src.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
         rows = rows.withColumn("_pid", F.shiftright(mono, _LOW_BITS))
-        rows = written(rows.withColumn("_pos", mono - F.shiftleft("_pid", _LOW_BITS)).drop("_mono"), "ranked")
+        return written(rows.withColumn("_pos", mono - F.shiftleft("_pid", _LOW_BITS)).drop("_mono"), "ranked")
     finally:
         src.unpersist()
-    before, running = [], 0
-    for row in rows.groupBy("_pid").count().orderBy("_pid").collect():  # one row per partition
-        before.append((int(row["_pid"]), running))
-        running += int(row["count"])
-    return rows, before
+
+
+def _before(rows: DataFrame, total: Column) -> list[tuple[int, int]]:
+    """(partition, ``total`` of the partitions ahead of it): one row per partition
+    of the sorted rows reaches the driver."""
+    out, running = [], 0
+    for row in rows.groupBy("_pid").agg(total.alias("_total")).orderBy("_pid").collect():
+        out.append((int(row["_pid"]), running))
+        running += int(row["_total"] or 0)
+    return out
+
+
+def _attach(rows: DataFrame, before: list[tuple[int, int]]) -> DataFrame:
+    offsets = rows.sparkSession.createDataFrame(before or [(0, 0)], "_pid long, _off long")
+    return rows.join(F.broadcast(offsets), "_pid")
 
 
 def global_index(df: DataFrame, order_cols, name: str = "idx") -> DataFrame:
     """Add ``name``: 0-based rank of each row in ``order_cols`` (must be unique)."""
-    rows, before = _stamped(df, order_cols)
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_pid long, _off long")
-    return rows.join(F.broadcast(offsets), "_pid").select(*df.columns, (F.col("_off") + F.col("_pos")).alias(name))
+    rows = _stamped(df, order_cols)
+    ranked = _attach(rows, _before(rows, F.count(F.lit(1))))
+    return ranked.select(*df.columns, (F.col("_off") + F.col("_pos")).alias(name))
 
 
 def keys_at(df: DataFrame, key: str, ranks: list[int]) -> list:
     """The key at each 0-based rank of ``key`` (unique); None beyond the last
     row. Only keys are sorted, and only the wanted ones reach the driver."""
-    rows, before = _stamped(df.select(key), [key])
+    rows = _stamped(df.select(key), [key])
+    before = _before(rows, F.count(F.lit(1)))
     at = F.lit(False)
     wanted = {}
     for rank in ranks:
@@ -72,30 +82,17 @@ def keys_at(df: DataFrame, key: str, ranks: list[int]) -> list:
     return [found.get(wanted.get(rank)) for rank in ranks]
 
 
-def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "offset",
-                   block_rows: int | None = None) -> DataFrame:
+def prefix_offsets(df: DataFrame, order_col: str, count_col: str, name: str = "offset") -> DataFrame:
     """Exclusive running sum of ``count_col`` in ``order_col`` order (unique).
 
-    Two levels, so no window covers all rows: rows are ranked with
-    ``global_index`` and cut into about sqrt(n) blocks; block totals are summed
-    on the driver, and the running sum inside a block is a window partitioned
-    by block."""
-    spark = df.sparkSession
-    ranked = global_index(df, [order_col], "_rank")
-    block_rows = block_rows or max(1000, math.isqrt(ranked.count()))
-    ranked = ranked.withColumn("_blk", F.floor(F.col("_rank") / F.lit(block_rows)).cast("long"))
-    starts, running = [], 0
-    for r in ranked.groupBy("_blk").agg(F.sum(count_col).alias("_tot")).orderBy("_blk").collect():  # sqrt(n) rows
-        starts.append((int(r["_blk"]), running))
-        running += int(r["_tot"])
-    blocks = spark.createDataFrame(starts or [(0, 0)], "_blk long, _start long")
-    w = Window.partitionBy("_blk").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum(count_col).over(w), F.lit(0))
-    return (
-        ranked.join(F.broadcast(blocks), "_blk")
-        .withColumn(name, F.col("_start") + inner)
-        .drop("_blk", "_start", "_rank")
-    )
+    Two levels, so no window covers all rows: rows are sorted into range
+    partitions, the partitions' totals are summed up on the driver, and the
+    running sum inside a partition is a window over that partition."""
+    rows = _stamped(df, [order_col])
+    rows = _attach(rows, _before(rows, F.sum(count_col)))
+    inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("_off") + F.coalesce(F.sum(count_col).over(inside), F.lit(0))
+    return rows.select(*df.columns, offset.alias(name))
 
 
 def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line_col: str = "line",

@@ -98,7 +98,7 @@ def test_prefix_offsets_blocks(spark):
     rng = np.random.default_rng(2)
     counts = [int(x) for x in rng.integers(0, 9, 1000)]
     df = spark.createDataFrame([(f"f{i:04d}", c) for i, c in enumerate(counts)], "file string, n long").repartition(5)
-    got = {r["file"]: r["offset"] for r in prefix_offsets(df, "file", "n", block_rows=37).collect()}
+    got = {r["file"]: r["offset"] for r in prefix_offsets(df, "file", "n").collect()}
     running = 0
     for i, c in enumerate(counts):
         assert got[f"f{i:04d}"] == running
