@@ -2,6 +2,7 @@
 
 import math
 import re
+from pathlib import Path
 
 import pytest
 
@@ -123,6 +124,43 @@ def test_variants_of_a_licence(spark):
     assert scan_licenses(docs.where("false")).collect() == []
 
 
+LONG = {"Apache-2.0": ("Apache-2.0", "APPENDIX: How"), "Artistic": ("Artistic-1.0-Perl", "The End"), "BSD": ("BSD-3-Clause", None),
+        "CC0-1.0": ("CC0-1.0", None), "GFDL-1.2": ("GFDL-1.2", "ADDENDUM: "), "GFDL-1.3": ("GFDL-1.3", "ADDENDUM: "),
+        "GPL-1": ("GPL-1.0", "Appendix: How"), "GPL-2": ("GPL-2.0", "How to Apply"), "GPL-3": ("GPL-3.0", "How to Apply"),
+        "LGPL-2": ("LGPL-2.0", "How to Apply"), "LGPL-2.1": ("LGPL-2.1", "How to Apply"), "LGPL-3": ("LGPL-3.0", None),
+        "MPL-1.1": ("MPL-1.1", "EXHIBIT A -"), "MPL-2.0": ("MPL-2.0", "Exhibit A - ")}
+BODY = {"Apache-2.0": "TERMS AND CONDITIONS FOR USE", "Artistic": "Preamble", "GPL-2": "Preamble", "GPL-3": "Preamble",
+        "LGPL-2.1": "Preamble", "MPL-1.1": "1. Definitions", "MPL-2.0": "1. Definitions", "GFDL-1.3": "0. PREAMBLE",
+        "CC0-1.0": "Statement of Purpose"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="needs the texts of the licences")
+def test_long_licences(spark):
+    rows = []
+    for file, (name, appendix) in LONG.items():
+        text = Path("/usr/share/common-licenses", file).read_text(errors="replace")
+        wrapped = re.sub(r"\s+(?=copyright (?!\(c\)|\[|owner\]))", "\n", text, flags=re.I)
+        whole = [text, "Copyright Node.js contributors. All rights reserved.\n\n" + text, " ".join(text.split("  ")), wrapped]
+        cut = [x[:x.rindex(appendix)] for x in whole[:1] if appendix]
+        untitled = [x[x.index(BODY[file]):] for x in [text, *cut] if file in BODY]
+        rows += [(name, x) for x in whole + cut + untitled]
+        rows.append((None, text[:len(text) // 2]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in scan_licenses(docs).collect():
+        assert r.license == rows[r.doc_id][0], rows[r.doc_id][1][:200]
+
+
+def test_any_copyright_line(spark):
+    lines = ["Copyright Node.js contributors. All rights reserved.", "Copyright The Regents of the University of California.",
+             "COPYRIGHT: Some One", " * Copyright Ångström AB", "Copyright (c) 2020 Some One"]
+    broken = ISC.replace("above copyright notice", "above\ncopyright notice")
+    sentences = [ISC + "\ncopyright holders disclaim it", ISC + "\ncopyright the\nsoftware", ISC + "\ncopyrighted by no one"]
+    texts = [f"{line}\n\n{ISC}" for line in lines] + ["\n".join(lines) + "\n" + broken, broken]
+    docs = spark.createDataFrame(list(enumerate(texts + sentences)), "doc_id long, text string")
+    for r in scan_licenses(docs).collect():
+        assert r.license == ("ISC" if r.doc_id < len(texts) else None), r
+
+
 def test_equivalent_spellings_and_own_table(spark):
     frame = spark.createDataFrame([("The Licence, by the copyright owners: non-commercial use",),
                                    ("the license by the COPYRIGHT HOLDERS noncommercial use.",)], "text string")
