@@ -10,6 +10,7 @@ pass over whole texts with a broadcast model of fixed size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,15 @@ from pyspark.sql import functions as F
 
 from precis.llm.common import quoted
 from precis.llm.text_hash import word_ngram_buckets
+from precis.session import discard, written
 
 #: Buckets of hashed features (2**16), and rows of the training sample at most.
-BITS, SAMPLE_ROWS = 16, 4_000
+BITS, SAMPLE_ROWS = 16, 12_000
 STEPS, RATE, L2 = 200, 0.05, 1e-4
+#: Rows whose features a step of the fit handles at once.
+CHUNK_ROWS = 500
+#: Parts in which the sample comes to the driver.
+SLICES = 24
 
 
 @dataclass
@@ -46,12 +52,53 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, value / max(float(np.sqrt(value @ value)), 1e-12)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int) -> OrdinalModel:
+@dataclass
+class Features:
+    """Features of rows, flat: those of row i lie from ``starts[i]`` to ``starts[i + 1]``."""
+
+    at: np.ndarray  # uint16
+    value: np.ndarray  # float32
+    starts: np.ndarray
+
+    def chunks(self):
+        """(first row, row past the last, buckets, values, place of each row's first feature)."""
+        rows = len(self.starts) - 1
+        for a in range(0, rows, CHUNK_ROWS):
+            b = min(a + CHUNK_ROWS, rows)
+            cut = slice(self.starts[a], self.starts[b])
+            yield a, b, self.at[cut], self.value[cut], self.starts[a:b + 1] - self.starts[a]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.starts) - 1)
+        for a, b, at, value, starts in self.chunks():
+            if len(at):
+                # rows without features: reduceat would give them a neighbour's feature
+                some = np.diff(starts) > 0
+                out[a:b][some] = np.add.reduceat(w[at] * value, starts[:-1][some])
+        return out
+
+    def slopes(self, by_row: np.ndarray) -> np.ndarray:
+        """Sum of ``by_row`` times the values, per bucket."""
+        out = np.zeros(1 << BITS)
+        for a, b, at, value, starts in self.chunks():
+            out += np.bincount(at, weights=np.repeat(by_row[a:b], np.diff(starts)) * value, minlength=1 << BITS)
+        return out
+
+
+def flat(rows) -> Features:
+    """Rows of (bytes of uint16 buckets, bytes of float32 values), each let go as it is taken in."""
+    at, value, sizes = bytearray(), bytearray(), [0]
+    for a, v in rows:
+        at += a
+        value += v
+        sizes.append(len(a) // 2)
+    return Features(np.frombuffer(at, dtype=np.uint16), np.frombuffer(value, dtype=np.float32), np.cumsum(sizes))
+
+
+def fit(x: Features, grades: np.ndarray, levels: int) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty, by full-batch Adam. Thresholds are a
     first one plus positive steps, so that they stay in order."""
-    at = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    n = len(grades)
     size = 1 << BITS
     shares = np.cumsum(np.bincount(grades, minlength=levels))[:-1] + 1.0
     first = np.log(shares / (len(grades) + 2.0 - shares))
@@ -61,15 +108,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     k = np.arange(levels - 1)
     for step in range(1, STEPS + 1):
         w, cuts = params[:size], params[size] + np.concatenate(([0.0], np.cumsum(np.exp(params[size + 1:]))))
-        score = np.bincount(owner, weights=w[at] * value, minlength=len(rows))
+        score = x.scores(w)
         below = _logistic(cuts[None, :] - score[:, None])  # P(grade <= k)
-        edges = np.concatenate((np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))), axis=1)
-        p = np.maximum(edges[np.arange(len(rows)), grades + 1] - edges[np.arange(len(rows)), grades], 1e-9)
+        edges = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
+        p = np.maximum(edges[np.arange(n), grades + 1] - edges[np.arange(n), grades], 1e-9)
         # the likelihood of a grade depends on the cuts above (+) and below (-) it
         side = (grades[:, None] == k[None, :]).astype(float) - (grades[:, None] - 1 == k[None, :])
-        slope = -side * below * (1 - below) / p[:, None] / len(rows)
+        slope = -side * below * (1 - below) / p[:, None] / n
         by_cut = slope.sum(axis=0)
-        grad_w = np.bincount(at, weights=-slope.sum(axis=1)[owner] * value, minlength=size) + L2 * w
+        grad_w = x.slopes(-slope.sum(axis=1)) + L2 * w
         later = np.cumsum(by_cut[::-1])[::-1]
         grad = np.concatenate((grad_w, later[:1], later[1:] * np.exp(params[size + 1:])))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -86,23 +133,36 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, learn: Column | None
     part = F.pmod(F.xxhash64(F.col("_rated").cast("string"), F.lit(11)), F.lit(1 << 30))
     rated = ratings.select(quoted(id_col).alias("_rated"), F.col("grade").cast("int").alias("_grade"))
     rated = rated.where("_rated is not null and _grade is not null").groupBy("_rated").agg(F.min("_grade").alias("_grade"))
-    # a bounded number of ids travels to the texts
     rated = rated.where(learn) if learn is not None else rated
+    # only ids that have a document count towards the sample, and a bounded number of them travels to the texts
+    ids = docs.select(quoted(id_col).alias("_id"))
+    rated = rated.join(ids, F.col("_rated") == F.col("_id"), "left_semi")
     rated = rated.orderBy(part, "_rated").limit(SAMPLE_ROWS)
 
-    @F.pandas_udf("at array<int>, value array<float>")
+    @F.pandas_udf("at binary, value binary")
     def hashed(texts: pd.Series) -> pd.DataFrame:
         found = [features(t) for t in texts]
-        return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in found], "value": [x.astype(np.float32) for _, x in found]})
+        return pd.DataFrame({"at": [a.astype(np.uint16).tobytes() for a, _ in found],
+                             "value": [v.astype(np.float32).tobytes() for _, v in found]})
 
     rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     rows = rows.join(F.broadcast(rated), F.col("_id") == F.col("_rated"))
     table = rows.select("_grade", hashed("_text").alias("x"), part.alias("part")).select("_grade", "x.*", "part")
-    table = table.orderBy("part").limit(SAMPLE_ROWS).toPandas()
-    if not len(table):
+    table = written(table, "rated-sample")
+    ordered = table.repartitionByRange(SLICES, "part").sortWithinPartitions("part")
+    grades: list[int] = []
+
+    def taken():
+        # one part after the other, in order: the driver's JVM holds no more than one
+        for r in islice(ordered.toLocalIterator(), SAMPLE_ROWS):
+            grades.append(r["_grade"])
+            yield r["at"], r["value"]
+
+    x = flat(taken())
+    discard(table)
+    if not grades:
         return OrdinalModel(np.zeros(1 << BITS), np.linspace(-1.0, 1.0, levels - 1) if levels > 2 else np.zeros(levels - 1))
-    x = list(zip(table["at"], table["value"]))
-    return fit(x, np.clip(table["_grade"].to_numpy(), 0, levels - 1), levels)
+    return fit(x, np.clip(np.array(grades), 0, levels - 1), levels)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text",

@@ -124,3 +124,27 @@ def test_ordinal_thresholds_and_odd_rows(spark):
     assert out[90001].expected_grade == out[90002].expected_grade
     none = docs.where("false")
     assert ordinal_quality.grade_documents(none, ordinal_quality.train(none, ratings, 3)).collect() == []
+
+
+def test_ordinal_sample_is_of_rated_documents(spark, monkeypatch):
+    assert ordinal_quality.SAMPLE_ROWS >= 12_000
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1000)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(ordinal_quality, "SAMPLE_ROWS", 30)
+    monkeypatch.setattr(ordinal_quality, "fit", lambda x, grades, levels: seen.append(grades))
+    ordinal_quality.train(docs, ratings, 3)
+    assert len(seen[0]) == 30  # labels without a document take no place in the sample
+
+
+def test_ordinal_flat_features(monkeypatch):
+    monkeypatch.setattr(ordinal_quality, "CHUNK_ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(rng.choice(1 << 16, n, replace=False).astype(np.uint16), rng.random(n, dtype=np.float32)) for n in (0, 5, 0, 2, 0, 0, 7, 1, 0)]
+    x = ordinal_quality.flat((a.tobytes(), v.tobytes()) for a, v in rows)
+    w, by_row = rng.random(1 << 16), rng.random(len(rows))
+    assert np.allclose(x.scores(w), [w[a] @ v.astype(float) for a, v in rows])
+    want = np.zeros(1 << 16)
+    for (a, v), b in zip(rows, by_row):
+        want[a] += b * v
+    assert np.allclose(x.slopes(by_row), want)
