@@ -1,8 +1,7 @@
 """Quality rules: base counts of a text and a hashed n-gram likelihood ratio.
 
 Two multinomials over hashed token unigrams and bigrams are counted: one over the
-trusted target (a bounded sample of rows labelled good) and one over all of the
-raw corpus. A text's score is the mean log-likelihood ratio of its n-grams, so
+trusted target (every row labelled good) and one over all of the raw corpus. A text's score is the mean log-likelihood ratio of its n-grams, so
 long and short texts compare; every text below a fixed threshold is rejected,
 with no random draw.
 
@@ -22,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precis import session
 from precis.llm.common import ASCII_SPACE, quoted
 from precis.llm.text_hash import word_ngram_buckets
+from precis.session import measured_bytes, written
 
 #: Buckets of hashed n-grams (2**17), so the counts are at most 131,072 rows.
 BITS = 17
@@ -31,8 +32,6 @@ BITS = 17
 SMOOTHING = 8.0
 #: Texts with a mean log-likelihood ratio below this are rejected.
 THRESHOLD = -0.25
-#: Rows of the trusted sample, those with the smallest hashes of their ids.
-TRUSTED_ROWS = 50_000
 
 #: Signs that the rules count, words of a window, and limits.
 SYMBOLS = "#*$%&|<>"
@@ -64,16 +63,21 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """Ids of the trusted sample: rows labelled good, at most ``TRUSTED_ROWS``."""
+    """Ids of the trusted rows: all that are labelled good."""
     good = labels.where((quoted(quality_col) == 1) & quoted(id_col).isNotNull())
-    good = good.select(quoted(id_col).alias("_trusted")).distinct()
-    return good.orderBy(F.md5(F.col("_trusted").cast("string")), "_trusted").limit(TRUSTED_ROWS)
+    return good.select(quoted(id_col).alias("_trusted")).distinct()
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, raw, target) counts over all of ``docs`` and its trusted rows."""
+    """(bucket, raw, target) counts over all of ``docs`` and its trusted rows.
+
+    The ids are broadcast under a measured size; beyond it the join shuffles, and
+    adaptive execution may split it for an id with many rows."""
     rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left").select(
+    trusted = written(trusted, "trusted")
+    small = measured_bytes(trusted) <= session.BROADCAST_BYTES
+    trusted = F.broadcast(trusted) if small else trusted.hint("merge")
+    rows = rows.join(trusted, F.col("_id") == F.col("_trusted"), "left").select(
         "_text", F.col("_trusted").isNotNull().alias("_good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,3 +90,16 @@ def test_without_labels_or_documents(spark):
     assert all(r.score == 0 and r.kept != r.base_failed for r in out)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert Q.quality_verdicts(none, labels).collect() == [] and Q.keep_good(none, labels).collect() == []
+
+
+def test_every_trusted_row_counts(spark, monkeypatch):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert Q.trusted_ids(labels).count() == 60_000
+    docs = spark.range(60_000).selectExpr("id as doc_id", "concat('w', id % 7) as text")
+    for limit in (64 << 20, 0):  # broadcast, and the join that shuffles
+        monkeypatch.setattr("precis.session.BROADCAST_BYTES", limit)
+        counts = Q.ngram_counts(docs, Q.trusted_ids(labels), "doc_id", "text")
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == bool(limit)
+        rows = counts.collect()
+        assert sum(r.target for r in rows) == sum(r.raw for r in rows) == 60_000
