@@ -15,10 +15,11 @@ that adaptive execution may split for a host with many pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm.common import quoted
+from precis.llm.suffixes import RULES as RULE_LIST
 from precis.session import written
 
 #: (rule, verdict): a host with a path that must start the URL's path.
@@ -27,8 +28,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LIMIT, BOUND_SD = 0.5, 1.64
 #: Pseudo-outcomes of the overall rate, and the range of a level's fitted prior strength.
 TOP_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1.0, 1000.0
-#: Suffixes of two labels under which domains are registered (fixed values, a parameter).
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk")
+#: The suffix of all IP addresses: no other host starts with a bracket.
+IP = "[ip]"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -52,13 +53,44 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """(suffix, registered domain): the last label, or two for the known suffixes,
-    and one label more. A host without a dot is both."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    return (F.when(long, two).otherwise(F.substring_index(host, ".", -1)),
-            F.when(long, F.substring_index(host, ".", -3)).otherwise(two))
+def suffix_table(spark: SparkSession, rules=RULE_LIST) -> DataFrame:
+    """(``suffix``) of rules as the Public Suffix List writes them; those beyond ASCII in both spellings."""
+    both = set(rules)
+    for rule in rules:
+        if not rule.isascii():
+            both.add("!" * rule.startswith("!") + rule.lstrip("!").encode("idna").decode())
+    return spark.createDataFrame([(r,) for r in sorted(both)], "suffix string")
+
+
+def with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` (one row each) plus ``suffix`` and ``domain``, the registered one.
+
+    The longest rule that fits a host's last labels gives its suffix (``*.x``: one label
+    more than x; ``!w.x``: x after all), else the last label does; the domain has one label
+    more. User, port and a dot at the end are no part of the name. A name without a
+    dot is both; an IP address has the suffix ``IP`` and no domain (null)."""
+    rule = F.regexp_replace("suffix", "^!", "")
+    length = F.size(F.split(rule, r"\."))
+    spared = F.col("suffix").startswith("!")
+    rules = suffixes.select(rule.alias("_rule"), F.struct(
+        F.when(spared, 1000).otherwise(length).alias("rank"), F.when(spared, length - 1).otherwise(length).alias("n")).alias("_fit"))
+    most = suffixes.agg(F.max(length)).first()[0] or 1
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+    ends = [F.substring_index("_name", ".", -k) for k in range(1, most + 1)]
+    ends += [F.concat(F.lit("*."), e) for e in ends[:-1]]
+    rows = hosts.withColumn("_name", name)
+    fits = rows.select("*", F.explode(F.array_distinct(F.array(*ends))).alias("_end")).join(
+        F.broadcast(rules), F.col("_end") == F.col("_rule"), "left")
+    fits = fits.groupBy(*hosts.columns, "_name").agg(F.coalesce(F.max("_fit")["n"], F.lit(1)).alias("_n"))
+    labels = F.split("_name", r"\.")
+
+    def last(n: Column) -> Column:
+        n = F.least(n, F.size(labels))
+        return F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
+
+    ip = F.col("_name").rlike(r"^([0-9]+(\.[0-9]+){3}$|\[)")
+    return fits.select(*hosts.columns, F.when(ip, IP).otherwise(last(F.col("_n"))).alias("suffix"),
+                       F.when(~ip, last(F.col("_n") + 1)).alias("domain"))
 
 
 def prior_strength(groups: DataFrame, rate: str) -> float:
@@ -80,39 +112,45 @@ def _shrunk(groups: DataFrame, rate: str, name: str) -> DataFrame:
     return groups.withColumns({f"{name}_rate": (F.col("bad") + strength * F.col(rate)) / weight, f"{name}_weight": weight})
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(``host``, ``bad`` 0/1 or null where unlabelled) to one row per host: posterior
     ``rate`` of bad pages, its ``weight`` in pages, and the lower ``bound`` of the rate."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = written(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
+    suffixes = suffix_table(outcomes.sparkSession) if suffixes is None else suffixes
+    hosts = written(with_levels(hosts, suffixes), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     top = ((bad or 0) + 0.5 * TOP_STRENGTH) / ((n or 0) + TOP_STRENGTH)
     suffixes = _shrunk(suffixes.withColumn("top", F.lit(float(top))), "top", "suffix").select("suffix", "suffix_rate")
-    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix_rate", "domain").select("suffix", "domain", "domain_rate")
-    hosts = _shrunk(hosts.join(domains, ["suffix", "domain"]), "domain_rate", "host")
+    # an address has no domain: its host is shrunk towards the suffix
+    domains = domains.join(suffixes, "suffix")
+    known = _shrunk(domains.where("domain is not null"), "suffix_rate", "domain").select("suffix", "domain", "domain_rate")
+    known = known.unionByName(domains.where("domain is null").select("suffix", "domain", F.col("suffix_rate").alias("domain_rate")))
+    known = known.withColumnsRenamed({"suffix": "_suffix", "domain": "_domain"})
+    same = (F.col("suffix") == F.col("_suffix")) & F.col("domain").eqNullSafe(F.col("_domain"))
+    hosts = _shrunk(hosts.join(known, same), "domain_rate", "host")
     rate, weight = F.col("host_rate"), F.col("host_weight")
     spread = F.sqrt(rate * (1 - rate) / (weight + 1))
     return hosts.select("host", rate.alias("rate"), weight.alias("weight"), (rate - BOUND_SD * spread).alias("bound"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url",
-               rules=RULES, limit: float = LIMIT) -> DataFrame:
+               rules=RULES, limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: id, ``host``, ``path``, ``rule`` (the longest
     that fits, else null), ``verdict`` and the host's posterior ``rate`` and ``bound``.
 
     ``outcomes`` has (``_page``, ``_bad``): labelled pages by id; null ids and null
     outcomes say nothing, and of several for a page the worst counts. Null urls and those without
     ``://`` have empty host and path and share the record of the empty host.
+    ``suffixes`` has (``suffix``), rules as in ``suffix_table``, the default.
     Repeated rows stay repeated; other columns are not read; an empty table gives
     an empty result."""
     host, path = host_and_path(quoted(url_col))
     rows = pages.select(quoted(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     labels = outcomes.where("_page is not null and _bad is not null").groupBy("_page").agg(F.max("_bad").alias("bad"))
     records = rows.join(labels, F.col("_id") == F.col("_page"), "left").select("host", F.col("bad").cast("long").alias("bad"))
-    known = host_reputation(records).withColumnRenamed("host", "_host")
+    known = host_reputation(records, suffixes).withColumnRenamed("host", "_host")
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     verdicts = F.create_map(*[F.lit(x) for pair in rules for x in pair]) if rules else F.lit(None)
     judged = F.when(F.col("bound") > limit, "block").otherwise("allow")

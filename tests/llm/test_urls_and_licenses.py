@@ -96,6 +96,36 @@ def test_posterior(spark):
     assert {r.host for r in out if r.verdict == "block"} >= {"a.bad.com"}
 
 
+def test_suffixes_and_domains(spark):
+    want = {"a.shop.co.in": ("co.in", "shop.co.in"), "x.gov.uk": ("gov.uk", "x.gov.uk"), "b.c.com.cn": ("com.cn", "c.com.cn"),
+            "a.b.example.com": ("com", "example.com"), "co.uk": ("co.uk", "co.uk"), "u@p.q.co.za:80": ("co.za", "q.co.za"),
+            "a.b.c.ck": ("c.ck", "b.c.ck"), "x.www.ck": ("ck", "www.ck"), "localhost": ("localhost", "localhost"),
+            "10.0.3.4": (H.IP, None), "10.9.3.4:8080": (H.IP, None), "[::1]:80": (H.IP, None), "": ("", ""), "n.ne.jp.": ("ne.jp", "n.ne.jp")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.suffix, r.domain) for r in H.with_levels(hosts, H.suffix_table(spark)).collect()} == want
+    own = spark.createDataFrame([("example.com",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in H.with_levels(hosts, own).collect()}
+    assert got["a.b.example.com"] == ("example.com", "b.example.com") and got["a.shop.co.in"] == ("in", "co.in")
+
+
+def test_strangers_under_a_suffix_or_address(spark):
+    rows, marks = [], []
+    for name in ("bad.co.in", "10.0.3.4"):
+        for k in range(60):
+            marks.append((len(rows), 1))
+            rows.append((len(rows), f"http://{name}/{k}", None, None))
+    for k in range(300):
+        marks.append((len(rows), 0))
+        rows.append((len(rows), f"http://s{k}.{'com' if k % 3 else 'co.in'}/" if k % 2 else f"http://9.8.7.{k}/", None, None))
+    new = ["http://new.co.in/", "http://10.9.3.4/"]
+    rows += [(9000 + i, u, None, None) for i, u in enumerate(new)]
+    marks = spark.createDataFrame(marks, "_page long, _bad int")
+    out = {r.page_id: r for r in H.judge_urls(pages(spark, rows), marks, rules=()).collect()}
+    assert len(out) == len(rows)
+    assert out[0].verdict == out[60].verdict == "block"
+    assert out[9000].verdict == out[9001].verdict == "allow"
+
+
 ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies.
 
