@@ -111,15 +111,21 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     before, and later readers still prune columns. The table goes with the driver
     (or earlier, by ``discard``). Row order and partitions are not kept."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    target, files = _file_system(spark, path)
-    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes with the driver."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_written_at", None)
