@@ -42,6 +42,11 @@ def fresh(df: DataFrame, base: str) -> str:
 _PAGE_BITS = 15
 
 
+def bits_for(keys: int) -> int:
+    """log2 of the bits of a bitmap for so many keys: 16 a key, 64 MB at most (a fuller one filters less)."""
+    return max(_PAGE_BITS, min(29, (16 * max(keys, 1) - 1).bit_length()))
+
+
 def key_bitmap(keys: DataFrame, hash_col: str, bits_log2: int) -> DataFrame:
     """A set of keys as a bitmap of ``2**bits_log2`` bits, one row per 32,768.
 

@@ -123,10 +123,109 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
+OP11 = r"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+marks AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS hex,
+                 min(page_id) OVER (PARTITION BY body) AS first FROM bodies)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1) FOR i IN range(32)], '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM marks
+"""
+
+# The cheapest repair as dynamic programming, turn by turn: for each last role (none, s, u, a) the least
+# (cost, audit, text); ``none`` is a state that can't be reached. Insertions follow a turn once or twice.
+_STATES = ("z", "s", "u", "a")
+
+
+def _best(*options: tuple[str, str]) -> str:
+    """The least of (condition, struct) options."""
+    return "list_min([" + ", ".join(f"CASE WHEN {c} THEN {x} END" for c, x in options) + "])"
+
+
+def _step(state: str, cost: str, letter: str, text: str) -> str:
+    more = f"CASE WHEN {state}.t = '' THEN {text} ELSE {state}.t || chr(10) || {text} END" if text else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {more}}}"
+
+
+def _op13() -> str:
+    stay, free = "(CASE WHEN cut THEN 5 ELSE 0 END)", "NOT must"
+    has = lambda s: f"{s} IS NOT NULL"
+    kept = {"s": [("z", "s")], "u": [("z", "u"), ("s", "u"), ("a", "u")], "a": [("u", "a")], "z": []}
+    turn = {}
+    for state in _STATES:
+        options = [(has(state), _step(state, "2", "D", ""))]
+        for before, initial in kept[state]:
+            options.append((f"{has(before)} AND {free} AND initial = '{initial}'", _step(before, stay, "K", "role || ':' || text")))
+            if state in "ua":
+                name = "user" if state == "u" else "assistant"
+                options.append((f"{has(before)} AND {free}", _step(before, f"1 + {stay}", "R", f"'{name}:' || text")))
+        turn[state] = _best(*options)
+    user, helper = "'user:'", "'assistant:'"
+    u1 = _best(("u IS NOT NULL", "u"), *[(has(s), _step(s, "5", "I", user)) for s in ("z", "s", "a")])
+    a1 = _best(("a IS NOT NULL", "a"), ("u IS NOT NULL", _step("u", "5", "I", helper)))
+    a2 = _best(("a1 IS NOT NULL", "a1"), ("u1 IS NOT NULL", _step("u1", "5", "I", helper)))
+    u2 = _best(("u1 IS NOT NULL", "u1"), ("a1 IS NOT NULL", _step("a1", "5", "I", user)))
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    polynomial = 0xEDB88320
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {polynomial}) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crc_list AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || [ascii(k)::BIGINT FOR k IN string_split(key, '')],
+                         lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS lot
+  FROM keyed, crc_list),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM lots, unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) WHERE lot <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM rows),
+seen AS (
+  SELECT *, last = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+         substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed),
+turns AS (SELECT *, blank OR again AS must, last NOT IN ('.', '!', '?') AS cut FROM seen),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+         count(*) FILTER (WHERE cut AND NOT must) AS truncated,
+         count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n
+  FROM turns GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 'a': '', 't': ''}}::{state} AS z, NULL::{state} AS s,
+         {{'c': 5, 'a': 'I', 't': 'user:'}}::{state} AS u, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}::{state} AS a
+  FROM sums
+  UNION ALL
+  SELECT conv_id, pos, z, s, {u2} AS u, {a2} AS a FROM (
+    SELECT conv_id, pos, z, s, {u1} AS u1, {a1} AS a1 FROM (
+      SELECT w.conv_id, pos + 1 AS pos, {turn['z']} AS z, {turn['s']} AS s, {turn['u']} AS u, {turn['a']} AS a
+      FROM walk w JOIN turns r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.pos + 1))),
+final AS (
+  SELECT w.conv_id, list_min([CASE WHEN z IS NOT NULL THEN z END, CASE WHEN a IS NOT NULL THEN a END]) AS best
+  FROM walk w JOIN sums m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = m.n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op5_host_reputation": _fitted(OP5),
     "op7_mixing": OP7,
+    "op11_warc": OP11,
+    "op13_conversation_repair": _op13(),
 }
 if KNOWN_DIGESTS:
     ORACLES["op6_license_scan"] = _op6()

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from precis.llm import host_reputation, language_id, ordinal_quality, toxicity
 from precis.llm.common import table
+from precis.llm.conversation_repair import conversation_digests, damaged, repair_conversations
 from precis.llm.exact_dedup import exact_duplicates
 from precis.llm.license_scan import scan_licenses
 from precis.llm.mixing import mix_sources
 from precis.llm.quality_rules import quality_verdicts
 from precis.llm.sentencepiece_bpe import encode_documents
 from precis.llm.simhash import simhash_components
+from precis.llm.warc import round_trip
+from precis.llm.whitening import whiten
 
 
 def vocabulary_path() -> str:
@@ -90,6 +93,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, vocabulary_path(), with_ids=False)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(table(spark, sf_dir, "pages"))
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table; one that lost all its rows has zeros and nothing to repair."""
+    turns = table(spark, sf_dir, "conversations")
+    repairs = repair_conversations(damaged(turns))
+    found = repairs.conversations.join(conversation_digests(repairs.turns).withColumnRenamed("conv_id", "_of"),
+                                       F.col("conv_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    found = found.withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -101,4 +127,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_warc": op11_warc,
+    "op12_whitening": op12_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }

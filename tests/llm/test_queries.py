@@ -14,13 +14,15 @@ from precis.llm.simhash import fingerprint
 from tests.llm.test_mixing import plain_targets, words
 
 SF = "/root/testdata/sf0.001"
+TABLES = {"op5_host_reputation": "pages", "op11_warc": "pages", "op12_whitening": "embeddings", "op13_conversation_repair": "conversations"}
 
 
 def test_registered():
     names = set(E.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
-    assert set(ORACLES) == {"op1_exact_dedup", "op5_host_reputation", "op6_license_scan", "op7_mixing"}
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
+    assert set(ORACLES) == {"op1_exact_dedup", "op5_host_reputation", "op6_license_scan", "op7_mixing", "op11_warc",
+                            "op13_conversation_repair"}
 
 
 def number(v):
@@ -31,11 +33,12 @@ def number(v):
 def test_whole_table_and_sql(spark, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    base = "pages" if name.startswith("op5_") else "documents"
-    assert len(rows) == spark.read.parquet(f"{SF}/{base}.parquet").count()
+    base = spark.read.parquet(f"{SF}/{TABLES.get(name, 'documents')}.parquet")
+    per_row = 4 if name == "op12_whitening" else 1  # a row for each component
+    assert len(rows) == per_row * (base.select("conv_id").distinct() if name.startswith("op13_") else base).count()
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "labels"):
+        for t in ("documents", "pages", "labels", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         cur = con.execute(ORACLES[name])
         cols = [d[0] for d in cur.description]
