@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ class Spectrum:
             self.values, self.vectors = rank_one_update(
                 self.values, self.vectors, between, self.n * (other.n / (self.n + other.n)))
             for value, vector in zip(other.values, other.vectors.T):
-                if value > 0:
+                if value > _EPS * other.values[-1]:
                     self.values, self.vectors = rank_one_update(self.values, self.vectors, vector, value)
         elif other.n:
             self.values, self.vectors = other.values, other.vectors
@@ -180,13 +181,13 @@ class Spectrum:
         return self.n, self.sums.tolist(), self.values.tolist(), self.vectors.ravel().tolist()
 
 
-_SPECTRUM = "n long, sums array<long>, vals array<double>, vecs array<double>"
-_SPECTRUM_ARROW = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+_SPECTRUM = "id long, n long, sums array<long>, vals array<double>, vecs array<double>"
+_SPECTRUM_ARROW = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SPECTRUM_ARROW)],
-                                      names=["n", "sums", "vals", "vecs"])
+def _batch(ident: int, held: Spectrum) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((ident, *held.row()), _SPECTRUM_ARROW)],
+                                      names=["id", "n", "sums", "vals", "vecs"])
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -200,16 +201,21 @@ def _scan(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]
         for x in _matrix(batch.column(0), d):
             held.add(x)
     if held.n:
-        yield _batch([held.row()])
+        yield _batch(TaskContext.get().partitionId(), held)
 
 
 def _combine(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
-    held = Spectrum.empty(d)
+    """Spectra sorted by number: one for every ``FAN_IN`` numbers."""
+    group, held = None, Spectrum.empty(d)
     for batch in batches:
-        for n, sums, values, vectors in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        for ident, n, sums, values, vectors in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            if ident // FAN_IN != group:
+                if held.n:
+                    yield _batch(group, held)
+                group, held = ident // FAN_IN, Spectrum.empty(d)
             held.merge(Spectrum(n, np.array(sums, dtype=np.int64), np.array(values), np.array(vectors).reshape(d, d)))
     if held.n:
-        yield _batch([held.row()])
+        yield _batch(group, held)
 
 
 # ------------------------------------------------------------------------------------------ fit and apply
@@ -257,13 +263,11 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     # equal spectra from run to run: vectors are dealt by their content and scanned in order
     dealt = distinct.repartition("_x").sortWithinPartitions("_x")
     spectra = written(dealt.mapInArrow(lambda b: _scan(b, d), _SPECTRUM), "spectra")
-    left = spectra.count()
-    while left > 1:
-        left = -(-left // FAN_IN)
-        groups = spectra.repartitionByRange(left, "n", "sums") if left > 1 else spectra.coalesce(1)
-        spectra = written(groups.sortWithinPartitions("n", "sums").mapInArrow(lambda b: _combine(b, d), _SPECTRUM), "spectra")
-        left = spectra.count()
-    n, sums, values, basis = spectra.first()
+    while spectra.count() > 1:  # a task's numbers are those of a group of the round before
+        group = F.floor(F.col("id") / FAN_IN)
+        dealt = spectra.repartition(group).sortWithinPartitions("id")
+        spectra = written(dealt.mapInArrow(lambda b: _combine(b, d), _SPECTRUM), "spectra")
+    _, n, sums, values, basis = spectra.first()
     mean = np.array([s / n for s in sums])
     basis = np.linalg.qr(np.array(basis).reshape(d, d)[:, ::-1])[0]
     inner, trace = _second_moments(distinct, mean, basis, n)
