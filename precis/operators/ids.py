@@ -109,7 +109,7 @@ def with_dense_ids(df: DataFrame, name: str = "id", file_col: str = "file", line
 
 
 def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from: list[Column], how: str = "inner",
-                   salts: int = GROUP_SALTS) -> DataFrame:
+                   salts: int = GROUP_SALTS, in_order: list[str] | None = None) -> DataFrame:
     """Join a table with one row per group (offsets, first positions, minima)
     onto rows of which one group may hold a large share.
 
@@ -117,7 +117,8 @@ def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from: list[
     is broadcast. Beyond it the join is salted: every row gets a salt from
     ``salt_from`` columns and the per-group table is replicated once per salt
     (``explode``, no cross join), so a hot group is spread over ``salts`` join
-    partitions."""
+    partitions. A broadcast leaves rows in the order in which they are read;
+    ``in_order`` names the columns by which a salted join puts them back, groups whole."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     per_group = written(per_group, "per-group")
     if measured_bytes(per_group) <= session.BROADCAST_BYTES:
@@ -125,4 +126,5 @@ def join_per_group(rows: DataFrame, per_group: DataFrame, keys, salt_from: list[
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)))
     seq = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     salted_groups = per_group.select("*", F.explode(seq).alias("_salt"))
-    return salted_rows.join(salted_groups, keys + ["_salt"], how).drop("_salt")
+    joined = salted_rows.join(salted_groups, keys + ["_salt"], how).drop("_salt")
+    return joined.repartition(*keys).sortWithinPartitions(*in_order) if in_order else joined

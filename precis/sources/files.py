@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from precis.operators.align import align, alignment_counts, check_aligned, pair_by_rank
 from precis.operators.ids import global_index, join_per_group, prefix_offsets, with_dense_ids
 from precis.session import spread, written
+from precis.sources.records import read_multiline
 
 NEWS_SCHEMA = "text string, title string"
 
@@ -79,15 +80,7 @@ def read_delimited(spark: SparkSession, paths, delimiter: str = "\n") -> DataFra
         raw = spark.read.option("lineSep", delimiter).text(paths)
         return with_file_positions(raw).select(
             "file", "line", F.regexp_replace("value", r"\r\n|\r", "\n").alias("value"))
-    # a delimiter with line breaks meets files whose breaks are \r\n: lines are
-    # normalised before records are cut, so such a file is read whole
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", r"\r\n|\r", "\n")
-    raw = raw.select("file", F.split(text, r"\Q" + delimiter + r"\E", -1).alias("parts")).select(
-        "file", F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(
-            F.col("parts")).alias("parts"))
-    return raw.select("file", F.posexplode("parts").alias("line", "value")).select(
-        "file", F.col("line").cast("long").alias("line"), "value")
+    return read_multiline(spark, paths, delimiter)
 
 
 def read_stories(spark: SparkSession, dirs) -> DataFrame:
