@@ -7,7 +7,7 @@ numbers, and ``ordinals`` numbers rows within groups without a window over them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.operators.ids import global_index, join_per_group
@@ -22,6 +22,14 @@ def alignment_counts(left: DataFrame, right: DataFrame, group: str, names: tuple
     return counts.withColumn("aligned", (F.col(names[0]) == F.col(names[1])).cast("long"))
 
 
+def role_counts(rows: DataFrame, group: str, sides: dict[str, Column]) -> DataFrame:
+    """(group, rows of either side, ``aligned`` 0/1) where both sides are rows of one table: one scan of it."""
+    left, right = sides
+    counts = rows.groupBy(group).agg(*[F.count(F.when(on, 1)).alias(name) for name, on in sides.items()])
+    counts = counts.where((F.col(left) > 0) | (F.col(right) > 0))
+    return counts.withColumn("aligned", (F.col(left) == F.col(right)).cast("long"))
+
+
 def check_aligned(counts: DataFrame, group: str, names: tuple[str, str], what: str) -> None:
     """Raise ``ValueError`` for the first group whose sides differ."""
     bad = counts.where("aligned = 0").orderBy(group).select(group, *names).first()

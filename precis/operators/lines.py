@@ -5,7 +5,8 @@ table with ``mapInPandas``; ``None`` results are dropped and the columns that
 number a line are kept, so ordered output is a sort by them at the sink.
 
 ``score_with``: any object with ``score(target, prediction) -> {type: (p, r, f)}``
-is run per pair in ``mapInPandas`` and produces the long score table.
+is run per pair in ``mapInPandas`` and produces the long score table. Scores of
+another shape are for ``measures.score_measures``.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ def score_with(df: DataFrame, scorer: Scorer, target: str = "target", prediction
             rows = []
             for i, t, p in zip(pdf[id_col], pdf[target], pdf[prediction]):
                 for ty, s in scorer.score(t, p).items():
+                    if len(s) != 3:
+                        raise ValueError(f"{ty}: {len(s)} measures instead of precision, recall and fmeasure; use score_measures")
                     rows.append((int(i), ty, float(s[0]), float(s[1]), float(s[2])))
             yield pd.DataFrame(rows, columns=["id", "score_type", "precision", "recall", "fmeasure"])
 

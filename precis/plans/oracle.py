@@ -291,6 +291,23 @@ sums AS (SELECT score_type, b, sum(w) AS sw, sum(w * precision) AS sp, sum(w * r
 means AS (SELECT score_type, b, sp / sw AS precision, sr / sw AS recall, sf / sw AS fmeasure FROM sums WHERE sw > 0)"""
 
 
+def state_intervals(long_scores: str, B: int, seed: int, confidence: float) -> str:
+    """Poisson intervals of ``long_scores(id, score_type, measure, value)``, with the plain mean."""
+    sums = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(30)]
+    last = next(k for k, x in enumerate(sums) if x >= 1 - 1e-15)
+    cdf = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in sums[:last + 1]) + "]"
+    qs = f"[{(1 - confidence) / 2!r}, 0.5, {1 - (1 - confidence) / 2!r}]"
+    return f"""lots AS (
+  SELECT id, b, CAST(len(list_filter({cdf}, lambda cv: cv <= u)) AS DOUBLE) AS w
+  FROM (SELECT id, b, {uniform(f"concat_ws('-', '{seed}', 'p', id, b // 4)", "b % 4")} AS u
+        FROM (SELECT id, unnest(range(0, {B})) AS b FROM (SELECT DISTINCT id FROM {long_scores})))),
+means AS (SELECT score_type, measure, b, sum(w * value) / sum(w) AS m FROM {long_scores} JOIN lots USING (id)
+          GROUP BY score_type, measure, b HAVING sum(w) > 0),
+qq AS (SELECT score_type, measure, quantile_cont(m, {qs}) AS q FROM means GROUP BY score_type, measure)
+SELECT score_type, measure, mean, {R9('q[1]')} AS low, {R9('q[2]')} AS mid, {R9('q[3]')} AS high
+FROM qq JOIN (SELECT score_type, measure, {R9('avg(value)')} AS mean FROM {long_scores} GROUP BY score_type, measure) USING (score_type, measure)"""
+
+
 def _story_parse(content: str) -> str:
     lines0 = f"regexp_split_to_array({content}, '\\r\\n|\\r|\\n')"
     lines1 = f"(CASE WHEN regexp_matches({content}, '(\\r|\\n)$') THEN list_slice({lines0}, 1, len({lines0}) - 1) ELSE {lines0} END)"
@@ -506,6 +523,22 @@ pr AS (SELECT tok.id, 'unigram' AS score_type, CASE WHEN len(p) > 0 THEN coalesc
 scores AS (SELECT *, {FMEAS('precision', 'recall')} AS fmeasure FROM pr)
 SELECT {SCORE_COLS} FROM scores"""
 
+    values = {"words": [("target", "len(tw)"), ("prediction", "len(pw)"), ("ratio", "len(tw)::DOUBLE / len(pw)"),
+                        ("common", "len(list_intersect(tw, pw))"),
+                        ("jaccard", "len(list_intersect(tw, pw))::DOUBLE / len(list_distinct(tw || pw))")],
+              "chars": [("0", "length(target)"), ("1", "length(prediction)")]}
+    sizes = f"""{PAIRS},
+tw AS (SELECT *, string_split(target, ' ') AS tw, string_split(prediction, ' ') AS pw FROM pairs),
+sizes AS (""" + " UNION ALL ".join(
+        f"SELECT id, '{kind}' AS score_type, '{m}' AS measure, CAST({x} AS DOUBLE) AS value FROM tw"
+        for kind, each in values.items() for m, x in each) + ")"
+    Q["custom_measures"] = f"WITH {sizes} SELECT id, score_type, measure, {R9('value')} AS value FROM sizes"
+    Q["measure_intervals"] = f"WITH {sizes},\n{state_intervals('sizes', P.BOOT_SAMPLES, P.BOOT_SEED, P.BOOT_CONFIDENCE)}"
+    Q["accumulated_scores"] = f"""
+WITH {rouge_n_ctes([1, 2])},
+long AS (UNPIVOT (SELECT id, score_type, precision, recall, fmeasure FROM scores) ON precision, recall, fmeasure INTO NAME measure VALUE value),
+{state_intervals('long', P.BOOT_SAMPLES, P.BOOT_SEED, P.BOOT_CONFIDENCE)}"""
+
     Q["map_lines"] = f"""
 SELECT line, replace(value, 'a', 'A') || '!' AS value FROM (
   SELECT row_number() OVER (ORDER BY doc_id, ln) - 1 AS line, value FROM (

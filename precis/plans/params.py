@@ -5,6 +5,12 @@ BOOT_SAMPLES = 1000
 BOOT_CONFIDENCE = 0.95
 BOOT_SEED = 0
 
+# Shards in which scores are added to a stored state.
+SCORE_SHARDS = 3
+
+# Rows of a file where tables are written out as files.
+FILE_ROWS = 256
+
 # Splits: ratio split shares; absolute split sizes (the published
 # 350,000 / 25,000 sizes scaled down by 1,000); head size.
 SPLIT_RATIO = (80, 10, 10)
@@ -14,6 +20,7 @@ HEAD_N = 100
 
 # Sampling by byte length (article bytes incl. the newline must be below).
 MAX_LENGTH = 1500
+SAMPLE_BYTES = 200
 
 # Vocabulary: tokens seen fewer times get the unknown id.
 VOCAB_MIN_COUNT = 2

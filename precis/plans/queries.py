@@ -9,6 +9,8 @@ single huge conversation does not land in one task.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,10 @@ from precis.functions.tokens import (
     whitespace_tokens,
 )
 from precis.operators import bootstrap as B
+from precis.operators import measures as M
 from precis.operators.bleu import corpus_bleu
 from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
-from precis.operators.align import align, alignment_counts, ordinals, pair_by_rank
+from precis.operators.align import align, ordinals, pair_by_rank, role_counts
 from precis.operators.ids import global_index, join_per_group, with_dense_ids
 from precis.operators.lines import map_lines, score_with
 from precis.operators.rouge import example_report, ngram_table, score_columns, score_pairs, stem_word
@@ -41,7 +44,7 @@ from precis.operators.split import head_tail, ratio_split, sample_pairs, sample_
 from precis.operators.vocab import build_vocabulary, encode
 from precis.plans import params as P
 from precis.plans.jobs import corpus_vocabularies, encode_pairs
-from precis.session import spread, written
+from precis.session import shared_path, spread, written
 from precis.sources.files import parse_generation_log
 
 MEASURES = ("precision", "recall", "fmeasure")
@@ -228,7 +231,7 @@ def q_positional_join(spark, sf_dir):
 
 def q_alignment_check(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    return alignment_counts(_role(conv, "user"), _role(conv, "assistant"), "conv_id", ("n_targets", "n_predictions"))
+    return role_counts(conv, "conv_id", {"n_targets": F.col("role") == "user", "n_predictions": F.col("role") == "assistant"})
 
 
 def q_generation_log_pairs(spark, sf_dir):
@@ -439,6 +442,46 @@ def q_map_lines(spark, sf_dir):
     return map_lines(lines, _shout_long_lines, "!")
 
 
+class _Words(NamedTuple):
+    target: int
+    prediction: int
+    ratio: float
+    common: int
+    jaccard: float
+
+
+class _Sizes:
+    """A user-supplied scorer with scores of five and of two measures."""
+
+    def score(self, target, prediction):
+        t, p = target.split(" "), prediction.split(" ")
+        common, either = len(set(t) & set(p)), len(set(t) | set(p))
+        return {"words": _Words(len(t), len(p), len(t) / len(p), common, common / either),
+                "chars": (len(target), len(prediction))}
+
+
+def _sizes(spark, sf_dir):
+    return M.score_measures(conversation_pairs(spark, sf_dir), _Sizes())
+
+
+def q_custom_measures(spark, sf_dir):
+    return r9(M.long_measures(_sizes(spark, sf_dir)), ("value",))
+
+
+def q_measure_intervals(spark, sf_dir):
+    state = M.score_state(_sizes(spark, sf_dir), P.BOOT_SAMPLES, P.BOOT_SEED)
+    return r9(M.state_intervals(state, P.BOOT_CONFIDENCE), ("mean", "low", "mid", "high"))
+
+
+def q_accumulated_scores(spark, sf_dir):
+    """ROUGE scores added shard by shard to a stored state, which then gives the intervals."""
+    scores = M.packed_scores(rouge_scores(spark, sf_dir, ["rouge1", "rouge2"]))
+    scores, folder = written(scores, "scores"), shared_path(spark, "score-state")
+    for shard in range(P.SCORE_SHARDS):
+        M.add_scores(scores.where(F.pmod(F.xxhash64("id"), F.lit(P.SCORE_SHARDS)) == shard), folder, str(shard), P.BOOT_SAMPLES, P.BOOT_SEED)
+    return r9(M.state_intervals(M.read_state(spark, folder), P.BOOT_CONFIDENCE), ("mean", "low", "mid", "high"))
+
+
 QUERIES = {
     "clean_text": q_clean_text,
     "missing_period": q_missing_period,
@@ -485,4 +528,7 @@ QUERIES = {
     "sentence_split": q_sentence_split,
     "after_marker_window": q_after_marker_window,
     "map_lines": q_map_lines,
+    "custom_measures": q_custom_measures,
+    "measure_intervals": q_measure_intervals,
+    "accumulated_scores": q_accumulated_scores,
 }

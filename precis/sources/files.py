@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precis.operators.align import align, alignment_counts, check_aligned, pair_by_rank
+from precis.operators.align import align, alignment_counts, check_aligned, ordinals, pair_by_rank
 from precis.operators.ids import global_index, join_per_group, prefix_offsets, with_dense_ids
 from precis.session import spread, written
 from precis.sources.records import read_multiline
@@ -171,9 +171,13 @@ def read_scoring_pairs(spark: SparkSession, target_pattern: str, prediction_patt
     return read_aligned_records(spark, target_pattern, prediction_pattern, delimiter, ("target", "prediction"))
 
 
-def parse_generation_log(lines: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_generation_log(lines: DataFrame, value_col: str = "value", order_col: str | None = None) -> DataFrame:
     """(key, target, hypothesis) from ``T-<k>\\t<target>`` and
-    ``H-<k>\\t<score>\\t<hypothesis>`` lines; word pieces are joined."""
+    ``H-<k>\\t<score>\\t<hypothesis>`` lines; word pieces are joined.
+
+    A key that occurs several times pairs its n-th target with its n-th hypothesis, by ``order_col``
+    (unique line places; without it, the order of the scan); unequal numbers raise ``ValueError``. A
+    key of one side only is left out."""
     from precis.functions.text import join_wordpieces
 
     v = F.col(value_col)
@@ -182,8 +186,16 @@ def parse_generation_log(lines: DataFrame, value_col: str = "value") -> DataFram
     body = F.array_join(F.slice(fields, skip + 1, F.greatest(F.size(fields) - skip, F.lit(1))), "\t")
     parsed = lines.where(v.startswith("T") | v.startswith("H")).select(
         F.substring(fields[0], 2, 1 << 20).alias("key"), v.startswith("T").alias("is_target"),
-        join_wordpieces(body).alias("text"))
-    parsed = written(parsed, "generation-log")  # both sides of the join read it
-    t = parsed.where("is_target").select("key", F.col("text").alias("target"))
-    h = parsed.where("not is_target").select("key", F.col("text").alias("hypothesis"))
-    return align(t, h, ["key"])
+        join_wordpieces(body).alias("text"), *([F.col(order_col).alias("_place")] if order_col else []))
+    if not order_col:
+        parsed = parsed.withColumn("_place", F.monotonically_increasing_id())
+    parsed = written(parsed, "generation-log")  # both sides of the join read it, and places are fixed
+    # lines of one key pair off in their order, so a repeated key is no product of both sides
+    places = written(ordinals(parsed, ["key", "is_target"], "_place"), "log-places")
+    counts = alignment_counts(places.where("is_target"), places.where("not is_target"), "key",
+                              ("targets", "hypotheses"))
+    check_aligned(counts.where("targets > 0 and hypotheses > 0"), "key", ("targets", "hypotheses"), "generation log, key")
+    parsed = align(parsed, places, ["key", "is_target", "_place"])
+    t = parsed.where("is_target").select("key", "k", F.col("text").alias("target"))
+    h = parsed.where("not is_target").select("key", "k", F.col("text").alias("hypothesis"))
+    return align(t, h, ["key", "k"]).drop("k")

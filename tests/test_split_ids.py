@@ -199,3 +199,15 @@ def test_written_tables_are_fixed_and_can_be_discarded(spark):
     assert os.path.isdir(path)
     discard(df)
     assert not os.path.exists(path)
+
+
+def test_generation_log_pairs_repeated_keys_in_order(spark):
+    from precis.sources.files import parse_generation_log
+
+    lines = ["T-1\tone", "H-1\t-0.1\tuno", "x", "T-2\ttwo", "T-1\tone ##s", "H-2\t-1\tdos", "H-1\t-0.2\tunos", "T-9\talone"]
+    table = spark.createDataFrame(list(enumerate(lines)), "line long, value string").repartition(3)
+    rows = sorted(tuple(r) for r in parse_generation_log(table, order_col="line").collect())
+    assert rows == [("-1", "one", "uno"), ("-1", "ones", "unos"), ("-2", "two", "dos")]
+    uneven = spark.createDataFrame([(0, "T-1\ta"), (1, "T-1\tb"), (2, "H-1\t0\tc")], "line long, value string")
+    with pytest.raises(ValueError, match="generation log"):
+        parse_generation_log(uneven, order_col="line")
