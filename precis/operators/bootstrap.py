@@ -5,7 +5,7 @@ Output: (score_type, measure, low, mid, high) where low/mid/high are the
 ``(1-c)/2``, 0.5 and ``1-(1-c)/2`` percentiles (linear interpolation) of the
 resample means; ``mid`` is the median of the resample means.
 
-Two resampling schemes, both deterministic for a seed and independent of the
+Three resampling schemes, all deterministic for a seed and independent of the
 number of partitions. Draws come from md5: each digest gives four 32-bit
 uniforms, keyed ``seed-rep-(slot div 4)`` (exact) and ``seed-p-id-(rep div 4)``
 (Poisson), part ``mod 4``:
@@ -19,14 +19,24 @@ uniforms, keyed ``seed-rep-(slot div 4)`` (exact) and ``seed-p-id-(rep div 4)``
   the wide score frame (one row per pair) as it is; a long score table is
   pivoted first (one shuffle of that table).
 
-The method is the caller's choice (``exact`` unless told otherwise) and never
-changes with the size of the input.
+* ``tree``   - the same resamples of size n with replacement, drawn where the rows
+  lie: how many draws of a resample fall into each leaf of neighbouring rows is told by
+  a tree of binomial draws from the top, and the draws inside a leaf are made in the
+  leaf's own task. What is shuffled is a number a resample and leaf, and the
+  leaf's sums. Keys: ``seed-t-rep-lo-hi`` (52 bits, leaves lo to hi) and
+  ``seed-l-rep-leaf-(slot div 4)``, part ``mod 4``.
+
+The method is the caller's choice and never changes with the size of the input.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +140,101 @@ def bootstrap_exact(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
     return _intervals(means, confidence)
 
 
+#: Rows of a leaf: a task holds the scores of one.
+LEAF_ROWS = 65_536
+
+
+def binomial_draw(u: float, n: int, p: float) -> int:
+    """The number of hits in ``n`` trials at which the summed probabilities pass ``u``, from the likeliest
+    number outwards (above before below), so that the steps are as few as the spread."""
+    if n == 0:
+        return 0
+    up = down = min(n, int((n + 1) * p))
+    f = math.exp(math.lgamma(n + 1) - math.lgamma(up + 1) - math.lgamma(n - up + 1)
+                 + up * math.log(p) + (n - up) * math.log(1.0 - p))
+    total, above, below, odds = f, f, f, p / (1.0 - p)
+    mode = up
+    while u >= total and (up < n or down > 0):
+        if up < n:
+            above *= (n - up) / (up + 1) * odds
+            up, total = up + 1, total + above
+            if u < total:
+                return up
+        if down > 0:
+            below *= down / ((n - down + 1) * odds)
+            down, total = down - 1, total + below
+            if u < total:
+                return down
+    return mode
+
+
+def leaf_counts(rep: int, n: int, leaf_rows: int, seed: int) -> Iterator[tuple[int, int]]:
+    """(leaf, draws that fall into it) of one resample, for the leaves that get any."""
+    stack = [(0, -(-n // leaf_rows), n)]
+    while stack:
+        lo, hi, count = stack.pop()
+        if not count:
+            continue
+        if hi - lo == 1:
+            yield lo, count
+            continue
+        mid = (lo + hi) // 2
+        first, whole = (mid - lo) * leaf_rows, min(n, hi * leaf_rows) - lo * leaf_rows
+        u = int(hashlib.md5(f"{seed}-t-{rep}-{lo}-{hi}".encode()).hexdigest()[:13], 16) / 2.0**52
+        left = binomial_draw(u, count, first / whole)
+        stack += [(mid, hi, count - left), (lo, mid, left)]
+
+
+def _leaf_picks(rep: int, leaf: int, count: int, size: int, seed: int) -> np.ndarray:
+    """How often each row of a leaf is drawn."""
+    blocks = b"".join(hashlib.md5(f"{seed}-l-{rep}-{leaf}-{k}".encode()).digest() for k in range(-(-count // 4)))
+    u = np.frombuffer(blocks, dtype=">u4")[:count] / _TWO_32
+    return np.bincount(np.floor(u * size).astype(np.int64), minlength=size)
+
+
+def bootstrap_tree(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES, confidence: float = BOOTSTRAP_CONFIDENCE,
+                   seed: int = 0, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Resamples of size n with replacement: draws per leaf by a binomial tree, then inside each leaf."""
+    check_params(confidence, n_samples)
+    spark = scores.sparkSession
+    scores = written(scores.select("id", "score_type", *MEASURES), "scores")
+    ids = scores.select("id").distinct()
+    n = ids.count()
+    if n == 0:
+        return spark.createDataFrame([], "score_type string, measure string, low double, mid double, high double")
+    indexed = global_index(ids, ["id"], "idx").withColumn("leaf", F.floor(F.col("idx") / leaf_rows).cast("long"))
+    rows = scores.join(indexed, "id").select("leaf", (F.col("idx") % leaf_rows).alias("at"), "score_type", *MEASURES)
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rep in pdf["id"]:
+                yield pd.DataFrame([(rep, leaf, count) for leaf, count in leaf_counts(int(rep), n, leaf_rows, seed)],
+                                   columns=["b", "leaf", "count"])
+
+    counts = spark.range(n_samples).mapInPandas(trees, "b long, leaf long, count long")
+
+    def draws(scored: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(columns=["b", "score_type", *MEASURES])
+        if not len(scored) or not len(drawn):
+            return out
+        leaf = int(scored["leaf"].iloc[0])
+        size = min(leaf_rows, n - leaf * leaf_rows)
+        types = sorted(scored["score_type"].unique())
+        matrix = np.zeros((size, 3 * len(types)))
+        for k, kind in enumerate(types):
+            mine = scored[scored["score_type"] == kind]
+            matrix[mine["at"].to_numpy(), 3 * k:3 * k + 3] = mine[list(MEASURES)].to_numpy()
+        sums = np.stack([_leaf_picks(int(b), leaf, int(c), size, seed) @ matrix for b, c in zip(drawn["b"], drawn["count"])])
+        parts = [pd.DataFrame({"b": drawn["b"].to_numpy(), "score_type": kind,
+                               **{m: sums[:, 3 * k + i] for i, m in enumerate(MEASURES)}}) for k, kind in enumerate(types)]
+        return pd.concat(parts, ignore_index=True)
+
+    partial = rows.groupBy("leaf").cogroup(counts.groupBy("leaf")).applyInPandas(
+        draws, "b long, score_type string, precision double, recall double, fmeasure double")
+    means = partial.groupBy("score_type", "b").agg(*[(F.sum(m) / F.lit(float(n))).alias(m) for m in MEASURES])
+    return _intervals(means, confidence)
+
+
 def bootstrap_poisson(scores: DataFrame, n_samples: int = BOOTSTRAP_SAMPLES,
                       confidence: float = BOOTSTRAP_CONFIDENCE, seed: int = 0, types=None) -> DataFrame:
     """Poisson bootstrap of a long score table, turned into one row per id first."""
@@ -181,9 +286,11 @@ def bootstrap_poisson_wide(wide: DataFrame, types, n_samples: int = BOOTSTRAP_SA
 
 
 def aggregate_scores(scores: DataFrame, method: str = "exact", types=None, **kw) -> DataFrame:
-    """Intervals by the named method: ``exact`` or ``poisson``."""
+    """Intervals by the named method: ``exact``, ``tree`` or ``poisson``."""
     if method == "exact":
         return bootstrap_exact(scores, **kw)
+    if method == "tree":
+        return bootstrap_tree(scores, **kw)
     if method == "poisson":
         return bootstrap_poisson(scores, types=types, **kw)
     raise ValueError(f"unknown bootstrap method {method!r}")

@@ -162,7 +162,7 @@ def sample_files(spark: SparkSession, articles_path: str, summaries_path: str, t
 
 def score_files(spark: SparkSession, target_pattern: str, prediction_pattern: str, output: str,
                 rouge_types=DEFAULT_ROUGE_TYPES, use_stemmer: bool = False, aggregate: bool = True,
-                delimiter: str = "\n", method: str = "exact", per_example_output: str | None = None,
+                delimiter: str = "\n", method: str = "tree", per_example_output: str | None = None,
                 n_samples: int = 1000, confidence: float = 0.95, seed: int = 0):
     """Scoring job: files -> aligned pairs -> long score table -> bootstrap
     intervals (CSV) and/or per-example scores (CSV)."""

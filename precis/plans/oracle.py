@@ -277,6 +277,35 @@ means AS (SELECT score_type, b,
           FROM joined, cnt GROUP BY score_type, b)"""
 
 
+def bootstrap_tree_ctes(B: int, seed: int, leaf: int) -> str:
+    """Draws per leaf from the top of the tree: of a node's draws, the left half of its leaves gets a
+    binomial number; probabilities are summed from the mode outwards (+1, -1, +2, ...) until they pass u."""
+    steps = ("list_filter(list_transform(range(0, 2 * c + 2), lambda i: mode + CASE WHEN i % 2 = 1 THEN (i + 1) // 2 ELSE -(i // 2) END), "
+             "lambda k: k >= 0 AND k <= c)")
+    chance = "exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + k * ln(p) + (c - k) * ln(1.0::DOUBLE - p))"
+    return f"""ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT DISTINCT id FROM scores)),
+cnt AS (SELECT count(*) AS n, CAST(ceil(count(*) / {leaf}) AS BIGINT) AS leaves FROM ids),
+tree AS (
+  SELECT unnest(range(0, {B})) AS b, 0::BIGINT AS lo, leaves AS hi, n AS c FROM cnt WHERE n > 0
+  UNION ALL
+  SELECT b, CASE WHEN half = 0 THEN lo ELSE mid END AS lo, CASE WHEN half = 0 THEN mid ELSE hi END AS hi,
+         CASE WHEN half = 0 THEN hits ELSE c - hits END AS c
+  FROM (SELECT b, lo, hi, mid, c, ks[least(len(list_filter(range(1, len(ks) + 1), lambda j: list_sum(list_slice(fs, 1, j)) <= u)) + 1, len(ks))] AS hits
+        FROM (SELECT b, lo, hi, mid, c, u, ks, list_transform(ks, lambda k: {chance}) AS fs
+              FROM (SELECT b, lo, hi, mid, c, p, u, {steps} AS ks
+                    FROM (SELECT b, lo, hi, mid, c, p, least(c, CAST(floor((c + 1) * p) AS BIGINT)) AS mode,
+                                 ('0x' || substr(md5(concat_ws('-', '{seed}', 't', b, lo, hi)), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) AS u
+                          FROM (SELECT b, lo, hi, c, (lo + hi) // 2 AS mid,
+                                       (((lo + hi) // 2 - lo) * {leaf})::DOUBLE / (least(n, hi * {leaf}) - lo * {leaf}) AS p
+                                FROM tree, cnt WHERE hi - lo > 1 AND c > 0))))), (VALUES (0), (1)) h(half)),
+slots AS (SELECT b, lo AS leaf, unnest(range(0, c)) AS k, least({leaf}, n - lo * {leaf}) AS size FROM tree, cnt WHERE hi - lo = 1 AND c > 0),
+draws AS (SELECT b, leaf * {leaf} + CAST(floor({uniform(f"concat_ws('-', '{seed}', 'l', b, leaf, k // 4)", "k % 4")} * size) AS BIGINT) AS pick FROM slots),
+mult AS (SELECT b, pick, count(*) AS c FROM draws GROUP BY b, pick),
+means AS (SELECT s.score_type, m.b, sum(m.c * precision) / max(n)::DOUBLE AS precision, sum(m.c * recall) / max(n)::DOUBLE AS recall,
+                 sum(m.c * fmeasure) / max(n)::DOUBLE AS fmeasure
+          FROM mult m JOIN ids ON ids.idx = m.pick JOIN scores s ON s.id = ids.id, cnt GROUP BY s.score_type, m.b)"""
+
+
 def bootstrap_poisson_ctes(B: int, seed: int) -> str:
     # P(X <= k) of Poisson(1) until it is one to 15 places
     sums = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(30)]
@@ -553,6 +582,10 @@ WHERE len(value) >= 20"""
         f"WITH {rouge_n_ctes([1, 2])},\n{bootstrap_exact_ctes(P.BOOT_SAMPLES, P.BOOT_SEED)}\n"
         + interval_select("means", P.BOOT_CONFIDENCE)
     )
+    Q["bootstrap_tree"] = (
+        f"WITH RECURSIVE {rouge_n_ctes([1, 2])},\n{bootstrap_tree_ctes(P.BOOT_SAMPLES, P.BOOT_SEED, P.BOOT_LEAF_ROWS)}\n"
+        + interval_select("means", P.BOOT_CONFIDENCE)
+    )
     Q["bootstrap_poisson"] = (
         f"WITH {rouge_n_ctes([1, 2])},\n{bootstrap_poisson_ctes(P.BOOT_SAMPLES, P.BOOT_SEED)}\n"
         + interval_select("means", P.BOOT_CONFIDENCE)

@@ -5,6 +5,9 @@ BOOT_SAMPLES = 1000
 BOOT_CONFIDENCE = 0.95
 BOOT_SEED = 0
 
+# Rows of a leaf of the bootstrap's tree in its query (small, so that small tables have several).
+BOOT_LEAF_ROWS = 64
+
 # Shards in which scores are added to a stored state.
 SCORE_SHARDS = 3
 

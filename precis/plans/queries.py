@@ -279,6 +279,11 @@ def q_bootstrap_exact(spark, sf_dir):
     return r9(iv, ("low", "mid", "high"))
 
 
+def q_bootstrap_tree(spark, sf_dir):
+    iv = B.bootstrap_tree(_boot_scores(spark, sf_dir), P.BOOT_SAMPLES, P.BOOT_CONFIDENCE, P.BOOT_SEED, P.BOOT_LEAF_ROWS)
+    return r9(iv, ("low", "mid", "high"))
+
+
 def q_bootstrap_poisson(spark, sf_dir):
     types = ["rouge1", "rouge2"]
     wide = score_columns(conversation_pairs(spark, sf_dir), types)
@@ -506,6 +511,7 @@ QUERIES = {
     "rouge_l": q_rouge_l,
     "rouge_lsum": q_rouge_lsum,
     "bootstrap_exact": q_bootstrap_exact,
+    "bootstrap_tree": q_bootstrap_tree,
     "bootstrap_poisson": q_bootstrap_poisson,
     "aggregate_report": q_aggregate_report,
     "example_report": q_example_report,

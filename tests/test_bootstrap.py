@@ -107,3 +107,47 @@ def test_poisson_takes_wide_scores(spark):
     long = as_dict(B.bootstrap_poisson(score_pairs(pairs, types), n_samples=60))
     assert wide.keys() == long.keys()
     assert all(wide[k] == pytest.approx(long[k], abs=1e-12) for k in wide)
+
+
+def test_binomial_draw_follows_the_distribution():
+    from math import comb
+
+    from precis.operators.bootstrap import binomial_draw
+
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.9), (1000, 0.01)):
+        k = max(0, int(n * p) - 1)
+        grid = [(i + 0.5) / 20_000 for i in range(20_000)]
+        share = sum(binomial_draw(u, n, p) == k for u in grid) / len(grid)
+        assert abs(share - comb(n, k) * p**k * (1 - p) ** (n - k)) < 2e-4
+    draws = [binomial_draw((i + 0.5) / 500, 10**9, 0.25) for i in range(500)]
+    assert abs(np.mean(draws) / 2.5e8 - 1) < 1e-4 and 0.9 < np.std(draws) / np.sqrt(1e9 * 0.25 * 0.75) < 1.1
+    assert binomial_draw(0.999999, 0, 0.5) == 0 and binomial_draw(1.0, 3, 0.5) <= 3
+
+
+def test_tree_counts_add_up_and_leaves_are_even():
+    from precis.operators.bootstrap import leaf_counts
+
+    totals = np.zeros(13)
+    for rep in range(400):
+        counts = dict(leaf_counts(rep, 1290, 100, 5))
+        assert sum(counts.values()) == 1290
+        totals += [counts.get(leaf, 0) for leaf in range(13)]
+    expected = np.array([100] * 12 + [90]) * 400
+    assert (np.abs(totals - expected) < 5 * np.sqrt(expected)).all()
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_tree_intervals_are_those_of_plain_resampling(spark, partitions):
+    from precis.operators.bootstrap import bootstrap_tree
+
+    rng = np.random.default_rng(2)
+    values = rng.random((300, 3))
+    rows = [(i, "t", *map(float, v)) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "id long, score_type string, precision double, recall double, fmeasure double")
+    got = {r.measure: (r.low, r.mid, r.high) for r in bootstrap_tree(table.repartition(partitions), 2000, 0.9, 1, leaf_rows=40).collect()}
+    means = values[rng.integers(0, 300, (2000, 300))].mean(axis=1)
+    for k, m in enumerate(("precision", "recall", "fmeasure")):
+        assert np.abs(np.array(got[m]) - np.percentile(means[:, k], [5, 50, 95])).max() < 0.004
+    whole = {r.measure: (r.low, r.mid, r.high) for r in bootstrap_tree(table, 2000, 0.9, 1, leaf_rows=40).collect()}
+    assert all(np.allclose(got[m], whole[m]) for m in whole)  # equal draws whatever the partitions
+    assert bootstrap_tree(table.where("false"), 10).collect() == []
