@@ -1,12 +1,14 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
-The rules are written out again here; nothing is taken from the operators but the
-two fixed tables of the licence scan (equivalent spellings and known digests).
+The rules are written out again here; nothing is taken from the operators but fixed
+tables: of the licence scan the equivalent spellings, known digests and sentence
+words, and of the URL filter the list of suffixes.
 """
 
 from __future__ import annotations
 
-from precis.llm.license_scan import KNOWN_DIGESTS, SPELLINGS
+from precis.llm.license_scan import _SENTENCE, KNOWN_DIGESTS, MARKS, SPELLINGS
+from precis.llm.suffixes import RULES
 
 OP1 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -25,21 +27,27 @@ urls AS (
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split),
 rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
 fits AS (
-  SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS place
-  FROM urls JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+  SELECT host, path, rule, verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC) AS place
+  FROM (SELECT DISTINCT host, path FROM urls) JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
                       AND starts_with(path, substr(rule, instr(rule, '/')))),
 marks AS (
   SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, string_split(host, '.') AS labels, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad
   FROM urls LEFT JOIN marks ON page_id = doc_id GROUP BY host),
-named AS (
-  SELECT host, n, bad, array_to_string(labels[-2:], '.') IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','org.uk') AS long, labels
-  FROM hosts),
+names AS (SELECT host, n, bad, string_split(name, '.') AS labels, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}$|\[)') AS ip FROM (
+  SELECT host, n, bad, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS name FROM hosts)),
+listed(listed) AS (VALUES @SUFFIXES@),
+ends AS (SELECT host, array_to_string(labels[-k:], '.') AS tail, k FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS k FROM names)),
+-- labels of the suffix: an exception spares its first one, a wildcard adds one, the longest rule counts
+fit AS (
+  SELECT host, max(CASE WHEN starts_with(listed, '!') THEN 1000 + k - 1 WHEN starts_with(listed, '*.') THEN k + 1 ELSE k END) AS n
+  FROM ends JOIN listed ON listed IN (tail, '*.' || tail, '!' || tail) GROUP BY host),
 levels AS (
-  SELECT host, n, bad, array_to_string(CASE WHEN long THEN labels[-2:] ELSE labels[-1:] END, '.') AS suffix,
-         array_to_string(CASE WHEN long THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain FROM named),
+  SELECT host, n, bad, CASE WHEN ip THEN '[ip]' ELSE array_to_string(labels[-least(m, len(labels)):], '.') END AS suffix,
+         CASE WHEN NOT ip THEN array_to_string(labels[-least(m + 1, len(labels)):], '.') END AS domain
+  FROM (SELECT names.*, coalesce(fit.n % 1000, 1) AS m FROM names LEFT JOIN fit USING (host))),
 s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM levels GROUP BY suffix),
 top AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS m FROM s0),
 s1 AS (SELECT suffix, n, bad, m FROM s0, top),
@@ -49,15 +57,16 @@ s2 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s1, ks),
 d1 AS (SELECT l.suffix, domain, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(m) AS m
        FROM levels l JOIN s2 USING (suffix) GROUP BY l.suffix, domain),
 kd AS (SELECT fit(sum(CASE WHEN n > 0 THEN n * (bad / n - m) ^ 2 - m * (1 - m) END),
-                  sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM d1),
-d2 AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS m FROM d1, kd),
-h1 AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, m FROM levels JOIN d2 USING (suffix, domain)),
+                  sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM d1 WHERE domain IS NOT NULL),
+d2 AS (SELECT suffix, domain, CASE WHEN domain IS NULL THEN m ELSE (bad + k * m) / (n + k) END AS m FROM d1, kd),
+h1 AS (SELECT host, l.n::DOUBLE AS n, l.bad::DOUBLE AS bad, m FROM levels l JOIN d2
+       ON l.suffix = d2.suffix AND l.domain IS NOT DISTINCT FROM d2.domain),
 kh AS (SELECT fit(sum(CASE WHEN n > 0 THEN n * (bad / n - m) ^ 2 - m * (1 - m) END),
                   sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END)) AS k FROM h1),
 h2 AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS weight FROM h1, kh)
 SELECT u.page_id, u.host, u.path, f.rule,
        coalesce(f.verdict, CASE WHEN rate - 1.64 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM urls u JOIN h2 USING (host) LEFT JOIN fits f ON f.page_id = u.page_id AND f.place = 1
+FROM urls u JOIN h2 USING (host) LEFT JOIN fits f ON f.host = u.host AND f.path = u.path AND f.place = 1
 """
 
 
@@ -72,23 +81,53 @@ def _fitted(sql: str) -> str:
     return re.sub(r"fit\((sum\(CASE.*?END\)),\s*(sum\(CASE.*?END\))\)", one, sql, flags=re.S)
 
 
+def _suffixes() -> str:
+    """The listed rules as VALUES, those beyond ASCII in both spellings."""
+    both = set(RULES)
+    for rule in RULES:
+        if not rule.isascii():
+            both.add("!" * rule.startswith("!") + rule.lstrip("!").encode("idna").decode())
+    return ", ".join(f"('{r}')" for r in sorted(both))
+
+
+_NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*"
+
+
+def _lowered(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{MARKS}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(MARKS)}')"
+
+
 def _canonical(text: str) -> str:
-    marks = "‘’‚‛“”„‟‐‑‒–—―…·•«»  "
-    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{marks}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(marks)}')"
-    notice = (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{]|©|all rights reserved)[^\n]*")
-    out = f"regexp_replace({lower}, '{notice}', ' ', 'g')"
-    out = rf"' ' || regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10ffff}}]+', ' ', 'g') || ' '"
+    out = rf"' ' || regexp_replace({text}, '[^a-z0-9\x{{80}}-\x{{10ffff}}]+', ' ', 'g') || ' '"
     for spelling, canonical in SPELLINGS:
         out = f"replace({out}, '{spelling}', '{canonical}')"
     return f"trim({out}, ' ')"
 
 
+def _any_notice(arr: str, i: str) -> str:
+    """Does line ``i`` start with "copyright" and go on as no licence sentence does? DuckDB's patterns can't look
+    ahead: what follows is held against the sentence words by itself (its lines joined, as words may be broken there)."""
+    head = r"'^[^a-z0-9\n]*copyright[ \t:*_-]+'"
+    rest = f"regexp_replace(array_to_string({arr}[{i}:], chr(10)), {head}, '')"
+    return (f"CASE WHEN regexp_matches({arr}[{i}], {head}) THEN regexp_matches({rest}, '^[a-z0-9\\x{{80}}-\\x{{10ffff}}]') "
+            f"AND NOT regexp_matches({rest}, '^({_SENTENCE})\\b') ELSE false END")
+
+
 def _op6() -> str:
     known = ", ".join(f"('{digest}', '{name}')" for name, digest in KNOWN_DIGESTS)
+    kept = f"CASE WHEN {_any_notice('arr', 'i')} THEN ' ' WHEN i > 1 THEN chr(10) || arr[i] ELSE arr[i] END"
     return f"""
-WITH digests AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents),
+WITH lowered AS (SELECT doc_id, {_lowered("coalesce(text, '')")} AS low FROM documents),
+lines AS (SELECT doc_id, low, string_split(low, chr(10)) AS lines, regexp_replace(low, '{_NOTICE}', ' ', 'g') AS plain FROM lowered),
+marked AS (SELECT doc_id, plain, string_split(plain, chr(10)) AS arr,
+                  len(list_filter(range(1, len(lines) + 1), lambda i: {_any_notice('lines', 'i')})) > 0 AS freely FROM lines),
+digests AS (
+  SELECT doc_id, sha256({_canonical('plain')}) AS digest,
+         CASE WHEN freely THEN sha256({_canonical(f"array_to_string(list_transform(range(1, len(arr) + 1), lambda i: {kept}), '')")}) END AS freer
+  FROM marked),
 known(known, license) AS (VALUES {known})
-SELECT doc_id, digest, license FROM digests LEFT JOIN known ON digest = known
+SELECT doc_id, digest, coalesce(k.license, f.license) AS license
+FROM digests LEFT JOIN known k ON digest = k.known LEFT JOIN known f ON freer = f.known
 """
 
 
@@ -222,7 +261,7 @@ LEFT JOIN sums m ON m.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN final f O
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1,
-    "op5_host_reputation": _fitted(OP5),
+    "op5_host_reputation": _fitted(OP5).replace("@SUFFIXES@", _suffixes()),
     "op7_mixing": OP7,
     "op11_warc": OP11,
     "op13_conversation_repair": _op13(),
