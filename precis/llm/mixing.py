@@ -70,20 +70,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
                         F.when(over(left, weight), F.col("_most").cast("double")).otherwise(part).alias("target"))
 
 
-def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, alike: Column) -> DataFrame:
     ident = quoted(id_col)
     return docs.select(ident.alias("_id"), quoted(source_col).alias("_source"), random_key(ident, seed).alias("_key"),
-                       word_count(quoted(text_col)).alias("_size"))
+                       word_count(quoted(text_col)).alias("_size"), alike.alias("_alike"))
 
 
 def _order() -> Column:
-    """The place of a row in its source; rows of one place are cut together."""
-    return F.struct("_key", F.col("_id").cast("string").alias("_id"), "_size")
+    """The place of a row in its source; rows of one place are alike."""
+    return F.struct("_key", F.col("_id").cast("string").alias("_id"), "_size", "_alike")
 
 
 def source_cuts(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: size, target, whole ``_passes``, and where the last
-    pass ends: ``_last`` (the last place in) or else ``_out`` (the first place out)."""
+    """One row per source: size, target, whole ``_passes``, and where the last pass ends: ``_last`` (the last
+    place in) or else ``_out`` (the first place out). Of the ``_of`` rows of the last place ``_in`` are in."""
     sorted_rows = rows.where("_size > 0").withColumn("_place", _order()).repartitionByRange("_source", "_place")
     sorted_rows = written(sorted_rows.select("_source", "_place", F.spark_partition_id().alias("_part")), "mix-order")
     size = F.col("_place._size")
@@ -103,25 +103,41 @@ def source_cuts(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     upto = Window.partitionBy("_source", "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_before") + F.coalesce(F.sum(size).over(upto), F.lit(0))
     near = near.withColumn("_in", 2 * ahead + size <= 2 * F.col("_rest"))
-    cuts = near.groupBy("_source").agg(
-        F.max(F.when(F.col("_in"), F.col("_place"))).alias("_last"), F.min(F.when(~F.col("_in"), F.col("_place"))).alias("_out"))
+    # rows of one place are counted first: the cut may fall among them
+    places = near.groupBy("_source", "_place").agg(F.sum(F.col("_in").cast("long")).alias("in"), F.count(F.lit(1)).alias("of"))
+    last = F.max(F.when(F.col("in") > 0, F.struct("_place", "in", "of")))
+    cuts = places.groupBy("_source").agg(last.alias("l"), F.min(F.when(F.col("in") == 0, F.col("_place"))).alias("_out"))
     return targets.alias("t").join(cuts.alias("c"), F.col("t._source").eqNullSafe(F.col("c._source")), "left").select(
-        "t._source", "source_size", "target", "_passes", "_last", "_out")
+        "t._source", "source_size", "target", "_passes", F.col("l._place").alias("_last"), "_out",
+        F.col("l.in").alias("_in"), F.col("l.of").alias("_of"))
 
 
-def _with_copies(rows: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
-    """``rows`` (with ``_source``, ``_place`` and ``_size``) plus how often each is taken.
+def _with_copies(rows: DataFrame, cuts: DataFrame, name: str, held: list[str]) -> DataFrame:
+    """``held`` columns of ``rows`` (which have ``_source``, ``_place`` and ``_size``) plus how often each is taken.
 
     Few sources (the number is counted) are broadcast; otherwise the join is one
-    that adaptive execution may split where a source is large."""
+    that adaptive execution may split where a source is large. Rows of a place in which
+    the cut falls are alike: one stands for all of them until it is repeated."""
     cuts = written(cuts, "cuts")
     side = cuts.withColumnRenamed("_source", "_cut_source")
     if cuts.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
     place = F.col("_place")
+    joined = rows.join(side, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
     inside = F.coalesce(place <= F.col("_last"), place < F.col("_out"), F.lit(False))
     copies = F.when(F.col("_size") > 0, F.col("_passes") + inside.cast("long")).otherwise(F.lit(0))
-    return rows.join(side, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").withColumn(name, copies)
+    if cuts.where("_in < _of").isEmpty():
+        return joined.select(*held, copies.alias(name))
+    parted = F.coalesce((place == F.col("_last")) & (F.col("_in") < F.col("_of")), F.lit(False))
+    whole = joined.where(~parted).select(*held, copies.alias(name))
+    few = joined.where(parted).groupBy("_source", "_place").agg(
+        F.first(F.struct(*held)).alias("_one"), F.first("_passes").alias("_passes"), F.first("_in").alias("_in"), F.count(F.lit(1)).alias("_of"))
+    # the number of rows is that of the table; they are made block by block
+    block = F.lit(1 << 16)
+    blocks = few.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_of") - 1) / block))).alias("_block"))
+    nth = F.explode(F.sequence(F.col("_block") * block, F.least(F.col("_of"), (F.col("_block") + 1) * block) - 1)).alias("_nth")
+    again = blocks.select("_one", "_passes", "_in", nth)
+    return whole.unionByName(again.select("_one.*", (F.col("_passes") + (F.col("_nth") < F.col("_in")).cast("long")).alias(name)))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -131,24 +147,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     ``taken`` is a whole multiple of ``size``, at most ``max_epochs`` times it. A
     null or wordless text has size 0 and takes nothing. Null is a source of its own,
-    null ids are ids of one value; repeated rows share a place and are cut together, so that
-    the source may miss its target by their size. Other columns are not read; an
-    empty table gives an empty result. Runs agree whatever the partitioning."""
-    rows = written(_rows(docs, id_col, source_col, text_col, seed), "sizes")
+    null ids are ids of one value; of repeated rows at the cut as many are taken as fit.
+    Other columns are not read; an empty table gives an empty result. Runs agree
+    whatever the partitioning."""
+    rows = written(_rows(docs, id_col, source_col, text_col, seed, F.xxhash64(quoted(text_col))), "sizes")
     cuts = source_cuts(rows, weights, share, max_epochs)
-    out = _with_copies(rows.withColumn("_place", _order()), cuts, "_copies")
+    out = _with_copies(rows.withColumn("_place", _order()), cuts, "_copies", ["_id", "_size", "source_size", "target"])
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
                       (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                   weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    rows = written(_rows(docs, id_col, source_col, text_col, seed), "sizes")
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Odd rows as in ``mix_sources``: a null or wordless text is not taken, null is a
+    source of its own, and of rows equal in all columns as many are taken as fit. An
+    empty table gives an empty result."""
+    # maps have no hash: their JSON stands for them
+    alike = F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if "map<" in f.dataType.simpleString() else quoted(f.name)
+                         for f in docs.schema.fields])
+    rows = written(_rows(docs, id_col, source_col, text_col, seed, alike), "sizes")
     cuts = source_cuts(rows, weights, share, max_epochs)
     # one struct holds the row, so that its column names can't clash with the plan's
     held = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(id_col).alias("_id"),
                        quoted(source_col).alias("_source"), random_key(quoted(id_col), seed).alias("_key"),
-                       word_count(quoted(text_col)).alias("_size"))
-    taken = _with_copies(held.withColumn("_place", _order()), cuts, "_copies").where("_copies > 0")
+                       word_count(quoted(text_col)).alias("_size"), alike.alias("_alike"))
+    taken = _with_copies(held.withColumn("_place", _order()), cuts, "_copies", ["_row"]).where("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_nth")).select("_row.*")

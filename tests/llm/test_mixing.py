@@ -104,6 +104,20 @@ def test_repeated_rows_and_empty_tables(spark):
     assert [r.taken for r in mix_sources(blank).collect()] == [0, 0]
 
 
+def test_a_cut_among_rows_of_one_place(spark):
+    rows = [(None, "a", "one two three", "x")] * 1000
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = mix_sources(docs).collect()
+    assert len(out) == 1000 and sum(r.taken for r in out) == 4500 and {r.taken for r in out} == {3, 6}
+    assert repeat_to_mix(docs).count() == 1500
+    other = [(None, s, t, str(i % 2)) for i in range(90) for s, t in (("a", "p q"), ("b", "r s t"), ("a", "v w"))]
+    docs = spark.createDataFrame(other, SCHEMA)
+    taken = sorted(r.taken for r in mix_sources(docs).collect())
+    assert taken == sorted(t for *_, t in plain_mix(other))
+    words_in = sum(words(r.text) for r in repeat_to_mix(docs).collect())
+    assert words_in == sum(taken)
+
+
 def test_word_count(spark):
     texts = ["", None, " a", "a b", "\x1fa\x0bb c\x85", "a\r\n b\x0c", "x" * 100000]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
