@@ -25,12 +25,10 @@ from precis.llm.text_hash import char_ngram_buckets
 
 #: Longest n-gram, and buckets (2**14).
 LONGEST, BITS = 3, 14
-#: Rows of the training sample at most, shared evenly between the languages.
-SAMPLE_ROWS, EPOCHS, CALIBRATION_SHARE = 4_000, 4, 0.2
+#: Rows of the training sample, shared evenly between the languages, and the least number for each of very many.
+SAMPLE_ROWS, LEAST_EACH, EPOCHS, CALIBRATION_SHARE = 4_000, 8, 4, 0.2
 #: Learning rate, its smoothing, and the elastic-net penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-#: Languages with a row of weights at most (the most frequent ones).
-MOST_LANGUAGES = 500
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -90,11 +88,13 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
 
 
 def training_sample(docs: DataFrame, lang_col: str, text_col: str, key: Column) -> pd.DataFrame:
-    """(lang, n-gram buckets and counts) of about ``SAMPLE_ROWS`` rows, picked by hash
-    evenly over the languages. The bound holds exactly: the sample is cut to it."""
+    """(lang, n-gram buckets and counts) of about ``SAMPLE_ROWS`` rows, picked by hash evenly over all
+    languages; with more than ``SAMPLE_ROWS / LEAST_EACH`` of them, ``LEAST_EACH`` rows for each. The
+    bound holds exactly: the sample is cut to it, by the place in a language's share, so none is cut off."""
     rows = docs.select(quoted(lang_col).alias("lang"), quoted(text_col).alias("text"), key.alias("key")).where("text <> ''")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    each = 1.2 * SAMPLE_ROWS / max(1, len(sizes))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    most = max(SAMPLE_ROWS, LEAST_EACH * len(sizes))
+    each = 1.2 * most / max(1, len(sizes))
     share = rows.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in sizes], "lang string, share double")
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.join(F.broadcast(share), "lang").where(part < F.col("share"))
@@ -107,7 +107,7 @@ def training_sample(docs: DataFrame, lang_col: str, text_col: str, key: Column)
         return pd.DataFrame({"gram": [g.astype(np.int32) for g, _ in found], "n": [n.astype(np.int32) for _, n in found]})
 
     out = picked.select("lang", grams("text").alias("g"), "place").select("lang", "g.gram", "g.n", "place")
-    return out.orderBy("place", "lang").limit(SAMPLE_ROWS).toPandas()
+    return out.orderBy("place", "lang").limit(most).toPandas()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> LanguageModel:

@@ -148,3 +148,13 @@ def test_ordinal_flat_features(monkeypatch):
     for (a, v), b in zip(rows, by_row):
         want[a] += b * v
     assert np.allclose(x.slopes(by_row), want)
+
+
+def test_more_languages_than_the_sample_has_room_for(spark):
+    from precis.llm import language_id as L
+
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(6))
+    rows = [(1000 * k + i, words(k) + " " + "ab"[i % 2], f"l{k:03d}") for k in range(520) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.training_sample(docs, "lang", "text", docs.doc_id.cast("string"))
+    assert len(set(sample.lang)) == 520 and len(sample) <= 8 * 520
