@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes hashed at a time; longer texts are cut at white space (a token beyond it is cut).
+#: Bytes hashed at a time; longer texts are cut between tokens.
 WINDOW = 1 << 20
 
 # An odd base for polynomial hashes and odd multipliers for mixing.
@@ -22,7 +22,7 @@ _powers: list[np.ndarray] = []
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to at least ``n``."""
     if not _powers or len(_powers[0]) <= n:
-        size = min(WINDOW, max(1 << 14, 2 * n)) + 1
+        size = max(1 << 14, min(WINDOW, 2 * n), n) + 1
         _powers[:] = [np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size, base, dtype=np.uint64))))
                       for base in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers[0], _powers[1]
@@ -59,13 +59,29 @@ def token_hashes(text: str | None) -> np.ndarray:
     while at < len(data):
         end = min(at + WINDOW, len(data))
         if end < len(data):
-            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
-            end = cut + 1 if cut > at else end
+            # the last token of a window is finished in the next one, however long it is
+            end = _last_edge(data, at, end)
         parts.append(_window_hashes(data[at:end]))
         at = end
     return np.concatenate(parts)
 
 
+def _last_edge(data: bytes, at: int, end: int) -> int:
+    """The last place up to ``end`` where the class of bytes changes; a token without
+    one in the window is taken whole, to its own end."""
+    kind = _CLASS[np.frombuffer(data, dtype=np.uint8, count=end - at + 1, offset=at)]
+    edges = np.flatnonzero(kind[1:] != kind[:-1])
+    if len(edges):
+        return at + int(edges[-1]) + 1
+    while end < len(data):
+        kind = _CLASS[np.frombuffer(data, dtype=np.uint8, count=min(WINDOW, len(data) - end + 1), offset=end - 1)]
+        edges = np.flatnonzero(kind[1:] != kind[:-1])
+        if len(edges):
+            return end + int(edges[0])
+        end = min(len(data), end - 1 + len(kind))
+    return end
+
+
 def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Bucket numbers below ``2**bits``."""
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)

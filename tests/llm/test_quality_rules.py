@@ -103,3 +103,19 @@ def test_every_trusted_row_counts(spark, monkeypatch):
         assert ("strategy=broadcast" in plan) == bool(limit)
         rows = counts.collect()
         assert sum(r.target for r in rows) == sum(r.raw for r in rows) == 60_000
+
+
+def test_tokens_of_texts_beyond_a_window(monkeypatch):
+    import numpy as np
+
+    from precis.llm import text_hash as T
+
+    rng = np.random.default_rng(1)
+    texts = ["\t".join(["word"] * 60), "x" * 500 + "," * 700 + "y" * 300, " " * 400 + "é" * 90, "a",
+             "".join(rng.choice(list("ab ,.\t\né"), 3000)), "z" * 64, "z" * 65 + " q"]
+    whole = [T.token_hashes(t) for t in texts]
+    monkeypatch.setattr(T, "WINDOW", 64)
+    monkeypatch.setattr(T, "_powers", [])
+    for t, want in zip(texts, whole):
+        assert (T.token_hashes(t) == want).all() and len(T.token_hashes(t)) == len(want)
+    assert len(set(whole[0].tolist())) == 1 and len(whole[0]) == 60
