@@ -14,7 +14,7 @@ import zipfile
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precis.constants import PUNCTUATION, PY_SPACE_CHARS
+from precis.constants import PY_SPACE_CLASS, PUNCTUATION, PY_SPACE_CHARS
 from precis.functions.text import _col
 
 # Stop-word lists are Spark ML's defaults (StopWordsRemover); they are read
@@ -107,6 +107,52 @@ def ngrams(tokens, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+# The published 13a tokenisation (references to signs, then places where a blank is put).
+ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+RULES_13A = (
+    (r"([{-~\[-` -&(-+:-@/])", r" $1 "),
+    (r"([^0-9])([.,])", r"$1 $2 "),
+    (r"([.,])([^0-9])", r" $1 $2"),
+    (r"([0-9])(-)", r"$1 $2 "),
+)
+
+
+def tokens_13a(c) -> Column:
+    """Tokens as BLEU scores are commonly reported: signs by themselves, points and commas unless inside
+    numbers, a hyphen after a digit; case is kept. Null: null."""
+    line = _col(c)
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES_13A):
+        line = F.replace(line, F.lit(old), F.lit(new))
+    line = F.concat(F.lit(" "), line, F.lit(" "))
+    for pattern, new in RULES_13A:
+        line = F.regexp_replace(line, pattern, new)
+    return F.array_remove(F.split(line, PY_SPACE_CLASS + "+", -1), "")
+
+
+def overlap_with_any(a, others: list) -> Column:
+    """``sum over distinct x of min(count_a(x), the largest count(x) in any of others)``, row-local: the elements
+    are tagged by side, sorted, and the runs of equal values walked."""
+    sides = [a, *others]
+
+    def marked(side, k: int) -> Column:
+        return F.transform(_col(side), lambda x: F.struct(x.alias("v"), F.lit(k).alias("s")))
+
+    tagged = F.array_sort(F.concat(*[marked(side, k) for k, side in enumerate(sides)]))
+    zero = F.struct(F.lit(None).cast("string").alias("v"), F.array(*[F.lit(0).cast("long") for _ in sides]).alias("n"),
+                    F.lit(0).cast("long").alias("hit"))
+
+    def closed(acc):
+        return acc["hit"] + F.least(acc["n"][0], F.array_max(F.slice(acc["n"], 2, len(others))))
+
+    def step(acc, e):
+        same = F.coalesce(acc["v"] == e["v"], F.lit(False))
+        one = F.array(*[(e["s"] == k).cast("long") for k in range(len(sides))])
+        n = F.when(same, F.zip_with(acc["n"], one, lambda x, y: x + y)).otherwise(one)
+        return F.struct(e["v"].alias("v"), n.alias("n"), F.when(same, acc["hit"]).otherwise(closed(acc)).alias("hit"))
+
+    return F.aggregate(tagged, zero, step, closed)
+
+
 def multiset_overlap(a, b) -> Column:
     """``sum over distinct x of min(count_a(x), count_b(x))`` for two arrays.
 

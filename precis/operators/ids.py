@@ -66,8 +66,52 @@ def global_index(df: DataFrame, order_cols, name: str = "idx") -> DataFrame:
 
 
 def keys_at(df: DataFrame, key: str, ranks: list[int]) -> list:
-    """The key at each 0-based rank of ``key`` (unique); None beyond the last
-    row. Only keys are sorted, and only the wanted ones reach the driver."""
+    """The key at each 0-based rank of ``key`` (unique, no nulls); None beyond the last row.
+
+    Whole-number keys are found by histograms of their leading bits, with nothing sorted
+    or written: each round counts the prefixes of the range that holds a rank and goes on
+    in the prefix where the rank falls, ``BIN_BITS`` bits a round. Other keys are sorted,
+    and only the wanted ones reach the driver."""
+    if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return _keys_by_histogram(df.select(F.col(key).cast("long").alias("_v")), ranks)
+    return _keys_by_sort(df, key, ranks)
+
+
+#: Bits of a key that a round settles: at most 2**12 counts for each wanted rank.
+BIN_BITS = 12
+
+
+def _keys_by_histogram(keys: DataFrame, ranks: list[int]) -> list:
+    least, most, n = keys.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
+    # rank -> (least key, most key, keys below the least) of the range that holds it
+    open_ = {rank: (least, most, 0) for rank in ranks if 0 <= rank < n}
+    found: dict[int, int] = {}
+    while open_:
+        ranges = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+        shifts = [max(0, (hi - lo).bit_length() - BIN_BITS) for lo, hi in ranges]
+        prefix = which = F.lit(None).cast("long")
+        for k, ((lo, hi), shift) in enumerate(zip(ranges, shifts)):
+            inside = F.col("_v").between(lo, hi)  # ranges of one round are equal or apart
+            prefix = F.when(inside, F.shiftright("_v", shift)).otherwise(prefix)
+            which = F.when(inside, F.lit(k).cast("long")).otherwise(which)
+        binned = keys.select(which.alias("k"), prefix.alias("prefix")).where("k is not null").groupBy("k", "prefix").count()
+        counts = {(r["k"], r["prefix"]): r["count"] for r in binned.collect()}  # some 2**BIN_BITS rows a range
+        for rank, (lo, hi, below) in list(open_.items()):
+            k = ranges.index((lo, hi))
+            for _, at in sorted(c for c in counts if c[0] == k):
+                if below + counts[k, at] > rank:
+                    break
+                below += counts[k, at]
+            lo, hi = max(lo, at << shifts[k]), min(hi, ((at + 1) << shifts[k]) - 1)
+            if lo == hi:
+                found[rank] = lo
+                del open_[rank]
+            else:
+                open_[rank] = (lo, hi, below)
+    return [found.get(rank) for rank in ranks]
+
+
+def _keys_by_sort(df: DataFrame, key: str, ranks: list[int]) -> list:
     rows = _stamped(df.select(key), [key])
     before = _before(rows, F.count(F.lit(1)))
     at = F.lit(False)

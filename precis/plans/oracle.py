@@ -18,7 +18,7 @@ from precis.constants import (
     PUNCTUATION,
     PY_SPACE_CLASS,
 )
-from precis.functions.tokens import stopwords
+from precis.functions.tokens import ENTITIES_13A, RULES_13A, stopwords
 from precis.plans import params as P
 
 
@@ -642,6 +642,34 @@ SELECT {R9("CASE WHEN h1 = 0 OR h2 = 0 OR h3 = 0 OR h4 = 0 OR c = 0 THEN 0.0 ELS
        c AS sys_len, r AS ref_len
 FROM s"""
 
+    def tok13(x: str) -> str:
+        for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES_13A):
+            x = f"replace({x}, {q(old)}, {q(new)})"
+        x = f"' ' || {x} || ' '"
+        for pattern, new in RULES_13A:
+            x = f"regexp_replace({x}, {q(pattern)}, {q(new.replace('$', chr(92)))}, 'g')"
+        return f"list_filter(regexp_split_to_array({x}, {q(PY_SPACE_CLASS + '+')}), lambda t13: t13 <> '')"
+
+    Q["corpus_bleu_13a"] = f"""
+WITH {PAIRS},
+tok AS (SELECT id, {tok13('prediction')} AS h, {tok13('target')} AS r0, {tok13("replace(target, ',', '')")} AS r1 FROM pairs),
+ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+g AS (SELECT id, n, {NGRAMS('h', 'n')} AS hg, {NGRAMS('r0', 'n')} AS g0, {NGRAMS('r1', 'n')} AS g1 FROM tok, ns),
+u AS (SELECT id, n, unnest(hg) AS x, 0 AS side FROM g UNION ALL SELECT id, n, unnest(g0), 1 FROM g UNION ALL SELECT id, n, unnest(g1), 2 FROM g),
+c AS (SELECT id, n, x, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b, count(*) FILTER (WHERE side = 2) AS d
+      FROM u GROUP BY id, n, x),
+hits AS (SELECT n, sum(least(a, greatest(b, d))) AS hit, sum(a) AS tot FROM c GROUP BY n),
+orders AS (SELECT ns.n, coalesce(hit, 0) AS hit, coalesce(tot, 0) AS tot FROM ns LEFT JOIN hits USING (n)),
+missed AS (SELECT *, sum((hit = 0)::INT) OVER (ORDER BY n) AS z FROM orders),
+p AS (SELECT n, hit, CASE WHEN tot = 0 THEN 0.0 WHEN hit = 0 THEN 1.0 / (pow(2.0, z) * tot) ELSE hit::DOUBLE / tot END AS p FROM missed),
+lens AS (SELECT CAST(sum(len(h)) AS BIGINT) AS c,
+                CAST(sum(CASE WHEN (abs(len(r0) - len(h)), len(r0)) <= (abs(len(r1) - len(h)), len(r1)) THEN len(r0) ELSE len(r1) END) AS BIGINT) AS r FROM tok),
+s AS (SELECT lens.c, lens.r, CASE WHEN lens.c = 0 THEN 0.0 WHEN lens.c < lens.r THEN exp(1.0 - lens.r::DOUBLE / lens.c) ELSE 1.0 END AS bp FROM lens)
+SELECT {R9("(SELECT CASE WHEN max(hit) = 0 OR min(p) = 0 THEN 0.0 ELSE bp * exp(avg(ln(CASE WHEN p > 0 THEN p END))) END FROM p) * 100")} AS bleu,
+       {", ".join(R9(f"(SELECT p FROM p WHERE n = {k}) * 100") + f" AS p{k}" for k in (1, 2, 3, 4))},
+       {R9('bp')} AS bp, {R9('CASE WHEN r > 0 THEN c::DOUBLE / r ELSE 0.0 END')} AS ratio, c AS sys_len, r AS ref_len
+FROM s"""
+
     pos = ("(SELECT doc_id, text AS article, split_part(text, chr(10), 1) AS summary, "
            "row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)")
     r0, r1, r2 = P.SPLIT_RATIO

@@ -34,7 +34,7 @@ from precis.functions.tokens import (
 )
 from precis.operators import bootstrap as B
 from precis.operators import measures as M
-from precis.operators.bleu import corpus_bleu
+from precis.operators.bleu import corpus_bleu, corpus_bleu_13a
 from precis.operators.corpus import lemmatize_tokens, normalize_articles, records_to_pairs, stories_to_pairs
 from precis.operators.align import align, ordinals, pair_by_rank, role_counts
 from precis.operators.ids import global_index, join_per_group, with_dense_ids
@@ -317,6 +317,13 @@ def q_corpus_bleu(spark, sf_dir):
     return r9(out, ("bleu", "p1", "p2", "p3", "p4", "bp", "ratio"))
 
 
+def q_corpus_bleu_13a(spark, sf_dir):
+    """Predictions against two references: the target, and the target without its commas."""
+    pairs = conversation_pairs(spark, sf_dir).withColumn("plain", F.replace("target", F.lit(","), F.lit("")))
+    out = corpus_bleu_13a(pairs, "prediction", ["target", "plain"])
+    return r9(out, ("bleu", "p1", "p2", "p3", "p4", "bp", "ratio"))
+
+
 class _UnigramOverlap:
     """A user-supplied scorer: plain-Python unigram F1 on lower-cased words."""
 
@@ -517,6 +524,7 @@ QUERIES = {
     "example_report": q_example_report,
     "sorted_scores": q_sorted_scores,
     "corpus_bleu": q_corpus_bleu,
+    "corpus_bleu_13a": q_corpus_bleu_13a,
     "custom_scorer": q_custom_scorer,
     "ratio_split": q_ratio_split,
     "size_split": q_size_split,

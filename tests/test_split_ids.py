@@ -211,3 +211,21 @@ def test_generation_log_pairs_repeated_keys_in_order(spark):
     uneven = spark.createDataFrame([(0, "T-1\ta"), (1, "T-1\tb"), (2, "H-1\t0\tc")], "line long, value string")
     with pytest.raises(ValueError, match="generation log"):
         parse_generation_log(uneven, order_col="line")
+
+
+def test_keys_at_by_histograms_and_by_sort(spark):
+    import random
+
+    from precis.operators import ids
+
+    rng = random.Random(3)
+    edge = [-(2**63), 2**63 - 1, 0, -1, 1, 2**62, -(2**62)]
+    for keys in (list(range(5000)), edge, sorted({rng.randrange(-(2**63), 2**63) for _ in range(3000)}), [7],
+                 [10**12 + 3 * i for i in range(9000)]):
+        want = sorted(keys)
+        ranks = [0, len(want) - 1, len(want) // 2, len(want) // 3, len(want), -1]
+        table = spark.createDataFrame([(k,) for k in rng.sample(want, len(want))], "k long")
+        expected = [want[r] if 0 <= r < len(want) else None for r in ranks]
+        assert ids.keys_at(table, "k", ranks) == expected
+    text = spark.createDataFrame([(f"k{i:04d}",) for i in range(300)], "k string")
+    assert ids.keys_at(text, "k", [0, 299, 300]) == ["k0000", "k0299", None]
