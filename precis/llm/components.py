@@ -30,14 +30,18 @@ def component_roots(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are written, so that their joins don't inherit the grouping and the links of a hub can be split
+        lowest = written(ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
         large = ends.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "links")
+        discard(lowest)
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         hung = large.join(lowest, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
         small = written(hung.select("l.*").where("a <> b").distinct(), "links")
-        discard(now)
+        for table in (now, large, lowest):
+            discard(table)
         now, before = small, state
         state = _state(now)
         if state == before:

@@ -203,9 +203,10 @@ def _components(rows: DataFrame, radius: int) -> DataFrame:
     low = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_tie"))
     prints = written(rows.groupBy(F.col("_fp").alias("fp")).agg(low.alias("low")), "prints")
     roots = written(component_roots(near_links(prints, radius, prints.count())), "roots")
-    prints = prints.join(roots, prints.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = prints.groupBy("root").agg(F.min("low").alias("stay"))
+    prints = written(prints.join(roots, prints.fp == roots.node, "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    # both written: the members of a large component may be split over tasks
+    lowest = written(prints.groupBy("root").agg(F.min("low").alias("stay")), "stays")
     return prints.join(lowest, "root").select("fp", "stay")
 
 
