@@ -81,15 +81,45 @@ def write_aggregate_csv(report: DataFrame, path: str) -> str:
 
 
 def write_example_csv(wide: DataFrame, path: str) -> None:
-    """Per-example CSV (``id,{t}-P,{t}-R,{t}-F,...``), ordered by id, header in
-    every part file; values formatted like Python ``%f``."""
+    """Per-example CSV (``id,{t}-P,{t}-R,{t}-F,...``) ordered by id; values formatted like Python ``%f``. The part
+    files, one after the other, are the CSV: the header is the first line of the first part alone, whatever
+    the number of parts (``join_parts`` makes one file of them)."""
     from precis.sources.formatting import format_f
 
     if not wide.limit(1).collect():  # no scores: nothing is written
         return
-    cols = [F.col("id").cast("string").alias("id")] + [format_f(F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "id"]
-    out = wide.repartitionByRange("id").sortWithinPartitions("id").select(*cols)
-    out.write.mode("errorifexists").option("header", "true").option("quote", "").csv(path)
+    cells = [F.col("id").cast("string")] + [F.coalesce(format_f(F.col(f"`{c}`")), F.lit("")) for c in wide.columns if c != "id"]
+    body = wide.select(F.lit(1).alias("_ord"), F.col("id").alias("_id"), F.concat_ws(",", *cells).alias("value"))
+    names = ",".join(["id", *[c for c in wide.columns if c != "id"]])
+    head = wide.sparkSession.range(1).select(
+        F.lit(0).alias("_ord"), F.lit(None).cast(wide.schema["id"].dataType).alias("_id"), F.lit(names).alias("value"))
+    out = head.unionByName(body).repartitionByRange("_ord", "_id").sortWithinPartitions("_ord", "_id")
+    out.select("value").write.mode("errorifexists").text(path)
+
+
+def join_parts(spark, folder: str, target: str) -> None:
+    """The part files of ``folder``, in order, as the one file ``target``: bytes are copied from file to file, no row
+    is read. The file gets its name when it is whole; an existing one is refused."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(conf)
+    names = sorted(s.getPath().toString() for s in files.listStatus(path(folder)) if s.getPath().getName().startswith("part-"))
+    if _path_exists(spark, target):
+        raise RuntimeError(f"refusing to write over {target}")
+    out_files = path(target).getFileSystem(conf)
+    growing = path(f"{target}.growing")
+    out = out_files.create(growing, True)
+    try:
+        for name in names:
+            part = files.open(path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    if not out_files.rename(growing, path(target)):
+        raise RuntimeError(f"{growing} could not be given its name")
 
 
 def write_lines(df: DataFrame, path: str, order_col="line", value_col: str = "value") -> None:

@@ -301,3 +301,27 @@ def test_delimiter_with_line_breaks(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"one\r\ntwo\r\n\r\nthree\r\n\r\n")
     rows = read_delimited(spark, str(tmp_path / "x.txt"), "\n\n").orderBy("line").collect()
     assert [r.value for r in rows] == ["one\ntwo", "three"]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_example_csv_is_one_csv_at_any_number_of_parts(spark, tmp_path, parts):
+    from precis.sources.sinks import join_parts, write_example_csv
+
+    rows = [(i, i / 7, None if i == 3 else 0.5) for i in range(200)]
+    wide = spark.createDataFrame(rows, "id long, `rouge1-P` double, `rouge1-R` double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_example_csv(wide.orderBy((wide.id * 37) % 200), str(tmp_path / "csv"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    join_parts(spark, str(tmp_path / "csv"), str(tmp_path / "one.csv"))
+    want = "id,rouge1-P,rouge1-R\n" + "".join(f"{i},{a:f},{'' if b is None else '%f' % b}\n" for i, a, b in rows)
+    assert (tmp_path / "one.csv").read_bytes() == want.encode()
+    assert len(list((tmp_path / "csv").glob("part-*"))) >= min(parts, 2)
+    with pytest.raises(RuntimeError, match="refusing"):
+        join_parts(spark, str(tmp_path / "csv"), str(tmp_path / "one.csv"))
+    write_example_csv(wide.where("false"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
