@@ -6,9 +6,12 @@ clean is corrected for the toxic ones among them, and the corrected part is kept
 from falling below zero, which would be overfitting.
 
 The classifier is a logistic model over the presence of words and of word
-beginnings (so that an unseen inflection of a toxic word counts). Its vocabulary
-and its training rows are a bounded sample, in which copies count once; scoring covers
-whole texts in one narrow pass, and the model, of bounded size, is broadcast.
+beginnings (so that an unseen inflection of a toxic word counts). Its features are
+those that tell toxic from clean in a bounded sample, in which copies of a toxic text
+count once: no share of the sample is asked for and their number has no cap, so a rare
+word counts as a frequent one does. They are counted and chosen by Spark; the driver
+gets the chosen ones. Scoring covers whole texts in one narrow pass, and the model, of
+a size bounded by the sample, is broadcast.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from precis.session import written
 
 #: Training rows at most: confirmed toxic ones and unlabelled ones.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 12_000
-#: Candidate features at most, and the least number and share of toxic texts with one.
-MOST_FEATURES, LEAST_TEXTS, LEAST_SHARE = 40_000, 4, 0.005
-#: A feature is used if at least this share of the unlabelled texts with it should be toxic.
-LEAST_PRECISION = 0.6
+#: A feature speaks for toxic if it is in this many toxic texts and, by the class prior,
+#: at least this share of the unlabelled texts with it should be toxic.
+LEAST_TEXTS, LEAST_PRECISION = 4, 0.6
+#: A feature speaks for clean if toxic texts have it less often by this many standard errors.
+CLEAN_ERRORS = 4.0
 #: Lengths of the word beginnings that are features as well.
 PREFIXES = (4, 5)
 STEPS, RATE, L2 = 200, 0.1, 2e-4
@@ -59,12 +63,15 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float) -> np.ndarray:
-    """Columns of which, by the class prior, enough unlabelled texts should be toxic."""
-    in_p, in_u = (np.bincount(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), minlength=size)
-                  for rows in (positive, unlabelled))
-    toxic = prior * in_p / max(1, len(positive))
-    return np.flatnonzero(toxic >= LEAST_PRECISION * (in_u + 1) / max(1, len(unlabelled)))
+def telling(n_positive: int, n_unlabelled: int, prior: float) -> Column:
+    """Which features are used, over counts ``in_p`` and ``in_u`` of the sample's texts with one."""
+    n_p, n_u = max(1, n_positive), max(1, n_unlabelled)
+    in_p, in_u = F.col("in_p"), F.col("in_u")
+    toxic = (in_p >= LEAST_TEXTS) & (prior * in_p / n_p >= LEAST_PRECISION * (in_u + 1) / n_u)
+    pooled = (in_p + in_u) / (n_p + n_u)
+    error = F.sqrt(pooled * (1.0 - pooled) * (1.0 / n_p + 1.0 / n_u))
+    clean = (error > 0) & (in_u / n_u - in_p / n_p >= CLEAN_ERRORS * error)
+    return toxic | clean
 
 
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float) -> tuple[np.ndarray, float]:
@@ -103,26 +110,43 @@ def _part(ident: str) -> Column:
     return F.pmod(F.xxhash64(F.col(ident).cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _vocabulary(positive: DataFrame) -> list[str]:
-    """Features of several texts of the toxic sample, the most frequent ones."""
+def _vocabulary(positive: DataFrame, unlabelled: DataFrame, prior: float) -> list[str]:
+    """The features of the two samples that are used, in code point order."""
 
     @F.pandas_udf("array<string>")
     def distinct(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(features(t)) for t in texts], dtype=object)
 
-    least = max(LEAST_TEXTS, int(LEAST_SHARE * positive.count()))
-    counts = positive.select(F.explode(distinct("_text")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    return [r.f for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MOST_FEATURES).collect()]
+    both = positive.select("_text", F.lit(1).alias("p")).unionByName(unlabelled.select("_text", F.lit(0).alias("p")))
+    counts = both.select(F.explode(distinct("_text")).alias("f"), "p").groupBy("f").agg(
+        F.sum("p").alias("in_p"), F.sum(1 - F.col("p")).alias("in_u"))
+    return sorted(r.f for r in counts.where(telling(positive.count(), unlabelled.count(), prior)).select("f").collect())
 
 
-def _columns(rows: DataFrame, column: dict[str, int], most: int) -> list[np.ndarray]:
-    """Columns present in the first ``most`` rows by ``_part``."""
+def _smallest(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of id and text; repeated rows count once.
+
+    Only hashes go through the sort; texts stay in their tasks until the row is chosen."""
+    key = F.pmod(F.xxhash64(F.lit(7), "_id", "_text"), F.lit(1 << 62))
+    share = min(1.0, 1.2 * most / max(1, rows.select("_id").count()))
+    keyed = rows.withColumn("_key", key)
+    # the whole range only where repeated rows leave too few in the first part
+    for upto in (int(share * (1 << 62)), 1 << 62):
+        found, cut = keyed.where(F.col("_key") <= upto).select("_key").distinct().orderBy("_key").limit(most).agg(
+            F.count(F.lit(1)), F.max("_key")).first()
+        if found == most:
+            break
+    return keyed.where(F.col("_key") <= (cut or 0)).groupBy("_key").agg(F.min(F.struct("_id", "_text")).alias("r")).select("r.*")
+
+
+def _columns(rows: DataFrame, column: dict[str, int]) -> list[np.ndarray]:
+    """Columns present in the rows of a sample, in a fixed order."""
 
     @F.pandas_udf("array<int>")
     def present(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(column[w] for w in features(t) & column.keys()) for t in texts], dtype=object)
 
-    table = rows.select(present("_text").alias("at"), _part("_id").alias("part")).orderBy("part").limit(most).toPandas()
+    table = rows.select(present("_text").alias("at"), _part("_id").alias("part")).orderBy("part", "at").toPandas()
     return [np.asarray(r, dtype=np.int64) for r in table["at"]]
 
 
@@ -139,24 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     known = rows.select("_id").join(marks, F.col("_id") == F.col("_label_id"))
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.sum(F.col("_toxic").cast("long"))).first()
     prior = min(max((n_toxic or 0) / max(1, n_known), 0.01), 0.5)
+    if not n_toxic:
+        return ToxicityModel({}, float(np.log(prior / (1 - prior))))
     # the ids of the toxic sample are bounded, so they travel to the texts and not the other way
     toxic_ids = known.where("_toxic = 1").select("_label_id").distinct().orderBy(_part("_label_id"), "_label_id").limit(
         POSITIVE_ROWS)
     positive = rows.join(F.broadcast(toxic_ids), F.col("_id") == F.col("_label_id")).select("_id", "_text")
     # copies count once; the sample is bounded, so it may be kept
     positive = written(positive.groupBy(F.xxhash64("_text")).agg(F.min(F.struct("_id", "_text")).alias("r")).select("r.*"), "toxic")
-    column = {w: i for i, w in enumerate(_vocabulary(positive))}
-    if not column:
-        return ToxicityModel({}, float(np.log(prior / (1 - prior))))
-    wanted = 1.2 * UNLABELLED_ROWS / max(1, rows.select("_id").count())
-    unlabelled = _columns(rows.where(_part("_id") < wanted), column, UNLABELLED_ROWS)
-    toxic = _columns(positive, column, POSITIVE_ROWS)
-    used = telling(toxic, unlabelled, len(column), prior)
-    place = np.full(len(column), -1)
-    place[used] = np.arange(len(used))
-    narrowed = [[x[x >= 0] for x in (place[r] for r in side)] for side in (toxic, unlabelled)]
-    weights, bias = nnpu(*narrowed, len(used), prior)
-    return ToxicityModel({f: float(weights[place[i]]) for f, i in column.items() if place[i] >= 0}, bias)
+    unlabelled = written(_smallest(rows, UNLABELLED_ROWS), "unlabelled")
+    column = {f: i for i, f in enumerate(_vocabulary(positive, unlabelled, prior))}
+    weights, bias = nnpu(_columns(positive, column), _columns(unlabelled, column), len(column), prior)
+    return ToxicityModel({f: float(weights[i]) for f, i in column.items()}, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",

@@ -158,3 +158,44 @@ def test_more_languages_than_the_sample_has_room_for(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample = L.training_sample(docs, "lang", "text", docs.doc_id.cast("string"))
     assert len(set(sample.lang)) == 520 and len(sample) <= 8 * 520
+
+
+def test_toxic_words_are_learned_however_rare(spark):
+    """A word of 4 in 1,000 toxic texts is a sign as good as a frequent one, and words of clean texts count."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    text = lambda *more: " ".join([rnd.choice(words) for _ in range(12)] + list(more))
+    toxic = [text("vileword") for _ in range(996)] + [text("raremean") for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(toxic)] + [(1000 + i, text("gardening" if i % 2 else "plain")) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(5000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.weights["raremean"] > 0 and model.weights["gardening"] < 0
+    assert model.score("something raremean") >= 0.3 > model.score("something gardening")
+    assert not {"w1", "w2", "w3"} & model.weights.keys()
+
+
+def test_nnpu_follows_the_gradient_of_its_risk():
+    """Against a plain computation of the risk: numeric gradient, first step and descent."""
+    rng = np.random.default_rng(8)
+    size, prior = 6, 0.3
+    rows = lambda n: [np.flatnonzero(rng.random(size) < 0.4) for _ in range(n)]
+    positive, unlabelled = rows(30), rows(80)
+
+    def risk(w, b):
+        z = lambda side: np.array([b + w[r].sum() for r in side])
+        soft = lambda x: np.log1p(np.exp(x))
+        corrected = soft(z(unlabelled)).mean() - prior * soft(z(positive)).mean()
+        return prior * soft(-z(positive)).mean() + max(0.0, corrected) + toxicity.L2 / 2 * (w ** 2).sum()
+
+    w, b = toxicity.nnpu(positive, unlabelled, size, prior)
+    best = risk(w, b)
+    assert best < risk(np.zeros(size), float(np.log(prior / (1 - prior))))
+    step = 1e-4
+    slopes = [(risk(w + step * e, b) - risk(w - step * e, b)) / (2 * step) for e in np.eye(size)]
+    slopes.append((risk(w, b + step) - risk(w, b - step)) / (2 * step))
+    assert np.abs(slopes).max() < 5e-3  # the risk is convex here: a stationary point is its least value
+    for _ in range(200):
+        assert best <= risk(w + rng.normal(0, 0.3, size), b + rng.normal(0, 0.3)) + 1e-4
