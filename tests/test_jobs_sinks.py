@@ -325,3 +325,47 @@ def test_example_csv_is_one_csv_at_any_number_of_parts(spark, tmp_path, parts):
         join_parts(spark, str(tmp_path / "csv"), str(tmp_path / "one.csv"))
     write_example_csv(wide.where("false"), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_aligned_output_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from precis.sources import sinks
+
+    rows = [(i, f"article {i}", f"summary {i}", ("train", "val", "test", "other")[i % 4]) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "id long, article string, summary string, split string")
+    names = lambda: sorted(p.name for p in tmp_path.iterdir())
+    bad = pairs.withColumn("summary", F.when(F.col("id") == 333, F.raise_error(F.lit("broken"))).otherwise(F.col("summary")))
+    for write in (lambda f: sinks.write_split_text(f, str(tmp_path)), lambda f: sinks.write_pairs_text(f, str(tmp_path), "all")):
+        with pytest.raises(Exception, match="broken"):
+            write(bad.where("split != 'other' or id = 333").withColumn("split", F.lit("test")))
+        assert names() == []
+
+    # an error while names are given takes back those already given
+    give, calls = sinks._give_name, []
+
+    def failing(files, path, source, target):
+        calls.append(target)
+        if len(calls) == 4:
+            raise RuntimeError("no more names")
+        give(files, path, source, target)
+
+    monkeypatch.setattr(sinks, "_give_name", failing)
+    with pytest.raises(RuntimeError, match="no more names"):
+        sinks.write_split_text(pairs, str(tmp_path))
+    assert names() == []
+
+    # a writer that dies in between is completed by the next one
+    monkeypatch.setattr(sinks, "_give_name", lambda *args: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        sinks.write_pairs_text(pairs, str(tmp_path), "first")
+    assert len(names()) == 1 and names()[0].startswith(sinks.STAGED)
+    monkeypatch.setattr(sinks, "_give_name", give)
+    sinks.write_split_text(pairs, str(tmp_path))
+    assert names() == sorted(f"{t}.{side}" for t in ("first", "train", "val", "test") for side in ("articles", "summaries"))
+    for tag in ("train", "val", "test"):
+        lines = [[line for part in sorted((tmp_path / f"{tag}.{side}").glob("part-*")) for line in part.read_text().splitlines()]
+                 for side in ("articles", "summaries")]
+        assert lines == [[f"{word} {r[0]}" for r in rows if r[3] == tag] for word in ("article", "summary")]
+    empty = sinks.write_pairs_text(pairs.where("false"), str(tmp_path), "none")
+    assert all(spark.read.text(p).count() == 0 for p in empty)

@@ -209,13 +209,27 @@ def test_lcs_path_memory_of_long_sentences():
     import tracemalloc
 
     rnd = random.Random(8)
-    a, b = ([rnd.choice("abcdefgh") for _ in range(10_000)] for _ in range(2))
-    tracemalloc.start()
-    path = lcs_indices(a, b)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert len(path) == lcs_length(a, b)
-    assert peak < 20e6  # one bit per cell: 12.5 MB
+    for n, words, most in ((10_000, 8, 2e6), (60_000, 20_000, 12e6)):  # a bit per cell: 12.5 and 450 MB
+        a, b = ([rnd.randrange(words) for _ in range(n)] for _ in range(2))
+        tracemalloc.start()
+        path = lcs_indices(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(path) == lcs_length(a, b)
+        assert peak < most
+
+
+def test_lcs_path_over_blocks_of_rows(monkeypatch):
+    from precis.functions import lcs
+
+    monkeypatch.setattr(lcs, "SMALL_TABLE", 0)
+    monkeypatch.setattr(lcs, "SMALL_SIDE", 0)
+    rnd = random.Random(9)
+    for _ in range(600):
+        letters = "abcdefgh"[: rnd.randint(1, 8)]
+        a, b = ([rnd.choice(letters) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        assert lcs_indices(a, b) == (textbook_path(a, b) if a and b else [])
+        assert lcs_length(a, b) == len(lcs_indices(a, b))
 
 
 def test_ngram_table_counts(spark):
