@@ -83,8 +83,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows outside the surviving groups pass straight through; only the others are
     shuffled, by content and id together, so a large group of copies spreads over
-    all tasks. Of repeated rows with one id and text one stays. Null texts count
-    as empty. ``docs`` is scanned four times: pass a stored table."""
+    all tasks. Of equal texts the row with the largest id stays, one with a null id only
+    where all of them are null; of repeated rows with one id and text one stays. Null texts
+    count as empty; an empty table gives an empty result. ``docs`` is scanned four times: pass a stored table."""
     text = F.coalesce(quoted(text_col), F.lit(""))
     size, prefix, both = _levels(text)
     marked = docs.select(

@@ -148,7 +148,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    A null or empty text has no words and goes; repeated rows are judged alike, each on its
+    own; rows with a null id are judged but never trusted; an empty table gives an empty result."""
     ratios = log_ratios(ngram_counts(docs, trusted_ids(labels), id_col, text_col))
     held = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(text_col).alias("_text"))
     return with_verdict(held, ratios, "_text", "_verdict", threshold).where("_verdict.kept").select("_row.*")

@@ -232,7 +232,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component
     the row with the smallest id (null ids last; equal ids: the smallest content
-    hash; repeated rows: one).
+    hash; repeated rows: one). Null, empty and blank texts have the fingerprint zero and are
+    linked like any other; an empty table gives an empty result.
 
     Fingerprints are computed once. A bitmap of fixed size lets the rows that stay
     pass straight through; only those that may go are shuffled, by id and content
