@@ -2,7 +2,8 @@
 near-dedup, mixing to target weights, and SentencePiece ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's ``docs``. All but the last return
+as Parquet and read again as the next stage's ``docs``. An empty table gives an
+empty table at every stage, and columns may have any name. All but the last return
 the columns of ``documents``; the last returns the ids of every row of the mix.
 """
 
@@ -21,26 +22,31 @@ from precis.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Null and wordless texts go; repeated rows are judged alike."""
     prepare(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the one with the largest id, null ids last; null counts as empty."""
     prepare(spark)
     return drop_exact_duplicates(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints: the one with the smallest id, null ids last."""
     prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them. Null is a source of its own; wordless texts are not taken."""
     prepare(spark)
     return repeat_to_mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document of the mix; a null or empty text has none."""
     prepare(spark)
     return encode_documents(docs, vocabulary_path())
 
