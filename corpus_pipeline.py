@@ -3,7 +3,7 @@ near-dedup, mixing to target weights, and SentencePiece ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. An empty table gives an
-empty table at every stage, and columns may have any name. All but the last return
+empty table at every stage, and further columns may have any name. All but the last return
 the columns of ``documents``; the last returns the ids of every row of the mix.
 """
 
