@@ -134,7 +134,7 @@ def records_to_pairs(df: DataFrame, id_col: str = "id", lexicon: DataFrame | Non
 # ---------------------------------------------------------------------------
 
 def lemmatize_tokens(df: DataFrame, tokens_col: str, lexicon: DataFrame,
-                     form_col: str = "form", lemma_col: str = "lemma") -> DataFrame:
+                     form_col: str = "form", lemma_col: str = "lemma", way: str | None = None) -> DataFrame:
     """Replace every token that has an entry in ``lexicon(form, lemma)``;
     tokens without an entry are kept (a missing lexicon means identity)."""
-    return map_tokens(df, tokens_col, lexicon, form_col, lemma_col)
+    return map_tokens(df, tokens_col, lexicon, form_col, lemma_col, way=way)

@@ -6,10 +6,10 @@ Three ways with the same result, picked by the measured size of the table:
 * a few keys: a literal map inside ``transform`` (JVM only);
 * up to ``BROADCAST_BYTES``: the table as two Arrow arrays in a broadcast
   variable; all tokens of an Arrow batch are looked up at once;
-* larger: posexplode -> salted join -> regroup by row. A frequent token (one key
-  holding a large share of all occurrences) is split over ``SALTS`` join
-  partitions: each occurrence gets a salt from (row, position) and the table is
-  replicated once per salt.
+* larger: frequent tokens are found by a sketch of fixed size and looked up in the
+  row, by a broadcast of their part of the table; only the rest are exploded, joined
+  by key and grouped by row again. No token of the rest holds more than about a
+  thousandth of all occurrences, so no key is hot and the table is shuffled once.
 
 Null tokens stay in their place: they become ``default``, or null without one. A
 null array stays null, and rows are told apart by themselves, not by an id.
@@ -29,22 +29,29 @@ from precis import session
 from precis.session import measured_bytes, written
 
 LITERAL_KEYS = 256
-SALTS = 16
+#: Tokens taken as frequent, and items the sketch of their counts holds: it misses none with
+#: more than a thousandth of all occurrences, however many there are.
+HOT_TOKENS, SKETCH_ITEMS = 4096, 16_384
+#: Longer tokens are never broadcast, so that the frequent ones take 8 MB at most.
+HOT_BYTES = 2048
 
 
 def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, value_col: str,
-               default=None, out_col: str | None = None) -> DataFrame:
-    """``out_col = transform(tokens, t -> coalesce(table[t], default or t))``."""
+               default=None, out_col: str | None = None, way: str | None = None) -> DataFrame:
+    """``out_col = transform(tokens, t -> coalesce(table[t], default or t))``.
+
+    ``way`` ("literal", "broadcast", "join") is taken instead of the measured choice."""
     out_col = out_col or tokens_col
     # one value per key, chosen deterministically (a recomputed task must pick
     # the same lemma when a form has several)
     tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).where("_k is not null").groupBy("_k").agg(
         F.min("_v").alias("_v"))
     tab = written(tab, "lookup")
-    small = measured_bytes(tab) <= session.BROADCAST_BYTES
-    if small and tab.count() <= LITERAL_KEYS:
-        return _by_literal(df, tokens_col, tab, default, out_col)
-    return (_by_broadcast if small else _by_join)(df, tokens_col, tab, default, out_col)
+    if way is None:
+        way = "broadcast" if measured_bytes(tab) <= session.BROADCAST_BYTES else "join"
+        if way == "broadcast" and tab.count() <= LITERAL_KEYS:
+            way = "literal"
+    return _WAYS[way](df, tokens_col, tab, default, out_col)
 
 
 def _fallback(tab: DataFrame, default):
@@ -61,11 +68,22 @@ def _by_literal(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col
     return df.withColumn(out_col, F.transform(F.col(tokens_col), lambda t: F.coalesce(m[t], fallback(t))))
 
 
+def _arrow_sides(tab: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """Keys and values of a table whose size is bounded."""
+    arrow = tab.toArrow().combine_chunks()
+    kind = to_arrow_type(tab.schema["_v"].dataType)
+    return arrow.column("_k").combine_chunks().cast(pa.string()), arrow.column("_v").combine_chunks().cast(kind)
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where every list of an Arrow column ends among the flattened elements (null lists hold none)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
 def _by_broadcast(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
     kind = to_arrow_type(tab.schema["_v"].dataType)
-    arrow = tab.toArrow().combine_chunks()  # its size has been measured
-    shared = df.sparkSession.sparkContext.broadcast(
-        (arrow.column("_k").combine_chunks().cast(pa.string()), arrow.column("_v").combine_chunks().cast(kind)))
+    shared = df.sparkSession.sparkContext.broadcast(_arrow_sides(tab))  # its size has been measured
 
     @F.arrow_udf(T.ArrayType(tab.schema["_v"].dataType))
     def looked_up(tokens: pa.Array) -> pa.Array:
@@ -73,26 +91,66 @@ def _by_broadcast(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_c
         flat = tokens.flatten().cast(pa.string())
         found = values.take(pc.index_in(flat, value_set=keys))
         rest = flat.cast(kind) if default is None else pa.scalar(default, kind)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        ends = pa.array(_ends(tokens), pa.int32())
         return pa.ListArray.from_arrays(ends, pc.coalesce(found, rest), mask=pc.is_null(tokens))
 
     return df.withColumn(out_col, looked_up(F.col(tokens_col)))
 
 
+def frequent_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
+    """(``_hot``) the most frequent tokens, ``HOT_TOKENS`` rows at most: every token with more
+    than a thousandth of all occurrences is among them. A task hands on a sketch of fixed size."""
+    tokens = df.select(F.explode(tokens_col).alias("_tok")).where(f"_tok is not null and octet_length(_tok) <= {HOT_BYTES}")
+    top = tokens.agg(F.call_function("approx_top_k", "_tok", F.lit(HOT_TOKENS), F.lit(SKETCH_ITEMS)).alias("_top"))
+    return top.select(F.explode("_top.item").alias("_hot"))
+
+
 def _by_join(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
+    value_type = tab.schema["_v"].dataType
+    kind = to_arrow_type(value_type)
     # the row numbers are fixed by writing them once
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
-    tokens = rows.select("_row", F.posexplode_outer(tokens_col).alias("_pos", "_tok")).where("_pos is not null")
-    tokens = tokens.withColumn("_salt", F.pmod(F.xxhash64("_row", "_pos"), F.lit(SALTS)))
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    salted = tab.select("_k", "_v", F.explode(salts).alias("_salt2"))
-    cond = (F.col("_tok") == F.col("_k")) & (F.col("_salt") == F.col("_salt2"))
-    value = F.coalesce(F.col("_v"), _fallback(tab, default)(F.col("_tok")))
-    mapped = tokens.join(salted, cond, "left").select(F.col("_row").alias("_of"), "_pos", value.alias("_val"))
+    hot = written(frequent_tokens(rows, tokens_col), "frequent")
+    fallback = _fallback(tab, default)
+    # a frequent token without an entry is settled by the default as well
+    settled = F.broadcast(hot).join(tab.join(F.broadcast(hot), F.col("_k") == F.col("_hot")).select("_k", "_v"),
+                                    F.col("_hot") == F.col("_k"), "left")
+    settled = settled.select(F.col("_hot").alias("_k"), F.coalesce("_v", fallback(F.col("_hot"))).alias("_v"))
+    shared = df.sparkSession.sparkContext.broadcast(_arrow_sides(settled))
+
+    @F.arrow_udf("array<struct<pos: int, tok: string>>")
+    def others(tokens: pa.Array) -> pa.Array:
+        flat, ends = tokens.flatten().cast(pa.string()), _ends(tokens)
+        rest = np.flatnonzero(pc.and_(pc.is_valid(flat), pc.invert(pc.is_in(flat, value_set=shared.value[0]))))
+        upto = np.searchsorted(rest, ends)
+        pos = rest - np.repeat(ends[:-1], np.diff(upto))
+        found = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), flat.take(pa.array(rest))], names=["pos", "tok"])
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)
+
+    @F.arrow_udf(T.ArrayType(value_type))
+    def put_together(tokens: pa.Array, joined: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        flat, ends = tokens.flatten().cast(pa.string()), _ends(tokens)
+        found = values.take(pc.index_in(flat, value_set=keys))
+        parts = joined.flatten()
+        at = parts.field("pos").to_numpy(zero_copy_only=False) + np.repeat(ends[:-1], np.diff(_ends(joined)))
+        here = np.full(len(flat), -1)
+        here[at.astype(np.int64)] = np.arange(len(parts))
+        from_join = parts.field("val").take(pa.array(here, mask=here < 0))
+        every = pc.coalesce(found, from_join)
+        if default is not None:
+            every = pc.coalesce(every, pa.scalar(default, kind))  # null tokens
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), every.cast(kind), mask=pc.is_null(tokens))
+
+    rest = rows.select("_row", F.explode(others(F.col(tokens_col))).alias("_at")).select("_row", "_at.pos", "_at.tok")
+    value = F.coalesce("_v", fallback(F.col("tok")))
+    joined = rest.join(tab.hint("merge"), F.col("tok") == F.col("_k"), "left").select(
+        F.col("_row").alias("_of"), F.struct("pos", value.alias("val")).alias("_at"))
     # one group is one row's tokens
-    regrouped = mapped.groupBy("_of").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_val"))), lambda x: x["_val"]).alias("_mapped"))
-    empty = F.array().cast(T.ArrayType(tab.schema["_v"].dataType))
-    out = F.when(F.col(tokens_col).isNotNull(), F.coalesce(F.col("_mapped"), empty))
-    return rows.join(regrouped, F.col("_row") == F.col("_of"), "left").withColumn(out_col, out).drop("_row", "_of", "_mapped")
+    regrouped = joined.groupBy("_of").agg(F.collect_list("_at").alias("_mapped"))
+    mapped = put_together(F.col(tokens_col), F.col("_mapped"))
+    return rows.join(regrouped, F.col("_row") == F.col("_of"), "left").withColumn(out_col, mapped).drop(
+        "_row", "_of", "_mapped")
+
+
+_WAYS = {"literal": _by_literal, "broadcast": _by_broadcast, "join": _by_join}

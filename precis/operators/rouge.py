@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,33 +43,48 @@ def check_rouge_types(types) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Porter-stem tokens longer than 3 characters, keep ``[a-z0-9]+`` ones."""
-    return tokens.map(lambda arr: None if arr is None else _stem_list(arr))
-
-
 def stem_if_long(token: str) -> str:
     """Stem (extended Porter) of a token of more than three characters; others as they are."""
     return stem(token, True) if len(token) > 3 else token
 
 
-def _stem_list(arr):
-    out = [stem_if_long(t) for t in arr]
-    return [t for t in out if t and t.isascii() and t.isalnum() and t.lower() == t]
+def _score_stem(token: str | None) -> str | None:
+    """The stem that scoring counts, else null: only ``[a-z0-9]+`` ones stay."""
+    out = None if token is None else stem_if_long(token)
+    return out if out and out.isascii() and out.isalnum() and out.lower() == out else None
+
+
+def _stem_elements(tokens: pa.Array) -> pa.Array:
+    """Scoring stems in every list; the distinct tokens of a batch are stemmed once each."""
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([_score_stem(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    stays = stems.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(stays)))[np.concatenate(([0], np.cumsum(sizes)))]
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), stems.drop_null(), mask=pc.is_null(tokens))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
+    """Porter-stem tokens longer than 3 characters, keep ``[a-z0-9]+`` ones."""
+    return _stem_elements(tokens)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def stem_sentence_tokens(sents: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_sentence_tokens(sents: pa.Array) -> pa.Array:
     """``stem_tokens`` for every sentence of an ``array<array<string>>``
     (a Python UDF cannot run inside a higher-order function's lambda)."""
-    return sents.map(lambda ss: None if ss is None else [_stem_list(s) for s in ss])
+    sizes = pc.fill_null(pc.list_value_length(sents), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(ends, _stem_elements(sents.flatten()), mask=pc.is_null(sents))
 
 
-@F.pandas_udf(T.StringType())
-def stem_word(words: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def stem_word(words: pa.Array) -> pa.Array:
     """``stem_if_long`` of one token per row."""
-    return words.map(lambda w: None if w is None else stem_if_long(w))
+    coded = words.dictionary_encode()
+    stems = [None if w is None else stem_if_long(w) for w in coded.dictionary.to_pylist()]
+    return pa.array(stems, pa.string()).take(coded.indices)
 
 
 @F.pandas_udf(T.LongType())

@@ -38,5 +38,6 @@ def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int =
     return indexed.select(*keep, "token", "count", (F.col("id") + F.lit(id_offset)).alias("id"))
 
 
-def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, unk_id: int = -1, out_col: str = "ids") -> DataFrame:
-    return map_tokens(df, tokens_col, vocab, "token", "id", default=unk_id, out_col=out_col)
+def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, unk_id: int = -1, out_col: str = "ids",
+           way: str | None = None) -> DataFrame:
+    return map_tokens(df, tokens_col, vocab, "token", "id", default=unk_id, out_col=out_col, way=way)

@@ -135,13 +135,18 @@ def q_records_to_pairs_lemmas(spark, sf_dir):
     return records_to_pairs(pages, lexicon=lexicon, language="english")
 
 
-def q_lemmatize_corpus(spark, sf_dir):
+def q_lemmatize_corpus(spark, sf_dir, way=None):
     d = table(spark, sf_dir, "documents").select("doc_id", split_space(clean_doc()).alias("tokens"))
     lex = spark.createDataFrame(P.LEXICON, "form string, lemma string")
-    out = lemmatize_tokens(d, "tokens", lex)
+    out = lemmatize_tokens(d, "tokens", lex, way=way)
     return out.select("doc_id", F.array_join("tokens", " ").alias("lemmatized"))
 
 
+def q_lemmatize_corpus_joined(spark, sf_dir):
+    """As ``lemmatize_corpus``, by the way for lexicons beyond memory."""
+    return q_lemmatize_corpus(spark, sf_dir, way="join")
+
+
 def q_stopword_filter(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(drop_stopwords_by_lang(split_space(clean_doc()), F.col("lang")), " ").alias("filtered"))
@@ -426,10 +431,10 @@ def q_vocabulary(spark, sf_dir):
     return build_vocabulary(_vocab_tokens(spark, sf_dir), "tokens", min_count=P.VOCAB_MIN_COUNT)
 
 
-def q_encode_corpus(spark, sf_dir):
+def q_encode_corpus(spark, sf_dir, way=None):
     toks = _vocab_tokens(spark, sf_dir)
     vocab = build_vocabulary(toks, "tokens", min_count=P.VOCAB_MIN_COUNT)
-    enc = encode(toks, "tokens", vocab, unk_id=P.UNK_ID)
+    enc = encode(toks, "tokens", vocab, unk_id=P.UNK_ID, way=way)
     return enc.select(
         "doc_id",
         _ids_text("ids").alias("ids"),
@@ -437,6 +442,11 @@ def q_encode_corpus(spark, sf_dir):
     )
 
 
+def q_encode_corpus_joined(spark, sf_dir):
+    """As ``encode_corpus``, by the way for vocabularies beyond memory."""
+    return q_encode_corpus(spark, sf_dir, way="join")
+
+
 def q_corpus_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("corpus"), F.col("item_id").alias("id"), "text")
@@ -503,6 +513,7 @@ QUERIES = {
     "records_to_pairs": q_records_to_pairs,
     "records_to_pairs_lemmas": q_records_to_pairs_lemmas,
     "lemmatize_corpus": q_lemmatize_corpus,
+    "lemmatize_corpus_joined": q_lemmatize_corpus_joined,
     "stopword_filter": q_stopword_filter,
     "punct_filter": q_punct_filter,
     "score_tokens": q_score_tokens,
@@ -538,6 +549,7 @@ QUERIES = {
     "encode_splits": q_encode_splits,
     "encode_articles": q_encode_articles,
     "encode_corpus": q_encode_corpus,
+    "encode_corpus_joined": q_encode_corpus_joined,
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
     "after_marker_window": q_after_marker_window,

@@ -115,6 +115,37 @@ def test_token_lookup_is_the_same_on_every_path(spark, monkeypatch):
     check()
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     check()
+    # without frequent tokens everything is joined; long ones are joined as well
+    monkeypatch.setattr(lookup, "HOT_BYTES", 3)
+    check()
+    monkeypatch.setattr(lookup, "HOT_BYTES", -1)
+    check()
+
+
+def test_only_rare_tokens_are_joined(spark, tmp_path):
+    from precis.operators import lookup
+
+    rows = [(i, ["the"] * (i % 7) + [f"w{i}", "of", f"w{i + 1}"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    hot = [r["_hot"] for r in lookup.frequent_tokens(df, "t").collect()]
+    assert {"the", "of"} <= set(hot) and len(hot) <= lookup.HOT_TOKENS
+    table = spark.createDataFrame([("the", 1)] + [(f"w{i}", i) for i in range(0, 3000, 2)], "k string, v long")
+    known = dict(table.collect())
+    out = lookup.map_tokens(df, "t", table, "k", "v", default=-1, out_col="o", way="join")
+    assert {r.id: r.o for r in out.collect()} == {i: [known.get(x, -1) for x in t] for i, t in rows}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the rest of the tokens; the table is not repeated
+
+
+def test_lookup_of_an_empty_table_and_corpus(spark):
+    from precis.operators import lookup
+
+    none = spark.createDataFrame([], "k string, v string")
+    for rows in ([], [(1, ["a", None]), (2, None), (3, [])]):
+        df = spark.createDataFrame(rows, "id long, t array<string>")
+        for way in ("literal", "broadcast", "join"):
+            out = lookup.map_tokens(df, "t", none, "k", "v", way=way)
+            assert sorted((r.id, r.t) for r in out.collect()) == rows
 
 
 def test_read_stories_directory(spark, tmp_path):

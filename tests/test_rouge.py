@@ -248,3 +248,14 @@ def test_ngram_table_counts(spark):
     assert got == {k: tuple(v) for k, v in want.items()}
     plan = ngram_table(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_stems_of_lists(spark):
+    from precis.operators.rouge import stem_sentence_tokens, stem_tokens
+
+    rows = [(["running", "cats", None, "Dogs", "été", "was", "running"],), ([],), (None,), ([None],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    stems = [["run", "cat", "was", "run"], [], None, []]
+    assert [r.s for r in df.select(stem_tokens("t").alias("s")).collect()] == stems
+    nested = spark.createDataFrame([([r[0] for r in rows],), ([],), (None,)], "t array<array<string>>")
+    assert [r.s for r in nested.select(stem_sentence_tokens("t").alias("s")).collect()] == [stems, [], None]
