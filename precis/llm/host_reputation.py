@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from precis import session
 from precis.llm.common import quoted
 from precis.llm.suffixes import RULES as RULE_LIST
-from precis.session import written
+from precis.session import measured_bytes, written
 
 #: (rule, verdict): a host with a path that must start the URL's path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -75,12 +76,14 @@ def with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     rules = suffixes.select(rule.alias("_rule"), F.struct(
         F.when(spared, 1000).otherwise(length).alias("rank"), F.when(spared, length - 1).otherwise(length).alias("n")).alias("_fit"))
     most = suffixes.agg(F.max(length)).first()[0] or 1
+    # a caller's table may be of any size
+    rules = F.broadcast(rules) if measured_bytes(suffixes) <= session.BROADCAST_BYTES else rules.hint("merge")
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
     ends = [F.substring_index("_name", ".", -k) for k in range(1, most + 1)]
     ends += [F.concat(F.lit("*."), e) for e in ends[:-1]]
     rows = hosts.withColumn("_name", name)
     fits = rows.select("*", F.explode(F.array_distinct(F.array(*ends))).alias("_end")).join(
-        F.broadcast(rules), F.col("_end") == F.col("_rule"), "left")
+        rules, F.col("_end") == F.col("_rule"), "left")
     fits = fits.groupBy(*hosts.columns, "_name").agg(F.coalesce(F.max("_fit")["n"], F.lit(1)).alias("_n"))
     labels = F.split("_name", r"\.")
 
@@ -118,16 +121,18 @@ def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> D
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     suffixes = suffix_table(outcomes.sparkSession) if suffixes is None else suffixes
     hosts = written(with_levels(hosts, suffixes), "hosts")
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # every level is written before it is joined, so that the rows of a large suffix or domain can be split
+    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     top = ((bad or 0) + 0.5 * TOP_STRENGTH) / ((n or 0) + TOP_STRENGTH)
     suffixes = _shrunk(suffixes.withColumn("top", F.lit(float(top))), "top", "suffix").select("suffix", "suffix_rate")
+    suffixes = written(suffixes, "suffixes")
     # an address has no domain: its host is shrunk towards the suffix
-    domains = domains.join(suffixes, "suffix")
+    domains = written(domains.join(suffixes, "suffix"), "domain-rates")
     known = _shrunk(domains.where("domain is not null"), "suffix_rate", "domain").select("suffix", "domain", "domain_rate")
     known = known.unionByName(domains.where("domain is null").select("suffix", "domain", F.col("suffix_rate").alias("domain_rate")))
-    known = known.withColumnsRenamed({"suffix": "_suffix", "domain": "_domain"})
+    known = written(known.withColumnsRenamed({"suffix": "_suffix", "domain": "_domain"}), "levels")
     same = (F.col("suffix") == F.col("_suffix")) & F.col("domain").eqNullSafe(F.col("_domain"))
     hosts = _shrunk(hosts.join(known, same), "domain_rate", "host")
     rate, weight = F.col("host_rate"), F.col("host_weight")
