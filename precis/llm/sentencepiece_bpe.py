@@ -198,7 +198,7 @@ class BpeModel:
                 out.append(known)
             elif self.byte_ids:
                 out.extend([self.byte_ids[b] for b in s.encode()])
-            else:
+            elif not out or out[-1] != self.unk:  # a run of unknown characters is one id
                 out.append(self.unk)
         return out
 

@@ -63,3 +63,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert encode_documents(docs, PATH).collect() == []
     assert encode_documents(docs, PATH, with_ids=False).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_a_run_of_unknown_characters_is_one_id():
+    """A vocabulary without byte pieces, written out by hand (fields of the model format)."""
+    import struct
+
+    def field(number, wire, payload):
+        size = bytes([len(payload)]) if wire == 2 else b""
+        return bytes([number << 3 | wire]) + size + payload
+
+    def piece(text, score, kind):
+        return field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+    data = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3)
+    data += b"".join(piece(p, -float(i), 1) for i, p in enumerate(["ab", "\u2581", "a", "b"]))
+    data += field(2, 2, field(3, 0, b"\x02"))
+    data += field(3, 2, field(1, 2, b"identity") + field(4, 0, b"\x00"))
+    lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+    model = BpeModel(data)
+    rnd = random.Random(2)
+    for text in ["\U0001F600\u00e9\U0001F600", "a\u00e9\u00e9b ab"] + [
+            "".join(rnd.choice("ab \u00e9\U0001F600") for _ in range(rnd.randint(0, 12))) for _ in range(500)]:
+        offsets, ids = model.encode_batch([text])
+        assert ids.tolist() == lib.encode(text), text
