@@ -199,3 +199,69 @@ def test_nnpu_follows_the_gradient_of_its_risk():
     assert np.abs(slopes).max() < 5e-3  # the risk is convex here: a stationary point is its least value
     for _ in range(200):
         assert best <= risk(w + rng.normal(0, 0.3, size), b + rng.normal(0, 0.3)) + 1e-4
+
+
+def test_ordinal_fit_is_a_stationary_point(monkeypatch):
+    """Against a plain computation of the penalised likelihood, by numeric gradients."""
+    rng = np.random.default_rng(3)
+    rows, grades = [], []
+    for _ in range(60):
+        at = np.sort(rng.choice(5, rng.integers(0, 4), replace=False))
+        rows.append((at.astype(np.uint16), rng.random(len(at)).astype(np.float32)))
+        grades.append(int(np.clip((at == 1).sum() + rng.integers(0, 2) + (rng.random() < 0.2), 0, 2)))
+    grades = np.array(grades)
+
+    def loss(w, cuts):
+        total = 0.0
+        for (at, value), g in zip(rows, grades):
+            below = [0.0] + [1 / (1 + np.exp(-(c - w[at] @ value))) for c in cuts] + [1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(grades) + ordinal_quality.L2 / 2 * (w ** 2).sum()
+
+    monkeypatch.setattr(ordinal_quality, "STEPS", 1500)
+    monkeypatch.setattr(ordinal_quality, "L2", 0.02)
+    model = ordinal_quality.fit(ordinal_quality.flat((a.tobytes(), v.tobytes()) for a, v in rows), grades, 3)
+    w, cuts, step = model.weights[:5], model.thresholds, 1e-5
+    assert not model.weights[5:].any() and cuts[0] < cuts[1]
+    slopes = [(loss(w + step * e, cuts) - loss(w - step * e, cuts)) / (2 * step) for e in np.eye(5)]
+    slopes += [(loss(w, cuts + step * e) - loss(w, cuts - step * e)) / (2 * step) for e in np.eye(2)]
+    assert np.abs(slopes).max() < 1e-3
+    # a row without features has the thresholds alone
+    assert np.allclose(model.above(None), 1 / (1 + np.exp(cuts)))
+
+
+def test_ftrl_against_a_plain_loop(monkeypatch):
+    """One weight after the other, as the update is written for a single coordinate."""
+    monkeypatch.setattr(language_id, "EPOCHS", 2)
+    rng = np.random.default_rng(6)
+    x = [(np.sort(rng.choice(12, 3, replace=False)), rng.random(3)) for _ in range(40)]
+    y = rng.integers(0, 3, 40)
+    w, b = language_id.ftrl(x, y, 3)
+    bias = 1 << language_id.BITS
+    z, n = {}, {}
+
+    def weight(c, k):
+        zi, l1 = z.get((c, k), 0.0), 0.0 if k == bias else language_id.L1
+        if abs(zi) <= l1:
+            return 0.0
+        rate = (language_id.BETA + n.get((c, k), 0.0) ** 0.5) / language_id.ALPHA + language_id.L2
+        return -(zi - (l1 if zi > 0 else -l1)) / rate
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(len(x)):
+            at = [*x[i][0].tolist(), bias]
+            value = [*x[i][1].tolist(), 1.0]
+            now = {(c, k): weight(c, k) for c in range(3) for k in at}
+            logits = [sum(now[c, k] * v for k, v in zip(at, value)) for c in range(3)]
+            e = np.exp(np.array(logits) - max(logits))
+            p = e / e.sum()
+            for c in range(3):
+                for k, v in zip(at, value):
+                    g = (p[c] - (y[i] == c)) * v
+                    sigma = ((n.get((c, k), 0.0) + g * g) ** 0.5 - n.get((c, k), 0.0) ** 0.5) / language_id.ALPHA
+                    z[c, k] = z.get((c, k), 0.0) + g - sigma * now[c, k]
+                    n[c, k] = n.get((c, k), 0.0) + g * g
+    want = np.array([[weight(c, k) for k in range(12)] for c in range(3)])
+    assert np.abs(w[:, :12] - want).max() < 1e-5 and not w[:, 12:].any()
+    assert np.abs(b - [weight(c, bias) for c in range(3)]).max() < 1e-5
