@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,20 @@ from precis.session import ensure_checkpoint_dir, ship_package, spread
 #: Fixed value: the white space that separates words, ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
+#: Bytes of a text whose words are held as objects at a time.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_slices(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a list for each ``SLICE`` bytes or so; no word is cut."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + SLICE)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
 
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in the workers and settle the shared folder."""

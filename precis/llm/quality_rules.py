@@ -12,7 +12,7 @@ length of the texts. The table of ratios has a fixed size as well and is broadca
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis import session
-from precis.llm.common import ASCII_SPACE, quoted
+from precis.llm.common import ASCII_SPACE, bits_for, key_bitmap, maybe_in, quoted, word_slices
 from precis.llm.text_hash import word_ngram_buckets
 from precis.session import measured_bytes, written
 
@@ -41,21 +41,44 @@ WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text."""
     text = text or ""
-    words = text.encode().split()  # bytes: ASCII white space only
-    n = len(words)
+    seen: dict[bytes, int] = {}
+    ids = [np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
+           for words in word_slices(text.encode())]  # bytes: ASCII white space only
+    ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
     chars = len(text) - sum(text.count(c) for c in ASCII_SPACE)
     symbols = sum(text.count(c) for c in SYMBOLS)
-    lines = [line for line in text.split("\n") if line.strip(ASCII_SPACE)]
-    windows = list(zip(*(words[i:] for i in range(WINDOW_WORDS))))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        seen = Counter(windows)
-        twice = np.fromiter((seen[w] > 1 for w in windows), dtype=bool, count=len(windows))
-        covered = np.zeros(n, dtype=bool)
-        for i in range(WINDOW_WORDS):
-            covered[i:i + len(windows)] |= twice
-        repeated = int(covered.sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
+    lines: set[str] = set()
+    n_lines = 0
+    for line in io.StringIO(text, newline="\n"):  # ends lines at \n alone
+        line = line.removesuffix("\n")
+        if line.strip(ASCII_SPACE):
+            n_lines += 1
+            lines.add(line)
+    return len(ids), chars, symbols, n_lines - len(lines), repeated_words(ids)
+
+
+def repeated_words(ids: np.ndarray) -> int:
+    """How many words (numbered, equal ones alike) lie in windows found twice or more. Windows are
+    numbered from the numbers of their halves, so no window is held as an object."""
+    if len(ids) <= WINDOW_WORDS:
+        return 0
+
+    def numbered(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, number, times = np.unique(left * (len(ids) + 1) + right, return_inverse=True, return_counts=True)
+        return number, times
+
+    pairs, times = numbered(ids[:-1], ids[1:])
+    if len(times) == len(pairs):
+        return 0
+    fours, times = numbered(pairs[:-2], pairs[2:])
+    if len(times) == len(fours):
+        return 0
+    windows, times = numbered(fours[:-1], ids[4:])
+    twice = times[windows] > 1
+    covered = np.zeros(len(ids), dtype=bool)
+    for i in range(WINDOW_WORDS):
+        covered[i:i + len(windows)] |= twice
+    return int(covered.sum())
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
@@ -71,14 +94,22 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "q
 def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, raw, target) counts over all of ``docs`` and its trusted rows.
 
-    The ids are broadcast under a measured size; beyond it the join shuffles, and
-    adaptive execution may split it for an id with many rows."""
+    The ids are broadcast under a measured size. Beyond it a bitmap of them lets all other
+    texts be counted where they are; only those that may be trusted are shuffled, in a join
+    that adaptive execution may split for an id with many rows."""
     rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     trusted = written(trusted, "trusted")
-    small = measured_bytes(trusted) <= session.BROADCAST_BYTES
-    trusted = F.broadcast(trusted) if small else trusted.hint("merge")
-    rows = rows.join(trusted, F.col("_id") == F.col("_trusted"), "left").select(
-        "_text", F.col("_trusted").isNotNull().alias("_good"))
+    same = F.col("_id") == F.col("_trusted")
+    if measured_bytes(trusted) <= session.BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(trusted), same, "left")
+    else:
+        hashed = F.xxhash64(F.col("_trusted").cast("string"))
+        bits = bits_for(trusted.count())
+        marked = maybe_in(rows.withColumn("_hash", F.xxhash64(F.col("_id").cast("string"))), "_hash",
+                          key_bitmap(trusted.select(hashed.alias("_hash")), "_hash", bits), bits, "_maybe")
+        others = marked.where("not _maybe").select("_id", "_text", F.lit(None).cast(trusted.schema["_trusted"].dataType).alias("_trusted"))
+        rows = others.unionByName(marked.where("_maybe").select("_id", "_text").join(trusted.hint("merge"), same, "left"))
+    rows = rows.select("_text", F.col("_trusted").isNotNull().alias("_good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), dtype=np.int64)

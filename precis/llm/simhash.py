@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import key_bitmap, maybe_in, quoted
+from precis.llm.common import bits_for, key_bitmap, maybe_in, quoted, word_slices
 from precis.llm.components import component_roots
 from precis.session import written
 
@@ -39,28 +39,38 @@ SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 CHUNK, BLOCK = 4096, 1024
 #: Mean bucket size above which one more bit block is used, and the most of them.
 BUCKET_ROWS, EXTRA_BLOCKS = 4096, 4
-BITMAP_BITS_LOG2 = 27
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint (unsigned) of a text; no words: zero."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
+    """The 64-bit fingerprint (unsigned) of a text; no words: zero. Long texts go slice by slice."""
+    counts, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_slices((text or "").encode().lower()):  # bytes: A-Z only, ASCII white space only
+        words = held + words
+        held = words[max(0, len(words) - words_per_shingle + 1):]
+        if len(words) >= words_per_shingle:
+            counts += _bit_counts(words, words_per_shingle)
+            n += len(words) - words_per_shingle + 1
+    if not n and held:  # too few words for a shingle
+        counts, n = _bit_counts(held, len(held)), 1
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def _bit_counts(words: list[bytes], words_per_shingle: int) -> np.ndarray:
+    """How many shingles' hashes have each bit set."""
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(size)
-    n = max(1, len(words) - words_per_shingle + 1)
-    last = ends[words_per_shingle - 1:] if n > 1 or len(words) == words_per_shingle else ends[-1:]
+    n = len(words) - words_per_shingle + 1
+    last = ends[words_per_shingle - 1:]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[s:e], SEED) for s, e in zip((ends - size)[:n].tolist(), (last - 1).tolist())]
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     counts = np.zeros(64, dtype=np.int64)
     for lo in range(0, n, 255):  # sums of 255 rows fit in a byte
         counts += bits[lo:lo + 255].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return counts
 
 
 def _signed(value: int) -> int:
@@ -235,7 +245,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hash; repeated rows: one). Null, empty and blank texts have the fingerprint zero and are
     linked like any other; an empty table gives an empty result.
 
-    Fingerprints are computed once. A bitmap of fixed size lets the rows that stay
+    Fingerprints are computed once. A bitmap, sized by the rows that
+    may go, lets the rows that stay
     pass straight through; only those that may go are shuffled, by id and content
     hash, so a large component spreads over all tasks."""
     rows = docs.select(quoted(id_col).alias("_id"), F.xxhash64(quoted(text_col)).alias("_tie"),
@@ -252,7 +263,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(id_col).alias("_id"),
         F.xxhash64(quoted(text_col)).alias("_tie"))
     marked = marked.withColumn("_both", F.xxhash64("_id", "_tie"))
-    marked = maybe_in(marked, "_both", key_bitmap(decided, "_both", BITMAP_BITS_LOG2), BITMAP_BITS_LOG2, "_maybe")
+    bits = bits_for(decided.count())
+    marked = maybe_in(marked, "_both", key_bitmap(decided, "_both", bits), bits, "_maybe")
     through = marked.where(~F.col("_maybe")).select("_row")
     rest = marked.where("_maybe").alias("r")
     gone = decided.where("not stays").alias("g")

@@ -96,11 +96,11 @@ def test_every_trusted_row_counts(spark, monkeypatch):
     labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     assert Q.trusted_ids(labels).count() == 60_000
     docs = spark.range(60_000).selectExpr("id as doc_id", "concat('w', id % 7) as text")
-    for limit in (64 << 20, 0):  # broadcast, and the join that shuffles
+    for limit in (64 << 20, 0):  # broadcast, and the join of the rows that a bitmap of the ids lets through
         monkeypatch.setattr("precis.session.BROADCAST_BYTES", limit)
         counts = Q.ngram_counts(docs, Q.trusted_ids(labels), "doc_id", "text")
         plan = counts._jdf.queryExecution().optimizedPlan().toString()
-        assert ("strategy=broadcast" in plan) == bool(limit)
+        assert ("strategy=merge" in plan) == (not limit) and ("_page" in plan) == (not limit)
         rows = counts.collect()
         assert sum(r.target for r in rows) == sum(r.raw for r in rows) == 60_000
 
@@ -119,3 +119,34 @@ def test_tokens_of_texts_beyond_a_window(monkeypatch):
     for t, want in zip(texts, whole):
         assert (T.token_hashes(t) == want).all() and len(T.token_hashes(t)) == len(want)
     assert len(set(whole[0].tolist())) == 1 and len(whole[0]) == 60
+
+
+def test_base_counts_in_slices(monkeypatch):
+    import random
+    from collections import Counter
+
+    from precis.llm import common
+
+    def plain(text):
+        words = [w.decode() for w in text.encode().split()]
+        windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        seen = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        return (len(words), sum(map(len, words)), sum(text.count(c) for c in Q.SYMBOLS), len(lines) - len(set(lines)), len(covered))
+
+    rnd = random.Random(4)
+    gaps = [" ", "\n", "\r\n", "\t", "\u2028", "\x0b", "\n\n"]
+    texts = ["".join(rnd.choice(["a", "b", "é", "#x", "c d"]) + rnd.choice(gaps) for _ in range(rnd.randint(0, 300)))
+             for _ in range(80)] + ["x" * 500, " " * 90, "\n" * 40, "a b c d e", "a b c d e a b c d e", "a a a a a a"]
+    for size in (common.SLICE, 7):
+        monkeypatch.setattr(common, "SLICE", size)
+        for text in texts:
+            assert Q.base_counts(text) == plain(text), text
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long = "one two three four five six\t" * 300_000
+    docs = spark.createDataFrame([(1, long), (2, "fine words " * 3), (2, "fine words " * 3)], "doc_id long, text string")
+    rows = Q.quality_verdicts(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert sorted((r.doc_id, r.n_words, r.base_failed) for r in rows) == [(1, 1_800_000, True), (2, 6, True), (2, 6, True)]

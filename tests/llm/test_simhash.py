@@ -44,7 +44,7 @@ def near(a, b):
     return bin(a ^ b).count("1") <= 4
 
 
-def test_fingerprints():
+def test_fingerprints(monkeypatch):
     rnd = random.Random(5)
     words = ["the", "Cat", "ÉÈ", "a", "b", "sat", "x y", " ", "Z"]
     gaps = [" ", "\n", "\t", "  ", "\x0b", "\r\n"]
@@ -52,6 +52,18 @@ def test_fingerprints():
     texts += ["".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(rnd.randint(0, 700))) for _ in range(60)]
     for text in texts:
         assert fingerprint(text) == plain_fingerprint(text), text
+    # any slices of a text give the same
+    monkeypatch.setattr("precis.llm.common.SLICE", 5)
+    for text in texts:
+        assert fingerprint(text) == plain_fingerprint(text), text
+    assert fingerprint("a b c", 1) == fingerprint("c b a", 1) and fingerprint("a b", 3) == fingerprint("A\nB", 3)
+
+
+def test_very_long_text(spark):
+    text = "some words that go on " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, text.replace(" ", "\n")), (3, "other")], "doc_id long, text string")
+    rows = sorted(tuple(r) for r in simhash_components(docs).select("doc_id", "component_id").collect())
+    assert rows == [(1, 1), (2, 1), (3, 3)]
 
 
 def clustered(n, seed):
