@@ -10,6 +10,11 @@ Three ways with the same result, picked by the measured size of the table:
   row, by a broadcast of their part of the table; only the rest are exploded, joined
   by key and grouped by row again. No token of the rest holds more than about a
   thousandth of all occurrences, so no key is hot and the table is shuffled once.
+  Where values are ranks by frequency (``ranked``), the first of them are looked up in
+  the row ahead of all this: rows are then written and shuffled as values with gaps.
+
+The functions in Python hand on ``SLICE_TOKENS`` tokens or one row at a time, so that
+a worker holds an Arrow batch (Spark bounds its bytes) and little besides.
 
 Null tokens stay in their place: they become ``default``, or null without one. A
 null array stays null, and rows are told apart by themselves, not by an id.
@@ -17,6 +22,8 @@ null array stays null, and rows are told apart by themselves, not by an id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,13 +41,18 @@ LITERAL_KEYS = 256
 HOT_TOKENS, SKETCH_ITEMS = 4096, 16_384
 #: Longer tokens are never broadcast, so that the frequent ones take 8 MB at most.
 HOT_BYTES = 2048
+#: Of ranked values the first so many are looked up in the row, of tokens no longer than that: 17 MB at most.
+COMMON_TOKENS, COMMON_BYTES = 262_144, 40
+#: Tokens that a function in Python works on at a time (a row is never cut).
+SLICE_TOKENS = 1 << 18
 
 
 def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, value_col: str,
-               default=None, out_col: str | None = None, way: str | None = None) -> DataFrame:
+               default=None, out_col: str | None = None, way: str | None = None, ranked: bool = False) -> DataFrame:
     """``out_col = transform(tokens, t -> coalesce(table[t], default or t))``.
 
-    ``way`` ("literal", "broadcast", "join") is taken instead of the measured choice."""
+    ``way`` ("literal", "broadcast", "join") is taken instead of the measured choice.
+    ``ranked``: the values are whole numbers, the smaller the more frequent the key."""
     out_col = out_col or tokens_col
     # one value per key, chosen deterministically (a recomputed task must pick
     # the same lemma when a form has several)
@@ -51,6 +63,8 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
         way = "broadcast" if measured_bytes(tab) <= session.BROADCAST_BYTES else "join"
         if way == "broadcast" and tab.count() <= LITERAL_KEYS:
             way = "literal"
+    if way == "join" and ranked:
+        return _by_rank(df, tokens_col, tab, default, out_col)
     return _WAYS[way](df, tokens_col, tab, default, out_col)
 
 
@@ -81,22 +95,105 @@ def _ends(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 
 
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with ``SLICE_TOKENS`` elements at most, or one row."""
+    at, rows = 0, len(ends) - 1
+    while at < rows:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_TOKENS, "right")) - 1)
+        yield at, upto
+        at = upto
+
+
+def _coded(tokens: pa.Array, keys: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Distinct tokens of a batch, the number of the distinct token in each place, and where each
+    distinct token is among ``keys``: the hash table is one of the batch, not of the keys."""
+    coded = tokens.flatten().cast(pa.string()).dictionary_encode()
+    met = pc.index_in(keys, value_set=coded.dictionary)
+    hits = np.flatnonzero(pc.is_valid(met))
+    at = np.full(len(coded.dictionary), -1)
+    at[met.drop_null().to_numpy()] = hits
+    return coded.dictionary, coded.indices, pa.array(at, mask=at < 0)
+
+
+def _list_like(lists: pa.Array, ends: np.ndarray, elements: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements, mask=pc.is_null(lists))
+
+
+def _filled(base: pa.Array, ends: np.ndarray, pos: pa.Array, sizes: np.ndarray, new: pa.Array) -> pa.Array:
+    """``base``, flattened lists that end at ``ends``, with ``new`` at ``pos`` of its list, ``sizes`` to a list."""
+    here = np.full(len(base), -1)
+    here[pos.to_numpy(zero_copy_only=False) + np.repeat(ends[:-1], sizes)] = np.arange(len(new))
+    return pc.coalesce(base, new.take(pa.array(here, mask=here < 0)))
+
+
 def _by_broadcast(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
     kind = to_arrow_type(tab.schema["_v"].dataType)
     shared = df.sparkSession.sparkContext.broadcast(_arrow_sides(tab))  # its size has been measured
 
     @F.arrow_udf(T.ArrayType(tab.schema["_v"].dataType))
-    def looked_up(tokens: pa.Array) -> pa.Array:
+    def looked_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keys, values = shared.value
-        flat = tokens.flatten().cast(pa.string())
-        found = values.take(pc.index_in(flat, value_set=keys))
-        rest = flat.cast(kind) if default is None else pa.scalar(default, kind)
-        ends = pa.array(_ends(tokens), pa.int32())
-        return pa.ListArray.from_arrays(ends, pc.coalesce(found, rest), mask=pc.is_null(tokens))
+        for tokens in batches:
+            distinct, codes, at = _coded(tokens, keys)
+            entry = pc.coalesce(values.take(at), distinct.cast(kind) if default is None else pa.scalar(default, kind))
+            ends = _ends(tokens)
+            for a, b in _slices(ends):
+                found = entry.take(codes[ends[a]:ends[b]])
+                if default is not None:
+                    found = pc.coalesce(found, pa.scalar(default, kind))  # null tokens
+                yield _list_like(tokens[a:b], ends[a:b + 1] - ends[a], found)
 
     return df.withColumn(out_col, looked_up(F.col(tokens_col)))
 
 
+def _by_rank(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: str) -> DataFrame:
+    """As ``_by_join``, but the keys of the smallest values are looked up first, and rows go on
+    as values with gaps, places of the gaps and the tokens that belong there."""
+    value_type = tab.schema["_v"].dataType
+    kind = to_arrow_type(value_type)
+    least = tab.agg(F.min("_v")).first()[0]
+    common = tab.where((F.col("_v") < F.lit(least) + COMMON_TOKENS) & (F.octet_length("_k") <= COMMON_BYTES))
+    if least is None or measured_bytes(common) > COMMON_TOKENS * (COMMON_BYTES + 24):  # empty, or no ranks
+        return _by_join(df, tokens_col, tab, default, out_col)
+    shared = df.sparkSession.sparkContext.broadcast(_arrow_sides(common))
+    parts = T.StructType([T.StructField("out", T.ArrayType(value_type)), T.StructField("pos", T.ArrayType(T.IntegerType())),
+                          T.StructField("tok", T.ArrayType(T.StringType()))])
+
+    @F.arrow_udf(parts)
+    def opened(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys, values = shared.value
+        for tokens in batches:
+            distinct, codes, at = _coded(tokens, keys)
+            entry, ends = values.take(at), _ends(tokens)
+            for a, b in _slices(ends):
+                code, upto = codes[ends[a]:ends[b]], ends[a:b + 1] - ends[a]
+                out = entry.take(code)
+                gaps = np.flatnonzero(pc.and_(pc.is_valid(code), pc.is_null(out)))
+                left = np.searchsorted(gaps, upto)
+                pos = gaps - np.repeat(upto[:-1], np.diff(left))
+                if default is not None:  # null tokens
+                    out = pc.if_else(pc.is_null(code), pa.scalar(default, kind), out)
+                lists = [_list_like(tokens[a:b], upto, out)] + [
+                    pa.ListArray.from_arrays(pa.array(left, pa.int32()), x)
+                    for x in (pa.array(pos, pa.int32()), distinct.take(code.take(pa.array(gaps))))]
+                yield pa.StructArray.from_arrays(lists, names=["out", "pos", "tok"])
+
+    @F.arrow_udf(T.ArrayType(value_type))
+    def closed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for out, pos, val in batches:
+            for a, b in _slices(_ends(out)):
+                lists, ends = out[a:b], _ends(out[a:b])
+                filled = _filled(lists.flatten(), ends, pos[a:b].flatten(), np.diff(_ends(pos[a:b])), val[a:b].flatten())
+                yield _list_like(lists, ends, filled)
+
+    rest = [c for c in df.columns if c != out_col]
+    df = df.withColumn("_open", opened(F.col(tokens_col))).select(
+        *[F.col(f"`{c}`") for c in rest], F.col("_open.out").alias("_out"), F.col("_open.pos").alias("_pos"),
+        F.col("_open.tok").alias("_left"))
+    mapped = _by_join(df, "_left", tab, default, "_left")
+    return mapped.withColumn(out_col, closed(F.col("_out"), F.col("_pos"), F.col("_left"))).drop("_out", "_pos", "_left")
+
+
 def frequent_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
     """(``_hot``) the most frequent tokens, ``HOT_TOKENS`` rows at most: every token with more
     than a thousandth of all occurrences is among them. A task hands on a sketch of fixed size."""
@@ -119,28 +216,29 @@ def _by_join(df: DataFrame, tokens_col: str, tab: DataFrame, default, out_col: s
     shared = df.sparkSession.sparkContext.broadcast(_arrow_sides(settled))
 
     @F.arrow_udf("array<struct<pos: int, tok: string>>")
-    def others(tokens: pa.Array) -> pa.Array:
-        flat, ends = tokens.flatten().cast(pa.string()), _ends(tokens)
-        rest = np.flatnonzero(pc.and_(pc.is_valid(flat), pc.invert(pc.is_in(flat, value_set=shared.value[0]))))
-        upto = np.searchsorted(rest, ends)
-        pos = rest - np.repeat(ends[:-1], np.diff(upto))
-        found = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), flat.take(pa.array(rest))], names=["pos", "tok"])
-        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)
+    def others(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for a, b in _slices(_ends(whole)):
+                tokens = whole[a:b]
+                flat, ends = tokens.flatten().cast(pa.string()), _ends(tokens)
+                rest = np.flatnonzero(pc.and_(pc.is_valid(flat), pc.invert(pc.is_in(flat, value_set=shared.value[0]))))
+                upto = np.searchsorted(rest, ends)
+                pos = rest - np.repeat(ends[:-1], np.diff(upto))
+                found = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), flat.take(pa.array(rest))], names=["pos", "tok"])
+                yield pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)
 
     @F.arrow_udf(T.ArrayType(value_type))
-    def put_together(tokens: pa.Array, joined: pa.Array) -> pa.Array:
+    def put_together(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         keys, values = shared.value
-        flat, ends = tokens.flatten().cast(pa.string()), _ends(tokens)
-        found = values.take(pc.index_in(flat, value_set=keys))
-        parts = joined.flatten()
-        at = parts.field("pos").to_numpy(zero_copy_only=False) + np.repeat(ends[:-1], np.diff(_ends(joined)))
-        here = np.full(len(flat), -1)
-        here[at.astype(np.int64)] = np.arange(len(parts))
-        from_join = parts.field("val").take(pa.array(here, mask=here < 0))
-        every = pc.coalesce(found, from_join)
-        if default is not None:
-            every = pc.coalesce(every, pa.scalar(default, kind))  # null tokens
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), every.cast(kind), mask=pc.is_null(tokens))
+        for whole, joined in batches:
+            for a, b in _slices(_ends(whole)):
+                tokens, ends = whole[a:b], _ends(whole[a:b])
+                parts, sizes = joined[a:b].flatten(), np.diff(_ends(joined[a:b]))
+                found = values.take(pc.index_in(tokens.flatten().cast(pa.string()), value_set=keys))
+                every = _filled(found, ends, parts.field("pos"), sizes, parts.field("val"))
+                if default is not None:
+                    every = pc.coalesce(every, pa.scalar(default, kind))  # null tokens
+                yield _list_like(tokens, ends, every.cast(kind))
 
     rest = rows.select("_row", F.explode(others(F.col(tokens_col))).alias("_at")).select("_row", "_at.pos", "_at.tok")
     value = F.coalesce("_v", fallback(F.col("tok")))

@@ -5,7 +5,8 @@ task, so a token that is a third of the corpus is pre-aggregated before the
 shuffle) -> dense ids by (count desc, token asc) with ``global_index``
 (range-partitioned sort, no single-task window).
 
-``encode``: token -> id through ``map_tokens``.
+``encode``: token -> id through ``map_tokens``. With ``out_col`` the tokens' own column
+they are not carried on.
 """
 
 from __future__ import annotations
@@ -40,4 +41,4 @@ def build_vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int =
 
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, unk_id: int = -1, out_col: str = "ids",
            way: str | None = None) -> DataFrame:
-    return map_tokens(df, tokens_col, vocab, "token", "id", default=unk_id, out_col=out_col, way=way)
+    return map_tokens(df, tokens_col, vocab, "token", "id", default=unk_id, out_col=out_col, way=way, ranked=True)

@@ -110,14 +110,18 @@ def corpus_vocabularies(pairs: DataFrame, only_source: bool = False, split_col:
     return {tag: vocab.where(F.col("side") == tag).select("token", "count", "id") for tag, _ in sides}
 
 
-def encode_pairs(pairs: DataFrame, vocabularies: dict, unk_id: int = -1) -> DataFrame:
-    """Integer-id arrays per split for the article (and summary) columns."""
-    out = pairs.withColumn("_at", whitespace_tokens(F.col("article")))
-    out = encode(out, "_at", vocabularies[ARTICLES_TAG], unk_id=unk_id, out_col="article_ids")
-    if SUMMARIES_TAG in vocabularies:
-        out = out.withColumn("_st", whitespace_tokens(F.col("summary")))
-        out = encode(out, "_st", vocabularies[SUMMARIES_TAG], unk_id=unk_id, out_col="summary_ids")
-    return out.drop("_at", "_st")
+def encode_pairs(pairs: DataFrame, vocabularies: dict, unk_id: int = -1, keep: list[str] | None = None) -> DataFrame:
+    """Integer-id arrays per split for the article (and summary) columns; beside
+    them the columns of ``pairs``, or only those of ``keep``."""
+    sides = [(ARTICLES_TAG, "article", "article_ids"), (SUMMARIES_TAG, "summary", "summary_ids")]
+    sides = [side for side in sides if side[0] in vocabularies]
+    names = pairs.columns if keep is None else list(keep)
+    names += [ids for _, _, ids in sides if ids not in names]
+    # a column of ids holds the tokens first, so that they are not carried beside them
+    out = pairs.withColumns({ids: whitespace_tokens(F.col(text)) for _, text, ids in sides}).select(*names)
+    for tag, _, ids in sides:
+        out = encode(out, ids, vocabularies[tag], unk_id=unk_id, out_col=ids)
+    return out.select(*names)
 
 
 def read_aligned(spark: SparkSession, articles_path: str, summaries_path: str) -> DataFrame:

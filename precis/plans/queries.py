@@ -405,7 +405,7 @@ def q_encode_splits(spark, sf_dir):
     (tokens unseen in training get the unknown id)."""
     # the split pairs feed both the vocabularies and the encoding: write once
     pairs = written(_split_stories(spark, sf_dir), "split-pairs")
-    enc = encode_pairs(pairs, corpus_vocabularies(pairs), unk_id=P.UNK_ID)
+    enc = encode_pairs(pairs, corpus_vocabularies(pairs), unk_id=P.UNK_ID, keep=["id", "split"])
     return enc.select("id", "split", _ids_text("article_ids").alias("article_ids"),
                       _ids_text("summary_ids").alias("summary_ids"))
 
@@ -415,7 +415,7 @@ def q_encode_articles(spark, sf_dir):
     part (size split) and every part encoded with it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean_doc().alias("article"))
     parts = written(size_split(docs, P.TRAIN_SIZE, P.TEST_SIZE, "id"), "lm-parts")
-    enc = encode_pairs(parts, corpus_vocabularies(parts, only_source=True), unk_id=P.UNK_ID)
+    enc = encode_pairs(parts, corpus_vocabularies(parts, only_source=True), unk_id=P.UNK_ID, keep=["id", "split"])
     return enc.select("id", "split", _ids_text("article_ids").alias("article_ids"))
 
 
@@ -434,7 +434,7 @@ def q_vocabulary(spark, sf_dir):
 def q_encode_corpus(spark, sf_dir, way=None):
     toks = _vocab_tokens(spark, sf_dir)
     vocab = build_vocabulary(toks, "tokens", min_count=P.VOCAB_MIN_COUNT)
-    enc = encode(toks, "tokens", vocab, unk_id=P.UNK_ID, way=way)
+    enc = encode(toks.withColumnRenamed("tokens", "ids"), "ids", vocab, unk_id=P.UNK_ID, way=way)
     return enc.select(
         "doc_id",
         _ids_text("ids").alias("ids"),
