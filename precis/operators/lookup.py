@@ -14,7 +14,8 @@ Three ways with the same result, picked by the measured size of the table:
   the row ahead of all this: rows are then written and shuffled as values with gaps.
 
 The functions in Python hand on ``SLICE_TOKENS`` tokens or one row at a time, so that
-a worker holds an Arrow batch (Spark bounds its bytes) and little besides.
+a worker holds an Arrow batch (of ``BATCH_BYTES``, unless the session sets that) and
+little besides, however large the input.
 
 Null tokens stay in their place: they become ``default``, or null without one. A
 null array stays null, and rows are told apart by themselves, not by an id.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from precis import session
-from precis.session import measured_bytes, written
+from precis.session import bound_batches, measured_bytes, written
 
 LITERAL_KEYS = 256
 #: Tokens taken as frequent, and items the sketch of their counts holds: it misses none with
@@ -54,6 +55,7 @@ def map_tokens(df: DataFrame, tokens_col: str, table: DataFrame, key_col: str, v
     ``way`` ("literal", "broadcast", "join") is taken instead of the measured choice.
     ``ranked``: the values are whole numbers, the smaller the more frequent the key."""
     out_col = out_col or tokens_col
+    bound_batches(df.sparkSession)
     # one value per key, chosen deterministically (a recomputed task must pick
     # the same lemma when a form has several)
     tab = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")).where("_k is not null").groupBy("_k").agg(
